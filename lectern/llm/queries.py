@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.session import prepare, table
 
@@ -16,14 +17,49 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language import identify, learn
+
+    docs = table(prepare(spark), sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
+    model = learn(docs.where(remainder != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.tokens import count_tokens
+
+    return count_tokens(table(prepare(spark), sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.urls import filter_urls
+
+    return filter_urls(table(prepare(spark), sf_dir, "pages"), URL_RULES)
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import pack
 
     return pack(table(prepare(spark), sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.html import extract
+
+    return extract(table(prepare(spark), sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language": op4_language,
+    "op5_tokens": op5_tokens,
+    "op6_urls": op6_urls,
     "op7_pack": op7_pack,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {}
