@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.jaccard import join
+
+    return join(table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.language import identify, learn
 
@@ -55,6 +61,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard": op2_jaccard,
     "op4_language": op4_language,
     "op5_tokens": op5_tokens,
     "op6_urls": op6_urls,
