@@ -17,6 +17,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontaminate import find
+
+    return find(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+     q AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+     ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+     qs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM q)),
+     n AS (SELECT item_id, count(*) AS n_item FROM qs GROUP BY item_id),
+     s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN qs USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_shared AS DOUBLE) / n_item AS containment, n_shared, n_item
+FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.jaccard import join
 
@@ -61,6 +79,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
     "op4_language": op4_language,
     "op5_tokens": op5_tokens,
@@ -69,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
