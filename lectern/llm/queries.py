@@ -72,6 +72,19 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(prepare(spark), sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The rows that toxicity may learn from."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import REJECT_AT, score
+
+    found = score(table(prepare(spark), sf_dir, "documents"), training_labels(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT_AT).cast("int").alias("predicted"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.html import extract
 
@@ -85,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": op5_tokens,
     "op6_urls": op6_urls,
     "op7_pack": op7_pack,
+    "op8_toxicity": op8_toxicity,
     "op10_html": op10_html,
 }
 
