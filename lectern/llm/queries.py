@@ -85,6 +85,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT_AT).cast("int").alias("predicted"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.linededup import remove_repeats
+
+    found = remove_repeats(table(prepare(spark), sf_dir, "documents"))
+    return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("__removed").alias("lines_removed"))
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+     w AS (SELECT doc_id, i, line, length(line) - length(replace(line, ' ', '')) + 1 AS words, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+     r AS (SELECT doc_id, i, 1 AS k, line AS run FROM w WHERE words >= 40
+           UNION ALL SELECT doc_id, i, 2, line || chr(10) || next FROM w WHERE next IS NOT NULL),
+     f AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY k, run) AS first FROM r),
+     m AS (SELECT DISTINCT doc_id, i + d AS i FROM (SELECT doc_id, i, unnest(range(0, k)) AS d FROM f WHERE (doc_id, i) <> first)),
+     s AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM m),
+     g AS (SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, isle) AS total FROM s JOIN w USING (doc_id, i)),
+     x AS (SELECT doc_id, i FROM g WHERE total >= 40),
+     k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (x.i IS NULL) AS text, count(x.i) AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id)
+SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars, CAST(gone AS INT) AS lines_removed FROM k
+"""
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.html import extract
 
@@ -99,7 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_pack": op7_pack,
     "op8_toxicity": op8_toxicity,
+    "op9_lines": op9_lines,
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_lines": OP9_SQL}
