@@ -41,6 +41,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.imatch import compare_edited
+
+    return compare_edited(table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.language import identify, learn
 
@@ -116,6 +122,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
+    "op3_imatch": op3_imatch,
     "op4_language": op4_language,
     "op5_tokens": op5_tokens,
     "op6_urls": op6_urls,
