@@ -6,7 +6,7 @@ language's words or n-grams, so the model has at most languages / least_share en
 holds; that proven bound is what makes it fit for a broadcast.
 
 A text's score for a language is the sum of its words' log frequencies; a word that is not known is scored by the mean log
-frequency of its longest known n-grams (lengths 5 down to 1), one that has none by nothing. The prediction is the best
+frequency of its longest known n-grams (lengths 4 down to 1), one that has none by nothing. The prediction is the best
 language (ties: first by name), its score the posterior probability among the learned languages.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; training
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +31,10 @@ from lectern.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-LEAST_SHARE = 2e-6
-LENGTHS = (5, 4, 3, 2, 1)
+LEAST_SHARE = 1e-5
+LENGTHS = (4, 3, 2, 1)
 #: Distinct keys one worker gathers before it passes its counts on, and distinct tokens whose scores it remembers.
-FLUSH, CACHE = 300_000, 300_000
+FLUSH, CACHE = 300_000, 400_000
 
 
 def _counted(frame: DataFrame, key: str, grams: bool) -> DataFrame:
@@ -100,22 +101,29 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     return shares.join(known.hint("shuffle_hash"), ["size", "item"], "left_semi")
 
 
+def _compact(model: pa.Table) -> tuple[list[str], dict[int, tuple[list[str], np.ndarray]]]:
+    """Languages, and for each size the known items with their log frequency in every language."""
+    langs = sorted(set(model["lang"].to_pylist()))
+    at = {lang: k for k, lang in enumerate(langs)}
+    sizes: dict[int, tuple[list[str], np.ndarray]] = {}
+    for size in set(model["size"].to_pylist()):
+        rows = model.filter(pc.equal(model["size"], size))
+        coded = rows["item"].combine_chunks().dictionary_encode()
+        counts, totals = np.zeros((len(coded.dictionary), len(langs))), np.zeros(len(langs))
+        lang = np.fromiter(map(at.__getitem__, rows["lang"].to_pylist()), np.int64, len(rows))
+        counts[coded.indices.to_numpy(), lang] = rows["n"].to_numpy()
+        totals[lang] = rows["total"].to_numpy()
+        sizes[size] = coded.dictionary.to_pylist(), np.log((counts + 0.5) / (totals + 1.0)).astype(np.float32)
+    return langs, sizes
+
+
 class Scorer:
     """Log-frequency vectors of tokens, from the learned counts."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        totals: dict[int, np.ndarray] = {}
-        for lang, size, _, _, total in rows:
-            totals.setdefault(size, np.ones(len(at)))[at[lang]] = total
-        self.base = {size: np.log(0.5 / (total + 1.0)) for size, total in totals.items()}
-        self.known: dict[int, dict[str, np.ndarray]] = {size: {} for size in totals}
-        for lang, size, item, n, total in rows:
-            vector = self.known[size].get(item)
-            if vector is None:
-                vector = self.known[size][item] = self.base[size].copy()
-            vector[at[lang]] = np.log((n + 0.5) / (total + 1.0))
+    def __init__(self, model: tuple[list[str], dict[int, tuple[list[str], np.ndarray]]]):
+        self.langs, sizes = model
+        self.known = {size: ({item: k for k, item in enumerate(items)}, logs) for size, (items, logs) in sizes.items()}
+        self.none = np.zeros(len(self.langs))
         self.reset()
 
     def reset(self) -> None:
@@ -124,23 +132,24 @@ class Scorer:
         self.letters: list[bool] = []
 
     def word(self, word: str) -> np.ndarray:
-        found = self.known.get(0, {}).get(word)
-        if found is not None:
-            return found
+        known, logs = self.known.get(0, ({}, None))
+        at = known.get(word)
+        if at is not None:
+            return logs[at]
         padded = f"^{word}$"
         for size in LENGTHS:
-            known = self.known.get(size, {})
+            known, logs = self.known.get(size, ({}, None))
             grams = [g for k in range(len(padded) - size + 1) if (g := known.get(padded[k : k + size])) is not None]
             if grams:
-                return np.mean(grams, axis=0)
-        return np.zeros(len(self.langs))
+                return logs[grams].mean(axis=0)
+        return self.none
 
     def token(self, token: str) -> int:
         words = LETTERS.findall(token)
         at = len(self.row)
         if at == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = sum((self.word(w) for w in words), np.zeros(len(self.langs)))
+        self.matrix[at] = self.word(words[0]) if len(words) == 1 else sum(map(self.word, words), self.none)
         self.letters.append(bool(words))
         self.row[token] = at
         return at
@@ -175,7 +184,7 @@ def identify(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col
     """id, lang_pred and score of every row; `model` comes from learn()."""
     context = docs.sparkSession.sparkContext
     # bounded: see the module's text
-    sent, key = context.broadcast([tuple(r) for r in model.select("lang", "size", "item", "n", "total").collect()]), uuid.uuid4().hex
+    sent, key = context.broadcast(_compact(model.select("lang", "size", "item", "n", "total").toArrow())), uuid.uuid4().hex
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
