@@ -273,6 +273,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     found = linked(docs, threshold, id_col, text_col, TREES, DEPTH, RECALL, BLOCK)
     named = F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__name")
     best = found.groupBy("label").agg(F.min(F.struct("__id", "__th")).alias("__best")).select("__best.__id", "__best.__th").select(named, "__th")
-    rows = docs.withColumn("__name", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__th", F.xxhash64(text_col))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__name"), F.xxhash64(text_col).alias("__th"))
     kept = rows.join(best.hint("shuffle_hash"), ["__name", "__th"], "left_semi")
-    return kept.dropDuplicates(["__name", "__th"]).drop("__name", "__th")
+    return kept.dropDuplicates(["__name", "__th"]).select("__row.*")

@@ -61,8 +61,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = D
     ordered = Window.partitionBy("__id", "__th").orderBy("__line")
     passages = marked.withColumn("__isle", F.col("__line") - F.row_number().over(ordered)).groupBy("__id", "__th", "__isle").agg(F.min("__line").alias("__a"), F.max("__line").alias("__b"))
     passages = passages.groupBy(F.col("__id").alias("__pid"), F.col("__th").alias("__pth")).agg(F.array_sort(F.collect_list(F.struct("__a", "__b"))).alias("__passages"))
-    joined = docs.withColumn("__th", F.xxhash64(text_col)).join(passages.hint("merge"), F.col(id_col).eqNullSafe(F.col("__pid")) & (F.col("__th") == F.col("__pth")), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).cast("string").alias("__text"))
+    joined = rows.join(passages.hint("merge"), F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__th") == F.col("__pth")), "left")
+    lines = F.split("__text", "\n")
 
     def words(p: Column) -> Column:
         return F.aggregate(F.slice(F.col("__lines"), p["__a"] + 1, p["__b"] - p["__a"] + 1), F.lit(0), lambda total, line: total + word_count(line).cast("int"))
@@ -74,5 +75,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = D
     left = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.slice(F.col("__lines"), z["s"] + 1, z["e"] - z["s"])))
     some = F.size(F.coalesce("__gone", F.array().cast("array<struct<__a:int,__b:int>>"))) > 0
     removed = F.aggregate(F.coalesce("__gone", F.array().cast("array<struct<__a:int,__b:int>>")), F.lit(0), lambda total, p: total + p["__b"] - p["__a"] + 1)
-    text = F.when(some, F.array_join(left, "\n")).otherwise(F.col(text_col).cast("string"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], removed.alias("__removed"))
+    text = F.when(some, F.array_join(left, "\n")).otherwise(F.col("__text"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns], removed.alias("__removed"))

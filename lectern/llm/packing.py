@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     within = Window.partitionBy("length", "__salt").orderBy(id_col, "piece", "ids_crc32")
     ranked = (
         salted.withColumn("__k", F.row_number().over(within))
-        .join(F.broadcast(counts), ["length", "__salt"])
+        .join(counts.hint("shuffle_hash"), ["length", "__salt"])
         .withColumn("__rank", F.col("__before") + F.col("__k") - 1)
         .drop("__salt", "__k", "__before")
     )

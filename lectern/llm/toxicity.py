@@ -307,12 +307,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = describe(chosen, key, sent, "text").toArrow()  # bounded by fit_rows
     truth = np.array(table["label"].to_pylist(), float)
     votes = table["__votes"].to_pylist()
-    x = np.array(table["__features"].to_pylist(), float).reshape(len(truth), -1)
     patterns = [(r["__votes"], None, float(r["n"])) for r in described.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).collect()]
     patterns += [(v, int(y), float(n)) for (v, y), n in Counter(zip(votes, truth)).items()]
     model = LabelModel(patterns)
-    if not len(truth):
-        return Model(key, sent, [3.0], -2.0, model), described
+    if not len(truth):  # the fixed list alone: an insult is toxic
+        return Model(key, sent, [6.0], -4.0, model), described
+    x = np.array(table["__features"].to_pylist(), float)
     soft = model.infer(np.array([votes_of(v) for v in votes], np.int64))
     spread = x.std(axis=0)
     used = np.flatnonzero(spread > 1e-9)
