@@ -92,3 +92,33 @@ def scale(low: Column, high: Column) -> Column:
 def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows replaced by the changes of the same key, others kept, new ones added."""
     return rows.join(changes.select(key), key, "left_anti").unionByName(changes)
+
+
+def normalise_exams(exams: DataFrame) -> DataFrame:
+    """Exams with an id slug, a timing mode and limit, and questions with ids, at least two choices and an answer among them."""
+    slug = F.regexp_replace(F.lower(F.trim("id")), "[^a-z0-9_-]+", "-")
+    mode = F.when(F.col("timing_mode").isin("countdown", "stopwatch"), F.col("timing_mode")).when(F.col("time_limit_seconds") > 0, "countdown").otherwise("stopwatch")
+
+    def question(q: Column, k: Column) -> Column:
+        kept = F.filter(q["choices"], lambda c: F.trim(c) != "")
+        choices = F.when(F.size(kept) >= 2, kept).otherwise(F.array(F.lit("Option A"), F.lit("Option B")))
+        answer = F.least(F.greatest(F.coalesce(q["answer_index"], F.lit(0)), F.lit(0)), F.size(choices) - 1)
+        return F.struct(F.concat(slug, F.lit("-q"), (k + 1).cast("string")).alias("question_id"), q["text"].alias("text"), choices.alias("choices"), answer.alias("answer_index"))
+
+    visible = F.array_join(F.filter("visible", lambda v: v.isNotNull()), "-")
+    return exams.select(
+        slug.alias("exam_id"),
+        mode.alias("timing_mode"),
+        F.when(mode == "stopwatch", 0).otherwise(F.greatest(F.coalesce("time_limit_seconds", F.lit(0)), F.lit(0))).alias("time_limit_seconds"),
+        F.coalesce(F.nullif(visible, F.lit("")), F.lit("none")).alias("condition_id"),
+        F.transform("questions", question).alias("questions"),
+    )
+
+
+def public_questions(exams: DataFrame) -> DataFrame:
+    """Questions as participants see them: no answers."""
+    return exams.select(F.explode("questions").alias("q")).select("q.question_id", "q.text", "q.choices")
+
+
+def private_keys(exams: DataFrame) -> DataFrame:
+    return exams.select(F.explode("questions").alias("q")).select("q.question_id", "q.answer_index")
