@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,3 +150,53 @@ def columns_of_page(chunks: DataFrame) -> DataFrame:
 
     schema = T.StructType([*chunks.schema.fields, T.StructField("column_no", T.IntegerType())])
     return chunks.groupBy("document_id", "page_number").applyInPandas(cluster, schema)
+
+
+def merge_paragraphs(chunks: DataFrame, body: DataFrame) -> DataFrame:
+    """paragraph_no of each chunk within its page and column.
+
+    A chunk extends the paragraph while neither it nor the last chunk is a heading, the sentence goes on, and box and font fit. The
+    box is that of all the paragraph has, so the rule depends on what was merged before; a page's column is one group.
+    """
+    heading = tx.heading_chunk(F.col("text"), F.lit(None).cast("string"), F.col("is_bold"), F.col("font_size"), F.col("body_font"))
+    rows = chunks.join(body, "document_id").withColumn("__heading", heading).drop("body_font")
+
+    def merge(column: pd.DataFrame) -> pd.DataFrame:
+        numbers, number = {}, 0
+        box = last = tail = None
+        for row in column.sort_values(["y", "x", "reading_order"]).itertuples():
+            own = [row.x, row.y, row.x + row.width, row.y + row.height]
+            if box is not None and not last[0] and not row[-1] and _goes_on(tail, row.text.strip()) and _fits(box, own, last[1], row.font_size):
+                box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
+                tail = row.text.strip() or tail
+            else:
+                number += 1
+                box, tail = own, row.text.strip()
+            last = row[-1], row.font_size
+            numbers[row.Index] = number
+        return column.assign(paragraph_no=[numbers[i] for i in column.index]).astype({"paragraph_no": "int32"}).drop(columns="__heading")
+
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__heading"), T.StructField("paragraph_no", T.IntegerType())])
+    order = [f.name for f in schema.fields if f.name != "paragraph_no"] + ["__heading"]
+    return rows.select(*order).groupBy("document_id", "page_number", "column_no").applyInPandas(merge, schema)
+
+
+def _goes_on(before: str, after: str) -> bool:
+    if not before or not after:
+        return False
+    if before.endswith("-"):
+        return True
+    return not re.search(tx.SENTENCE_END, before) and bool(re.search(tx.CONTINUATION_START, after))
+
+
+def _fits(box: list[float], own: list[float], font: float | None, own_font: float | None) -> bool:
+    gap = max(own[1] - box[3], 0.0)
+    known = font is not None and own_font is not None and font == font and own_font == own_font
+    shared = max(0.0, min(box[2], own[2]) - max(box[0], own[0])) / max(min(box[2] - box[0], own[2] - own[0]), 1e-6)
+    near = shared >= 0.25 or abs(own[0] - box[0]) <= 0.05 or abs((own[0] + own[2] - box[0] - box[2]) / 2) <= 0.06
+    return gap <= max(2 * (box[3] - box[1]), 2 * (own[3] - own[1]), 0.04) and (not known or abs(font - own_font) <= 2.2) and near
+
+
+def parser_label(grouped: Column, presegmented: Column) -> Column:
+    """How a document's paragraphs came about."""
+    return F.when(grouped & presegmented, "presegmented-grouped").when(grouped, "grouped").when(presegmented, "presegmented").otherwise("layout")

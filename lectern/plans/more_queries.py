@@ -167,3 +167,74 @@ def g4(spark, sf_dir):
 
     has = F.when(F.col("text").contains("t"), F.col("reading_order"))
     return reading_blocks(views.chunks(spark, sf_dir)).groupBy("document_id", "block_no").agg(F.min_by(F.regexp_extract(F.trim("text"), r"^(\S+)", 1), has).alias("keyword"))
+
+
+@query("d5_layout_paragraphs")
+def d5(spark, sf_dir):
+    from lectern.operators import layout
+
+    chunks = views.chunks(spark, sf_dir)
+    found = layout.merge_paragraphs(layout.columns_of_page(chunks), layout.body_font(chunks))
+    return found.groupBy("document_id", "page_number", "column_no").agg(F.max("paragraph_no").alias("paragraphs"), F.count(F.lit(1)).alias("chunks"))
+
+
+@query("d15_parser_label", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraph_count, CASE WHEN document_id % 2 = 0 AND document_id % 3 = 0 THEN 'presegmented-grouped' WHEN document_id % 2 = 0 THEN 'grouped' WHEN document_id % 3 = 0 THEN 'presegmented' ELSE 'layout' END AS label FROM blocks GROUP BY 1")
+def d15(spark, sf_dir):
+    from lectern.operators.layout import parser_label
+
+    counts = block_rows(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("paragraph_count"))
+    return counts.withColumn("label", parser_label(F.col("document_id") % 2 == 0, F.col("document_id") % 3 == 0))
+
+
+@query("d16_document_normalise", f"WITH {views.BLOCKS}, g AS (SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN page_number END AS own, chunk_ids[1] AS chunk_id FROM blocks) SELECT g.document_id, format('paragraph-{{:04d}}', row_number() OVER (PARTITION BY g.document_id ORDER BY block_no)) AS block_id, coalesce(own, c.page_number, 1) AS page_number FROM g LEFT JOIN chunks c ON c.document_id = g.document_id AND c.chunk_id = g.chunk_id")
+def d16(spark, sf_dir):
+    rows = block_rows(spark, sf_dir).select("document_id", "block_no", F.when(F.col("block_no") % 2 == 0, F.col("page_number")).alias("own"), F.element_at("chunk_ids", 1).alias("chunk_id"))
+    pages = views.chunks(spark, sf_dir).select("document_id", "chunk_id", "page_number")
+    order = Window.partitionBy("document_id").orderBy("block_no")
+    joined = rows.join(pages, ["document_id", "chunk_id"], "left")
+    return joined.select("document_id", F.format_string("paragraph-%04d", F.row_number().over(order)).alias("block_id"), F.coalesce("own", "page_number", F.lit(1)).alias("page_number"))
+
+
+@query("d22_body_filter", f"WITH {views.BLOCKS}, keep AS (SELECT document_id, unnest(chunk_ids) AS chunk_id FROM blocks WHERE block_no % 3 = 1) SELECT c.document_id, c.page_number, count(k.chunk_id) AS kept FROM chunks c LEFT JOIN keep k USING (document_id, chunk_id) GROUP BY 1, 2")
+def d22(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
+    selected = block_rows(spark, sf_dir).where("block_no % 3 = 1").select("document_id", F.explode("chunk_ids").alias("chunk_id"))
+    body = chunks.join(selected, ["document_id", "chunk_id"], "left_semi").groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("kept"))
+    pages = chunks.select("document_id", "page_number").distinct()  # pages stay, even without a chunk
+    return pages.join(body, ["document_id", "page_number"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+
+
+@query("f19_clear_and_restore", f"WITH {views.BLOCKS} SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN 0 ELSE 2 END AS representations FROM blocks")
+def f19(spark, sf_dir):
+    from lectern.plans.feature_queries import default_rows
+
+    blocks = block_rows(spark, sf_dir)
+    restored = default_rows(blocks.where("block_no % 2 = 1")).groupBy("document_id", "block_no").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return blocks.select("document_id", "block_no").join(restored, ["document_id", "block_no"], "left").select("document_id", "block_no", F.coalesce("n", F.lit(0)).alias("representations"))
+
+
+@query("a9_exam_catalogue", "SELECT event_id AS id, coalesce(TRY_CAST(CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS BOOLEAN), true) AS enabled FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 1")
+def a9(spark, sf_dir):
+    """Exam files read tolerantly: unreadable ones skipped, enabled by default, disabled ones left out."""
+    flag = "CASE event_id % 3 WHEN 0 THEN ',\"enabled\":true' WHEN 1 THEN ',\"enabled\":false' ELSE '' END"
+    json = F.expr(f"CASE WHEN event_id % 7 = 0 THEN 'broken{{' ELSE concat('{{\"id\":', event_id, {flag}, '}}') END")
+    exams = events(spark, sf_dir).select(F.from_json(json, "id long, enabled boolean").alias("e")).where("e.id IS NOT NULL")
+    return exams.select("e.id", F.coalesce("e.enabled", F.lit(True)).alias("enabled")).where("enabled")
+
+
+@query("a11_representation_files", "SELECT user_id, count(*) AS representations, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+def a11(spark, sf_dir):
+    """Payloads of files by block: the id from the payload, else from the file's folder."""
+    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").alias("block_id"), F.col("event_type").alias("kind")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"))))
+    folder = F.concat(F.lit("representations/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".json"))
+    files = events(spark, sf_dir).select(F.from_json(payload, "block_id long, kind string").alias("p"), folder.alias("path"))
+    named = files.select(F.coalesce("p.block_id", F.regexp_extract("path", "([0-9]+)/[^/]*$", 1).cast("long")).alias("user_id"), "p.kind")
+    return named.groupBy("user_id").agg(F.count(F.lit(1)).alias("representations"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("b12_legacy_style", "SELECT event_id, CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN '#00695c' ELSE '#c' || (event_id % 4) END AS color FROM events")
+def b12(spark, sf_dir):
+    """Known old default colours of a kind give way to the new default; a reader's own stay."""
+    old = spark.createDataFrame([("view", "#c0", "#00695c")], "event_type string, color string, new_color string")  # old and new defaults: one row for each kind
+    rows = events(spark, sf_dir).select("event_id", "event_type", F.concat(F.lit("#c"), (F.col("event_id") % 4).cast("string")).alias("color"))
+    return rows.join(F.broadcast(old), ["event_type", "color"], "left").select("event_id", F.coalesce("new_color", "color").alias("color"))

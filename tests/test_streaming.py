@@ -26,3 +26,19 @@ def test_job_state_stream_equals_batch(spark, tmp_path):
     keys = ["document_id", "block_no", "kind"]
     last = spark.read.parquet(str(tmp_path / "out")).groupBy(*keys).agg(F.max_by("status", "batch").alias("status"))
     assert last.exceptAll(features.latest(events, keys, "pos", "status")).count() == 0
+
+
+def test_deadline_closes_what_is_not_handed_in(spark, tmp_path):
+    from lectern.streaming.deadline import close_sessions
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "session_id string, at timestamp, kind string"
+    rows = [("a", 0, "answer"), ("a", 5, "submit"), ("b", 0, "answer"), ("b", 20, "answer"), ("b", 90, "answer"), ("z", 0, "answer")]
+    for n, part in enumerate((rows, [("z", 3600, "submit")])):
+        frame = spark.createDataFrame([(s, k, kind) for s, k, kind in part], "session_id string, sec long, kind string")
+        frame.select("session_id", F.timestamp_seconds(F.col("sec") + 1_700_000_000).alias("at"), "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        query = close_sessions(stream, 60_000, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = {(r["session_id"], r["answers"], r["closed_by"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {("a", 1, "participant"), ("b", 2, "deadline")} <= got
