@@ -30,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.words import shingle_set
 from lectern.session import materialize
 
 FIT_ROWS = 30_000
 REJECT_AT = 0.3
 #: A learned item is in this share of the toxic sample documents (and in 5 at least), and its odds of being in a toxic document
 #: are so many times those of a clean one.
-LEAST_SHARE, LEAST_DOCS = 0.002, 5
+LEAST_SHARE, LEAST_DOCS = 0.01, 5
 STRONG, WEAK = 20.0, 4.0
 #: Voters more correlated than this within a class are modelled together, up to so many.
 CORRELATED, CLIQUE = 0.25, 4
@@ -154,7 +155,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_
 
 
 def learn_lexicon(fit: DataFrame, least_share: float = LEAST_SHARE) -> list[tuple[str, str, float]]:
-    """(kind, item, odds ratio) of items that mark toxic texts; equal texts count once."""
+    """(kind, item, odds ratio) of items that mark toxic texts; copies and most near copies count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -172,7 +173,14 @@ def learn_lexicon(fit: DataFrame, least_share: float = LEAST_SHARE) -> list[tupl
                 yield flush()
         yield flush()
 
-    once = fit.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The smallest shingle hash: nearly equal texts mostly share it."""
+        for batch in batches:
+            sets = (shingle_set(t.as_py()) for t in batch.column(0))
+            keys = pa.array((int(s[0]) if len(s) else 0 for s in sets), pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, *batch.columns], names=["key", "text", "label"])
+
+    once = fit.mapInArrow(sketch, "key long, text string, label int").groupBy("key").agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
     totals = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
