@@ -186,7 +186,7 @@ def e2(spark, sf_dir):
     return windows.pack_windows(views.chunks(spark, sf_dir))
 
 
-@query("e3_envelope", f"WITH {PACKED} SELECT document_id, window_no, count(*) AS size, sum(n_chars) AS chars, min(reading_order) AS first, count(*) OVER (PARTITION BY document_id) AS windows FROM win GROUP BY 1, 2")
+@query("e3_envelope", f"WITH {PACKED} SELECT document_id, window_no, count(*) AS size, CAST(sum(n_chars) AS BIGINT) AS chars, min(reading_order) AS first, count(*) OVER (PARTITION BY document_id) AS windows FROM win GROUP BY 1, 2")
 def e3(spark, sf_dir):
     return windows.envelope(windows.pack_windows(views.chunks(spark, sf_dir)))
 
@@ -246,6 +246,6 @@ def e8(spark, sf_dir):
     return windows.merge_continuations(groups, "reading_order").select("document_id", "reading_order", "merged_no")
 
 
-@query("e9_metrics", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraphs, sum(len(chunk_ids)) AS chunks FROM blocks GROUP BY 1")
+@query("e9_metrics", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraphs, CAST(sum(len(chunk_ids)) AS BIGINT) AS chunks FROM blocks GROUP BY 1")
 def e9(spark, sf_dir):
     return block_rows(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.size("chunk_ids")).alias("chunks"))
