@@ -1,10 +1,11 @@
 import hashlib
 
+import oracle
 from conftest import SMALL
 from fixtures import documents, empty
 
 from lectern.llm import imatch
-from lectern.llm.queries import op3_imatch
+from lectern.llm.queries import OP3_SQL, op3_imatch
 from lectern.session import table
 
 
@@ -30,6 +31,10 @@ def test_whole_table(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_query_agrees_with_sql(spark):
+    oracle.check(op3_imatch(spark, SMALL), OP3_SQL, SMALL)
+
+
 def test_awkward_documents(spark):
     frame = documents(spark)
     rows = imatch.compare_edited(frame).collect()

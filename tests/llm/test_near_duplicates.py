@@ -2,8 +2,10 @@ from collections import Counter
 
 from conftest import SMALL
 from fixtures import documents, empty, prose
+from oracle import check
 
 from lectern.llm import jaccard
+from lectern.llm.queries import OP2_SQL, op2_jaccard
 from lectern.llm.words import words
 from lectern.session import table
 
@@ -41,6 +43,10 @@ def test_whole_table_and_awkward_documents(spark):
         assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == brute(rows)
 
 
+def test_query_agrees_with_sql(spark):
+    check(op2_jaccard(spark, SMALL), OP2_SQL, SMALL)
+
+
 def test_blocks_of_a_large_group_lose_no_link(spark):
     base = prose(5, 200).split()
     rows = []
