@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
@@ -127,74 +123,88 @@ def chunk_blocks(chunks: DataFrame, blocks: DataFrame, order_col: str) -> DataFr
 def columns_of_page(chunks: DataFrame) -> DataFrame:
     """column_no of each chunk. A chunk joins the first column whose box, grown by all it has, overlaps it or begins or is centred alike.
 
-    The rule depends on what was joined before, so a page is one group (its chunks are bounded by the page).
+    The rule depends on what was joined before: a fold over a page's chunks from top to bottom, inside the JVM.
     """
-
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[float]] = []  # x0, x1
-        column = {}
-        for row in page.sort_values(["y", "x", "reading_order"]).itertuples():
-            left, right = row.x, row.x + row.width
-            for n, box in enumerate(found):
-                shared = max(0.0, min(box[1], right) - max(box[0], left)) / max(min(box[1] - box[0], row.width), 1e-6)
-                centre = abs((box[0] + box[1]) / 2 - (left + right) / 2)
-                if shared >= 0.35 or centre <= 0.08 or abs(box[0] - left) <= 0.05:
-                    box[0], box[1] = min(box[0], left), max(box[1], right)
-                    column[row.Index] = n
-                    break
-            else:
-                column[row.Index] = len(found)
-                found.append([left, right])
-        rank = {n: k for k, n in enumerate(sorted(range(len(found)), key=lambda n: found[n][0]))}
-        return page.assign(column_no=[rank[column[i]] for i in page.index]).astype({"column_no": "int32"})
-
-    schema = T.StructType([*chunks.schema.fields, T.StructField("column_no", T.IntegerType())])
-    return chunks.groupBy("document_id", "page_number").applyInPandas(cluster, schema)
+    placed = F.struct("y", "x", "reading_order", (F.col("x") + F.col("width")).alias("right"), F.struct(*chunks.columns).alias("row"))
+    pages = chunks.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(placed)).alias("cs"))
+    start = F.struct(F.expr("cast(array() as array<struct<l:double,r:double>>)").alias("cols"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def joins(col: Column, c: Column) -> Column:
+        shared = F.greatest(F.lit(0.0), F.least(col["r"], c["right"]) - F.greatest(col["l"], c["x"]))
+        narrow = F.greatest(F.least(col["r"] - col["l"], c["right"] - c["x"]), F.lit(1e-6))
+        centre = F.abs((col["l"] + col["r"]) / 2 - (c["x"] + c["right"]) / 2)
+        return (shared / narrow >= 0.35) | (centre <= 0.08) | (F.abs(col["l"] - c["x"]) <= 0.05)
+
+    def step(s: Column, c: Column) -> Column:
+        at = F.array_position(F.transform(s["cols"], lambda col: joins(col, c)), F.lit(True)).cast("int")
+        wider = lambda col: F.struct(F.least(col["l"], c["x"]).alias("l"), F.greatest(col["r"], c["right"]).alias("r"))
+        grown = F.transform(s["cols"], lambda col, i: F.when(i + 1 == at, wider(col)).otherwise(col))
+        opened = F.concat(s["cols"], F.array(F.struct(c["x"].alias("l"), c["right"].alias("r"))))
+        number = F.when(at > 0, at).otherwise(F.size(s["cols"]) + 1)
+        return F.struct(F.when(at > 0, grown).otherwise(opened).alias("cols"), F.concat(s["out"], F.array(number)).alias("out"))
+
+    folded = pages.select("cs", F.aggregate("cs", start, step).alias("f"))
+    left = lambda k: F.element_at("f.cols", k)["l"]
+    before = lambda k: F.filter("f.cols", lambda col, i: (col["l"] < left(k)) | ((col["l"] == left(k)) & (i + 1 < k)))
+    numbers = F.transform("f.out", lambda k: F.size(before(k)))
+    rows = folded.select(F.explode(F.arrays_zip(F.col("cs.row").alias("row"), numbers.alias("column_no"))).alias("z"))
+    return rows.select("z.row.*", "z.column_no")
 
 
 def merge_paragraphs(chunks: DataFrame, body: DataFrame) -> DataFrame:
     """paragraph_no of each chunk within its page and column.
 
     A chunk extends the paragraph while neither it nor the last chunk is a heading, the sentence goes on, and box and font fit. The
-    box is that of all the paragraph has, so the rule depends on what was merged before; a page's column is one group.
+    box is that of all the paragraph has, so the rule depends on what was merged before: a fold like that of columns_of_page.
     """
     heading = tx.heading_chunk(F.col("text"), F.lit(None).cast("string"), F.col("is_bold"), F.col("font_size"), F.col("body_font"))
-    rows = chunks.join(body, "document_id").withColumn("__heading", heading).drop("body_font")
-
-    def merge(column: pd.DataFrame) -> pd.DataFrame:
-        numbers, number = {}, 0
-        box = last = tail = None
-        for row in column.sort_values(["y", "x", "reading_order"]).itertuples():
-            own = [row.x, row.y, row.x + row.width, row.y + row.height]
-            if box is not None and not last[0] and not row[-1] and _goes_on(tail, row.text.strip()) and _fits(box, own, last[1], row.font_size):
-                box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
-                tail = row.text.strip() or tail
-            else:
-                number += 1
-                box, tail = own, row.text.strip()
-            last = row[-1], row.font_size
-            numbers[row.Index] = number
-        return column.assign(paragraph_no=[numbers[i] for i in column.index]).astype({"paragraph_no": "int32"}).drop(columns="__heading")
-
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__heading"), T.StructField("paragraph_no", T.IntegerType())])
-    order = [f.name for f in schema.fields if f.name != "paragraph_no"] + ["__heading"]
-    return rows.select(*order).groupBy("document_id", "page_number", "column_no").applyInPandas(merge, schema)
-
-
-def _goes_on(before: str, after: str) -> bool:
-    if not before or not after:
-        return False
-    if before.endswith("-"):
-        return True
-    return not re.search(tx.SENTENCE_END, before) and bool(re.search(tx.CONTINUATION_START, after))
-
-
-def _fits(box: list[float], own: list[float], font: float | None, own_font: float | None) -> bool:
-    gap = max(own[1] - box[3], 0.0)
-    known = font is not None and own_font is not None and font == font and own_font == own_font
-    shared = max(0.0, min(box[2], own[2]) - max(box[0], own[0])) / max(min(box[2] - box[0], own[2] - own[0]), 1e-6)
-    near = shared >= 0.25 or abs(own[0] - box[0]) <= 0.05 or abs((own[0] + own[2] - box[0] - box[2]) / 2) <= 0.06
-    return gap <= max(2 * (box[3] - box[1]), 2 * (own[3] - own[1]), 0.04) and (not known or abs(font - own_font) <= 2.2) and near
+    placed = F.struct(
+        "y",
+        "x",
+        "reading_order",
+        (F.col("x") + F.col("width")).alias("right"),
+        (F.col("y") + F.col("height")).alias("bottom"),
+        heading.alias("heading"),
+        F.trim("text").alias("t"),
+        F.col("font_size").alias("font"),
+        F.struct(*chunks.columns).alias("row"),
+    )
+    columns = chunks.join(body, "document_id").groupBy("document_id", "page_number", "column_no").agg(F.array_sort(F.collect_list(placed)).alias("cs"))
+    nothing = {"l": 0.0, "t": 0.0, "r": 0.0, "b": 0.0}
+    start = F.struct(
+        F.lit(0).alias("n"),
+        *(F.lit(v).alias(k) for k, v in nothing.items()),
+        F.lit(True).alias("heading"),
+        F.lit(None).cast("double").alias("font"),
+        F.lit("").alias("tail"),
+        F.expr("cast(array() as array<int>)").alias("out"),
+    )
+
+    def fits(s: Column, c: Column) -> Column:
+        gap = F.greatest(c["y"] - s["b"], F.lit(0.0))
+        room = F.greatest(2 * (s["b"] - s["t"]), 2 * (c["bottom"] - c["y"]), F.lit(0.04))
+        shared = F.greatest(F.lit(0.0), F.least(s["r"], c["right"]) - F.greatest(s["l"], c["x"])) / F.greatest(F.least(s["r"] - s["l"], c["right"] - c["x"]), F.lit(1e-6))
+        near = (shared >= 0.25) | (F.abs(c["x"] - s["l"]) <= 0.05) | (F.abs((c["x"] + c["right"] - s["l"] - s["r"]) / 2) <= 0.06)
+        return (gap <= room) & (F.coalesce(F.abs(s["font"] - c["font"]), F.lit(0.0)) <= 2.2) & near
+
+    def step(s: Column, c: Column) -> Column:
+        on = ~s["heading"] & ~c["heading"] & tx.continues(s["tail"], c["t"]) & fits(s, c)
+        number = F.when(on, s["n"]).otherwise(s["n"] + 1)
+        return F.struct(
+            number.alias("n"),
+            F.when(on, F.least(s["l"], c["x"])).otherwise(c["x"]).alias("l"),
+            F.when(on, F.least(s["t"], c["y"])).otherwise(c["y"]).alias("t"),
+            F.when(on, F.greatest(s["r"], c["right"])).otherwise(c["right"]).alias("r"),
+            F.when(on, F.greatest(s["b"], c["bottom"])).otherwise(c["bottom"]).alias("b"),
+            c["heading"].alias("heading"),
+            c["font"].alias("font"),
+            c["t"].alias("tail"),
+            F.concat(s["out"], F.array(number)).alias("out"),
+        )
+
+    folded = columns.select("cs", F.aggregate("cs", start, step)["out"].alias("out"))
+    rows = folded.select(F.explode(F.arrays_zip(F.col("cs.row").alias("row"), F.col("out").alias("paragraph_no"))).alias("z"))
+    return rows.select("z.row.*", "z.paragraph_no")
 
 
 def parser_label(grouped: Column, presegmented: Column) -> Column:
