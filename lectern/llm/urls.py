@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from lectern.session import materialize
 
 ORDER = 5
-LEAST_SHARE = 2e-6
+LEAST_SHARE = 2e-5
 #: One in so many rule-decided URLs is held out for calibration.
 HELD_OUT = 5
 #: Bins of the score, over which the calibration counts.
@@ -156,7 +156,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id"
     total = counts.where("context = ''").groupBy("verdict").agg(F.sum("n").alias("total"))
     known = sums.join(F.broadcast(total), "verdict").where(F.col("sum") >= F.col("total") * least_share).select("verdict", "context")
     # bounded: see the module's text
-    rows = [tuple(r) for r in counts.join(known.hint("shuffle_hash"), ["verdict", "context"], "left_semi").select("verdict", "context", "next", "n").collect()]
+    table = counts.join(known.hint("shuffle_hash"), ["verdict", "context"], "left_semi").select("verdict", "context", "next", "n").toArrow()
+    rows = list(zip(*(c.to_pylist() for c in table.columns)))
     sent, key = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
     fields = [*named.schema.fields, T.StructField("score", T.DoubleType())]
 
