@@ -1,20 +1,24 @@
 """Language identification by words first, backing off to shorter and shorter character n-grams.
 
 Learning counts every word of every training text for each language, and from the word counts every character n-gram; both
-counts are made by Spark over all training rows. A word or n-gram is known if it makes up at least `least_share` of some
-language's words or n-grams, so the model has at most languages / least_share entries per n-gram length, whatever the corpus
-holds; that proven bound is what makes it fit for a broadcast.
+counts are made by Spark over all training rows and stay Spark tables. Every word and n-gram of the training texts is known,
+however rare, so the model grows with the corpus.
 
 A text's score for a language is the sum of its words' log frequencies; a word that is not known is scored by the mean log
-frequency of its longest known n-grams (lengths 4 down to 1), one that has none by nothing. The prediction is the best
+frequency of its longest known n-grams (lengths 5 down to 1), one that has none by nothing. The prediction is the best
 language (ties: first by name), its score the posterior probability among the learned languages.
 
+Where a word's vector of log frequencies is looked up depends on how frequent it is, its value does not. The vectors of words that
+make up at least `sent_share` of some language are sent to the tasks: languages / sent_share words at most. A text's other words
+are joined with the tables: the distinct ones get their vectors there, and the sums come back to the rows.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; training
 rows with a null language or text are not learned from; repeated rows count each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -22,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +34,9 @@ from lectern.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-LEAST_SHARE = 1e-5
-LENGTHS = (4, 3, 2, 1)
-#: Distinct keys one worker gathers before it passes its counts on, and distinct tokens whose scores it remembers.
+SENT_SHARE = 2e-6
+LENGTHS = (5, 4, 3, 2, 1)
+#: Distinct keys one worker gathers before it passes its counts on, and distinct tokens that it remembers.
 FLUSH, CACHE = 300_000, 400_000
 
 
@@ -88,109 +91,122 @@ def _counted(frame: DataFrame, key: str, grams: bool) -> DataFrame:
     return mapped.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
 
 
-def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
-    """Known words (size 0) and n-grams: lang, size, item, n, with the language's total."""
+def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """All words (size 0) and n-grams of the training texts: lang, size, item, n, with the language's total."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     words = materialize(_counted(rows, "text", False), "words")
     counts = words.unionByName(_counted(words.select("lang", "item", "n"), "item", True))
     counts = materialize(counts, "counts")
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), ["lang", "size"])
-    # an item is kept for all languages if it is known in one
-    known = shares.where(F.col("n") >= F.col("total") * least_share).select("size", "item").distinct()
-    return shares.join(known.hint("shuffle_hash"), ["size", "item"], "left_semi")
-
-
-def _compact(model: pa.Table) -> tuple[list[str], dict[int, tuple[list[str], np.ndarray]]]:
-    """Languages, and for each size the known items with their log frequency in every language."""
-    langs = sorted(set(model["lang"].to_pylist()))
-    at = {lang: k for k, lang in enumerate(langs)}
-    sizes: dict[int, tuple[list[str], np.ndarray]] = {}
-    for size in set(model["size"].to_pylist()):
-        rows = model.filter(pc.equal(model["size"], size))
-        coded = rows["item"].combine_chunks().dictionary_encode()
-        counts, totals = np.zeros((len(coded.dictionary), len(langs))), np.zeros(len(langs))
-        lang = np.fromiter(map(at.__getitem__, rows["lang"].to_pylist()), np.int64, len(rows))
-        counts[coded.indices.to_numpy(), lang] = rows["n"].to_numpy()
-        totals[lang] = rows["total"].to_numpy()
-        sizes[size] = coded.dictionary.to_pylist(), np.log((counts + 0.5) / (totals + 1.0)).astype(np.float32)
-    return langs, sizes
-
-
-class Scorer:
-    """Log-frequency vectors of tokens, from the learned counts."""
-
-    def __init__(self, model: tuple[list[str], dict[int, tuple[list[str], np.ndarray]]]):
-        self.langs, sizes = model
-        self.known = {size: ({item: k for k, item in enumerate(items)}, logs) for size, (items, logs) in sizes.items()}
-        self.none = np.zeros(len(self.langs))
+    return counts.join(F.broadcast(totals), ["lang", "size"])
+
+
+def _vectors(model: DataFrame, langs: list[str], totals: dict[tuple[str, int], int], sent_share: float) -> DataFrame:
+    """size, item, logs (its log frequency in every language), and sent: is it frequent in one."""
+    norms = F.create_map(*[F.lit(x) if isinstance(x, int) else x for size in (0, *LENGTHS) for x in (size, F.array(*[F.lit(math.log(totals.get((lang, size), 0) + 1.0)) for lang in langs]))])
+    items = model.groupBy("size", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"), F.max(F.col("n") >= F.col("total") * sent_share).alias("sent"))
+    logs = [(F.log(F.coalesce(F.col("m").getItem(lang), F.lit(0)) + 0.5) - norms[F.col("size")][k]).cast("float") for k, lang in enumerate(langs)]
+    return items.select("size", "item", F.array(*logs).alias("logs"), "sent")
+
+
+class Summer:
+    """Sums of the sent words' vectors over a text, and the text's other words."""
+
+    def __init__(self, words: list[str], logs: np.ndarray):
+        self.known, self.logs = {word: k for k, word in enumerate(words)}, logs
         self.reset()
 
     def reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.matrix = np.zeros((1024, len(self.langs)))
+        self.matrix = np.zeros((1024, self.logs.shape[1]))
         self.letters: list[bool] = []
-
-    def word(self, word: str) -> np.ndarray:
-        known, logs = self.known.get(0, ({}, None))
-        at = known.get(word)
-        if at is not None:
-            return logs[at]
-        padded = f"^{word}$"
-        for size in LENGTHS:
-            known, logs = self.known.get(size, ({}, None))
-            grams = [g for k in range(len(padded) - size + 1) if (g := known.get(padded[k : k + size])) is not None]
-            if grams:
-                return logs[grams].mean(axis=0)
-        return self.none
+        self.others: dict[str, list[str]] = {}
 
     def token(self, token: str) -> int:
         words = LETTERS.findall(token)
         at = len(self.row)
         if at == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = self.word(words[0]) if len(words) == 1 else sum(map(self.word, words), self.none)
+        rows = [k for w in words if (k := self.known.get(w)) is not None]
+        if rows:
+            self.matrix[at] = self.logs[rows[0]] if len(rows) == 1 else self.logs[rows].sum(axis=0)
+        if len(rows) < len(words):
+            self.others[token] = [w for w in words if w not in self.known]
         self.letters.append(bool(words))
         self.row[token] = at
         return at
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNDETERMINED, 0.0
+    def split(self, text: str | None) -> tuple[bool, list[float] | None, Counter]:
+        """Has the text a letter; the sum of its sent words; its other words."""
+        other: Counter = Counter()
+        if not text:
+            return False, None, other
         if len(self.row) > CACHE:
             self.reset()
         tokens = Counter(text.lower().split())
         rows = [r if (r := self.row.get(t)) is not None else self.token(t) for t in tokens]
         if not any(self.letters[r] for r in rows):
-            return UNDETERMINED, 0.0
-        total = np.fromiter(tokens.values(), float, len(rows)) @ self.matrix[rows]
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
+            return False, None, other
+        for token in tokens.keys() & self.others.keys():
+            for word in self.others[token]:
+                other[word] += tokens[token]
+        return True, (np.fromiter(tokens.values(), float, len(rows)) @ self.matrix[rows]).tolist(), other
+
 
+_SUMMERS: dict[str, Summer] = {}
 
-_SCORERS: dict[str, Scorer] = {}
 
+def _summer(key: str, sent) -> Summer:
+    """One for each model and worker."""
+    if key not in _SUMMERS:
+        _SUMMERS.clear()
+        _SUMMERS[key] = Summer(*sent.value)
+    return _SUMMERS[key]
 
-def _scorer(key: str, sent) -> Scorer:
-    """One scorer for each model and worker."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(sent.value)
-    return _SCORERS[key]
 
+def _looked_up(words: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """word and logs of the words: their own, or the mean of their longest known n-grams; words without either are left out."""
+    own = vectors.where("size = 0").select(F.col("item").alias("word"), "logs")
+    asked = materialize(words.join(own.hint("merge"), "word", "left"), "asked")
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    runs = [F.when(F.length(padded) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))), lambda k, size=size: F.struct(F.lit(size).alias("size"), F.substring(padded, k, F.lit(size)).alias("item")))).otherwise(F.array().cast("array<struct<size:int,item:string>>")) for size in LENGTHS]
+    grams = asked.where("logs IS NULL").select("word", F.explode(F.concat(*runs)).alias("g")).select("word", "g.size", "g.item")
+    means = grams.join(vectors.where("size > 0").select("size", "item", "logs").hint("merge"), ["size", "item"]).groupBy("word", "size").agg(F.array(*[F.avg(F.col("logs")[k]).cast("float") for k in range(width)]).alias("logs"))
+    backed = means.groupBy("word").agg(F.max_by("logs", "size").alias("logs"))
+    return materialize(asked.where("logs IS NOT NULL").unionByName(backed), "looked-up")
 
-def identify(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def identify(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_share: float = SENT_SHARE) -> DataFrame:
     """id, lang_pred and score of every row; `model` comes from learn()."""
-    context = docs.sparkSession.sparkContext
+    totals = {(r["lang"], r["size"]): r["total"] for r in model.select("lang", "size", "total").distinct().collect()}  # one row for each language and size
+    langs = sorted({lang for lang, _ in totals})
+    if not langs:
+        return docs.select(id_col, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    vectors = materialize(_vectors(model, langs, totals, sent_share), "vectors")
     # bounded: see the module's text
-    sent, key = context.broadcast(_compact(model.select("lang", "size", "item", "n", "total").toArrow())), uuid.uuid4().hex
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    frequent = vectors.where("size = 0 AND sent").select("item", "logs").toArrow()
+    logs = frequent["logs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    sent, key = docs.sparkSession.sparkContext.broadcast((frequent["item"].to_pylist(), logs)), uuid.uuid4().hex
+    schema = T.StructType(
+        [T.StructField("__row", T.LongType()), T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__sum", T.ArrayType(T.DoubleType())), T.StructField("__words", T.ArrayType(T.StringType())), T.StructField("__counts", T.ArrayType(T.IntegerType()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, sent)
+        summer = _summer(key, sent)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+            found = [summer.split(t.as_py()) for t in batch.column(2)]
+            sums = pa.array([f[1] for f in found], pa.list_(pa.float64()))
+            words, counts = pa.array([list(f[2]) for f in found], pa.list_(pa.string())), pa.array([list(f[2].values()) for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sums, words, counts], names=schema.names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = materialize(rows.mapInArrow(run, schema), "sums")
+    others = rows.select("__row", F.explode(F.arrays_zip(F.col("__words").alias("word"), F.col("__counts").alias("n"))).alias("w")).select("__row", "w.word", "w.n")
+    found = _looked_up(others.select("word").distinct(), vectors, len(langs))
+    more = others.join(found.hint("merge"), "word").groupBy("__row").agg(F.array(*[F.sum(F.col("logs")[k].cast("double") * F.col("n")) for k in range(len(langs))]).alias("__more"))
+    rows = rows.select("__row", "__id", "__sum").join(more.hint("merge"), "__row", "left")
+    total = F.when(F.col("__more").isNull(), F.col("__sum")).otherwise(F.zip_with("__sum", "__more", lambda a, b: a + b))
+    rows = rows.select("__id", total.alias("__total")).select("__id", "__total", F.array_max("__total").alias("__best"))
+    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("__total", F.col("__best")).cast("int"))
+    share = 1.0 / F.aggregate("__total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("__best")))
+    return rows.select(F.col("__id").alias(id_col), F.when(F.col("__best").isNull(), UNDETERMINED).otherwise(best).alias("lang_pred"), F.when(F.col("__best").isNull(), 0.0).otherwise(share).alias("score"))

@@ -20,3 +20,20 @@ def test_awkward_documents(spark):
     assert language.identify(empty(spark), model).count() == 0
     nothing = language.learn(empty(spark))
     assert {r["lang_pred"] for r in language.identify(documents(spark), nothing).collect()} == {"und"}
+
+
+def test_rare_words_and_long_runs_count(spark):
+    """A word or 5-gram far below any share of its language still decides, wherever its vector is looked up."""
+    common = " ".join(["balimo"] * 150_000)
+    rows = [("aa", common), ("bb", common), ("aa", "zelqu"), ("bb", "zelqo"), ("aa", "xabcdx xbcdey"), ("bb", "xabcdy xbcdex")]
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    known = {(r["lang"], r["item"]) for r in model.where("size = 0").collect()}
+    assert {("aa", "zelqu"), ("bb", "zelqo")} <= known
+    assert {r["size"] for r in model.select("size").distinct().collect()} == {0, 1, 2, 3, 4, 5}
+    docs = spark.createDataFrame([(1, "zelqu"), (2, "zelqo"), (3, "qabcdx"), (4, "qabcdy"), (5, "balimo zelqo zelqo"), (5, "balimo zelqo zelqo")], "doc_id long, text string")
+    found = sorted(tuple(r) for r in language.identify(docs, model).collect())
+    assert [f[1] for f in found] == ["aa", "bb", "aa", "bb", "bb", "bb"]
+    everything = sorted(tuple(r) for r in language.identify(docs, model, sent_share=0.0).collect())
+    nothing = sorted(tuple(r) for r in language.identify(docs, model, sent_share=2.0).collect())
+    for a, b, c in zip(found, everything, nothing):
+        assert a[:2] == b[:2] == c[:2] and abs(a[2] - b[2]) < 1e-5 and abs(a[2] - c[2]) < 1e-5
