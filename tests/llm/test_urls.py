@@ -36,3 +36,15 @@ def test_model_separates_what_rules_decide(spark):
     rows = op6_urls(spark, SMALL).where("rule IS NOT NULL").collect()
     right = sum((r["score"] >= r["threshold"]) == (r["verdict"] == "allow") for r in rows)
     assert right >= 0.8 * len(rows)
+
+
+def test_rare_contexts_count(spark):
+    """A context far below any share of the characters counts in full, wherever its step is looked up."""
+    texts = ["http://example.net/en/" + "abcdefgh" * 2000] * 30 + ["http://x.net/" + "abcdefgh" * 2000] * 30
+    texts += [f"http://example.net/en/zq{k}jxw" for k in range(9)] + [f"http://x.net/jq{k}zxw" for k in range(9)] + [None, "", "http://y.org/zq1jxw", "http://y.org/jq1zxw"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id int, url string")
+    score = lambda share: {r["page_id"]: r["score"] for r in urls.filter_urls(pages, URL_RULES, sent_share=share).collect()}
+    sent, joined, usual = score(0.0), score(2.0), score(urls.SENT_SHARE)
+    for k in sent:
+        assert abs(sent[k] - joined[k]) < 1e-9 and abs(sent[k] - usual[k]) < 1e-9
+    assert usual[len(texts) - 2] - usual[len(texts) - 1] > 0.1
