@@ -1,8 +1,7 @@
-"""Removal of repeated passages by content-defined chunks of lines, with DataFrame functions only.
+"""Removal of repeated passages of lines, with DataFrame functions only.
 
-A rolling hash over the hashes of two neighbouring lines chooses the chunk boundaries, so the same lines are cut alike wherever they
-stand; neighbouring chunks share their boundary line. Indexed are the whole chunks, the two-line runs inside them (a passage
-may begin or end within a chunk, and its runs join to it again) and single lines of `min_words` or more. Runs are
+Indexed are every two neighbouring lines and single lines of `min_words` or more; a longer repeated run is the union of its pairs.
+(Content-defined chunks would add nothing: a pair's first place is never later than that of a chunk around it.) Runs are
 compared by the bytes of their lines: their SHA-256 digests are grouped over the whole corpus, which holds for equal bytes only.
 The first place of a run (by id, then position) stays. At every other place its lines are marked; neighbouring marked lines form
 a passage, and passages of `min_words` words or more are removed. A line's first place is never marked, so nothing is lost.
@@ -21,8 +20,6 @@ from pyspark.sql.window import Window
 from lectern.session import materialize
 
 MIN_WORDS = 40
-#: One line in so many is a boundary.
-DIVISOR = 4
 
 
 def word_count(line: Column) -> Column:
@@ -30,13 +27,10 @@ def word_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def runs(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
+def runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(__id, __th, __at, __k, __digest): every indexed run of __k lines from line __at."""
     lines = docs.select("__id", "__th", F.split("__text", "\n").alias("lines"))
     lines = lines.select("__id", "__th", F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))).alias("h"), F.transform("lines", lambda x: word_count(x) >= min_words).alias("long"), F.size("lines").alias("n"))
-    after = lambda i: F.pmod(F.xxhash64(F.element_at("h", i), F.element_at("h", i + 1)), F.lit(divisor)) == 0
-    inner = F.when(F.col("n") > 2, F.filter(F.sequence(F.lit(1), F.col("n") - 2), after)).otherwise(F.array().cast("array<int>"))
-    lines = lines.withColumn("cuts", F.concat(F.array(F.lit(0)), inner, F.array(F.col("n") - 1)))
 
     def run(at: Column, k: Column) -> Column:
         return F.struct(at.cast("int").alias("__at"), k.cast("int").alias("__k"), F.unhex(F.sha2(F.array_join(F.transform(F.slice("h", at + 1, k), F.hex), ""), 256)).alias("__digest"))
@@ -44,15 +38,13 @@ def runs(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
     none = F.array().cast("array<struct<__at:int,__k:int,__digest:binary>>")
     single = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("long", i + 1)), lambda i: F.struct(i.cast("int").alias("__at"), F.lit(1).alias("__k"), F.element_at("h", i + 1).alias("__digest")))
     pairs = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: run(i, F.lit(2)))).otherwise(none)
-    spans = F.filter(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b")), lambda s: s["b"] - s["a"] > 1)
-    chunks = F.when(F.col("n") > 2, F.transform(spans, lambda s: run(s["a"], s["b"] - s["a"] + 1))).otherwise(none)
-    return lines.select("__id", "__th", F.explode(F.concat(single, pairs, chunks)).alias("r")).select("__id", "__th", "r.*")
+    return lines.select("__id", "__th", F.explode(F.concat(single, pairs)).alias("r")).select("__id", "__th", "r.*")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their repeated passages removed from the text, and __removed, the number of removed lines."""
     keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).cast("string").alias("__text"))
-    index = materialize(runs(keyed.where(F.length("__text") > 0), min_words, divisor), "runs")
+    index = materialize(runs(keyed.where(F.length("__text") > 0), min_words), "runs")
     place = F.struct("__id", "__th", "__at")
     repeated = index.groupBy("__digest").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where(~F.col("__first").eqNullSafe(F.col("__last"))).drop("__last")
     marked = index.join(repeated.hint("merge"), "__digest").where(~place.eqNullSafe(F.col("__first")))

@@ -26,3 +26,9 @@ def test_short_repeats_stay(spark):
     line = prose(1, 9)
     docs = spark.createDataFrame([(k, f"{prose(k, 20)}\n{line}\n{prose(k + 50, 20)}") for k in range(5)], "doc_id long, text string")
     assert all(r["__removed"] == 0 for r in linededup.remove_repeats(docs).collect())
+
+
+def test_index_holds_what_decides(spark):
+    """Chunks of more than two lines never mark a line that their pairs don't."""
+    docs = spark.createDataFrame([(k, k, "\n".join(prose(j, 9) for j in range(30))) for k in range(2)], "__id long, __th long, __text string")
+    assert {r["__k"] for r in linededup.runs(docs, 40).select("__k").distinct().collect()} == {2}
