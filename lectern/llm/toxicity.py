@@ -30,14 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.words import shingle_set
+from lectern.llm import jaccard
 from lectern.session import materialize
 
 FIT_ROWS = 30_000
 REJECT_AT = 0.3
-#: A learned item is in this share of the toxic sample documents (and in 5 at least), and its odds of being in a toxic document
-#: are so many times those of a clean one.
-LEAST_SHARE, LEAST_DOCS = 0.01, 5
+#: A learned item is in so many toxic sample documents, and its odds of being in a toxic document are so many times those of a clean one.
+LEAST_DOCS = 5
 STRONG, WEAK = 20.0, 4.0
 #: Voters more correlated than this within a class are modelled together, up to so many.
 CORRELATED, CLIQUE = 0.25, 4
@@ -146,16 +145,16 @@ def lexicon(key: str, sent: Broadcast) -> Lexicon:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Texts and labels of up to fit_rows labelled documents. The sample is bounded, so its ids are sent to the documents."""
+    """Ids, texts and labels of up to fit_rows labelled documents. The sample is bounded, so its ids are sent to the documents."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows).toArrow()
     chosen = docs.sparkSession.createDataFrame(chosen)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    return materialize(rows.select("text", "label"), "fit")
+    return materialize(rows.select("__id", "text", "label"), "fit")
 
 
-def learn_lexicon(fit: DataFrame, least_share: float = LEAST_SHARE) -> list[tuple[str, str, float]]:
-    """(kind, item, odds ratio) of items that mark toxic texts; copies and most near copies count once."""
+def learn_lexicon(fit: DataFrame) -> list[tuple[str, str, float]]:
+    """(kind, item, odds ratio) of items that mark toxic texts; of copies and verified near copies the row with the smallest id counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -173,14 +172,9 @@ def learn_lexicon(fit: DataFrame, least_share: float = LEAST_SHARE) -> list[tupl
                 yield flush()
         yield flush()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The smallest shingle hash: nearly equal texts mostly share it."""
-        for batch in batches:
-            sets = (shingle_set(t.as_py()) for t in batch.column(0))
-            keys = pa.array((int(s[0]) if len(s) else 0 for s in sets), pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, *batch.columns], names=["key", "text", "label"])
-
-    once = fit.mapInArrow(sketch, "key long, text string, label int").groupBy("key").agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    classes = jaccard.join(fit.select(F.col("__id").alias("doc_id"), "text")).select(F.col("doc_id").alias("__id"), "class_id").distinct()
+    once = fit.join(classes.hint("merge"), "__id").groupBy("class_id").agg(F.min(F.struct("__id", "text", "label")).alias("r"))
+    once = materialize(once.select("r.text", "r.label"), "once")
     totals = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -188,8 +182,8 @@ def learn_lexicon(fit: DataFrame, least_share: float = LEAST_SHARE) -> list[tupl
     counts = once.mapInArrow(run, "kind string, item string, label int, n long").groupBy("kind", "item")
     counts = counts.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = ((F.col("t") + 0.5) / (toxic + 1.0)) / ((F.col("c") + 0.5) / (clean + 1.0))
-    # bounded: an item is in least_share of the toxic documents, so each kind has at most (items of a text) / least_share
-    kept = counts.where((F.col("t") >= max(LEAST_DOCS, least_share * toxic)) & (odds >= WEAK)).select("kind", "item", odds.alias("odds"))
+    # bounded by the items of the sample
+    kept = counts.where((F.col("t") >= LEAST_DOCS) & (odds >= WEAK)).select("kind", "item", odds.alias("odds"))
     return [(r["kind"], r["item"], r["odds"]) for r in kept.collect()]
 
 

@@ -46,3 +46,12 @@ def test_label_model_finds_correlated_voters():
     model = toxicity.LabelModel(patterns)
     assert abs(model.share - 0.2) < 0.05
     assert any({0, 1} <= set(c) for c in model.cliques)
+
+
+def test_lexicon_counts_texts_that_share_a_passage(spark):
+    """Only near copies count once, and their label is that of the kept row."""
+    passage = prose(1, 100)
+    rows = [(k, f"{passage} {prose(k, 60)}" + (" zorgu" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(100, 160)]
+    rows += [(k, f"{prose(7, 90)} blixor {prose(8, 90)} end{k}", 1) for k in range(200, 220)]
+    found = {(kind, item) for kind, item, _ in toxicity.learn_lexicon(spark.createDataFrame(rows, "__id long, text string, label int"))}
+    assert ("word", "zorgu") in found and ("word", "blixor") not in found
