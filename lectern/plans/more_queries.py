@@ -130,13 +130,13 @@ def d13(spark, sf_dir):
 @query("d20_alignment_runs")
 def d20(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    units = block_rows(spark, sf_dir).where("block_no % 3 = 1").select("document_id", F.col("block_no").alias("unit_no"), "text")
-    return alignment.runs(units, chunks).groupBy("document_id").agg(F.count(F.lit(1)).alias("runs"), F.round(F.max("coverage"), 6).alias("best"))
+    units = block_rows(spark, sf_dir).select("document_id", F.col("block_no").alias("unit_no"), "text")
+    return alignment.runs(units, chunks)
 
 
 @query("d21_aligned_chunks")
 def d21(spark, sf_dir):
-    units = block_rows(spark, sf_dir).where("block_no % 3 = 1").select("document_id", F.col("block_no").alias("unit_no"), "text")
+    units = block_rows(spark, sf_dir).select("document_id", F.col("block_no").alias("unit_no"), "text")
     return alignment.align(units, views.chunks(spark, sf_dir))
 
 
