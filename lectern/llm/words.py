@@ -48,27 +48,40 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _block_hashes(codes: np.ndarray) -> np.ndarray:
-    inside = _word_chars()[codes]
+@lru_cache(1)
+def letter_chars() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def run_hashes(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs of code points that are inside."""
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
+    if len(inside) and inside[0]:
         edge = np.concatenate(([0], edge))
     if len(edge) % 2:
         edge = np.append(edge, len(codes))
     if not len(edge):
-        return np.empty(0, np.uint64)
+        return edge, edge, np.empty(0, np.uint64)
     starts, ends = edge[::2], edge[1::2]
     up, down = _powers(max(4096, 1 << int(len(codes)).bit_length()))
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes.astype(np.uint64) * up[: len(codes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _block_hashes(codes: np.ndarray) -> np.ndarray:
+    return run_hashes(codes, _word_chars()[codes])[2]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word of the whole text, in order."""
     if not text:
         return np.empty(0, np.uint64)
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = code_points(text.lower())
     if len(codes) <= BLOCK:
         return _block_hashes(codes)
     parts, start, inside = [], 0, _word_chars()
