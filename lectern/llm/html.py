@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page is read into a small DOM. Parts that are never article text (scripts, styles, menus, forms, site headers and footers,
-sidebars, and elements whose class, id or role names them adverts, notices, comments and the like) count nothing. Every other
+sidebars, and elements whose class, id or role names them adverts, notices, comments and the like) count nothing. A class or id
+names a part if one of its words does so and only words like `box` or `list` follow (`left-sidebar`, `comment-list`, but not
+`notice-board`); inside an article it must also begin with that word. An article counts even if a box around it, other than one of comments,
+has such a name. Every other
 node has its characters, tags, link characters and link tags, from which its density: characters per tag, damped where much of
 it is links. A node's density sum adds its children's densities; the node with the largest sum holds the main text. The
 selection then climbs towards the body while the parent is at least as dense as the sparsest node on the way from the body
-to the chosen node, and to an enclosing article. Inside, lists and boxes that are mostly links are left out.
+to the chosen node, and to an enclosing article, or down to the only one within. Where there is no article, lists and boxes that are mostly links are left out.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line breaks.
 
 Defined cases: null or empty html, or a page without text, gives an empty text of 0 characters; broken nesting is closed the
 way browsers do it for paragraphs and list items, and a tag cut off by the end of the page is dropped; repeated rows are
-extracted each; whole pages are read whatever their length.
+extracted each; whole pages are read whatever their length; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +37,21 @@ BLOCK = frozenset(
 )
 NEVER = frozenset(
     "script style noscript template head title nav aside footer form button select textarea input label iframe object embed svg canvas"
-    " audio video map menu dialog fieldset".split()
+    " audio video map menu dialog".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of a class or id that name what is not the article.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist cookie"
-    " cookies consent gdpr disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices overlay"
-    " pager pagination popup promo promotion promoted recommend recommended recommendations related replies reply respond"
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+NAMES = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner banners breadcrumb breadcrumbs cookie"
+    " cookies consent gdpr footer header masthead menu menus modal nav navbar navigation newsletter notice notices overlay"
+    " pager pagination popup promo promotion promoted recommend recommended recommendations related"
     " rail share sharing sidebar skip social sponsor sponsored sponsors subscribe subscription teaser toolbar tracking widget widgets"
     " login signup search alert disclaimer".split()
 )
+#: Words that may follow such a word, and those that make it one about the page's layout.
+AFTER = frozenset("area articles bar block box buttons container form icons inner item items links list message notice panel posts row section slot thread top bottom left right unit widget wrap wrapper".split())
+LAYOUT = frozenset("has with no is without".split())
 #: A list or box whose characters are links to this share is a menu.
 MOSTLY_LINKS = 0.6
 _CLOSES = {  # an opening tag closes an open one of these, up to the given boundary
@@ -68,31 +76,50 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "never", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "never", "named", "comments", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool = False):
-        self.tag, self.parent, self.never, self.parts = tag, parent, never, []
+    def __init__(self, tag: str, parent: Node | None, never: bool = False, named: bool = False, comments: bool = False):
+        """never: left out; named: only for a class or id; comments: those name it comments."""
+        self.tag, self.parent, self.never, self.named, self.comments, self.parts = tag, parent, never, named, comments, []
 
 
-def _unwanted(tag: str, rest: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, rest: str, inside_article: bool) -> str:
+    """Why an element is left out: it is a `part` of its own, is `named` one, or holds `comments`; empty if it is not."""
     if tag in NEVER:
-        return True
+        return "part"
     if tag == "header":
-        return not inside_article
-    if not rest or rest.isspace() or tag in ("html", "body", "main", "article"):
-        return False
+        return "" if inside_article else "part"
+    if not rest or rest.isspace() or tag in ("html", "body", "main"):
+        return ""
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "part"
         if name == "role" and value.lower() in ROLES:
-            return True
+            return "part"
         if name in ("class", "id"):
-            found = {w.lower() for w in _NAME_WORD.findall(value)} & NAMES
-            if inside_article:
-                found -= {"header"}
-            if found:
-                return True
+            if any(_names_a_part(token, COMMENTS, inside_article) for token in value.split()):
+                return "comments"
+            if tag != "article" and any(_names_a_part(token, NAMES, inside_article) for token in value.split()):
+                return "named"
+    return ""
+
+
+def _names_a_part(token: str, names: frozenset, inside_article: bool) -> bool:
+    """Does a class or id say that the element is one of these parts?"""
+    words = [w.lower() for w in _NAME_WORD.findall(token)]
+    while len(words) > 1 and words[-1] in AFTER and words[-1] not in names:
+        words.pop()
+    if not words or words[-1] not in names or words[0] in LAYOUT:
+        return False
+    return not inside_article or words[-1] != "header" and all(w in NAMES for w in words)
+
+
+def _of_comments(node: Node | None) -> bool:
+    while node is not None:
+        if node.comments:
+            return True
+        node = node.parent
     return False
 
 
@@ -131,7 +158,13 @@ def parse(html: str) -> Node:
         if tag in _CLOSES:
             here = _close(here, *_CLOSES[tag])
         rest = match["rest"]
-        node = Node(tag, here, here.never or _unwanted(tag, rest, articles > 0))
+        why = _unwanted(tag, rest, articles > 0)
+        node = Node(tag, here, here.never or bool(why), here.named if here.never else why in ("named", "comments"), why == "comments")
+        if tag in ("article", "main") and here.never and here.named and not why and not _of_comments(here):
+            up = node  # an article within a box that only has a misleading name
+            while up is not None and up.never:
+                up.never = False
+                up = up.parent
         here.parts.append(node)
         if not rest.endswith("/") or tag in BLOCK:
             here = node
@@ -213,11 +246,19 @@ def select(root: Node, order: list[Node]) -> Node:
         if node.tag in ("article", "main"):
             return node
         node = node.parent
-    return best
+    inside = [n for n in order if n.tag == "article" and _within(n, best)]
+    return inside[0] if len(inside) == 1 else best
+
+
+def _within(node: Node | None, top: Node) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
 
 
 def blocks(top: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order."""
+    """Texts of the blocks below a node, in page order; outside an article without what is mostly links."""
+    whole = top.tag == "article"
     found: list[str] = []
     run: list[str] = []
 
@@ -234,7 +275,7 @@ def blocks(top: Node) -> list[str]:
             end()
         elif isinstance(part, str):
             run.append(part)
-        elif part.never or part.tag in ("ul", "ol", "div", "section", "table") and part is not top and part.link_tags > 1 and part.link_chars > MOSTLY_LINKS * part.chars:
+        elif part.never or not whole and part.tag in ("ul", "ol", "div", "section", "table") and part is not top and part.link_tags > 1 and part.link_chars > MOSTLY_LINKS * part.chars:
             end()
         else:
             inner = reversed(part.parts)

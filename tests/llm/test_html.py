@@ -1,8 +1,12 @@
 import html as entities
+import math
+import random
 import re
+from xml.etree import ElementTree
 
 import pytest
 from conftest import SMALL
+from fixtures import prose
 
 from lectern.llm import html
 from lectern.session import table
@@ -37,6 +41,11 @@ def test_whole_table(spark):
         ("<p>x<scr", "x"),
         ("<div><p>a</p></div>", "a"),
         ("<script>var t='<p>no</p>'</script><p>yes</p><!-- <p>no</p> -->", "yes"),
+        ("<article><h1>T</h1><p>Alpha beta gamma delta.</p><section class='related-work'><p>Work one.</p></section><div class='notice-board'><p>Board two.</p></div><fieldset><p>Three.</p></fieldset></article>", "T\n\nAlpha beta gamma delta.\n\nWork one.\n\nBoard two.\n\nThree."),
+        ("<div class='page-sidebar'><article><p>Inside a badly named box.</p></article><p>Beside.</p></div>", "Inside a badly named box."),
+        ("<article><p>Text.</p><div id='comments'><article><p>Me too!</p></article></div><article class='comment'><p>And me.</p></article></article>", "Text."),
+        ("<article><p>Text.</p><div class='share-buttons'>Share</div><div class='ad'>Buy</div><div class='cookie-notice'>Cookies</div><ul><li><a href=a>One source</a><li><a href=b>Another source</a></ul></article>", "Text.\n\nOne source\n\nAnother source"),
+        ("<body><div class='left-sidebar'><p>Side text that is quite long, longer than what is beside it, really.</p></div><div class='has-sidebar content'><p>The main text of the page.</p><p>It goes on here.</p></div></body>", "The main text of the page.\n\nIt goes on here."),
         (PAGE, "Title & more\n\nFirst para with link text, long enough.\n\nSecond para line two.\n\nOne\n\nTwo"),
     ],
 )
@@ -49,3 +58,57 @@ def test_deep_and_long_pages(spark):
     rows = [(1, None, deep, 0), (1, None, deep, 0), (2, "u", "<p>" + "word " * 200000 + "</p>", 0)]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted(r["n_chars"] for r in found) == [14, 14, 999999]
+
+
+def paragraphs(seed, count):
+    return "".join(f"<p>{prose(seed * 100 + k, 40)}</p>" for k in range(count))
+
+
+def test_pages_without_an_article():
+    links = "".join(f"<li><a href=x{k}>{prose(k, 3)}</a></li>" for k in range(12))
+    body = f"<body><div><ul>{links}</ul></div><div><div>{paragraphs(1, 6)}</div><div><ul>{links}</ul></div></div><div>{prose(7, 12)}</div></body>"
+    expected = "\n\n".join(prose(100 + k, 40) for k in range(6))
+    assert html.main_text(f"<html>{body}</html>") == expected
+    assert html.main_text(f"<table><tr><td><ul>{links}</ul></td><td>{paragraphs(1, 6)}</td></tr></table>") == expected
+
+
+def test_densities_against_recursion():
+    """Counts and densities of a page's nodes against a plain recursion over another parser's tree."""
+    draw = random.Random(5)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return prose(draw.randrange(999), draw.randint(1, 9))
+        tag = draw.choice(["div", "section", "span", "b", "a"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(draw.randint(1, 4))) + f"</{tag}>"
+
+    def count(element):
+        texts = [element.text or "", *[child.tail or "" for child in element]]
+        own = sum(len(t) - t.count(" ") for t in texts)
+        inner = [count(child) for child in element]
+        chars = own + sum(i[0] for i in inner)
+        links = chars if element.tag == "a" else sum(i[2] for i in inner)
+        return chars, sum(i[1] + 1 for i in inner), links, sum(i[3] + (child.tag == "a") for i, child in zip(inner, element))
+
+    def density(element, whole):
+        chars, tags, links, link_tags = count(element)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(chars - links, 1) * links + whole * chars + math.e)
+        return chars / max(tags, 1) * math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1) + 1) / max(math.log(base + 1), 0.1)
+
+    for _ in range(20):
+        page = f"<body>{''.join(tree(5) for _ in range(4))}</body>"
+        nodes = html.measure(html.parse(page))[1:]  # without the root above body
+        elements = list(ElementTree.fromstring(page).iter())
+        chars, _, links, _ = count(elements[0])
+        whole = (links + 1) / (chars + 1)
+        assert [n.tag for n in nodes] == [e.tag for e in elements]
+        for node, element in zip(nodes, elements):
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == count(element)
+            assert node.density == pytest.approx(density(element, whole))
+            assert node.sum == pytest.approx(sum(density(child, whole) for child in element))
+
+
+def test_empty_table(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
