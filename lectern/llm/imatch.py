@@ -2,21 +2,26 @@
 
 A term is a lower-cased run of letters and digits. The lexicon has the terms whose document frequency, counted over all documents,
 lies in a band: at least `rare` and at most `common` of the documents. It has at most (mean number of distinct terms of a
-document) / `rare` terms however many documents there are, so it is sent along with the plan; it is looked up by hash slot. A
-text with fewer than `least_terms` lexicon terms keeps all its terms.
-
-The lexicon is divided at random into `subsets` subsets, and the same is done with random halves, quarters and so on of it
-(levels). A text uses the level that leaves about one term in a subset, and the next; for each subset its distinct terms are
-sorted and hashed. The fingerprint is the level and these hashes. The likeness of two fingerprints is the share of subsets with
-equal hashes among the subsets that either text has terms in, over the levels they share.
-
-Defined cases: a null text is an empty one; texts without a term share one fingerprint (likeness 1 to each other, 0 to others);
-equal texts have equal fingerprints; repeated rows are fingerprinted each; a null id comes last in the order of documents; an
-empty table gives an empty result.
+document) / `rare` terms however many documents there are, so it is sent along with the plan; it is looked up by hash slot.
+
+Beside the whole lexicon there are `families` * `depth` random subsets of it, which leave out more and more: subset l of a family has
+a term with probability 2**-l, drawn from the term's digest, and each is part of the one before. A text's distinct terms in a
+subset are sorted and hashed; the fingerprint is all these hashes, the whole lexicon's first. Every in-band term of every text is in
+the whole lexicon's hash and in half of the families' first ones, so a changed term changes the fingerprint, whereas hashes of the
+sparser subsets outlive larger changes. The likeness of two fingerprints is the share of equal hashes among the subsets that either
+text has terms in.
+
+Defined cases: a null text is an empty one; a text with no term in the band has nothing to be told by and keeps all its terms; texts
+without any term share one fingerprint (likeness 1 to each other, 0 to others); equal texts have equal fingerprints; a text is read
+whole however long it is; repeated rows are fingerprinted each; a null id comes last in the order of documents, equal ids stand in the
+order of their texts' hashes; ids may have any type that can be ordered; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,14 +29,10 @@ from pyspark.sql.window import Window
 from lectern.session import materialize
 
 RARE, COMMON = 0.0005, 0.2
-LEAST_TERMS = 8
-SUBSETS = 32
-#: Terms that the chosen level leaves at most.
-LEVEL_TERMS = 32
+FAMILIES, DEPTH = 6, 12
 SLOTS = 1 << 16
 EMPTY = "." * 8
-#: Ranges of ids in which a document's successor is looked up, at most.
-RANGES = 4096
+#: Rows of a range of ids in which documents find their successors.
 RANGE_ROWS = 2000
 _EDGE, _SEP = "\u0002", "\u0001"
 
@@ -46,11 +47,11 @@ def lexicon(docs: DataFrame, text_col: str, rare: float = RARE, common: float =
     counts = materialize(docs.select(F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "terms")
     total = docs.count()
     inside = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total)))
-    slots = [""] * SLOTS
-    # bounded: see the module's text
-    for slot, term in zip(*(c.to_pylist() for c in inside.select(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("s"), "term").orderBy("term").toArrow().columns)):
-        slots[slot] += f"{_EDGE}{term}{_EDGE}"
-    return F.split(F.lit(_SEP.join(slots)), _SEP)
+    marked = F.concat(F.lit(_EDGE), "term", F.lit(_EDGE))
+    slots = inside.groupBy(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("id")).agg(F.array_join(F.array_sort(F.collect_list(marked)), "").alias("terms"))
+    # one row of SLOTS short strings; bounded: see the module's text
+    every = docs.sparkSession.range(SLOTS).join(slots.hint("merge"), "id", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("terms", F.lit("")).alias("terms")))).alias("all"))
+    return F.split(F.lit(every.select(F.array_join(F.col("all.terms"), _SEP)).first()[0]), _SEP)
 
 
 def _known(slots: Column, term: Column) -> Column:
@@ -58,81 +59,77 @@ def _known(slots: Column, term: Column) -> Column:
     return F.contains(slot, F.concat(F.lit(_EDGE), term, F.lit(_EDGE)))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value worked out once for each row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _hash(kept: Column) -> Column:
+    """Hash of sorted terms."""
+    return F.when(F.size(kept) == 0, EMPTY).otherwise(F.substring(F.md5(F.array_join(F.transform(kept, lambda t: t["t"]), " ")), 1, 8))
 
 
-def _hashes(kept: Column, level: Column, subsets: int) -> Column:
-    """Hash of every subset at a level; kept are sorted (term, subset, draw)."""
-    drawn = F.filter(kept, lambda t: F.pmod(t["d"], F.pow(F.lit(2.0), level).cast("bigint")) == 0)
-    own = lambda d, j: F.array_join(F.transform(F.filter(d, lambda t: t["j"] == j), lambda t: t["t"]), " ")
-    joined = _let(drawn, lambda d: F.transform(F.lit(list(range(subsets))), lambda j: own(d, j)))
-    return F.transform(joined, lambda x: F.when(x == "", EMPTY).otherwise(F.substring(F.md5(x), 1, 8)))
+def fingerprint(rows: DataFrame, text_col: str, out: str, slots: Column, families: int = FAMILIES, depth: int = DEPTH) -> DataFrame:
+    """Adds the fingerprint of a text column: the hashes of the whole lexicon and of every subset, an array."""
+    rows = rows.withColumn("__all", terms(F.col(text_col))).withColumn("__in", F.filter("__all", lambda t: _known(slots, t)))
+    rows = rows.withColumn("__in", F.when(F.size("__in") == 0, F.col("__all")).otherwise(F.col("__in"))).drop("__all")
+    rows = rows.withColumn("__kept", F.transform(F.array_sort("__in"), lambda t: F.struct(t.alias("t"), F.md5(t).alias("m")))).drop("__in")
+    limits = F.array(*[F.lit(f"{4096 >> level:03x}") for level in range(1, depth + 1)])
 
+    def family(j: int) -> Column:
+        """Hashes of the family's subsets: a term's draw are three digits of its digest, a subset has the draws below its limit."""
+        step = lambda limit: lambda kept: F.filter(kept, lambda t: F.substring(t["m"], 3 * j + 1, 3) < limit)
+        start = F.struct(F.col("__kept").alias("kept"), F.array().cast("array<string>").alias("out"))
+        halved = lambda acc, limit: F.struct(step(limit)(acc["kept"]).alias("kept"), acc["out"].alias("out"))
+        add = lambda acc: F.struct(acc["kept"].alias("kept"), F.concat(acc["out"], F.array(_hash(acc["kept"]))).alias("out"))
+        return F.aggregate(limits, start, lambda acc, limit: F.element_at(F.transform(F.array(halved(acc, limit)), add), 1), lambda acc: acc["out"])
 
-def fingerprint(rows: DataFrame, text_col: str, out: str, slots: Column, subsets: int = SUBSETS, least_terms: int = LEAST_TERMS) -> DataFrame:
-    """Adds the fingerprint of a text column: a struct of level, hashes at the level (a) and at the next (b)."""
-    number = lambda t, at, size: F.conv(F.substring(F.md5(t), at, size), 16, 10).cast("bigint")
-    rows = rows.withColumn("__all", terms(F.col(text_col))).withColumn("__in", F.filter("__all", lambda t: _known(slots, t)))
-    rows = rows.withColumn("__in", F.when(F.size("__in") < least_terms, F.col("__all")).otherwise(F.col("__in"))).drop("__all")
-    rows = rows.withColumn("__kept", F.transform(F.array_sort("__in"), lambda t: F.struct(t.alias("t"), (number(t, 1, 4) % subsets).cast("int").alias("j"), number(t, 5, 8).alias("d")))).drop("__in")
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size("__kept"), F.lit(1)) / F.lit(float(LEVEL_TERMS))))).cast("int")
-    rows = rows.withColumn("__level", level)
-    found = F.struct(F.col("__level").alias("level"), _hashes(F.col("__kept"), F.col("__level"), subsets).alias("a"), _hashes(F.col("__kept"), F.col("__level") + 1, subsets).alias("b"))
-    return rows.withColumn(out, found).drop("__kept", "__level")
+    return rows.withColumn(out, F.concat(F.array(_hash(F.col("__kept"))), *[family(j) for j in range(families)])).drop("__kept")
 
 
 def as_text(print_: Column) -> Column:
-    return F.concat(F.lpad(print_["level"].cast("string"), 2, "0"), F.lit(":"), F.array_join(print_["a"], ""), F.lit(":"), F.array_join(print_["b"], ""))
+    return F.array_join(print_, "")
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Share of equal subsets among those with terms, over the levels both fingerprints have."""
-
-    def share(left: Column, right: Column) -> Column:
-        pairs = F.arrays_zip(left.alias("x"), right.alias("y"))
-        active = F.size(F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY)))
-        equal = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != EMPTY)))
-        return F.when(active == 0, F.lit(1.0)).otherwise(equal / active)
-
-    return (
-        F.when(x["level"] == y["level"], share(F.concat(x["a"], x["b"]), F.concat(y["a"], y["b"])))
-        .when(x["level"] + 1 == y["level"], share(x["b"], y["a"]))
-        .when(x["level"] == y["level"] + 1, share(x["a"], y["b"]))
-        .otherwise(0.0)
-    )
+    """Share of equal hashes among the subsets that either text has terms in."""
+    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
+    active = F.size(F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY)))
+    equal = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != EMPTY)))
+    return F.when(active == 0, F.lit(1.0)).otherwise(equal / active)
 
 
-def with_next(rows: DataFrame, id_col: str, carried: list[str], out: str) -> DataFrame:
-    """Adds a struct of the carried columns of the next row by descending id; the last row's next is the first.
+def with_next(rows: DataFrame, id_col: str, carried: list[str], out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds a struct of the carried columns of the next row by descending id (ties: by __th); the last row's next is the first.
 
-    Rows are dealt out by ranges of ids; the first row of each range is also given to the range before it.
+    Rows are dealt out by ranges of ids with about as many rows each (Spark's range partitioner samples their ends); the last row
+    of each range in ascending order is also given to the range after it, whose first row it follows.
     """
-    number = F.col(id_col).cast("double")
-    low, high, total = rows.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
-    ranges = max(1, min(RANGES, (total or 0) // RANGE_ROWS))
-    width = ((high or 0.0) - (low or 0.0)) / ranges or 1.0
-    place = F.coalesce(F.least(F.floor((number - F.lit(low or 0.0)) / F.lit(width)), F.lit(ranges - 1)), F.lit(-1)).cast("int")
-    ordered = [F.col(id_col).desc_nulls_last(), F.col("__th")]
-    rows = rows.withColumn("__range", place)
-    firsts = sorted(((r["__range"], r["first"]) for r in rows.groupBy("__range").agg(F.max(id_col).alias("first")).collect()), reverse=True)
-    wanted = [first for _, first in firsts if first is not None]
-    heads = rows.where(F.col(id_col).isin(wanted) | (F.col(id_col).isNull() if any(f is None for _, f in firsts) else F.lit(False)))
-    if firsts:
-        lookup = F.create_map(*[F.lit(v) for k, (_, first) in enumerate(firsts) if first is not None for v in (first, firsts[k - 1][0])]) if wanted else None
-        target = F.coalesce(F.element_at(lookup, F.col(id_col)) if lookup is not None else F.lit(None).cast("int"), F.lit(firsts[-2][0] if len(firsts) > 1 else firsts[0][0]))
-        heads = heads.withColumn("__range", target)
-    both = rows.withColumn("__extra", F.lit(False)).unionByName(heads.withColumn("__extra", F.lit(True)))
-    window = Window.partitionBy("__range").orderBy("__extra", *ordered)
-    return both.withColumn(out, F.lead(F.struct(*carried)).over(window)).where(~F.col("__extra")).drop("__extra", "__range")
-
-
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """Fingerprints of every text and of its edited text (its last third replaced by the beginning of the next document)."""
+    place = F.struct(F.col(id_col).alias("id"), F.col("__th").alias("th"))
+    count = max(1, rows.count() // range_rows)
+    ranged = rows.select(place.alias("p")).repartitionByRange(count, "p")
+    # one row for each range
+    ends = sorted(((r["k"], r["end"]) for r in ranged.groupBy(F.spark_partition_id().alias("k")).agg(F.max("p").alias("end")).collect()), key=lambda r: r[0])
+    if not ends:
+        return rows.withColumn(out, F.struct(*carried))
+    kind = ranged.schema["p"].dataType
+    stride = math.isqrt(len(ends)) + 1
+    groups = [[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, kind)]) for _, end in ends[k : k + stride]] for k in range(0, len(ends), stride)]
+    below = lambda found: F.size(F.filter(found, lambda end: end < F.col("__place")))
+    # the range's number: how many ends lie below, in two steps
+    tops, table = F.array(*[g[-1] for g in groups]), F.array(*[F.array(*g) for g in groups])
+    rows = rows.withColumn("__place", place).withColumn("__group", F.least(below(tops), F.lit(len(groups) - 1)))
+    rows = rows.withColumn("__inner", F.element_at(table, F.col("__group") + 1)).withColumn("__within", below(F.col("__inner")))
+    last = F.col("__place").eqNullSafe(F.get("__inner", "__within"))
+    number = F.col("__group") * stride + F.col("__within")
+    own = F.struct(number.alias("range"), F.lit(False).alias("extra"))
+    places = F.when(last, F.array(own, F.struct(((number + 1) % len(ends)).alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(own))
+    rows = rows.withColumn("__to", F.explode(places)).drop("__group", "__inner", "__within")
+    window = Window.partitionBy("__to.range").orderBy("__to.extra", F.col("__place").desc())
+    return rows.withColumn(out, F.lead(F.struct(*carried)).over(window)).where("NOT __to.extra").drop("__to", "__place")
+
+
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: float = RARE, common: float = COMMON, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """id, n_chars, edited_sha256, both fingerprints and likenesses for every text and its edited text (its last third replaced by the
+    beginning of the next document, by descending id). Defined cases: see the module's text."""
     slots = lexicon(docs, text_col, rare, common)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    rows = with_next(fingerprint(rows, "__text", "__print", slots), "__id", ["__text", "__print"], "__next")
+    rows = with_next(fingerprint(rows, "__text", "__print", slots), "__id", ["__text", "__print"], "__next", range_rows)
     length = F.length("__text")
     third = F.floor(length / 3).cast("int")
     edited = F.concat(F.left(F.col("__text"), length - third), F.left(F.col("__next.__text"), third))

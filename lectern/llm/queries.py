@@ -52,7 +52,7 @@ WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_a
 SELECT n.doc_id, least(n.doc_id, coalesce((SELECT min(y) FROM r WHERE x = n.doc_id), n.doc_id)) AS class_id, (SELECT count(*) FROM k WHERE x = n.doc_id) AS n_links FROM n
 """
 
-#: Terms, band, levels and subset hashes as in the operator; ids are taken as distinct.
+#: Terms, band and subsets as in the operator; ids are taken as distinct.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
      o AS (SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), (SELECT max(doc_id) FROM d)) AS next_id FROM d),
@@ -61,19 +61,17 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
      m AS (SELECT DISTINCT doc_id, kind, term FROM (SELECT doc_id, kind, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM t) WHERE term <> ''),
      f AS (SELECT term, count(*) AS df FROM m WHERE kind = 0 GROUP BY 1),
      l AS (SELECT term FROM f WHERE df >= greatest(2, 0.0005 * (SELECT count(*) FROM d)) AND df <= greatest(2, 0.2 * (SELECT count(*) FROM d))),
-     b AS (SELECT m.*, l.term IS NOT NULL AS inside FROM m LEFT JOIN l USING (term)),
-     c AS (SELECT doc_id, kind, count(*) FILTER (inside) AS k, count(*) AS a FROM b GROUP BY 1, 2),
-     v AS (SELECT t.doc_id, t.kind, CASE WHEN coalesce(k, 0) < 8 THEN coalesce(a, 0) ELSE k END AS size, coalesce(k, 0) < 8 AS everything FROM t LEFT JOIN c USING (doc_id, kind)),
-     g AS (SELECT *, CAST(greatest(0, ceil(log2(greatest(size, 1) / 32.0))) AS INT) AS level FROM v),
-     h AS (SELECT b.doc_id, b.kind, b.term, g.level, ('0x' || substr(md5(term), 1, 4))::BIGINT % 32 AS j, ('0x' || substr(md5(term), 5, 8))::BIGINT AS z FROM b JOIN g USING (doc_id, kind) WHERE b.inside OR g.everything),
-     q AS (SELECT doc_id, kind, lv - level AS up, j, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS s FROM (SELECT *, unnest([level, level + 1]) AS lv FROM h) WHERE z % CAST(pow(2, lv) AS BIGINT) = 0 GROUP BY 1, 2, 3, 4),
-     i AS (SELECT doc_id, kind, level, up, j, coalesce(s, '........') AS s FROM (SELECT *, unnest(range(0, 32)) AS j FROM (SELECT *, unnest([0, 1]) AS up FROM g)) LEFT JOIN q USING (doc_id, kind, up, j)),
-     r AS (SELECT doc_id, kind, level, lpad(CAST(level AS VARCHAR), 2, '0') || ':' || string_agg(s, '' ORDER BY j) FILTER (up = 0) || ':' || string_agg(s, '' ORDER BY j) FILTER (up = 1) AS print FROM i GROUP BY 1, 2, 3),
+     b AS (SELECT m.*, l.term IS NOT NULL AS inside, max(CASE WHEN l.term IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kind) AS told FROM m LEFT JOIN l USING (term)),
+     h AS (SELECT doc_id, kind, term, md5(term) AS z FROM b WHERE inside OR told = 0),
+     s AS (SELECT j, v, CASE WHEN v = 0 THEN 'g' ELSE lpad(format('{:x}', 4096 >> v), 3, '0') END AS top FROM (SELECT unnest(range(0, 6)) AS j), (SELECT unnest(range(0, 13)) AS v) WHERE v > 0 OR j = 0),
+     q AS (SELECT doc_id, kind, j, v, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS s FROM h JOIN s ON substr(z, 3 * j + 1, 3) < top GROUP BY 1, 2, 3, 4),
+     i AS (SELECT doc_id, kind, CASE WHEN v = 0 THEN -1 ELSE j END AS j, v, coalesce(s, '........') AS s FROM (SELECT t.doc_id, t.kind, s.j, s.v FROM t, s) LEFT JOIN q USING (doc_id, kind, j, v)),
+     r AS (SELECT doc_id, kind, string_agg(s, '' ORDER BY j, v) AS print FROM i GROUP BY 1, 2),
      pr AS (SELECT doc_id, 0 AS what, doc_id AS other, 1 AS other_kind FROM e UNION ALL SELECT doc_id, 1, next_id, 0 FROM e),
-     y AS (SELECT pr.doc_id, pr.what, count(*) FILTER (x.s = w.s AND x.s <> '........') AS same, count(*) FILTER (x.s <> '........' OR w.s <> '........') AS active, count(*) AS met FROM pr JOIN i x ON x.doc_id = pr.doc_id AND x.kind = 0 JOIN i w ON w.doc_id = pr.other AND w.kind = pr.other_kind AND w.j = x.j AND w.level + w.up = x.level + x.up GROUP BY 1, 2),
+     y AS (SELECT pr.doc_id, pr.what, count(*) FILTER (x.s = w.s AND x.s <> '........') AS same, count(*) FILTER (x.s <> '........' OR w.s <> '........') AS active FROM pr JOIN i x ON x.doc_id = pr.doc_id AND x.kind = 0 JOIN i w ON w.doc_id = pr.other AND w.kind = pr.other_kind AND w.j = x.j AND w.v = x.v GROUP BY 1, 2),
      u AS (SELECT doc_id, what, CASE WHEN active = 0 THEN 1.0 ELSE CAST(same AS DOUBLE) / active END AS near FROM y)
-SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.print AS fingerprint, z.print AS edited_fingerprint, coalesce(p.near, 0.0) AS near_edited, coalesce(x.near, 0.0) AS near_next
-FROM e JOIN r a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN r z ON z.doc_id = e.doc_id AND z.kind = 1 LEFT JOIN u p ON p.doc_id = e.doc_id AND p.what = 0 LEFT JOIN u x ON x.doc_id = e.doc_id AND x.what = 1
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.print AS fingerprint, z.print AS edited_fingerprint, p.near AS near_edited, x.near AS near_next
+FROM e JOIN r a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN r z ON z.doc_id = e.doc_id AND z.kind = 1 JOIN u p ON p.doc_id = e.doc_id AND p.what = 0 JOIN u x ON x.doc_id = e.doc_id AND x.what = 1
 """
 
 

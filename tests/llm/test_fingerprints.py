@@ -2,7 +2,7 @@ import hashlib
 
 import oracle
 from conftest import SMALL
-from fixtures import documents, empty
+from fixtures import documents, empty, prose
 
 from lectern.llm import imatch
 from lectern.llm.queries import OP3_SQL, op3_imatch
@@ -45,8 +45,31 @@ def test_awkward_documents(spark):
     assert imatch.compare_edited(frame.where("doc_id = 6")).first()["near_next"] == 1.0
 
 
-def test_ranges_of_ids(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_ROWS", 3)
+def test_ranges_of_ids(spark):
     frame = documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     docs = sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), reverse=True)
-    check(imatch.compare_edited(frame).collect(), docs)
+    check(imatch.compare_edited(frame, range_rows=3).collect(), docs)
+
+
+def test_outlying_and_textual_ids(spark):
+    frame = documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    far = frame.selectExpr("CASE doc_id WHEN 3 THEN 9000000000000 WHEN 4 THEN -7 ELSE doc_id END AS doc_id", "text")
+    check(imatch.compare_edited(far, range_rows=3).collect(), sorted(((r["doc_id"], r["text"] or "") for r in far.collect()), reverse=True))
+    named = frame.selectExpr("concat('d', char(97 + doc_id)) AS doc_id", "text")
+    check(imatch.compare_edited(named, range_rows=3).collect(), sorted(((r["doc_id"], r["text"] or "") for r in named.collect()), reverse=True))
+
+
+def test_one_term_changes_a_long_text(spark):
+    """No term of the band is left out, however long the text; nearly equal texts keep most hashes of the sparse subsets."""
+    long = prose(6, 6000).split()
+    base = [(k, " ".join(long)) for k in range(3)] + [(k, prose(k, 200)) for k in range(10, 30)]
+    edited = [(100 + k, " ".join([*long[: 140 * k], "kemotusel" * 3, *long[140 * k + 1 :]])) for k in range(40)]
+    docs = spark.createDataFrame(base + edited, "doc_id long, text string")
+    rows = imatch.fingerprint(docs, "text", "print", imatch.lexicon(docs, "text", 0.0, 1.0))
+    found = {r["doc_id"]: r["print"] for r in rows.select("doc_id", "print").collect()}
+    assert found[0] == found[1] == found[2]
+    for k in range(40):
+        other = found[100 + k]
+        active = [(x, y) for x, y in zip(found[0], other) if (x, y) != (imatch.EMPTY, imatch.EMPTY)]
+        assert found[0] != other and sum(x == y for x, y in active) > 0.5 * len(active)
+    assert sum(x == y != imatch.EMPTY for x, y in zip(found[0], found[10])) < 0.5 * len(found[0])
