@@ -75,6 +75,21 @@ def preview(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("..."))).otherwise(text)
 
 
+def to_int(value: Column) -> Column:
+    """A text as a whole number, null if it is none."""
+    return F.when(F.trim(value).rlike(r"^[+-]?[0-9]+$"), F.trim(value).try_cast("int"))
+
+
+def to_double(value: Column) -> Column:
+    """A text as a number, null if it is none."""
+    return F.when(F.trim(value).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(value).try_cast("double"))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and its last ending."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
 def artifact_name(value: Column) -> Column:
     safe = F.regexp_replace(value, r"[^A-Za-z0-9_.-]+", "-")
     return F.coalesce(F.nullif(F.regexp_replace(safe, r"^[.-]+|[.-]+$", ""), F.lit("")), F.lit("default"))

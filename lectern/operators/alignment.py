@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,42 +11,70 @@ from lectern.functions import text as tx
 LONGEST, SHARE, ENOUGH, LEAST = 8, 0.45, 0.80, 0.45
 
 
+def near(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of a unit and a chunk that has SHARE of its tokens in it: document_id, unit_no, unit_tokens, at, token_at, reading_order, both.
+
+    A chunk of m tokens that shares h = ceil(SHARE * m) of them shares one of any m - h + 1; its rarest in the document are
+    looked up, so pairs that have only frequent words in common are never made. `at` counts the document's chunks, `token_at` those
+    with tokens.
+    """
+    order = Window.partitionBy("document_id").orderBy("reading_order")
+    parts = chunks.select("document_id", "reading_order", tx.alignment_tokens(F.col("text")).alias("own"))
+    parts = parts.withColumn("at", F.row_number().over(order)).withColumn("token_at", F.count_if(F.size("own") > 0).over(order)).where(F.size("own") > 0)
+    tokens = parts.select("*", F.explode("own").alias("token")).withColumn("frequent", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token")))
+    rank = F.row_number().over(Window.partitionBy("document_id", "at").orderBy("frequent", "token"))
+    probes = tokens.withColumn("rank", rank).where(F.col("rank") <= F.size("own") - F.ceil(F.size("own") * SHARE - 1e-9) + 1)
+    words = units.select("document_id", "unit_no", tx.alignment_tokens(F.col("text")).alias("unit"))
+    asked = words.select("document_id", "unit_no", "unit", F.explode("unit").alias("token"))
+    pairs = asked.join(probes.select("document_id", "token", "reading_order", "at", "token_at", "own").hint("merge"), ["document_id", "token"])
+    both = F.array_intersect("own", "unit")
+    found = pairs.where(F.size(both) >= F.size("own") * SHARE)
+    once = found.groupBy("document_id", "unit_no", "at").agg(*[F.first(c).alias(c) for c in ("reading_order", "token_at")], F.first(F.size("unit")).alias("unit_tokens"), F.first(both).alias("both"))
+    return once
+
+
 def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidate runs: document_id, unit_no, start, stop, coverage.
+    """Candidate runs: document_id, unit_no, start, stop, size, coverage.
 
-    From each start, up to LONGEST consecutive chunks that share SHARE of their tokens with the unit, until the first miss.
+    From each chunk near a unit, up to LONGEST consecutive chunks; those without tokens are passed over, the first that is not near ends
+    the run, and so does the one with which the unit's tokens are covered to ENOUGH.
     """
-    words = units.select("document_id", "unit_no", tx.alignment_tokens(F.col("text")).alias("unit")).where(F.size("unit") > 0)
-    parts = chunks.select("document_id", "reading_order", tx.alignment_tokens(F.col("text")).alias("own")).where(F.size("own") > 0)
-    near = words.join(parts, "document_id").withColumn("both", F.array_intersect("own", "unit")).where(F.size("both") >= F.size("own") * SHARE)
-    order = Window.partitionBy("document_id", "unit_no").orderBy("reading_order")
-    isle = near.withColumn("isle", F.col("reading_order") - F.row_number().over(order))
-    ahead = Window.partitionBy("document_id", "unit_no", "isle").orderBy("reading_order").rowsBetween(0, LONGEST - 1)
-    found = isle.withColumn("seen", F.collect_list("both").over(ahead))
-    return found.select(
-        "document_id",
-        "unit_no",
-        F.col("reading_order").alias("start"),
-        (F.col("reading_order") + F.size("seen") - 1).alias("stop"),
-        (F.size(F.array_distinct(F.flatten("seen"))) / F.size("unit")).alias("coverage"),
-    )
+    pairs = near(units, chunks)
+    isle = pairs.withColumn("isle", F.col("token_at") - F.row_number().over(Window.partitionBy("document_id", "unit_no").orderBy("at")))
+    ahead = Window.partitionBy("document_id", "unit_no", "isle").orderBy("at").rangeBetween(0, LONGEST - 1)
+    seen = isle.withColumn("seen", F.collect_list(F.struct("reading_order", "both")).over(ahead))
+    start = F.struct(F.array().cast("array<string>").alias("covered"), F.lit(0).alias("size"), F.lit(0).alias("stop"))
+
+    def step(s: Column, c: Column) -> Column:
+        done = F.size(s["covered"]) >= F.col("unit_tokens") * ENOUGH
+        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), (s["size"] + 1).alias("size"), c["reading_order"].alias("stop")))
+
+    folded = seen.withColumn("f", F.aggregate("seen", start, step))
+    return folded.select("document_id", "unit_no", F.col("reading_order").alias("start"), F.col("f.stop").alias("stop"), F.col("f.size").alias("size"), (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
 
 
 def align(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The run chosen for each unit. Units go in order and a match moves the cursor past its run, so a document is one group;
-    its candidates are found and pruned before by `runs`."""
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        cursor, out = -1, []
-        for unit, own in rows.sort_values(["unit_no", "start"]).groupby("unit_no", sort=True):
-            own = own[own.start > cursor]
-            if own.empty:
-                continue
-            good = own[own.coverage >= ENOUGH]
-            best = good.iloc[0] if len(good) else own.loc[own.coverage.idxmax()]
-            if best.coverage >= LEAST:
-                out.append((best.document_id, unit, best.start, best.stop))
-                cursor = best.stop
-        return pd.DataFrame(out, columns=["document_id", "unit_no", "start", "stop"])
-
-    return runs(units, chunks).groupBy("document_id").applyInPandas(greedy, "document_id long, unit_no int, start int, stop int")
+    """The run chosen for each unit: document_id, unit_no, start, stop.
+
+    Units go in order, and a match moves the cursor past its run: the first run after the cursor that covers ENOUGH, else the best
+    that covers LEAST. A fold over a document's candidates inside the JVM.
+    """
+    found = runs(units, chunks).groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "coverage"))).alias("runs"))
+    listed = found.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "runs"))).alias("units"))
+    nothing = "array<struct<unit_no:int,start:int,stop:int>>"
+    begin = F.struct(F.lit(-1).alias("cursor"), F.array().cast(nothing).alias("out"))
+
+    def choose(s: Column, u: Column) -> Column:
+        own = F.filter(u["runs"], lambda r: r["start"] > s["cursor"])
+        good = F.filter(own, lambda r: r["coverage"] >= ENOUGH)
+        top = F.array_max(F.transform(own, lambda r: r["coverage"]))
+        best = F.filter(own, lambda r: (r["coverage"] == top) & (top >= LEAST))
+        return F.slice(F.when(F.size(good) > 0, good).otherwise(best), 1, 1)
+
+    def take(s: Column, u: Column) -> Column:
+        picked = F.transform(choose(s, u), lambda r: F.struct(u["unit_no"].cast("int").alias("unit_no"), r["start"].cast("int").alias("start"), r["stop"].cast("int").alias("stop")))
+        moved = F.coalesce(F.array_max(F.transform(picked, lambda p: p["stop"])), s["cursor"])
+        return F.struct(moved.alias("cursor"), F.concat(s["out"], picked).alias("out"))
+
+    chosen = listed.select("document_id", F.explode(F.aggregate("units", begin, take)["out"]).alias("m"))
+    return chosen.select("document_id", "m.unit_no", "m.start", "m.stop")

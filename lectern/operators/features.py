@@ -7,20 +7,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
+from lectern.operators.settings import profile_matches
 
 # Words that are no keywords.
 STOP_WORDS = "about after also been from into page that their there these they this were with".split()
+#: Rows that a table of settings may have to be sent along with a plan.
+MOST_FIXED = 1000
 TOKEN = r"[A-Za-z][A-Za-z0-9'-]{2,}"
 
 
+def keywords_of(text: Column, count: int = 3) -> Column:
+    """The most frequent tokens of a text, ties by first occurrence; `keyword pending` without one.
+
+    All in the row: the tokens are sorted and counted run by run, and only the best `count` are kept on the way.
+    """
+    tokens = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t)), lambda t: ~t.isin(STOP_WORDS))
+    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    end = F.concat(placed, F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("i"))))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,i:int,t:string>>").alias("top"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = x["t"] == s["t"]
+        done = F.array(F.struct((-s["n"]).alias("n"), s["i"].alias("i"), s["t"].alias("t")))
+        ranked = F.slice(F.array_sort(F.concat(s["top"], done)), 1, count)
+        return F.when(same, F.struct(s["t"].alias("t"), (s["n"] + 1).alias("n"), s["i"].alias("i"), s["top"].alias("top"))).otherwise(
+            F.struct(x["t"].alias("t"), F.lit(1).alias("n"), x["i"].alias("i"), F.when(s["t"].isNull(), s["top"]).otherwise(ranked).alias("top"))
+        )
+
+    top = F.transform(F.aggregate(end, start, step)["top"], lambda s: F.replace(s["t"], F.lit("-"), F.lit(" ")))
+    return F.when(F.size(top) > 0, top).otherwise(F.array(F.lit("keyword pending")))
+
+
 def keywords(blocks: DataFrame, keys: list[str], count: int = 3) -> DataFrame:
-    """The most frequent tokens of each block, ties by first occurrence; `keyword pending` for a block without one."""
-    tokens = blocks.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("pos", "token")).withColumn("token", F.lower("token"))
-    counted = tokens.where(~F.col("token").isin(STOP_WORDS)).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "pos")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
-    listed = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda s: F.replace(s["token"], F.lit("-"), F.lit(" "))).alias("keywords"))
-    return blocks.select(*keys).join(listed, keys, "left").withColumn("keywords", F.coalesce("keywords", F.array(F.lit("keyword pending"))))
+    """The keywords of each block."""
+    return blocks.select(*keys, keywords_of(F.col("text"), count).alias("keywords"))
+
+
+def default_rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """A row of keywords and one of a lead sentence for each block."""
+    kinds = F.array(
+        F.struct(F.lit("keywords").alias("kind"), F.array_join(keywords_of(F.col("text")), ", ").alias("value")),
+        F.struct(F.lit("summary").alias("kind"), tx.lead_sentence(F.col("text")).alias("value")),
+    )
+    return blocks.select(*keys, F.explode(kinds).alias("r")).select(*keys, "r.kind", "r.value")
+
+
+def representations(blocks: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
+    """The default rows of the blocks and enabled definitions whose word threshold a block exceeds, in one pass over the blocks.
+
+    defs is the study's table of definitions; at most MOST_FIXED rows of it become part of the plan.
+    """
+    least = {r["kind"]: max(r["least_words"], 20) for r in fixed_rows(defs.where("enabled"))}
+    words = blocks.select(*keys, "text", tx.word_count(F.col("text")).alias("__words"))
+    kinds = {"keywords": F.array_join(keywords_of(F.col("text")), ", "), "summary": tx.lead_sentence(F.col("text"))}
+    parts = [F.when(F.col("__words") > least[k], F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, v in kinds.items() if k in least]
+    if not parts:
+        return words.select(*keys, F.lit("").alias("kind"), F.lit("").alias("value")).limit(0)
+    return words.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("r")).select(*keys, "r.kind", "r.value")
+
+
+def fixed_rows(table: DataFrame) -> list:
+    """The rows of a table of settings; more than MOST_FIXED are an error, so nothing that grows is collected or broadcast."""
+    rows = table.limit(MOST_FIXED + 1).collect()
+    if len(rows) > MOST_FIXED:
+        raise ValueError(f"a table of settings has more than {MOST_FIXED} rows")
+    return rows
+
+
+def restored(blocks: DataFrame, enabled: Column, keys: list[str]) -> DataFrame:
+    """Default rows of the blocks for which models are off; the others are cleared, so they have none."""
+    return default_rows(blocks.where(~enabled), keys)
+
+
+def provider_of(rows: DataFrame, key: str, name: str, preferred: str) -> DataFrame:
+    """The preferred provider of each key where it is there, else the first by name."""
+    return rows.groupBy(key).agg(F.coalesce(F.min(F.when(F.col(name) == preferred, F.col(name))), F.min(name)).alias("provider"))
 
 
 def definitions(spark: SparkSession) -> DataFrame:
@@ -29,10 +90,99 @@ def definitions(spark: SparkSession) -> DataFrame:
 
 
 def plan_jobs(blocks: DataFrame, defs: DataFrame) -> DataFrame:
-    """A pending job for each block and enabled definition whose word threshold the block exceeds; the definitions are a fixed table."""
-    least = F.greatest(F.col("least_words"), F.lit(20))
-    wanted = blocks.withColumn("words", tx.word_count(F.col("text"))).join(F.broadcast(defs.where("enabled")), F.col("words") > least)
-    return wanted.select("document_id", "block_id", "kind", F.concat_ws(":", "block_id", "kind").alias("job_id"), F.lit("pending").alias("status"), "words")
+    """A pending job for each block and enabled definition whose word threshold the block exceeds. defs has at most MOST_FIXED rows."""
+    least = [(r["kind"], max(r["least_words"], 20)) for r in fixed_rows(defs.where("enabled"))]
+    rows = blocks.withColumn("words", tx.word_count(F.col("text")))
+    if not least:
+        rows = rows.withColumn("kind", F.lit("")).limit(0)
+    else:
+        rows = rows.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(F.col("words") > n, kind) for kind, n in least]))))
+    return rows.select("document_id", "block_id", "kind", F.concat_ws(":", "block_id", "kind").alias("job_id"), F.lit("pending").alias("status"), "words")
+
+
+def counters(blocks: DataFrame, results: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
+    """eligible, generated and skipped blocks of each document: those with a job, those with any result, those without a job."""
+    least = min((max(r["least_words"], 20) for r in fixed_rows(defs.where("enabled"))), default=None)
+    eligible = tx.word_count(F.col("text")) > least if least is not None else F.lit(False)
+    have = results.select(*keys).distinct().withColumn("__have", F.lit(True))
+    rows = blocks.select(*keys, eligible.alias("__eligible")).join(have.hint("merge"), keys, "left")
+    return rows.groupBy(keys[0]).agg(F.count_if("__eligible").alias("eligible"), F.count_if(F.col("__have")).alias("generated"), F.count_if(~F.col("__eligible")).alias("skipped"))
+
+
+def names(prompts: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, pos, name: names of a document's prompts, then its blocks' kinds, then the two defaults; trimmed, the first sight of each.
+
+    prompts: document_id, pos, name; blocks: document_id, pos, kind; documents: document_id.
+    """
+    default = documents.select("document_id", F.posexplode(F.array(F.lit("keywords"), F.lit("summary"))).alias("pos", "name"))
+    parts = [prompts.select("document_id", "pos", "name"), blocks.select("document_id", "pos", F.col("kind").alias("name")), default]
+    every = None
+    for rank, part in enumerate(parts):
+        own = part.select("document_id", F.struct(F.lit(rank).alias("source"), F.col("pos").cast("long").alias("pos")).alias("seen"), F.trim("name").alias("name")).where("name <> ''")
+        every = own if every is None else every.unionByName(own)
+    first = every.groupBy("document_id", "name").agg(F.min("seen").alias("seen"))
+    order = Window.partitionBy("document_id").orderBy("seen")
+    return first.select("document_id", F.row_number().over(order).alias("pos"), "name")
+
+
+def first_of_kind(blocks: DataFrame) -> DataFrame:
+    """The first representation of each kind of a document in block order: document_id, kind, value. blocks: document_id, pos, kind, value."""
+    return blocks.where("kind <> ''").groupBy("document_id", "kind").agg(F.min_by("value", "pos").alias("value"))
+
+
+def cache_plan(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """document_id and action of each request: parse, restart, adopt, resume or keep.
+
+    requests: document_id, version, cache_profile, enabled, representation_profile, default_profile (that of the same settings with the
+    default definitions); cache: document_id, version, cache_profile, representation_profile (null: from before there were any),
+    status, failed. A cache of another version or parser profile is parsed anew; one whose representation profile differs has its
+    jobs restarted; an old one without a profile is adopted if it is complete under the default definitions, or switched off; what is
+    the same resumes its failed and pending jobs, or is kept where there is none or models are off.
+    """
+    stored = cache.select("document_id", *(F.col(c).alias(f"__{c}") for c in ("version", "cache_profile", "representation_profile", "status", "failed")))
+    rows = requests.join(stored.hint("merge"), "document_id", "left")
+    usable = F.coalesce(F.col("__version") == F.col("version"), F.lit(False)) & profile_matches(F.coalesce("__cache_profile", F.lit("")), F.col("cache_profile"))
+    none = F.coalesce("__representation_profile", F.lit("")) == ""
+    complete = (F.col("__status") == "complete") & (F.coalesce("__failed", F.lit(0)) == 0)
+    adopt = F.when(F.col("enabled"), F.coalesce(complete, F.lit(False)) & (F.col("representation_profile") == F.col("default_profile"))).otherwise(F.col("representation_profile") == "placeholder")
+    same = F.col("__representation_profile").eqNullSafe(F.col("representation_profile"))
+    open_jobs = F.col("enabled") & ~F.coalesce(complete, F.lit(False))
+    action = F.when(~usable, "parse").when(none & adopt, "adopt").when(none | ~same, "restart").when(open_jobs, "resume").otherwise("keep")
+    return rows.select("document_id", action.alias("action"))
+
+
+def preparation_summary(documents: DataFrame, rolled: DataFrame) -> DataFrame:
+    """One row for each prepared document: ids and paths, page count, provider, job counts and status, title.
+
+    documents: document_id, provider, page_count, title; rolled: rollup() of its jobs.
+    """
+    jobs = rolled.select("document_id", "total", "complete", "failed", "status")
+    joined = documents.join(jobs.hint("merge"), "document_id", "left")
+    provider = F.coalesce(F.nullif("provider", F.lit("")), F.lit("tagged"))
+    folder = F.concat(F.lit("prepared/"), F.col("document_id").cast("string"))
+    return joined.select(
+        "document_id",
+        F.concat(folder, F.lit("/providers/"), provider, F.lit("/document.json")).alias("document_json"),
+        "page_count",
+        provider.alias("provider"),
+        F.col("complete").alias("completed_jobs"),
+        F.col("failed").alias("failed_jobs"),
+        "status",
+        F.col("total").alias("total_jobs"),
+        F.concat(folder, F.lit("/source.pdf")).alias("source_pdf"),
+        "title",
+    )
+
+
+def request_text(kind: Column, text: Column, target: Column, most: Column | int, instruction: Column) -> Column:
+    """What a model is asked: key phrases, a summary of the target length, or a value of any other kind by its own instruction."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    custom = F.coalesce(F.nullif(F.trim(F.coalesce(instruction, F.lit(""))), F.lit("")), F.lit("Describe the text."))
+    return (
+        F.when(kind == "keywords", F.format_string('Return JSON {"k": [...]} with up to %d key phrases of: %s', most, text))
+        .when(kind == "summary", F.format_string('Return JSON {"s": "..."} of about %d words on: %s', target, text))
+        .otherwise(F.concat(custom, F.lit(' Return JSON {"v": "..."} for: '), text))
+    )
 
 
 def latest(events: DataFrame, keys: list[str], order_col: str, value: str) -> DataFrame:
@@ -77,14 +227,14 @@ def fail_pending(status: Column) -> Column:
 def runnable(state: DataFrame, blocks: DataFrame, keys: list[str], retry: bool) -> DataFrame:
     """Jobs to run, and jobs whose block is gone with their error."""
     wanted = state.where(F.col("status").isin(["pending", "failed"] if retry else ["pending"]))
-    marked = wanted.join(blocks.select(*keys).distinct().withColumn("__there", F.lit(True)), keys, "left")
+    marked = wanted.join(blocks.select(*keys).distinct().withColumn("__there", F.lit(True)).hint("merge"), keys, "left")
     there = F.coalesce("__there", F.lit(False))
     return marked.withColumn("action", F.when(there, "run").otherwise("fail")).withColumn("error", F.when(~there, "Block no longer exists.")).drop("__there")
 
 
 def replace_by_block(blocks: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """A block with any result takes the results' list; other blocks keep theirs."""
-    joined = blocks.alias("b").join(results.select(*keys, F.col("representations").alias("__new")), keys, "left")
+    joined = blocks.alias("b").join(results.select(*keys, F.col("representations").alias("__new")).hint("merge"), keys, "left")
     return joined.withColumn("representations", F.coalesce("__new", "representations")).drop("__new")
 
 
@@ -92,7 +242,7 @@ def merge_by_kind(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Same kinds replaced in place, new kinds appended, others kept; `changed` tells replaced or added rows."""
     o = old.select(*keys, "kind", F.col("pos").alias("__op"), F.col("value").alias("__ov"))
     n = new.select(*keys, "kind", F.col("pos").alias("__np"), F.col("value").alias("__nv"))
-    joined = o.join(n, [*keys, "kind"], "full_outer")
+    joined = o.join(n.hint("merge"), [*keys, "kind"], "full_outer")
     return joined.select(
         *keys,
         "kind",

@@ -13,21 +13,20 @@ PAGE_WIDTH, PAGE_HEIGHT = 760.0, 980.0
 def overlay_rows(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row for each chunk of a block, in the block's order; unknown ids are dropped, the first known chunk carries the label."""
     named = blocks.select("document_id", "block_id", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    joined = named.join(chunks.select("document_id", "chunk_id", "page_number", "x", "y", "width", "height", "reading_order"), ["document_id", "chunk_id"])
+    joined = named.join(chunks.select("document_id", "chunk_id", "page_number", "x", "y", "width", "height", "reading_order").hint("merge"), ["document_id", "chunk_id"])
     first = F.row_number().over(Window.partitionBy("document_id", "block_id").orderBy("pos")) == 1
     return joined.withColumn("overlay_id", F.concat_ws(":", "block_id", "chunk_id")).withColumn("has_label", first)
 
 
 def unmapped(chunks: DataFrame, overlays: DataFrame) -> DataFrame:
-    return chunks.join(overlays.select("document_id", "chunk_id"), ["document_id", "chunk_id"], "left_anti").withColumn("overlay_id", F.concat(F.lit("unmapped:"), "chunk_id"))
+    return chunks.join(overlays.select("document_id", "chunk_id").hint("merge"), ["document_id", "chunk_id"], "left_anti").withColumn("overlay_id", F.concat(F.lit("unmapped:"), "chunk_id"))
 
 
 def page_order(overlays: DataFrame) -> DataFrame:
     """place of each overlay on its page by (y, x), and the number of blocks of the page."""
     page = Window.partitionBy("document_id", "page_number")
     ordered = overlays.withColumn("place", F.row_number().over(page.orderBy("y", "x", "overlay_id")))
-    counts = overlays.groupBy("document_id", "page_number").agg(F.countDistinct("block_id").alias("blocks"))
-    return ordered.join(counts, ["document_id", "page_number"])
+    return ordered.withColumn("blocks", F.size(F.collect_set("block_id").over(page)).cast("long"))
 
 
 def region(width: Column, height: Column, page: Column, x: Column, y: Column, index: Column) -> Column:
@@ -42,7 +41,7 @@ def summary_height(text: Column, width: Column) -> Column:
 
 
 def chips_height(items: Column, width: Column) -> Column:
-    """Height of chips packed in rows: a chip that does not fit opens a row (a fold over the items)."""
+    """Height of chips packed in rows: a chip that does not fit opens a row (a fold over the items); empty items have no chip."""
     wide = F.greatest(width, F.lit(24.0))
 
     def step(s: Column, item: Column) -> Column:
@@ -52,7 +51,7 @@ def chips_height(items: Column, width: Column) -> Column:
         return F.struct(F.when(opens, s["rows"] + 1).otherwise(s["rows"]).alias("rows"), used.alias("used"))
 
     start = F.struct(F.lit(1).alias("rows"), F.lit(0.0).alias("used"))
-    rows = F.aggregate(items, start, step)["rows"]
+    rows = F.aggregate(F.filter(items, lambda item: item != ""), start, step)["rows"]
     return (rows * 23 + (rows - 1) * 4).cast("double")
 
 
@@ -60,21 +59,47 @@ def best_layout(regions: DataFrame, keys: list[str]) -> DataFrame:
     """The best pair of a summary region and a keyword region of each block.
 
     regions: keys, idx, page_number, y, w, h, ord, need_s, need_k (heights that the summary and the keywords need there). A
-    keyword region may not lie before the summary's. The pairs are those of one block, whose regions are few; the first
-    maximum wins (summary region outer, keyword region inner).
+    keyword region may not lie before the summary's. The first maximum wins (summary region outer, keyword region inner): a fold over
+    the pairs of a block's regions in its row, which keeps only the best.
     """
-    s = regions.select(*keys, *(F.col(c).alias(f"s_{c}") for c in ("idx", "page_number", "y", "w", "h", "ord", "need_s")))
-    k = regions.select(*keys, *(F.col(c).alias(f"k_{c}") for c in ("idx", "page_number", "y", "w", "h", "ord", "need_k")))
-    pairs = s.join(k, keys).where((F.col("k_page_number") > F.col("s_page_number")) | ((F.col("k_page_number") == F.col("s_page_number")) & (F.col("k_y") >= F.col("s_y") - 0.001)))
-    same = F.col("s_idx") == F.col("k_idx")
-    need_same = F.col("s_need_s") + 4 + F.col("k_need_k")
+    fields = ("idx", "page_number", "y", "w", "h", "ord", "need_s", "need_k")
+    listed = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__r"))
 
-    def score(height: Column, need: Column, area: Column, order: Column) -> Column:
+    def fit(height: Column, need: Column, area: Column, order: Column) -> Column:
         fits = F.when(need <= height, 10000.0).otherwise(0.0)
         return fits + 100 * F.least(height / F.greatest(need, F.lit(1.0)), F.lit(4.0)) + area / 1000 - 40 * F.greatest(need - height, F.lit(0.0)) - order / 100
 
-    alone = score(F.col("s_h"), F.col("s_need_s"), F.col("s_w") * F.col("s_h"), F.col("s_ord")) + score(F.col("k_h"), F.col("k_need_k"), F.col("k_w") * F.col("k_h"), F.col("k_ord"))
-    together = score(F.col("s_h"), need_same, F.col("s_w") * F.col("s_h"), F.col("s_ord")) + 20
-    total = F.when(same, together).otherwise(alone - 0.02 * F.abs(F.col("k_ord") - F.col("s_ord")))
-    order = Window.partitionBy(*keys).orderBy(F.round(F.col("score"), 6).desc(), "s_idx", "k_idx")
-    return pairs.withColumn("score", total).withColumn("rank", F.row_number().over(order)).where("rank = 1").select(*keys, F.col("s_idx").alias("summary_at"), F.col("k_idx").alias("keywords_at"), "score")
+    def total(s: Column, k: Column) -> Column:
+        together = fit(s["h"], s["need_s"] + 4 + k["need_k"], s["w"] * s["h"], s["ord"]) + 20
+        apart = fit(s["h"], s["need_s"], s["w"] * s["h"], s["ord"]) + fit(k["h"], k["need_k"], k["w"] * k["h"], k["ord"]) - 0.02 * F.abs(k["ord"] - s["ord"])
+        return F.when(s["idx"] == k["idx"], together).otherwise(apart)
+
+    def better(best: Column, s: Column, k: Column) -> Column:
+        allowed = (k["page_number"] > s["page_number"]) | ((k["page_number"] == s["page_number"]) & (k["y"] >= s["y"] - 0.001))
+        wins = allowed & (best["summary_at"].isNull() | (F.round(total(s, k), 6) > F.round(best["score"], 6)))
+        return F.when(wins, F.struct(s["idx"].alias("summary_at"), k["idx"].alias("keywords_at"), total(s, k).alias("score"))).otherwise(best)
+
+    kind = regions.schema["idx"].dataType.simpleString()
+    start = F.lit(None).cast(kind)
+    none = F.struct(start.alias("summary_at"), start.alias("keywords_at"), F.lit(None).cast("double").alias("score"))
+    best = F.aggregate("__r", none, lambda outer, s: F.aggregate("__r", outer, lambda inner, k: better(inner, s, k)))
+    return listed.withColumn("__best", best).where("__best.summary_at IS NOT NULL").select(*keys, "__best.*")
+
+
+def keyword_fallback(blocks: DataFrame, chunks: DataFrame, enabled: Column) -> DataFrame:
+    """keywords of blocks without any representation: those of the block's first chunk that has some; null where models are on or
+    none has. blocks: document_id, block_id, chunk_ids, has_representations; chunks: document_id, chunk_id, keywords.
+    """
+    named = blocks.select("document_id", "block_id", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
+    some = chunks.where(F.size("keywords") > 0).select("document_id", "chunk_id", F.col("keywords").alias("__k"))
+    first = named.join(some.hint("merge"), ["document_id", "chunk_id"]).groupBy("document_id", "block_id").agg(F.min_by("__k", "pos").alias("__k"))
+    joined = blocks.join(first.hint("merge"), ["document_id", "block_id"], "left")
+    return joined.select("document_id", "block_id", F.when(~enabled & ~F.col("has_representations"), F.col("__k")).alias("keywords"))
+
+
+def place_others(representations: Column, summary_at: Column, keywords_at: Column, regions: Column) -> Column:
+    """Array of (kind, region) of kinds other than keywords and summary: the first of each kind only, in the summary's region, else the
+    keywords', else in turn over the regions. representations: array of structs with a kind, in order."""
+    blank = F.filter(representations, lambda r: (r["kind"] != "") & ~r["kind"].isin("keywords", "summary"))
+    kinds = F.array_distinct(F.transform(blank, lambda r: r["kind"]))
+    return F.when(regions > 0, F.transform(kinds, lambda k, i: F.struct(k.alias("kind"), F.coalesce(summary_at, keywords_at, i % regions).cast("int").alias("region")))).otherwise(F.array().cast("array<struct<kind:string,region:int>>"))

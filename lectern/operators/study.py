@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
+from lectern.operators.features import fixed_rows
+
+# Choices of a question that has none.
+DEFAULT_CHOICES = ("Choice 1", "Choice 2")
 
 
 def validation_error(required: list[str]) -> Column:
@@ -23,24 +26,25 @@ def draw(*keys: str) -> Column:
 def weighted_assignment(participants: DataFrame, exams: DataFrame, key: list[str]) -> DataFrame:
     """The first exam whose cumulative weight reaches the participant's draw; without usable weights all exams are as likely.
 
-    exams (exam_id, weight, ordinal) is the scheduler: a short fixed table.
+    exams (exam_id, weight, ordinal) is the scheduler, a table of settings (see features.fixed_rows), so its ranges are an expression.
     """
-    usable = exams.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    any_weight = F.sum("weight").over(Window.partitionBy()) > 0
-    usable = usable.withColumn("weight", F.when(any_weight, F.col("weight")).otherwise(1.0)).where("weight > 0")
-    order = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = usable.withColumn("hi", F.sum("weight").over(order)).withColumn("total", F.sum("weight").over(Window.partitionBy()))
-    ranges = ranges.withColumn("lo", F.col("hi") - F.col("weight"))
-    drawn = participants.withColumn("u", draw(*key))
-    at = F.col("u") * F.col("total")
-    hit = (at <= F.col("hi")) & ((at > F.col("lo")) | ((F.col("lo") == 0) & (at == 0)))
-    return drawn.join(F.broadcast(ranges), hit).select(*participants.columns, "exam_id")
+    rows = sorted(fixed_rows(exams.select("exam_id", "weight", "ordinal")), key=lambda r: r["ordinal"])
+    weights = [max(r["weight"] or 0.0, 0.0) for r in rows]
+    if not sum(weights):
+        weights = [1.0] * len(rows)
+    at, chosen, low = F.col("__u") * F.lit(float(sum(weights))), F.lit(None).cast("string"), 0.0
+    for r, weight in zip(rows, weights):
+        if weight:
+            high = low + weight
+            chosen = F.when(chosen.isNull() & (at <= high), F.lit(r["exam_id"])).otherwise(chosen)
+            low = high
+    return participants.withColumn("__u", draw(*key)).select(*participants.columns, chosen.alias("exam_id")).where("exam_id IS NOT NULL")
 
 
 def sticky(stored: DataFrame, drawn: DataFrame, exams: DataFrame, key: str) -> DataFrame:
-    """A stored assignment of the same study whose exam still exists is kept; otherwise the drawn one."""
-    valid = stored.join(F.broadcast(exams.select("exam_id")), "exam_id", "left_semi").select(key, F.col("exam_id").alias("__kept"))
-    joined = drawn.join(valid, key, "left")
+    """A stored assignment of the same study whose exam still exists is kept; otherwise the drawn one. exams is a table of settings."""
+    valid = stored.where(F.col("exam_id").isin([r["exam_id"] for r in fixed_rows(exams.select("exam_id"))])).select(key, F.col("exam_id").alias("__kept"))
+    joined = drawn.join(valid.hint("merge"), key, "left")
     return joined.withColumn("reused", F.col("__kept").isNotNull()).withColumn("exam_id", F.coalesce("__kept", "exam_id")).drop("__kept")
 
 
@@ -66,9 +70,17 @@ def score(answers: DataFrame, key: DataFrame) -> DataFrame:
 
 
 def answer_sheet(answers: DataFrame, key: DataFrame) -> DataFrame:
-    """One row for each session and question, selected_index null when unanswered."""
-    sessions = answers.select("session_id").distinct()
-    return sessions.join(F.broadcast(key)).join(last_answers(answers), ["session_id", "question_id"], "left")
+    """One row for each session and question of the key, selected_index null when unanswered.
+
+    The key (question_id, ordinal, answer_index) is a table of settings (see features.fixed_rows); each session gets its questions in its
+    row, and its answers are collected there, so nothing is joined.
+    """
+    rows = fixed_rows(key.select("question_id", "ordinal", "answer_index"))
+    given = last_answers(answers).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", "selected_index"))).alias("__given"))
+    kinds = {f.name: f.dataType for f in key.schema}
+    questions = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("question_id", "ordinal", "answer_index")]) for r in rows])
+    sheet = given.select("session_id", "__given", F.explode(questions).alias("q")).select("session_id", "__given", "q.*")
+    return sheet.select("session_id", "question_id", "ordinal", "answer_index", F.try_element_at("__given", F.col("question_id")).alias("selected_index"))
 
 
 def timing(events: DataFrame, limit: Column) -> DataFrame:
@@ -80,8 +92,14 @@ def timing(events: DataFrame, limit: Column) -> DataFrame:
 
 
 def result_rows(scored: DataFrame, study: str) -> DataFrame:
-    """Scored sessions with their store key and sanitised ids."""
-    return scored.withColumn("study_id", tx.path_segment(F.lit(study))).withColumn("result_key", F.concat_ws("/", F.lit("study-results"), tx.path_segment(F.lit(study)), tx.path_segment(F.col("session_id"))))
+    """Scored sessions with received_at, their store key and sanitised ids; the key is grouped by the day of receipt.
+
+    scored has received_at (a timestamp).
+    """
+    safe, session = tx.path_segment(F.lit(study)), tx.path_segment(F.col("session_id"))
+    day = F.date_format("received_at", "yyyy-MM-dd")
+    key = F.concat_ws("/", F.lit("study-results"), safe, day, F.concat(session, F.lit(".json")))
+    return scored.withColumn("study_id", safe).withColumn("result_key", key).withColumn("session_id", session).withColumn("received_at", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def scale(low: Column, high: Column) -> Column:
@@ -95,23 +113,38 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def normalise_exams(exams: DataFrame) -> DataFrame:
-    """Exams with an id slug, a timing mode and limit, and questions with ids, at least two choices and an answer among them."""
-    slug = F.regexp_replace(F.lower(F.trim("id")), "[^a-z0-9_-]+", "-")
-    mode = F.when(F.col("timing_mode").isin("countdown", "stopwatch"), F.col("timing_mode")).when(F.col("time_limit_seconds") > 0, "countdown").otherwise("stopwatch")
+    """Exams with an id slug, a timing mode and limit, a condition, and questions with ids, choices and an answer among them.
+
+    Only a question without any non-blank choice gets the two default ones. exams: id, fallback_id, document_id, title, question_set_id,
+    enabled, timing_mode, time_limit_seconds (a string), condition_id, visible, questions (array of text, choices, answer_index; null
+    entries are left out but counted).
+    """
+    slug = lambda c: F.lower(tx.artifact_name(tx.stem(c)))
+    blank = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), default)
+    exam_id = slug(blank(F.col("id"), F.col("fallback_id")))
+    limit = F.coalesce(tx.to_int(F.col("time_limit_seconds")), F.lit(0))
+    asked = F.lower(F.trim(F.coalesce("timing_mode", F.lit(""))))
+    mode = F.when(asked.isin("countdown", "stopwatch"), asked).when(limit > 0, "countdown").otherwise("stopwatch")
 
     def question(q: Column, k: Column) -> Column:
-        kept = F.filter(q["choices"], lambda c: F.trim(c) != "")
-        choices = F.when(F.size(kept) >= 2, kept).otherwise(F.array(F.lit("Option A"), F.lit("Option B")))
+        kept = F.filter(F.coalesce(q["choices"], F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+        choices = F.when(F.size(kept) > 0, kept).otherwise(F.array(*map(F.lit, DEFAULT_CHOICES)))
         answer = F.least(F.greatest(F.coalesce(q["answer_index"], F.lit(0)), F.lit(0)), F.size(choices) - 1)
-        return F.struct(F.concat(slug, F.lit("-q"), (k + 1).cast("string")).alias("question_id"), q["text"].alias("text"), choices.alias("choices"), answer.alias("answer_index"))
+        number = (k + 1).cast("string")
+        text = blank(q["text"], F.concat(F.lit("Question "), number))
+        return F.when(q.isNotNull(), F.struct(F.concat(exam_id, F.lit("-q"), number).alias("question_id"), text.alias("text"), choices.alias("choices"), answer.alias("answer_index")))
 
-    visible = F.array_join(F.filter("visible", lambda v: v.isNotNull()), "-")
+    shown = F.filter(F.transform(F.coalesce("visible", F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
     return exams.select(
-        slug.alias("exam_id"),
+        exam_id.alias("exam_id"),
+        slug(F.coalesce("document_id", F.lit(""))).alias("document_id"),
+        blank(F.col("title"), exam_id).alias("title"),
+        blank(F.col("question_set_id"), F.concat(exam_id, F.lit("-questions"))).alias("question_set_id"),
+        F.coalesce("enabled", F.lit(True)).alias("enabled"),
         mode.alias("timing_mode"),
-        F.when(mode == "stopwatch", 0).otherwise(F.greatest(F.coalesce("time_limit_seconds", F.lit(0)), F.lit(0))).alias("time_limit_seconds"),
-        F.coalesce(F.nullif(visible, F.lit("")), F.lit("none")).alias("condition_id"),
-        F.transform("questions", question).alias("questions"),
+        F.when(mode == "stopwatch", 0).otherwise(limit).alias("time_limit_seconds"),
+        blank(F.col("condition_id"), blank(F.array_join(shown, "-"), F.lit("none"))).alias("condition_id"),
+        F.array_compact(F.transform("questions", question)).alias("questions"),
     )
 
 

@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
+from lectern.operators.layout import runs_of
 
 SIZE, CHARS, LEAST_CHARS = 12, 6000, 1000
 
 
 def pack_windows(chunks: DataFrame, size: int = SIZE, chars: int = CHARS) -> DataFrame:
-    """window_no of each chunk. The state resets with each window, so it is a fold over the document's chunks, inside the JVM."""
+    """window_no of each chunk. The state resets with each window, so it is a fold over the document's chunks, inside the JVM, that keeps
+    the places where windows begin."""
     most = max(chars, LEAST_CHARS)
-    listed = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("reading_order", "page_number", F.length("text").alias("n")))).alias("cs"))
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("k"), F.lit(0).alias("c"), F.lit(0).alias("p"), F.array().cast("array<int>").alias("out"))
+    row = F.struct("document_id", "reading_order", F.length("text").alias("n_chars"))
+    listed = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("reading_order", "page_number", F.length("text").alias("n"), row.alias("row")))).alias("cs"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(0).alias("c"), F.lit(0).alias("p"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
-        full = (s["k"] > 0) & ((s["k"] >= size) | (s["c"] + c["n"] > most) | ((s["p"] != c["page_number"]) & (s["k"] >= size // 2)))
-        w = F.when(full, s["w"] + 1).otherwise(s["w"])
+        full = (s["k"] == 0) | (s["k"] >= size) | (s["c"] + c["n"] > most) | ((s["p"] != c["page_number"]) & (s["k"] >= size // 2))
+        at = s["at"] + 1
         return F.struct(
-            w.alias("w"),
+            at.alias("at"),
             F.when(full, 1).otherwise(s["k"] + 1).alias("k"),
             F.when(full, c["n"]).otherwise(s["c"] + c["n"]).alias("c"),
             c["page_number"].alias("p"),
-            F.concat(s["out"], F.array(w)).alias("out"),
+            F.when(full, F.concat(s["out"], F.array(at))).otherwise(s["out"]).alias("out"),
         )
 
-    folded = listed.select("document_id", "cs", F.aggregate("cs", start, step)["out"].alias("out"))
-    pairs = folded.select("document_id", F.explode(F.arrays_zip("cs", "out")).alias("z"))
-    return pairs.select("document_id", F.col("z.cs.reading_order").alias("reading_order"), F.col("z.out").alias("window_no"), F.col("z.cs.n").alias("n_chars"))
+    folded = listed.select("cs", F.aggregate("cs", start, step)["out"].alias("begins"))
+    found = runs_of(folded, "cs", "begins", "window_no")
+    return found.select("document_id", "reading_order", (F.col("window_no") - 1).alias("window_no"), "n_chars")
 
 
 def envelope(windows: DataFrame) -> DataFrame:
@@ -39,20 +44,37 @@ def envelope(windows: DataFrame) -> DataFrame:
     return rows.withColumn("windows", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
 
 
-def halve(windows: DataFrame, failed: Column) -> DataFrame:
-    """part of each chunk of failed windows of more than one chunk: the first half (at least one chunk) is 0, the rest 1."""
-    own = Window.partitionBy("document_id", "window_no")
-    place = F.row_number().over(own.orderBy("reading_order")) - 1
-    size = F.count(F.lit(1)).over(own)
-    rows = windows.withColumn("size", size).withColumn("place", place)
-    cut = F.greatest(F.lit(1), F.floor(F.col("size") / 2))
-    return rows.where(failed & (F.col("size") > 1)).withColumn("part", F.when(F.col("place") < cut, 0).otherwise(1)).drop("size", "place")
+def split_overflow(windows: DataFrame, fails, size: int = SIZE) -> DataFrame:
+    """part of each chunk ('' for a window that was not cut, else a string of 0s and 1s, in processing order) and whether its part still fails.
+
+    fails(parts) says, from a part's chars and size, whether its output overflowed. Failed parts of more than one chunk are cut in
+    halves (the first at least one chunk), again and again until none is left; parts of one chunk keep their error. Halving
+    a window of `size` chunks ends after log2(size) rounds, so the rounds are laid out in one plan.
+    """
+    rows = windows.withColumn("part", F.lit(""))
+    for _ in range(math.ceil(math.log2(max(size, 2)))):
+        own = Window.partitionBy("document_id", "window_no", "part")
+        rows = rows.withColumn("size", F.count(F.lit(1)).over(own)).withColumn("chars", F.sum("n_chars").over(own)).withColumn("place", F.row_number().over(own.orderBy("reading_order")))
+        half = F.when(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") / 2)), "0").otherwise("1")
+        cut = F.coalesce(fails(F.col("chars"), F.col("size")), F.lit(False)) & (F.col("size") > 1)
+        rows = rows.withColumn("part", F.when(cut, F.concat("part", half)).otherwise(F.col("part"))).drop("size", "chars", "place")
+    own = Window.partitionBy("document_id", "window_no", "part")
+    failed = F.coalesce(fails(F.sum("n_chars").over(own), F.count(F.lit(1)).over(own)), F.lit(False))
+    return rows.withColumn("failed", failed)
+
+
+def artefacts(parts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What each part of a window was given and gave: document_id, artefact_no (in processing order), window_no, part, chunk_ids, chars, failed."""
+    joined = parts.join(chunks.select("document_id", "reading_order", "chunk_id").hint("merge"), ["document_id", "reading_order"])
+    rows = joined.groupBy("document_id", "window_no", "part").agg(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id"))).alias("s"), F.sum("n_chars").alias("chars"), F.bool_or("failed").alias("failed"))
+    order = Window.partitionBy("document_id").orderBy("window_no", "part")
+    return rows.select("document_id", F.row_number().over(order).alias("artefact_no"), "window_no", "part", F.transform("s", lambda x: x["chunk_id"]).alias("chunk_ids"), "chars", "failed")
 
 
 def clean_groups(groups: DataFrame, chunks: DataFrame) -> DataFrame:
     """Groups with their ids trimmed, known, distinct and in reading order; empty groups dropped; role lower-cased, `body` if blank."""
     ids = groups.select("document_id", "group_no", "role", F.explode("chunk_ids").alias("chunk_id")).withColumn("chunk_id", F.trim("chunk_id")).distinct()
-    known = ids.join(chunks.select("document_id", "chunk_id", "reading_order"), ["document_id", "chunk_id"])
+    known = ids.join(chunks.select("document_id", "chunk_id", "reading_order").hint("merge"), ["document_id", "chunk_id"])
     merged = known.groupBy("document_id", "group_no", "role").agg(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id"))).alias("s"))
     return merged.select(
         "document_id",
@@ -66,7 +88,7 @@ def clean_groups(groups: DataFrame, chunks: DataFrame) -> DataFrame:
 def unknown_ids(groups: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ids named by a group that its document does not have."""
     ids = groups.select("document_id", "group_no", F.explode("chunk_ids").alias("chunk_id")).withColumn("chunk_id", F.trim("chunk_id")).distinct()
-    return ids.join(chunks.select("document_id", "chunk_id"), ["document_id", "chunk_id"], "left_anti")
+    return ids.join(chunks.select("document_id", "chunk_id").hint("merge"), ["document_id", "chunk_id"], "left_anti")
 
 
 def fill_paths(groups: DataFrame, order_col: str) -> DataFrame:

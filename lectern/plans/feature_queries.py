@@ -9,7 +9,7 @@ from lectern.functions import text as tx
 from lectern.operators import features, overlays
 from lectern.plans import views
 from lectern.plans.registry import query
-from lectern.plans.text_queries import C, block_rows, documents, events
+from lectern.plans.text_queries import C, block_rows, blocks_of, documents, events
 
 WORDS = "len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*'))"
 STOPS = ", ".join(f"'{w}'" for w in features.STOP_WORDS)
@@ -39,13 +39,7 @@ def f2(spark, sf_dir):
 
 @query("f3_default_rows", f"WITH {views.BLOCKS}, {KEYWORDS} SELECT document_id, block_no, 'keywords' AS kind, keywords AS value FROM kw UNION ALL SELECT document_id, block_no, 'summary', {LEAD} FROM blocks")
 def f3(spark, sf_dir):
-    return default_rows(block_rows(spark, sf_dir))
-
-
-def default_rows(blocks):
-    words = features.keywords(blocks, ["document_id", "block_no"]).join(blocks.select("document_id", "block_no", tx.lead_sentence(F.col("text")).alias("summary")), ["document_id", "block_no"])
-    kinds = F.array(F.struct(F.lit("keywords").alias("kind"), F.array_join("keywords", ", ").alias("value")), F.struct(F.lit("summary").alias("kind"), F.col("summary").alias("value")))
-    return words.select("document_id", "block_no", F.explode(kinds).alias("r")).select("document_id", "block_no", "r.kind", "r.value")
+    return features.default_rows(block_rows(spark, sf_dir), ["document_id", "block_no"])
 
 
 @query("f4_jobs", f"WITH {views.BLOCKS}, d(kind, least) AS (VALUES ('keywords', 20), ('summary', 35)), n AS (SELECT *, {WORDS} AS words FROM blocks) SELECT document_id, CAST(block_no AS VARCHAR) AS block_id, kind, block_no || ':' || kind AS job_id, 'pending' AS status, words FROM n JOIN d ON words > least")
@@ -71,15 +65,7 @@ def f6(spark, sf_dir):
 )
 def f7(spark, sf_dir):
     """Chunks to paragraphs to eligible jobs to keywords and lead sentences: the library end to end."""
-    blocks = keyed(spark, sf_dir)
-    jobs = features.plan_jobs(blocks, features.definitions(spark)).select("document_id", F.col("block_id").cast("int").alias("block_no"), "kind")
-    return default_rows(blocks).join(jobs, ["document_id", "block_no", "kind"], "left_semi")
-
-
-@query("f8_counters", f"WITH {views.BLOCKS}, n AS (SELECT *, {WORDS} AS words FROM blocks) SELECT document_id, count(*) FILTER (words > 20) AS eligible, count(*) FILTER (words > 35) AS summarised, count(*) FILTER (words <= 20) AS skipped FROM n GROUP BY 1")
-def f8(spark, sf_dir):
-    rows = block_rows(spark, sf_dir).withColumn("words", tx.word_count(F.col("text")))
-    return rows.groupBy("document_id").agg(F.count_if(F.col("words") > 20).alias("eligible"), F.count_if(F.col("words") > 35).alias("summarised"), F.count_if(F.col("words") <= 20).alias("skipped"))
+    return features.representations(block_rows(spark, sf_dir), features.definitions(spark), ["document_id", "block_no"])
 
 
 KEYS = ["document_id", "block_no", "kind"]
@@ -138,13 +124,6 @@ def f16(spark, sf_dir):
     return state(spark, sf_dir).where("status = 'complete'").join(results, "document_id").select(*KEYS, "result")
 
 
-@query("f17_merge_by_block", f"WITH {views.BLOCKS} SELECT document_id, block_no, CASE WHEN block_no % 3 = 0 THEN 'new' ELSE substr(text, 1, 20) END AS representations FROM blocks")
-def f17(spark, sf_dir):
-    blocks = block_rows(spark, sf_dir).select("document_id", "block_no", F.substring("text", 1, 20).alias("representations"))
-    results = blocks.where("block_no % 3 = 0").select("document_id", "block_no", F.lit("new").alias("representations"))
-    return features.replace_by_block(blocks, results, ["document_id", "block_no"])
-
-
 @query(
     "f18_merge_by_kind",
     "WITH o AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"
@@ -162,21 +141,6 @@ def f20(spark, sf_dir):
     return rows.select("event_id", features.fingerprint(rows, ["user_id", "event_type"], F.col("event_id") % 4 != 0).alias("fingerprint"))
 
 
-@query("f22_incremental_plan", "SELECT d.doc_id, CASE WHEN p.page_id IS NULL THEN 'parse' WHEN d.n_chars % 3 <> p.page_id % 3 THEN 'restart' WHEN d.n_chars % 2 = 0 THEN 'resume' ELSE 'adopt' END AS action FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
-def f22(spark, sf_dir):
-    from lectern.plans.text_queries import pages
-
-    cache = pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), (F.col("page_id") % 3).alias("profile"))
-    joined = documents(spark, sf_dir).join(cache, "doc_id", "left")
-    action = F.when(F.col("profile").isNull(), "parse").when(F.col("n_chars") % 3 != F.col("profile"), "restart").when(F.col("n_chars") % 2 == 0, "resume").otherwise("adopt")
-    return joined.select("doc_id", action.alias("action"))
-
-
-@query("f23_kinds", f"WITH {views.JOBS} SELECT document_id, kind, min(pos) AS first_seen FROM jobs GROUP BY 1, 2")
-def f23(spark, sf_dir):
-    return views.jobs(spark, sf_dir).groupBy("document_id", "kind").agg(F.min("pos").alias("first_seen"))
-
-
 @query("f24_quiz_text", f"WITH {views.BLOCKS} SELECT document_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY block_no), 1, 6000) AS text FROM blocks WHERE trim(text) <> '' GROUP BY 1")
 def f24(spark, sf_dir):
     parts = F.array_sort(F.collect_list(F.struct("block_no", "text")))
@@ -184,22 +148,12 @@ def f24(spark, sf_dir):
     return rows.select("document_id", F.substring(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 1, 6000).alias("text"))
 
 
-@query("f25_provider_fallback", "SELECT user_id, arg_min(event_type, CASE WHEN event_type = 'view' THEN '' ELSE event_type END) AS provider FROM events GROUP BY 1")
-def f25(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))).alias("provider"))
-
-
-@query("f26_summary", f"WITH {ROLLED} SELECT document_id, total, complete, failed, status, d.source AS title FROM rs JOIN documents d ON d.doc_id = document_id")
-def f26(spark, sf_dir):
-    titles = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"))
-    return features.rollup(state(spark, sf_dir), ["document_id"]).join(titles, "document_id").select("document_id", "total", "complete", "failed", "status", "title")
-
-
-OVER = views.BLOCKS + ", un AS (SELECT document_id, block_no, generate_subscripts(chunk_ids, 1) - 1 AS pos, unnest(chunk_ids) AS chunk_id FROM blocks WHERE block_no % 4 <> 0), ov AS (SELECT un.document_id, CAST(un.block_no AS VARCHAR) AS block_id, un.pos, chunk_id, c.page_number, c.x, c.y, c.width, c.height, c.reading_order FROM un JOIN chunks c USING (document_id, chunk_id))"
+OVER = views.BLOCKS + ", un AS (SELECT document_id, block_no, generate_subscripts(chunk_ids, 1) - 1 AS pos, unnest(chunk_ids) AS chunk_id FROM blocks), ov AS (SELECT un.document_id, CAST(un.block_no AS VARCHAR) AS block_id, un.pos, chunk_id, c.page_number, c.x, c.y, c.width, c.height, c.reading_order FROM un JOIN chunks c USING (document_id, chunk_id))"
 
 
 def overlay_table(spark, sf_dir):
-    return overlays.overlay_rows(keyed(spark, sf_dir).where("block_no % 4 <> 0"), views.chunks(spark, sf_dir))
+    chunks = views.written_chunks(spark, sf_dir)
+    return overlays.overlay_rows(blocks_of(chunks).withColumn("block_id", F.col("block_no").cast("string")), chunks)
 
 
 @query("g1_overlays", f"WITH {OVER} SELECT document_id, block_id, chunk_id, block_id || ':' || chunk_id AS overlay_id, row_number() OVER (PARTITION BY document_id, block_id ORDER BY pos) = 1 AS has_label FROM ov")
@@ -207,9 +161,12 @@ def g1(spark, sf_dir):
     return overlay_table(spark, sf_dir).select("document_id", "block_id", "chunk_id", "overlay_id", "has_label")
 
 
-@query("g2_unmapped", f"WITH {OVER} SELECT document_id, chunk_id, 'unmapped:' || chunk_id AS overlay_id FROM chunks ANTI JOIN ov USING (document_id, chunk_id)")
+@query("g2_unmapped", f"WITH {OVER} SELECT document_id, chunk_id, 'unmapped:' || chunk_id AS overlay_id FROM chunks ANTI JOIN (SELECT ov.* FROM ov JOIN blocks b ON b.document_id = ov.document_id AND CAST(b.block_no AS VARCHAR) = ov.block_id WHERE {WORDS.replace('text', 'b.text')} > 20) o USING (document_id, chunk_id)")
 def g2(spark, sf_dir):
-    return overlays.unmapped(views.chunks(spark, sf_dir), overlay_table(spark, sf_dir)).select("document_id", "chunk_id", "overlay_id")
+    """Chunks of blocks too short for any job stand in no overlay."""
+    chunks = views.written_chunks(spark, sf_dir)
+    long = blocks_of(chunks).where(tx.word_count(F.col("text")) > 20).withColumn("block_id", F.col("block_no").cast("string"))
+    return overlays.unmapped(chunks, overlays.overlay_rows(long, chunks)).select("document_id", "chunk_id", "overlay_id")
 
 
 @query("g3_page_order", f"WITH {OVER}, pl AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY y, x, block_id || ':' || chunk_id) AS place FROM ov), ct AS (SELECT document_id, page_number, count(DISTINCT block_id) AS blocks FROM ov GROUP BY 1, 2) SELECT document_id, page_number, block_id || ':' || chunk_id AS overlay_id, place, blocks FROM pl JOIN ct USING (document_id, page_number)")
@@ -226,14 +183,20 @@ def g5(spark, sf_dir):
     return found.select("document_id", "block_id", "chunk_id", *(F.round(f"r.{c}", 6).alias(c) for c in ("w", "h", "ord")))
 
 
-@query("g6_summary_height", f"WITH {views.BLOCKS} SELECT document_id, block_no, CAST(least(greatest(CAST(ceil(length(substr(text, 1, 90)) * 7.0 / 284) AS INT), 1), 3) * 18 + 10 AS DOUBLE) AS height FROM blocks")
+@query("g6_summary_height", f"WITH {views.BLOCKS} SELECT document_id, block_no, CAST(least(greatest(CAST(ceil(length(text) * 7.0 / 284) AS INT), 1), 3) * 18 + 10 AS DOUBLE) AS height FROM blocks")
 def g6(spark, sf_dir):
-    return block_rows(spark, sf_dir).select("document_id", "block_no", overlays.summary_height(F.substring("text", 1, 90), F.lit(300.0)).alias("height"))
+    return block_rows(spark, sf_dir).select("document_id", "block_no", overlays.summary_height(F.col("text"), F.lit(300.0)).alias("height"))
+
+
+CHIPS = """RECURSIVE it AS (SELECT document_id, block_no, row_number() OVER (PARTITION BY document_id, block_no ORDER BY i) AS n, least(length(x) * CAST(7.2 AS DOUBLE) + 14, 300) AS chip FROM (SELECT document_id, block_no, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS x FROM (SELECT document_id, block_no, replace(text, ' of ', '  ') AS text FROM blocks)) WHERE x <> ''),
+ fl AS (SELECT document_id, block_no, n, 1 AS rows, chip AS used FROM it WHERE n = 1 UNION ALL SELECT it.document_id, it.block_no, it.n, CASE WHEN f.used + 4 + chip > 300 THEN f.rows + 1 ELSE f.rows END, CASE WHEN f.used + 4 + chip > 300 THEN chip ELSE f.used + 4 + chip END FROM fl f JOIN it ON it.document_id = f.document_id AND it.block_no = f.block_no AND it.n = f.n + 1)"""
 
 
-@query("g7_chip_rows")
+@query("g7_chip_rows", f"WITH {CHIPS.replace('RECURSIVE it', 'RECURSIVE ' + views.BLOCKS + ', it')} SELECT b.document_id, b.block_no, CAST(coalesce(max(rows), 1) * 23 + (coalesce(max(rows), 1) - 1) * 4 AS DOUBLE) AS height FROM blocks b LEFT JOIN fl ON fl.document_id = b.document_id AND fl.block_no = b.block_no GROUP BY 1, 2")
 def g7(spark, sf_dir):
-    return block_rows(spark, sf_dir).select("document_id", "block_no", overlays.chips_height(F.split("text", " "), F.lit(300.0)).alias("height"))
+    """A block's words as chips; a word taken out leaves an empty one."""
+    items = F.split(F.replace(F.col("text"), F.lit(" of "), F.lit("  ")), " ")
+    return block_rows(spark, sf_dir).select("document_id", "block_no", overlays.chips_height(items, F.lit(300.0)).alias("height"))
 
 
 @query(

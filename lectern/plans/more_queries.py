@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.functions import text as tx
-from lectern.operators import alignment, study
 from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.plans.text_queries import block_rows, events
@@ -29,44 +26,6 @@ def a4(spark, sf_dir):
     return elements.walk(trees(spark, sf_dir), "document_id", "json")
 
 
-@query("a12_key_precedence", "WITH k AS (SELECT event_type AS question_set_id, user_id AS answer, CASE WHEN event_type = 'view' THEN 5 WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS pri FROM events), r AS (SELECT *, dense_rank() OVER (PARTITION BY question_set_id ORDER BY pri) AS rank FROM k) SELECT question_set_id, count(*) AS answers, min(pri) AS pri FROM r WHERE rank = 1 GROUP BY 1")
-def a12(spark, sf_dir):
-    pri = F.when(F.col("event_type") == "view", 5).when(F.col("event_id") % 3 == 0, 0).otherwise(1)
-    rows = events(spark, sf_dir).select(F.col("event_type").alias("question_set_id"), F.col("user_id").alias("answer"), pri.alias("pri"))
-    return elements.precedence(rows, "question_set_id", F.col("pri")).groupBy("question_set_id").agg(F.count(F.lit(1)).alias("answers"), F.min("pri").alias("pri"))
-
-
-def exams(spark, sf_dir):
-    """Exam records nested from events: three questions each."""
-    n = F.col("event_id")
-    question = lambda k: F.struct(F.lit(f"Question {k}").alias("text"), F.array(F.lit("yes"), F.lit(" "), F.concat(F.lit("c"), (n % (k + 2)).cast("string"))).alias("choices"), ((n + k) % 4).cast("int").alias("answer_index"))
-    mode = F.when(n % 3 == 0, "stopwatch").when(n % 3 == 1, "countdown")
-    return events(spark, sf_dir).select(F.concat(F.lit("Exam "), n.cast("string")).alias("id"), mode.alias("timing_mode"), (n % 600).cast("int").alias("time_limit_seconds"), F.array(F.lit("keywords"), F.when(n % 2 == 0, F.lit("summary"))).alias("visible"), F.array(*(question(k) for k in range(3))).alias("questions"))
-
-
-EXAMS = """xm AS (SELECT event_id AS n, 'exam-' || event_id AS exam_id, CASE WHEN event_id % 3 = 0 THEN 'stopwatch' WHEN event_id % 3 = 1 THEN 'countdown' WHEN event_id % 600 > 0 THEN 'countdown' ELSE 'stopwatch' END AS timing_mode, CAST(event_id % 600 AS INT) AS lim FROM events)"""
-
-
-@query("i1_exam_normalise", f"WITH {EXAMS} SELECT exam_id, timing_mode, CASE WHEN timing_mode = 'stopwatch' THEN 0 ELSE lim END AS time_limit_seconds, CASE WHEN n % 2 = 0 THEN 'keywords-summary' ELSE 'keywords' END AS condition_id FROM xm")
-def i1(spark, sf_dir):
-    return study.normalise_exams(exams(spark, sf_dir)).select("exam_id", "timing_mode", "time_limit_seconds", "condition_id")
-
-
-@query("a15_private_keys", f"WITH {EXAMS}, q AS (SELECT n, exam_id, unnest(range(0, 3)) AS k FROM xm) SELECT exam_id || '-q' || (k + 1) AS question_id, CAST(least((n + k) % 4, 1) AS INT) AS answer_index FROM q")
-def a15(spark, sf_dir):
-    return study.private_keys(study.normalise_exams(exams(spark, sf_dir)))
-
-
-@query("a15_public_questions", f"WITH {EXAMS}, q AS (SELECT n, exam_id, unnest(range(0, 3)) AS k FROM xm) SELECT exam_id || '-q' || (k + 1) AS question_id, 'Question ' || k AS text, 'yes|c' || (n % (k + 2)) AS choices FROM q")
-def a15_public(spark, sf_dir):
-    return study.public_questions(study.normalise_exams(exams(spark, sf_dir))).withColumn("choices", F.array_join("choices", "|"))
-
-
-@query("h4_projection", f"WITH {EXAMS} SELECT exam_id, CASE WHEN n % 2 = 0 THEN 'keywords-summary' ELSE 'keywords' END AS condition_id, CASE WHEN timing_mode = 'stopwatch' THEN 0 ELSE lim END AS limit_seconds, 3 AS questions FROM xm")
-def h4(spark, sf_dir):
-    return study.normalise_exams(exams(spark, sf_dir)).select("exam_id", "condition_id", F.col("time_limit_seconds").alias("limit_seconds"), F.size("questions").alias("questions"))
-
-
 STYLE = "CASE WHEN event_type = 'view' THEN '#fff8e1' WHEN event_id % 3 = 0 THEN '#a' || (event_id % 10) ELSE '#263238' END"
 
 
@@ -79,14 +38,6 @@ def b13(spark, sf_dir):
     return rows.select("event_id", color.alias("color"), F.coalesce("set_opacity", F.when(own, F.col("value") / 1000), F.lit(1.0)).alias("opacity"))
 
 
-@query("b15_request_text", f"WITH {views.BLOCKS}, n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS words FROM blocks) SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN format('Return JSON {{{{\"k\": [...]}}}} with up to 5 key phrases of: {{}}', text) ELSE format('Return JSON {{{{\"s\": \"...\"}}}} of about {{}} words on: {{}}', greatest(8, CAST(ceil(words * CAST(0.15 AS DOUBLE)) AS INT)), text) END AS request FROM n")
-def b15(spark, sf_dir):
-    target = tx.target_words(tx.word_count(F.col("text")), 0.15)
-    words = F.format_string('Return JSON {"k": [...]} with up to 5 key phrases of: %s', F.col("text"))
-    summary = F.format_string('Return JSON {"s": "..."} of about %d words on: %s', target, F.col("text"))
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.when(F.col("block_no") % 2 == 0, words).otherwise(summary).alias("request"))
-
-
 RESPONSE = "CASE event_id % 5 WHEN 0 THEN concat('{\"output_text\":\"', event_type, '\"}') WHEN 1 THEN concat('{\"output\":[{\"content\":[{\"text\":\"c', user_id, '\"}]}]}') WHEN 2 THEN concat('{\"choices\":[{\"message\":{\"content\":\"m', user_id, '\"}}]}') WHEN 3 THEN '{\"error\":\"x\",\"output_text\":\"no\"}' ELSE 'broken{' END"
 
 
@@ -95,89 +46,6 @@ def b17(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", elements.response_text(F.expr(RESPONSE)).alias("text"))
 
 
-@query("b18_payload", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'keywords' WHEN event_id % 3 = 1 THEN 'summary' ELSE 'error' END AS kind, CASE WHEN event_id % 3 = 0 THEN event_type || ',' || user_id WHEN event_id % 3 = 1 THEN 's' || user_id END AS value FROM events")
-def b18(spark, sf_dir):
-    text = F.expr("CASE event_id % 3 WHEN 0 THEN concat('{\"k\":[\"', event_type, '\",\"', user_id, '\"]}') WHEN 1 THEN concat('{\"s\":\"s', user_id, '\"}') ELSE 'oops' END")
-    parsed = F.from_json(text, "k array<string>, s string, v string")
-    rows = events(spark, sf_dir).select("event_id", parsed.alias("p"))
-    kind = F.when(F.col("p.k").isNotNull(), "keywords").when(F.coalesce("p.v", "p.s").isNotNull(), "summary").otherwise("error")
-    return rows.select("event_id", kind.alias("kind"), F.coalesce(F.array_join("p.k", ","), "p.v", "p.s").alias("value"))
-
-
-@query("b22_selection_summary", f"WITH {views.BLOCKS} SELECT document_id, block_no, len(chunk_ids) || ' selected on p' || page_number || ': ' || array_to_string(chunk_ids[1:4], ', ') || CASE WHEN len(chunk_ids) > 4 THEN ', +' || (len(chunk_ids) - 4) || ' more' ELSE '' END AS summary FROM blocks")
-def b22(spark, sf_dir):
-    size = F.size("chunk_ids")
-    more = F.when(size > 4, F.concat(F.lit(", +"), (size - 4).cast("string"), F.lit(" more"))).otherwise("")
-    summary = F.concat(size.cast("string"), F.lit(" selected on p"), F.col("page_number").cast("string"), F.lit(": "), F.array_join(F.slice("chunk_ids", 1, 4), ", "), more)
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.when(size > 0, summary).otherwise("No chunks selected.").alias("summary"))
-
-
-@query("c8_visibility", "SELECT event_id, event_type IN ('view', 'click') AND NOT event_id % 7 = 0 AS visible FROM events")
-def c8(spark, sf_dir):
-    condition = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("none"))).otherwise(F.array(F.lit("view"), F.lit("click")))
-    return events(spark, sf_dir).select("event_id", F.array_contains(condition, F.col("event_type")).alias("visible"))
-
-
-@query("d13_grouped_blocks", f"WITH {views.BLOCKS} SELECT document_id, block_no, text FROM blocks WHERE block_no % 6 <> 0")
-def d13(spark, sf_dir):
-    groups = block_rows(spark, sf_dir).select("document_id", "block_no", F.when(F.col("block_no") % 6 == 0, F.array(F.lit("zz"))).otherwise(F.concat("chunk_ids", F.array(F.lit("zz")))).alias("ids"))
-    named = groups.select("document_id", "block_no", F.posexplode("ids").alias("pos", "chunk_id"))
-    known = named.join(views.chunks(spark, sf_dir).select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"])
-    parts = known.groupBy("document_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("t")))).alias("p"))
-    return parts.select("document_id", "block_no", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
-
-
-@query("d20_alignment_runs")
-def d20(spark, sf_dir):
-    chunks = views.chunks(spark, sf_dir)
-    units = block_rows(spark, sf_dir).select("document_id", F.col("block_no").alias("unit_no"), "text")
-    return alignment.runs(units, chunks)
-
-
-@query("d21_aligned_chunks")
-def d21(spark, sf_dir):
-    units = block_rows(spark, sf_dir).select("document_id", F.col("block_no").alias("unit_no"), "text")
-    return alignment.align(units, views.chunks(spark, sf_dir))
-
-
-@query("f21_profile_match", "SELECT event_id, event_type = 'view' AND (event_id % 2 = 0 OR user_id % 3 = 0) AS same FROM events")
-def f21(spark, sf_dir):
-    stored = F.expr("str_to_map(concat('version=1|provider=', event_type, '|semantic=', event_id % 2, '|semantic_model=', user_id % 3), '[|]', '=')")
-    rows = events(spark, sf_dir).select("event_id", stored.alias("p"))
-    same = (F.col("p")["version"] == "1") & (F.col("p")["provider"] == "view") & ((F.col("p")["semantic"] == "0") | (F.col("p")["semantic_model"] == "0"))
-    return rows.select("event_id", same.alias("same"))
-
-
-@query("f27_enable_default", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN false WHEN event_id % 4 = 1 THEN true ELSE lower(trim(event_type)) = 'view' END AS enabled FROM events")
-def f27(spark, sf_dir):
-    flag = F.when(F.col("event_id") % 4 == 0, False).when(F.col("event_id") % 4 == 1, True)
-    return events(spark, sf_dir).select("event_id", F.coalesce(flag, F.lower(F.trim("event_type")) == "view").alias("enabled"))
-
-
-@query("g9_other_kinds", f"WITH {views.BLOCKS} SELECT document_id, block_no, CASE WHEN block_no % 3 = 0 THEN 0 WHEN block_no % 3 = 1 THEN CAST(len(chunk_ids) - 1 AS INT) ELSE CAST(block_no % len(chunk_ids) AS INT) END AS region FROM blocks")
-def g9(spark, sf_dir):
-    n = F.size("chunk_ids")
-    summary, keyword = F.when(F.col("block_no") % 3 == 0, 0), F.when(F.col("block_no") % 3 == 1, n - 1)
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.coalesce(summary, keyword, F.col("block_no") % n).cast("int").alias("region"))
-
-
-@query("g4_keyword_fallback", f"WITH {views.BLOCKS} SELECT document_id, block_no, arg_min(regexp_extract(trim(text), '^(\\S+)', 1), reading_order) FILTER (text LIKE '%t%') AS keyword FROM c3 GROUP BY 1, 2")
-def g4(spark, sf_dir):
-    from lectern.operators.layout import reading_blocks
-
-    has = F.when(F.col("text").contains("t"), F.col("reading_order"))
-    return reading_blocks(views.chunks(spark, sf_dir)).groupBy("document_id", "block_no").agg(F.min_by(F.regexp_extract(F.trim("text"), r"^(\S+)", 1), has).alias("keyword"))
-
-
-@query("d5_layout_paragraphs")
-def d5(spark, sf_dir):
-    from lectern.operators import layout
-
-    chunks = views.chunks(spark, sf_dir)
-    found = layout.merge_paragraphs(layout.columns_of_page(chunks), layout.body_font(chunks))
-    return found.groupBy("document_id", "page_number", "column_no").agg(F.max("paragraph_no").alias("paragraphs"), F.count(F.lit(1)).alias("chunks"))
-
-
 @query("d15_parser_label", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraph_count, CASE WHEN document_id % 2 = 0 AND document_id % 3 = 0 THEN 'presegmented-grouped' WHEN document_id % 2 = 0 THEN 'grouped' WHEN document_id % 3 = 0 THEN 'presegmented' ELSE 'layout' END AS label FROM blocks GROUP BY 1")
 def d15(spark, sf_dir):
     from lectern.operators.layout import parser_label
@@ -186,33 +54,6 @@ def d15(spark, sf_dir):
     return counts.withColumn("label", parser_label(F.col("document_id") % 2 == 0, F.col("document_id") % 3 == 0))
 
 
-@query("d16_document_normalise", f"WITH {views.BLOCKS}, g AS (SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN page_number END AS own, chunk_ids[1] AS chunk_id FROM blocks) SELECT g.document_id, format('paragraph-{{:04d}}', row_number() OVER (PARTITION BY g.document_id ORDER BY block_no)) AS block_id, coalesce(own, c.page_number, 1) AS page_number FROM g LEFT JOIN chunks c ON c.document_id = g.document_id AND c.chunk_id = g.chunk_id")
-def d16(spark, sf_dir):
-    rows = block_rows(spark, sf_dir).select("document_id", "block_no", F.when(F.col("block_no") % 2 == 0, F.col("page_number")).alias("own"), F.element_at("chunk_ids", 1).alias("chunk_id"))
-    pages = views.chunks(spark, sf_dir).select("document_id", "chunk_id", "page_number")
-    order = Window.partitionBy("document_id").orderBy("block_no")
-    joined = rows.join(pages, ["document_id", "chunk_id"], "left")
-    return joined.select("document_id", F.format_string("paragraph-%04d", F.row_number().over(order)).alias("block_id"), F.coalesce("own", "page_number", F.lit(1)).alias("page_number"))
-
-
-@query("d22_body_filter", f"WITH {views.BLOCKS}, keep AS (SELECT document_id, unnest(chunk_ids) AS chunk_id FROM blocks WHERE block_no % 3 = 1) SELECT c.document_id, c.page_number, count(k.chunk_id) AS kept FROM chunks c LEFT JOIN keep k USING (document_id, chunk_id) GROUP BY 1, 2")
-def d22(spark, sf_dir):
-    chunks = views.chunks(spark, sf_dir)
-    selected = block_rows(spark, sf_dir).where("block_no % 3 = 1").select("document_id", F.explode("chunk_ids").alias("chunk_id"))
-    body = chunks.join(selected, ["document_id", "chunk_id"], "left_semi").groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("kept"))
-    pages = chunks.select("document_id", "page_number").distinct()  # pages stay, even without a chunk
-    return pages.join(body, ["document_id", "page_number"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-
-
-@query("f19_clear_and_restore", f"WITH {views.BLOCKS} SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN 0 ELSE 2 END AS representations FROM blocks")
-def f19(spark, sf_dir):
-    from lectern.plans.feature_queries import default_rows
-
-    blocks = block_rows(spark, sf_dir)
-    restored = default_rows(blocks.where("block_no % 2 = 1")).groupBy("document_id", "block_no").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return blocks.select("document_id", "block_no").join(restored, ["document_id", "block_no"], "left").select("document_id", "block_no", F.coalesce("n", F.lit(0)).alias("representations"))
-
-
 @query("a9_exam_catalogue", "SELECT event_id AS id, coalesce(TRY_CAST(CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS BOOLEAN), true) AS enabled FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 1")
 def a9(spark, sf_dir):
     """Exam files read tolerantly: unreadable ones skipped, enabled by default, disabled ones left out."""

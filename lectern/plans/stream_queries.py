@@ -7,14 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import features, study, windows
+from lectern.operators import features, study
 from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.plans.study_queries import SCORED
 from lectern.plans.text_queries import block_rows, events
 from lectern.session import prepare, shared_dir
-from lectern.sources.elements import write_tables
-from lectern.streaming.study import job_state, read_files
+from lectern.streaming.study import job_state, last_answers, read_answers, read_files
 
 
 def event_stream(spark, sf_dir):
@@ -28,19 +27,10 @@ def scratch(spark, name):
 
 @query("k1_scored_stream", f"WITH {SCORED} SELECT * FROM scored")
 def k1(spark, sf_dir):
-    """Answers scored as they arrive; a session that goes on in a later batch is scored anew over all its answers, the last score counts."""
-    key, out, seen = views.answer_key(spark), scratch(spark, "scores"), scratch(spark, "answers")
-
-    def store(batch, number):
-        batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        sessions = batch.select("session_id").distinct()
-        known = spark.read.parquet(seen).drop("batch").join(sessions, "session_id", "left_semi")
-        study.score(known, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    answers = views.answers(event_stream(prepare(spark), sf_dir))
-    answers.writeStream.foreachBatch(store).option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(out).groupBy("session_id").agg(F.max_by(F.struct("correct", "total", "details"), "batch").alias("s"))
-    return last.select("session_id", "s.*")
+    """Answers kept up to date as they arrive, then scored: each batch writes the answers it changed, and the last of each counts."""
+    out = scratch(spark, "answers")
+    last_answers(views.answers(event_stream(prepare(spark), sf_dir)), out, scratch(spark, "cp")).awaitTermination()
+    return study.score(read_answers(spark, out), views.answer_key(spark))
 
 
 @query("k2_job_state_stream", f"WITH {views.JOBS} SELECT * FROM state")
@@ -51,24 +41,6 @@ def k2(spark, sf_dir):
     return spark.read.parquet(out).groupBy(*keys).agg(F.max_by("status", "batch").alias("status"))
 
 
-@query("a13_workspace_sinks", f"WITH {views.BLOCKS} SELECT 'blocks' AS name, count(*) AS n FROM blocks UNION ALL SELECT 'chunks', count(*) FROM chunks")
-def a13(spark, sf_dir):
-    """Tables of two grains written by page and read back."""
-    folder = scratch(spark, "workspace")
-    write_tables({"blocks": block_rows(spark, sf_dir), "chunks": views.chunks(spark, sf_dir)}, folder, "page_number")
-    counts = [spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in ("blocks", "chunks")]
-    return counts[0].unionByName(counts[1])
-
-
-@query("a20_window_artefacts")
-def a20(spark, sf_dir):
-    """Windows and the halves of every second one, numbered in processing order."""
-    packed = windows.pack_windows(views.chunks(spark, sf_dir))
-    parts = windows.halve(packed, F.col("window_no") % 2 == 1).select("document_id", "window_no", F.col("part").cast("int").alias("part"), "reading_order")
-    whole = packed.where("window_no % 2 = 0").select("document_id", "window_no", F.lit(0).alias("part"), "reading_order")
-    return whole.unionByName(parts).groupBy("document_id", "window_no", "part").agg(F.count(F.lit(1)).alias("chunks"), F.min("reading_order").alias("first"))
-
-
 @query("c5_eligibility", f"WITH {views.BLOCKS}, n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS words FROM blocks) SELECT document_id, block_no, words > 20 AS keywords, words > 35 AS summary FROM n")
 def c5(spark, sf_dir):
     words = tx.word_count(F.col("text"))

@@ -9,13 +9,13 @@ from lectern.functions import text as tx
 from lectern.operators import layout, windows
 from lectern.plans import views
 from lectern.plans.registry import query
-from lectern.plans.text_queries import DEPTH, HEADING_LIKE, block_rows
+from lectern.plans.text_queries import DEPTH, HEADING_LIKE, block_rows, blocks_of
 
 R = "round({}, 6)"
 
 
 def assembled(spark, sf_dir):
-    return layout.assemble(layout.reading_blocks(views.chunks(spark, sf_dir)), ["document_id", "block_no"])
+    return layout.assemble(layout.reading_blocks(layout.with_body_font(views.chunks(spark, sf_dir))), ["document_id", "block_no"])
 
 
 ASSEMBLED = (
@@ -31,8 +31,7 @@ roled AS (SELECT asm.*, body, CASE WHEN trim(text) = '' THEN 'paragraph' WHEN %s
 
 
 def roled(spark, sf_dir):
-    blocks = assembled(spark, sf_dir).join(layout.body_font(views.chunks(spark, sf_dir)), "document_id")
-    return blocks.withColumn("role", layout.role(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("body_font")))
+    return assembled(spark, sf_dir).withColumn("role", layout.role(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("body_font")))
 
 
 @query("d1_body_font", f"WITH {views.CHUNKS} SELECT document_id, coalesce(median(font_size), 12) AS body_font FROM chunks GROUP BY 1")
@@ -59,23 +58,9 @@ def d3(spark, sf_dir):
     return rows.select("document_id", "reading_order", F.round(boxes.overlap_ratio(F.col("px"), F.col("pw"), F.col("x"), F.col("width")), 6).alias("overlap"))
 
 
-@query("d4_columns")
-def d4(spark, sf_dir):
-    return layout.columns_of_page(views.chunks(spark, sf_dir)).groupBy("document_id", "page_number", "column_no").agg(F.count(F.lit(1)).alias("chunks"))
-
-
 @query("d6_assembly", f"WITH {ASSEMBLED} SELECT document_id, block_no, page_number, text, font_size, is_bold, x, y, round(width, 6) AS width, round(height, 6) AS height FROM asm")
 def d6(spark, sf_dir):
-    return assembled(spark, sf_dir).drop("chunk_ids").withColumn("width", F.round("width", 6)).withColumn("height", F.round("height", 6))
-
-
-@query(
-    "d7_title",
-    f"WITH {ASSEMBLED}, cand AS (SELECT *, row_number() OVER o AS rank, lead(font_size) OVER o AS nxt FROM roled WHERE page_number = 1 AND y <= 0.30 AND length(text) <= 220 AND NOT regexp_matches(trim(text), '^(\\d+(\\.\\d+)*|[IVXLC]+|[A-Z])[.)]?\\s+\\S') WINDOW o AS (PARTITION BY document_id ORDER BY font_size DESC, y, block_no))"
-    " SELECT document_id, text AS title, block_no AS title_at FROM cand WHERE rank = 1 AND font_size >= greatest(body * 1.2, coalesce(nxt, 0) + 1.5)",
-)
-def d7(spark, sf_dir):
-    return layout.infer_title(assembled(spark, sf_dir), layout.body_font(views.chunks(spark, sf_dir)), "block_no")
+    return assembled(spark, sf_dir).drop("chunk_ids", "body_font").withColumn("width", F.round("width", 6)).withColumn("height", F.round("height", 6))
 
 
 @query("d8_roles", f"WITH {ASSEMBLED} SELECT document_id, block_no, role FROM roled")
@@ -86,9 +71,9 @@ def d8(spark, sf_dir):
 SECTIONED = (
     ASSEMBLED
     + """,
-sec AS (SELECT *, count(*) FILTER (role = 'section') OVER (PARTITION BY document_id ORDER BY block_no) AS sno, last_value(CASE WHEN role = 'section' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_no) AS stext FROM roled),
+sec AS (SELECT *, count(*) FILTER (role = 'section') OVER (PARTITION BY document_id ORDER BY block_no) AS sno, coalesce(last_value(CASE WHEN role = 'section' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_no), 'Body') AS stext FROM roled),
 sub AS (SELECT *, last_value(CASE WHEN role = 'subsection' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id, sno ORDER BY block_no) AS subtext FROM sec),
-sectioned AS (SELECT *, coalesce(nullif(concat_ws(' > ', stext, subtext), ''), 'Body') AS path FROM sub)
+sectioned AS (SELECT *, concat_ws(' > ', stext, subtext) AS path FROM sub)
 """
 )
 
@@ -109,7 +94,7 @@ def d10(spark, sf_dir):
 
 @query(
     "d12_path_nodes",
-    f"WITH {SECTIONED}, pre AS (SELECT document_id, block_no, 1 AS level, coalesce(stext, subtext, 'Body') AS path, coalesce(stext, subtext, 'Body') AS title FROM sectioned WHERE role = 'paragraph' UNION ALL SELECT document_id, block_no, 2, stext || ' > ' || subtext, subtext FROM sectioned WHERE role = 'paragraph' AND stext IS NOT NULL AND subtext IS NOT NULL),"
+    f"WITH {SECTIONED}, pre AS (SELECT document_id, block_no, 1 AS level, stext AS path, stext AS title FROM sectioned WHERE role = 'paragraph' UNION ALL SELECT document_id, block_no, 2, stext || ' > ' || subtext, subtext FROM sectioned WHERE role = 'paragraph' AND subtext IS NOT NULL),"
     " fst AS (SELECT document_id, path, title, level, min(block_no) AS seen FROM pre GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seen, level) AS n FROM fst)"
     " SELECT document_id, format('{}-{:03d}', CASE WHEN level = 1 THEN 'section' ELSE 'subsection' END, n) AS node_id, path, level, title, CASE WHEN level = 1 THEN 'section' ELSE 'subsection' END AS node_type FROM num",
 )
@@ -117,41 +102,6 @@ def d12(spark, sf_dir):
     return layout.path_nodes(sectioned(spark, sf_dir).where("role = 'paragraph'"), "block_no")
 
 
-@query(
-    "d11_outline",
-    f"WITH {SECTIONED}, b AS (SELECT *, format('block-{{:03d}}-{{:04d}}', page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY block_no)) AS block_id FROM sectioned WHERE role = 'paragraph') SELECT document_id, 'node-' || block_id AS node_id, path AS parent, row_number() OVER (PARTITION BY document_id, path ORDER BY block_no) AS ordinal, len(string_split(path, ' > ')) + 1 AS level FROM b",
-)
-def d11(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    rows = layout.page_numbered(sectioned(spark, sf_dir).where("role = 'paragraph'"), "block_no")
-    path = F.array_join("section_path", " > ")
-    order = Window.partitionBy("document_id", "parent").orderBy("block_no")
-    rows = rows.withColumn("parent", path)
-    return rows.select("document_id", F.concat(F.lit("node-"), "block_id").alias("node_id"), "parent", F.row_number().over(order).cast("long").alias("ordinal"), (F.size(F.split("parent", " > ")) + 1).cast("long").alias("level"))
-
-
-@query("d14_chunk_blocks", f"WITH {views.BLOCKS} SELECT document_id, chunk_id, CASE WHEN page_number % 2 = 1 THEN 'b' || CAST(block_no AS INT) ELSE '' END AS block_ids FROM c3")
-def d14(spark, sf_dir):
-    blocks = block_rows(spark, sf_dir).where("page_number % 2 = 1").withColumn("block_id", F.concat(F.lit("b"), F.col("block_no").cast("string")))
-    found = layout.chunk_blocks(views.chunks(spark, sf_dir), blocks, "block_no")
-    return found.select("document_id", "chunk_id", F.array_join("block_ids", ",").alias("block_ids"))
-
-
-@query("d17_renumber", f"WITH {views.BLOCKS} SELECT document_id, block_no, 'paragraph-' || block_no AS paragraph_id FROM blocks")
-def d17(spark, sf_dir):
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.concat(F.lit("paragraph-"), F.col("block_no").cast("string")).alias("paragraph_id"))
-
-
-@query("d18_turn_text", "SELECT conv_id, min(turn) AS first_turn, string_agg(text, chr(10) || chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY 1")
-def d18(spark, sf_dir):
-    from lectern.session import prepare, table
-
-    turns = table(prepare(spark), sf_dir, "conversations").where("text IS NOT NULL")
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
-
-
 @query("d19_tokens", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ') AS tokens FROM documents")
 def d19(spark, sf_dir):
     from lectern.plans.text_queries import documents
@@ -191,31 +141,23 @@ def e3(spark, sf_dir):
     return windows.envelope(windows.pack_windows(views.chunks(spark, sf_dir)))
 
 
-@query(
-    "e4_halve",
-    f"WITH {PACKED}, pl AS (SELECT *, row_number() OVER (PARTITION BY document_id, window_no ORDER BY reading_order) - 1 AS place, count(*) OVER (PARTITION BY document_id, window_no) AS size FROM win)"
-    " SELECT document_id, reading_order, window_no, n_chars, CASE WHEN place < greatest(1, size // 2) THEN 0 ELSE 1 END AS part FROM pl WHERE window_no % 2 = 1 AND size > 1",
-)
-def e4(spark, sf_dir):
-    return windows.halve(windows.pack_windows(views.chunks(spark, sf_dir)), F.col("window_no") % 2 == 1)
-
-
-def raw_groups(spark, sf_dir):
-    """Grouping output as a model might give it: ids out of order, padded, repeated, some unknown."""
-    blocks = block_rows(spark, sf_dir)
+def groups_and_chunks(spark, sf_dir):
+    """Grouping output as a model might give it: ids out of order, padded, repeated, some unknown; and the chunks."""
+    chunks = views.written_chunks(spark, sf_dir)
+    blocks = blocks_of(chunks)
     ids = F.concat(F.reverse("chunk_ids"), F.slice(F.transform("chunk_ids", lambda c: F.concat(F.lit(" "), c, F.lit(" "))), 1, 1), F.when(F.col("block_no") % 5 == 0, F.array(F.lit("zz"))).otherwise(F.array().cast("array<string>")))
-    return blocks.select("document_id", F.col("block_no").alias("group_no"), F.when(F.col("block_no") % 3 == 0, " ").otherwise("Body-Text").alias("role"), ids.alias("chunk_ids"))
+    return blocks.select("document_id", F.col("block_no").alias("group_no"), F.when(F.col("block_no") % 3 == 0, " ").otherwise("Body-Text").alias("role"), ids.alias("chunk_ids")), chunks
 
 
 @query("e5_clean_groups", f"WITH {views.BLOCKS} SELECT document_id, block_no AS group_no, CASE WHEN block_no % 3 = 0 THEN 'body' ELSE 'body-text' END AS role, array_to_string(chunk_ids, ',') AS chunk_ids, CAST(substr(chunk_ids[1], 2) AS INT) AS first FROM blocks")
 def e5(spark, sf_dir):
-    found = windows.clean_groups(raw_groups(spark, sf_dir), views.chunks(spark, sf_dir))
+    found = windows.clean_groups(*groups_and_chunks(spark, sf_dir))
     return found.withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
 @query("c7_unknown_ids", f"WITH {views.BLOCKS} SELECT document_id, block_no AS group_no, 'zz' AS chunk_id FROM blocks WHERE block_no % 5 = 0")
 def c7(spark, sf_dir):
-    return windows.unknown_ids(raw_groups(spark, sf_dir), views.chunks(spark, sf_dir)).select("document_id", "group_no", "chunk_id")
+    return windows.unknown_ids(*groups_and_chunks(spark, sf_dir)).select("document_id", "group_no", "chunk_id")
 
 
 def path_groups(spark, sf_dir):

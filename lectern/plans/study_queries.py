@@ -75,11 +75,6 @@ def i5(spark, sf_dir):
     return study.timing(views.submissions(spark, sf_dir), F.lit(900))
 
 
-@query("i6_results", f"WITH {SCORED} SELECT session_id, correct, total, 'pilot-1' AS study_id, 'study-results/pilot-1/' || session_id AS result_key FROM scored")
-def i6(spark, sf_dir):
-    return study.result_rows(study.score(views.submissions(spark, sf_dir), views.answer_key(spark)), "pilot 1").drop("details")
-
-
 @query("i3_positional_score", f"WITH {SCORED} SELECT session_id, CAST(count(*) FILTER (selected_index = answer_index) AS INT) AS n FROM sheet GROUP BY 1")
 def i3(spark, sf_dir):
     sheet = study.answer_sheet(views.submissions(spark, sf_dir), views.answer_key(spark)).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "selected_index", "answer_index"))).alias("s"))

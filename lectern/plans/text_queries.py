@@ -25,11 +25,6 @@ def events(spark, sf_dir):
     return table(prepare(spark), sf_dir, "events")
 
 
-@query("a1_intake", "SELECT sha256(text) AS document_id, source AS source_name, length(text) AS n_bytes FROM documents")
-def a1(spark, sf_dir):
-    return markup.intake(documents(spark, sf_dir), "text", "source")
-
-
 @query("a2_content_dedup", "SELECT sha256(text) AS document_id, min(doc_id) AS created_at, arg_max(source, doc_id) AS source_name FROM documents GROUP BY 1")
 def a2(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.sha2("text", 256).alias("document_id"), "doc_id", "source")
@@ -53,41 +48,15 @@ def a6(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", markup.title(F.col("html")).alias("title"))
 
 
-@query("a7_span_scan", f"WITH {views.CHUNKS} SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order) AS n, text FROM chunks WHERE trim(text) <> '' AND width > 0 AND height > 0")
-def a7(spark, sf_dir):
-    rows = views.chunks(spark, sf_dir).where("trim(text) <> '' AND width > 0 AND height > 0")
-    order = Window.partitionBy("document_id", "page_number").orderBy("reading_order")
-    return rows.select("document_id", "page_number", F.row_number().over(order).cast("long").alias("n"), "text")
-
-
-@query(
-    "a8_catalogue",
-    "SELECT coalesce(d.id, p.id) AS id, d.id IS NOT NULL AS has_document, p.id IS NOT NULL AS has_pdf, coalesce(d.title, p.source_name, CAST(coalesce(d.id, p.id) AS VARCHAR)) AS title"
-    " FROM (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN source END AS title FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT page_id AS id, url AS source_name FROM pages) p ON d.id = p.id",
-)
-def a8(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("title"), F.lit(True).alias("d"))
-    files = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("url").alias("source_name"), F.lit(True).alias("p"))
-    joined = docs.join(files, "id", "full_outer")
-    return joined.select("id", F.col("d").isNotNull().alias("has_document"), F.col("p").isNotNull().alias("has_pdf"), F.coalesce("title", "source_name", F.col("id").cast("string")).alias("title"))
-
-
-@query(
-    "a10_editable_overlay",
-    f"WITH {views.BLOCKS}, e AS (SELECT document_id, block_no, CASE WHEN block_no % 2 = 0 THEN concat('edited: ', text) END AS text FROM blocks WHERE block_no % 3 <> 0)"
-    " SELECT e.document_id, e.block_no, coalesce(e.text, b.text) AS text, b.page_number FROM e LEFT JOIN blocks b USING (document_id, block_no)",
-)
-def a10(spark, sf_dir):
-    base = block_rows(spark, sf_dir)
-    edit = base.where("block_no % 3 <> 0").select("document_id", "block_no", F.when(F.col("block_no") % 2 == 0, F.concat(F.lit("edited: "), "text")).alias("edited"))
-    return edit.join(base, ["document_id", "block_no"], "left").select("document_id", "block_no", F.coalesce("edited", "text").alias("text"), "page_number")
+def block_rows(spark, sf_dir):
+    return blocks_of(views.chunks(spark, sf_dir))
 
 
-def block_rows(spark, sf_dir):
+def blocks_of(chunks):
+    """Paragraph blocks of chunks: document_id, block_no, page_number, text, chunk_ids."""
     from lectern.operators.layout import reading_blocks
 
-    rows = reading_blocks(views.chunks(spark, sf_dir))
-    parts = rows.groupBy("document_id", "block_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("reading_order", F.trim("text").alias("t"), "chunk_id"))).alias("p"))
+    parts = reading_blocks(chunks).groupBy("document_id", "block_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("reading_order", F.trim("text").alias("t"), "chunk_id"))).alias("p"))
     return parts.select("document_id", "block_no", "page_number", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
@@ -101,36 +70,6 @@ def a14(spark, sf_dir):
     return events(spark, sf_dir).select(F.col("event_type").alias("study_id"), day.alias("received_date"), key.alias("key")).distinct()
 
 
-@query("a16_export_eligibility", "SELECT page_id, length(html) AS n_bytes, CASE WHEN length(html) > 8000 THEN 'too large' WHEN d.doc_id IS NULL THEN 'document missing' ELSE 'eligible' END AS verdict FROM pages LEFT JOIN documents d ON d.doc_id = page_id AND d.doc_id % 5 <> 0")
-def a16(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("doc_id % 5 <> 0").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("there"))
-    size = F.length("html")
-    return pages(spark, sf_dir).join(docs, "page_id", "left").select("page_id", size.alias("n_bytes"), F.when(size > 8000, "too large").when(F.col("there").isNull(), "document missing").otherwise("eligible").alias("verdict"))
-
-
-@query("a17_layered_config", "SELECT user_id AS document_id, event_type AS path, arg_max(json_extract_string(props, '$.k'), event_id) AS value FROM events GROUP BY 1, 2")
-def a17(spark, sf_dir):
-    rows = events(spark, sf_dir).select(F.col("user_id").alias("document_id"), F.col("event_type").alias("path"), F.get_json_object("props", "$.k").alias("value"), "event_id")
-    return rows.groupBy("document_id", "path").agg(F.max_by("value", "event_id").alias("value"))
-
-
-@query(
-    "a18_multi_page_items",
-    f"WITH {views.CHUNKS} SELECT document_id, page_number, reading_order // 3 AS item, min(x) AS x, min(y) AS y, round(max(x + width) - min(x), 6) AS width, round(max(y + height) - min(y), 6) AS height FROM chunks WHERE trim(text) <> '' GROUP BY 1, 2, 3",
-)
-def a18(spark, sf_dir):
-    from lectern.operators.layout import group_box
-
-    rows = views.chunks(spark, sf_dir).where("trim(text) <> ''").withColumn("item", F.floor(F.col("reading_order") / 3).cast("long"))
-    return group_box(rows, ["document_id", "page_number", "item"]).withColumn("width", F.round("width", 6)).withColumn("height", F.round("height", 6))
-
-
-@query("a19_source_discovery", "SELECT source AS document_id, arg_min(doc_id, (CASE WHEN lang = 'en' THEN 0 ELSE 1 END) * 1000000000 + doc_id) AS file FROM documents GROUP BY 1")
-def a19(spark, sf_dir):
-    rank = F.struct(F.when(F.col("lang") == "en", 0).otherwise(1), F.col("doc_id"))
-    return documents(spark, sf_dir).groupBy(F.col("source").alias("document_id")).agg(F.min_by("doc_id", rank).alias("file"))
-
-
 @query("b1_collapse", r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\p{Z}]+', ' ', 'g')) AS text FROM documents")
 def b1(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tx.collapse(F.col("text")).alias("text"))
@@ -170,16 +109,6 @@ def b4(spark, sf_dir):
     return rows.select("event_id", *(F.round(f"n.{c}", 9).alias(c) for c in ("x", "y", "width", "height")))
 
 
-@query("b5_tolerant_casts", "SELECT event_id, TRY_CAST(trim(substr(props, 7, 4)) AS INT) AS i, coalesce(TRY_CAST(event_type AS DOUBLE), 2.5) AS d, least(greatest(CAST(trunc(value) AS INT), 1), 8) AS bounded FROM events")
-def b5(spark, sf_dir):
-    return events(spark, sf_dir).selectExpr("event_id", "try_cast(trim(substr(props, 7, 4)) as int) AS i", "coalesce(try_cast(event_type as double), 2.5D) AS d", "least(greatest(cast(value as int), 1), 8) AS bounded")
-
-
-@query("b6_bold", f"WITH {views.CHUNKS} SELECT document_id, page_number, bool_or(is_bold) AS is_bold FROM chunks GROUP BY 1, 2")
-def b6(spark, sf_dir):
-    return views.chunks(spark, sf_dir).groupBy("document_id", "page_number").agg(F.bool_or("is_bold").alias("is_bold"))
-
-
 @query("b7_chunk_id", f"WITH {views.CHUNKS} SELECT document_id, reading_order, format('text-{{:03d}}-{{:04d}}', page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order)) AS chunk_id FROM chunks")
 def b7(spark, sf_dir):
     order = Window.partitionBy("document_id", "page_number").orderBy("reading_order")
@@ -209,18 +138,6 @@ def b10(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", tx.kind_label(kind).alias("label"))
 
 
-@query("b11_definitions", "SELECT lower(event_type) AS name, min(event_id) AS pos, arg_min(value, event_id) AS opacity FROM (SELECT event_id, event_type, least(greatest(value / 100, 0), 1) AS value FROM events) GROUP BY 1")
-def b11(spark, sf_dir):
-    rows = events(spark, sf_dir).select(F.lower("event_type").alias("name"), F.col("event_id").alias("pos"), F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("opacity"))
-    first = Window.partitionBy("name").orderBy("pos")
-    return rows.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
-
-
-@query("b14_bounded_config", "SELECT event_id, greatest(coalesce(CAST(floor(value) AS INT), 20), 20) AS keyword_min, least(greatest(value / 100, 0.02), 0.8) AS ratio, least(greatest(CAST(event_id % 12 AS INT), 1), 8) AS parallel FROM events")
-def b14(spark, sf_dir):
-    return events(spark, sf_dir).selectExpr("event_id", "greatest(coalesce(cast(floor(value) as int), 20), 20) AS keyword_min", "least(greatest(value / 100, 0.02D), 0.8D) AS ratio", "least(greatest(cast(event_id % 12 as int), 1), 8) AS parallel")
-
-
 @query("b16_token_budget", f"WITH {views.BLOCKS}, n AS (SELECT document_id, block_no, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS w FROM blocks) SELECT document_id, block_no, least(greatest((greatest(8, CAST(ceil(w * CAST(0.15 AS DOUBLE)) AS INT)) + 32) * 10, 2048), 4096) AS budget FROM n")
 def b16(spark, sf_dir):
     words = tx.target_words(tx.word_count(F.col("text")), 0.15)
@@ -269,15 +186,6 @@ def c3(spark, sf_dir):
     return views.chunks(spark, sf_dir).select("document_id", "reading_order", tx.heading_like(F.col("text")).alias("heading_like"))
 
 
-@query("c4_heading_chunk", f"WITH {views.CHUNKS}, f AS (SELECT document_id, coalesce(median(font_size), 12) AS body FROM chunks GROUP BY 1) SELECT document_id, reading_order, {NUMBERED} OR ({HEADING_LIKE} AND (is_bold OR coalesce(font_size, 0) >= body * 1.12)) AS heading FROM chunks JOIN f USING (document_id)")
-def c4(spark, sf_dir):
-    from lectern.operators.layout import body_font
-
-    rows = views.chunks(spark, sf_dir)
-    joined = rows.join(body_font(rows), "document_id")
-    return joined.select("document_id", "reading_order", tx.heading_chunk(F.col("text"), F.lit(None).cast("string"), F.col("is_bold"), F.col("font_size"), F.col("body_font")).alias("heading"))
-
-
 @query(
     "c6_validation",
     "SELECT event_id, CASE WHEN event_type = 'error' THEN 'study_id is required.' WHEN user_id % 11 = 0 THEN 'participant_id is required.' WHEN event_id % 13 = 0 THEN 'session_id is required.' END AS error FROM events",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.session import prepare, table
+from lectern.session import materialize, prepare, table
 
 #: Words of a chunk, lines of a page.
 CHUNK_WORDS, PAGE_LINES = 12, 20
@@ -25,6 +25,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry(out)
 
 
+def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a table of the shared folder, for queries that use them more than once: derived once, and joins know its size."""
+    return materialize(chunks(spark, sf_dir), "chunks")
+
+
 def geometry(rows: DataFrame) -> DataFrame:
     n = F.col("reading_order")
     return (
@@ -58,9 +63,11 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ELEMENTS = r"""
-x1 AS (SELECT page_id, regexp_extract_all(html, '<(h[1-6]|p)( [^>]*)?>[^<]+', 0) AS a FROM pages),
-y1 AS (SELECT page_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS m FROM x1),
-elements AS (SELECT page_id AS document_id, CAST(pos AS INT) AS unit_no, regexp_extract(m, '^<(h[1-6]|p)', 1) AS tag, trim(regexp_replace(regexp_extract(m, '>([^<]+)$', 1), '[ \t\n\r]+', ' ', 'g')) AS text FROM y1)
+x0 AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)^.*?<body(\s[^>]*)?>', ''), '(?is)</body\s*>.*$', '') AS body FROM pages),
+x1 AS (SELECT page_id, string_split(regexp_replace(body, '<((?:h[1-6]|head|p)[\s>])', chr(1) || '<\1', 'gi'), chr(1)) AS a FROM x0),
+y1 AS (SELECT page_id, generate_subscripts(a, 1) - 2 AS pos, unnest(a) AS m FROM x1),
+y2 AS (SELECT page_id, pos, lower(regexp_extract(m, '^<(h[1-6]|head|p)[\s>]', 1, 'i')) AS tag, regexp_replace(regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '(?is)</(h[1-6]|head|p)\s*>.*$', ''), '<[^>]*>', ' ', 'g') AS t FROM y1 WHERE pos >= 0),
+elements AS (SELECT page_id AS document_id, CAST(pos AS INT) AS unit_no, tag, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM y2)
 """
 
 

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNIT = r"<(h[1-6]|p)( [^>]*)?>[^<]+"
+UNIT = "h[1-6]|head|p"
 
 
 def body_units(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Heading and paragraph starts in document order: id, unit_no, tag, text."""
-    found = pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(html_col, F.lit(UNIT), 0)).alias("unit_no", "m"))
-    text = F.trim(F.regexp_replace(F.regexp_extract("m", ">([^<]+)$", 1), "[ \\t\\n\\r]+", " "))
-    return found.select(id_col, "unit_no", F.regexp_extract("m", "^<(h[1-6]|p)", 1).alias("tag"), text.alias("text"))
+    """Headings and paragraphs of the first body (of the whole text without one) in document order: id, unit_no, tag, text.
+
+    A unit goes from its start tag to its end tag, or to the next unit where that is left out. The texts of all elements inside it
+    are joined by a space and collapsed.
+    """
+    body = F.regexp_replace(F.regexp_replace(html_col, r"(?is)^.*?<body(\s[^>]*)?>", ""), r"(?is)</body\s*>.*$", "")
+    starts = F.regexp_replace(body, rf"(?i)<(({UNIT})[\s>])", "\u0001<$1")
+    found = pages.select(F.col(id_col), F.posexplode(F.slice(F.split(starts, "\u0001"), 2, 2**30)).alias("unit_no", "m"))
+    inner = F.regexp_replace(F.regexp_replace("m", r"^<[^>]*>", ""), rf"(?is)</({UNIT})\s*>.*$", "")
+    text = F.trim(F.regexp_replace(decode(F.regexp_replace(inner, r"<[^>]*>", " ")), r"[ \t\n\r]+", " "))
+    return found.select(id_col, "unit_no", F.lower(F.regexp_extract("m", rf"(?i)^<({UNIT})[\s>]", 1)).alias("tag"), text.alias("text"))
+
+
+def decode(text: Column) -> Column:
+    """The five references that markup itself defines."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
 
 
 def roles(units: DataFrame) -> DataFrame:
@@ -27,9 +41,15 @@ def title(html: Column) -> Column:
 
 def intake(files: DataFrame, content_col: str, name_col: str, magic: str | None = None) -> DataFrame:
     """Files that begin with the magic bytes, by the SHA-256 of their bytes."""
+    content = F.col(content_col).cast("binary")
     if magic:
-        files = files.where(F.substring(F.col(content_col).cast("string"), 1, len(magic)) == magic)
-    return files.select(F.sha2(F.col(content_col).cast("binary"), 256).alias("document_id"), F.col(name_col).alias("source_name"), F.length(content_col).alias("n_bytes"))
+        files = files.where(F.substring(content, 1, len(magic.encode())) == F.lit(magic).cast("binary"))
+    return files.select(F.sha2(content, 256).alias("document_id"), F.col(name_col).alias("source_name"), F.octet_length(content).alias("n_bytes"))
+
+
+def valid_id(document_id: Column) -> Column:
+    """Whether a text can be a document's id."""
+    return document_id.rlike("^[a-f0-9]{64}$")
 
 
 def read_binary(spark, path: str, magic: str = "%PDF") -> DataFrame:

@@ -29,6 +29,21 @@ def score_submissions(answers: DataFrame, key: DataFrame, out: str, checkpoint:
     return once.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def last_answers(answers: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The last answer of each session to each question, kept as state; each batch writes what it changed, so no answer is read twice."""
+    last = answers.groupBy("session_id", "question_id").agg(F.max_by(F.struct("selected_index", "pos"), "pos").alias("a"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select("session_id", "question_id", "a.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return last.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_answers(spark: SparkSession, out: str) -> DataFrame:
+    """The answers that last_answers wrote; a later batch's have a later pos."""
+    return spark.read.parquet(out).drop("batch")
+
+
 def job_state(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """The latest state of each job, kept up to date; each batch writes the changed jobs."""
     state = features.latest(events, ["document_id", "block_no", "kind"], "pos", "status")

@@ -78,11 +78,3 @@ def test_assignment_shares(spark):
     assert sum(counts.values()) == 4000 and "c" not in counts and abs(counts["b"] / 4000 - 0.75) < 0.03
 
 
-def test_alignment_takes_all_blocks(spark):
-    from conftest import SMALL
-
-    from lectern import plans
-
-    units = {r["unit_no"] % 3 for r in plans.QUERIES["d21_aligned_chunks"](spark, SMALL).select("unit_no").distinct().collect()}
-    assert units == {0, 1, 2}
-    assert {r["unit_no"] % 3 for r in plans.QUERIES["d20_alignment_runs"](spark, SMALL).select("unit_no").distinct().collect()} == {0, 1, 2}
