@@ -5,6 +5,7 @@ import pytest
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HOME)
+MIDDLE = os.environ.get("TEST_SF_DIR_MIDDLE", "/root/testdata/sf0.1")
 SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
