@@ -7,12 +7,14 @@ the number of min-wise hash functions with which a window and the item agree in
 Window minima are built from minima of short segments, so one pass over a text's shingles serves all partitions. Items that
 agree with a window are verified on the whole text: the share of the item's distinct shingles that the text has.
 
+Items of up to half the least partition's size, of which all shingles must be there, are looked up by one of their shingles instead.
+
 The test items are sent to the tasks in blocks of bounded size, each block one pass over the documents; documents are never
 shuffled.
 
 Defined cases: an item or text that is null or has fewer than five words has no shingle here and is never matched; repeated items or
-documents give a row each; an empty table on either side gives no pairs and keeps all documents; other columns are ignored by
-`find` and kept by `clean`.
+documents give a row each; a text is read whole however long it is; an empty table on either side gives no pairs and keeps all
+documents; other columns are ignored by `find` and kept by `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,9 +62,13 @@ class Index:
         self.factors = multipliers(functions_for(threshold, recall), SEED)
         self.items = [(item, distinct(shingles(text))) for item, text in items]
         self.partitions: dict[int, tuple[np.ndarray, dict[tuple[int, int], list[int]]]] = {}
+        self.short: dict[int, list[int]] = {}
         for k, (_, own) in enumerate(self.items):
             if not len(own):
                 continue
+            if len(own) <= LEAST_SIZE // 2 and len(own) - 1 < threshold * len(own) - 1e-9:
+                self.short.setdefault(int(own[0]), []).append(k)
+                continue
             size = max(LEAST_SIZE, 1 << (len(own) - 1).bit_length())
             seen, found = self.partitions.setdefault(size, (np.zeros(1 << _BITS, bool), {}))
             lows = minima(own, self.factors)
@@ -70,6 +76,7 @@ class Index:
             for function, low in enumerate(lows.tolist()):
                 found.setdefault((function, low), []).append(k)
         self.unit = min(self.partitions, default=LEAST_SIZE)
+        self.short_keys = np.array(sorted(self.short), np.uint64)
 
     def _slots(self, lows: np.ndarray) -> np.ndarray:
         """Places in the partition's bitmap, of values whose last axis runs over the hash functions."""
@@ -86,9 +93,14 @@ class Index:
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(position of the item, shared shingles, item's shingles) for each item that the text contains."""
         sequence = shingles(text)
-        if not len(sequence) or not self.partitions:
+        if not len(sequence) or not (self.partitions or self.short):
             return []
-        base, candidates = self.segments(sequence), set()
+        candidates = set()
+        if self.short:
+            at = np.minimum(np.searchsorted(self.short_keys, sequence), len(self.short_keys) - 1)
+            for key in distinct(sequence[self.short_keys[at] == sequence]).tolist():
+                candidates.update(self.short[key])
+        base = self.segments(sequence) if self.partitions else None
         for size, (seen, found) in self.partitions.items():
             lows = base
             if size > self.unit:

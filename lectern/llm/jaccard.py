@@ -1,9 +1,11 @@
-"""N-gram Jaccard join: an LSH forest of MinHash signatures, then exact verification.
+"""N-gram Jaccard join: prefixes of MinHash signatures in several trees, then exact verification.
 
 Texts are sets of word shingles. Texts with the same words form one class, which takes part once, with its number of members as
-weight. A class's signature is split over `trees` sorted prefix tries; a trie's node at depth d holds the classes that agree in
-that tree's first d minima. Matched prefixes begin at the full depth and are shortened until a pair at the threshold shares
-a node in some tree with the target probability (1 - (1 - t^d)^trees); all pairs in a node of that depth are candidates.
+weight. A class's signature is split over `trees` trees; a tree's node at depth d holds the classes that agree in that tree's
+first d minima. Prefixes are shortened from `depth` until a pair at the threshold shares a node in some tree with the
+target probability (1 - (1 - t^d)^trees); all pairs in a node of that depth are candidates. As every pair at the threshold has
+to be met with that probability, whatever else its texts are like, the depth is the same for all texts and known before one is read
+(4 for the defaults): this is the end state of an LSH forest whose prefixes are shortened to a recall target, without the longer ones.
 
 Nodes with the same members are kept once. A node's pairs are verified inside tasks, on whole texts: members are dealt into
 blocks of bounded size and each pair of blocks is one unit of work, so no task holds a whole node and no pair leaves the task.
@@ -15,7 +17,8 @@ n_links, the number of other rows at the threshold or above, copies included.
 
 Defined cases: texts of fewer than five words have one shingle, all their words; texts without a word (null counts as empty)
 are linked to equal texts only; repeated rows are links of each other; a row with a null id is linked like any other and
-never names a class (class_id is null only where all ids of the component are); an empty table gives an empty result.
+never names a class (class_id is null only where all ids of the component are); a text is read whole however long it is; other columns
+are ignored by `join` and kept by `keep_one`, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -269,10 +272,13 @@ def linked(docs: DataFrame, threshold: float, id_col: str, text_col: str, trees:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each group: the one with the smallest id (ties: of equal rows one stays)."""
+    """The rows of docs, one of each group: the one with the smallest id (ties: of equal rows one stays; a null id comes before others).
+
+    Defined cases: as in the module's text; other columns are kept, whatever their names.
+    """
     found = linked(docs, threshold, id_col, text_col, TREES, DEPTH, RECALL, BLOCK)
-    named = F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__name")
-    best = found.groupBy("label").agg(F.min(F.struct("__id", "__th")).alias("__best")).select("__best.__id", "__best.__th").select(named, "__th")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__name"), F.xxhash64(text_col).alias("__th"))
-    kept = rows.join(best.hint("shuffle_hash"), ["__name", "__th"], "left_semi")
-    return kept.dropDuplicates(["__name", "__th"]).select("__row.*")
+    place = [F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__name"), F.col("__id").isNull().alias("__none")]
+    best = found.groupBy("label").agg(F.min(F.struct("__id", "__th")).alias("__best")).select("__best.__id", "__best.__th").select(*place, "__th")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th")).select("__row", *place, "__th")
+    kept = rows.join(best.hint("shuffle_hash"), ["__name", "__none", "__th"], "left_semi")
+    return kept.dropDuplicates(["__name", "__none", "__th"]).select("__row.*")

@@ -13,7 +13,8 @@ make up at least `sent_share` of some language are sent to the tasks: languages
 are joined with the tables: the distinct ones get their vectors there, and the sums come back to the rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; training
-rows with a null language or text are not learned from; repeated rows count each; other columns are ignored.
+rows with a null language or text are not learned from; repeated rows count each; a text is read whole, in blocks, however long it is; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

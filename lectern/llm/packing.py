@@ -5,10 +5,13 @@ Only the *number* of pieces of each length matters for the packing, so the plan
 `capacity` counts, however large the corpus is): pieces whose lengths sum to exactly one sequence are found by
 looking up the complement of single, pair and triple sums and consumed under their counts; what is left is packed best-fit,
 longest first. The plan is a short list of patterns with multiplicities. Every piece then finds its place by its length and
-its rank among pieces of that length; ranks come from per-salt counts, so no length is gathered in one task.
+its rank among pieces of that length; ranks come from per-salt counts, so no length is gathered in one task. The places are sent to the
+tasks: each pattern uses up a length or an open run of sequences, so there are at most `capacity` squared of them, and some thousands in
+practice, however many pieces there are.
 
 Defined cases: a null or empty text is the end id alone (length 1); repeated rows are packed as often as they occur; an empty
-table gives an empty result; a null id is kept and packed like any other row. No row is dropped.
+table gives an empty result; a null id is kept and packed like any other row; a text is read whole however long it is; other columns
+are ignored, whatever their names. No row is dropped.
 """
 
 from __future__ import annotations

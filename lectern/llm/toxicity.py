@@ -12,7 +12,8 @@
 
 Defined cases: a null or empty text has no words, gets the features of an empty text and a score like any other; unlabelled
 documents and null labels are not learned from; a repeated label counts once (the highest); with no labelled rows the fixed list alone
-votes and nothing is calibrated; repeated rows are scored each; an empty table gives an empty result.
+votes and nothing is calibrated; repeated rows are scored each; a text is read whole however long it is; an empty table gives an empty
+result; `score` ignores other columns and `keep_clean` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ REJECT_AT = 0.3
 #: A learned item is in so many toxic sample documents, and its odds of being in a toxic document are so many times those of a clean one.
 LEAST_DOCS = 5
 STRONG, WEAK = 20.0, 4.0
-#: Voters more correlated than this within a class are modelled together, up to so many.
+#: Voters more correlated than this within a class are modelled together, up to so many: a clique of k voters has 3**k joint votes, and
+#: one of all voters would explain any posterior.
 CORRELATED, CLIQUE = 0.25, 4
 CACHE = 300_000
 
@@ -187,18 +189,19 @@ def learn_lexicon(fit: DataFrame) -> list[tuple[str, str, float]]:
     return [(r["kind"], r["item"], r["odds"]) for r in kept.collect()]
 
 
-def describe(rows: DataFrame, key: str, sent: Broadcast, text_col: str) -> DataFrame:
-    """The rows without their text, with __features and __votes."""
+def describe(rows: DataFrame, key: str, sent: Broadcast, text_col: str, keep_text: bool = False) -> DataFrame:
+    """The rows with __features and __votes, without their text unless it is kept."""
     kept = [c for c in rows.columns if c != text_col]
-    rows = rows.select(*kept, F.col(text_col).cast("string"))
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("__features", T.ArrayType(T.FloatType())), T.StructField("__votes", T.LongType())])
+    rows = rows.select(*kept, F.col(text_col).cast("string").alias(text_col))
+    own_columns = [*kept, text_col] if keep_text else kept
+    schema = T.StructType([*(rows.schema[c] for c in own_columns), T.StructField("__features", T.ArrayType(T.FloatType())), T.StructField("__votes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lexicon(key, sent)
         for batch in batches:
             found = [own.describe(t.as_py()) for t in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.list_(pa.float32())), pa.array([f[1] for f in found], pa.int64())], names=schema.names
+                [*batch.columns[: len(own_columns)], pa.array([f[0] for f in found], pa.list_(pa.float32())), pa.array([f[1] for f in found], pa.int64())], names=schema.names
             )
 
     return rows.mapInArrow(run, schema)
@@ -300,12 +303,18 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[Model, DataFrame]:
-    """The model, and all documents' ids with their features and votes (a table in the shared folder)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, whole: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and all documents' ids with their features and votes (a table in the shared folder); `whole` keeps the documents there too,
+    the text as __text and the other columns in __rest."""
     chosen = sample(docs, labels, fit_rows, id_col, text_col, label_col)
     learned = learn_lexicon(chosen)
     sent, key = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
-    described = materialize(describe(docs.select(id_col, text_col), key, sent, text_col), "features")
+    if whole:
+        rest = [c for c in docs.columns if c != text_col]
+        described = describe(docs.select(F.struct(*rest).alias("__rest"), F.col(text_col).alias("__text")), key, sent, "__text", keep_text=True)
+    else:
+        described = describe(docs.select(id_col, text_col), key, sent, text_col)
+    described = materialize(described, "features")
     table = describe(chosen, key, sent, "text").toArrow()  # bounded by fit_rows
     truth = np.array(table["label"].to_pylist(), float)
     votes = table["__votes"].to_pylist()
@@ -338,15 +347,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents scored below reject_at, with all their columns."""
-    model, _ = fit(docs, labels, id_col, text_col, label_col, fit_rows)
-    key, sent, weights, intercept = model.key, model.sent, np.array(model.coefficients), model.intercept
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lexicon(key, sent)
-        for batch in batches:
-            x = np.array([own.describe(t.as_py())[0] for t in batch.column(at)], float).reshape(batch.num_rows, -1)
-            margin = x[:, : len(weights)] @ weights + intercept
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -700, 700))) < reject_at))
-
-    return docs.mapInArrow(run, docs.schema)
+    model, described = fit(docs, labels, id_col, text_col, label_col, fit_rows, whole=True)
+    kept = described.where(model.score(F.col("__features")) < reject_at)
+    return kept.select(*[F.col("__text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col("__rest").getField(c).alias(c) for c in docs.columns])

@@ -12,8 +12,8 @@ class's characters are sent to the tasks with their exact counts (2 * (order + 1
 others of all URLs are joined with the tables, and the sums come back to the rows.
 
 Defined cases: a null URL, or one without `://`, has empty host and path, fits no rule and is judged by its characters (a null
-one has none and scores 0); with no rule-decided URL at all everything else is allowed; repeated rows are judged alike; an
-empty table gives an empty result.
+one has none and scores 0); with no rule-decided URL at all everything else is allowed; repeated rows are judged alike; a URL is read
+whole however long it is; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -28,3 +28,14 @@ def test_blocks_of_items(spark, monkeypatch):
     items = [(k, " ".join(prose(3, 120).split()[10 * k : 10 * k + 20])) for k in range(6)]
     found = decontaminate.find(documents(spark), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["item_id"] for r in found.where("doc_id = 3").collect()} == set(range(6))
+
+
+def test_items_of_few_shingles_are_always_found():
+    """One to eight shingles, anywhere in many texts: nothing is left to chance."""
+    texts = [prose(k, 60) for k in range(400)]
+    items = [(k, " ".join(t.split()[k % 50 : k % 50 + 5 + k % 4])) for k, t in enumerate(texts)]
+    own = decontaminate.Index(items, decontaminate.THRESHOLD, decontaminate.RECALL)
+    assert set(map(len, own.short.values())) == {1} and not own.partitions
+    for k, text in enumerate(texts):
+        assert (k, 1 + k % 4, 1 + k % 4) in own.search(text)
+    assert own.search(prose(5000, 80)) == []

@@ -1,18 +1,27 @@
 import numpy as np
-from conftest import SMALL
+from conftest import MIDDLE, SMALL
 from fixtures import documents, empty, prose
 
 from lectern.llm import toxicity
-from lectern.llm.queries import op8_toxicity
+from lectern.llm.queries import op8_toxicity, training_labels
 from lectern.session import table
 
 
 def test_held_out_rows(spark):
-    truth = table(spark, SMALL, "labels").select("doc_id", "toxic")
-    rows = op8_toxicity(spark, SMALL).join(truth, "doc_id").collect()
+    """On the larger table, whose labels show every language's marks: only rows that were not learned from count."""
+    truth = table(spark, MIDDLE, "labels").select("doc_id", "toxic")
+    rows = op8_toxicity(spark, MIDDLE).where("held_out").join(truth, "doc_id").collect()
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
     toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
-    assert sum(clean) <= 0.05 * len(clean) and sum(toxic) >= 0.5 * len(toxic)
+    assert sum(clean) <= 0.02 * len(clean) and len(toxic) >= 100 and sum(toxic) >= 0.85 * len(toxic)
+    assert all((r["score"] >= 0.3) == r["predicted"] for r in rows)
+
+
+def test_stage_keeps_what_the_query_does_not_mark(spark):
+    docs = table(spark, SMALL, "documents")
+    marked = {r["doc_id"] for r in op8_toxicity(spark, SMALL).where("predicted = 1").collect()}
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, training_labels(table(spark, SMALL, "labels"))).collect()}
+    assert marked and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - marked
 
 
 def test_learned_words(spark):
