@@ -92,7 +92,7 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         word = np.cumsum(codes == 10)
         for size in LENGTHS:
             inside = np.flatnonzero((word[: len(word) - size + 1] == word[size - 1 :]) & (codes[: len(codes) - size + 1] != 10)) if len(codes) >= size else np.empty(0, int)
-            keys = numbers[word[inside]].astype(np.uint64)
+            keys = mix(numbers[word[inside]].astype(np.uint64) + np.uint64(1))
             for k in range(size):
                 keys = mix(keys + codes[inside + k])
             at, n = _tally(keys, counts[word[inside]])

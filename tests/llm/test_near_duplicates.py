@@ -69,3 +69,9 @@ def test_one_of_each_group_stays(spark):
 def test_depth_reaches_the_recall():
     depth = jaccard.depth_for(0.8, 16, 8, 0.9995)
     assert 1 - (1 - 0.8**depth) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (depth + 1)) ** 16
+
+
+def test_a_null_id_is_not_an_empty_one(spark):
+    docs = spark.createDataFrame([(None, prose(1, 40)), ("", prose(2, 40)), ("b", prose(2, 40)), (None, prose(2, 40))], "doc_id string, text string")
+    kept = {(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()}
+    assert kept == {(None, prose(1, 40)), (None, prose(2, 40))}
