@@ -265,8 +265,9 @@ def linked(docs: DataFrame, threshold: float, id_col: str, text_col: str, trees:
     links = found.groupBy("__key").agg(F.sum("__links").alias("__links"))
     labels = components(found.where("__root <> __key"), "__key", "__root").withColumnRenamed("v", "__key")
     known = classes.select("__key", "__weight", "__least").join(links.hint("merge"), "__key", "left").join(labels.hint("merge"), "__key", "left")
-    known = known.withColumn("label", F.coalesce("label", "__key"))
-    least = known.groupBy("label").agg(F.min("__least").alias("class_id"))
+    # tables of their own, so that a label of very many classes can be split when they are joined
+    known = materialize(known.withColumn("label", F.coalesce("label", "__key")), "known")
+    least = materialize(known.groupBy("label").agg(F.min("__least").alias("class_id")), "least")
     known = known.join(least.hint("merge"), "label").select("__key", "label", "class_id", (F.coalesce("__links", F.lit(0)) + F.col("__weight") - 1).alias("n_links"))
     return signed.select("__id", "__th", "__key").join(known.hint("merge"), "__key")
 
