@@ -13,29 +13,27 @@ from lectern.operators.settings import profile_matches
 STOP_WORDS = "about after also been from into page that their there these they this were with".split()
 #: Rows that a table of settings may have to be sent along with a plan.
 MOST_FIXED = 1000
+#: Equal words after each other; the possessive loop needs no stack.
+RUN = r"(?<!\S)(\S+)(?: \1(?!\S))*+"
 TOKEN = r"[A-Za-z][A-Za-z0-9'-]{2,}"
 
 
 def keywords_of(text: Column, count: int = 3) -> Column:
     """The most frequent tokens of a text, ties by first occurrence; `keyword pending` without one.
 
-    All in the row: the tokens are sorted and counted run by run, and only the best `count` are kept on the way.
+    All in the row: the sorted tokens are joined, so that a pattern finds the runs of equal ones, and only these are ranked.
     """
-    tokens = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t)), lambda t: ~t.isin(STOP_WORDS))
-    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    end = F.concat(placed, F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("i"))))
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,i:int,t:string>>").alias("top"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = x["t"] == s["t"]
-        done = F.array(F.struct((-s["n"]).alias("n"), s["i"].alias("i"), s["t"].alias("t")))
-        ranked = F.slice(F.array_sort(F.concat(s["top"], done)), 1, count)
-        return F.when(same, F.struct(s["t"].alias("t"), (s["n"] + 1).alias("n"), s["i"].alias("i"), s["top"].alias("top"))).otherwise(
-            F.struct(x["t"].alias("t"), F.lit(1).alias("n"), x["i"].alias("i"), F.when(s["t"].isNull(), s["top"]).otherwise(ranked).alias("top"))
-        )
-
-    top = F.transform(F.aggregate(end, start, step)["top"], lambda s: F.replace(s["t"], F.lit("-"), F.lit(" ")))
-    return F.when(F.size(top) > 0, top).otherwise(F.array(F.lit("keyword pending")))
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t))
+
+    def rank(tokens: Column) -> Column:
+        runs = F.regexp_extract_all(F.array_join(F.array_sort(tokens), " "), F.lit(RUN), 0)
+        counted = F.transform(F.filter(runs, lambda r: ~F.substring_index(r, " ", 1).isin(STOP_WORDS)), lambda r: F.struct(F.substring_index(r, " ", 1).alias("t"), F.length(r).alias("n")))
+        placed = F.transform(counted, lambda c: F.struct((-(c["n"] + 1) / (F.length(c["t"]) + 1)).alias("n"), F.array_position(tokens, c["t"]).alias("i"), c["t"].alias("t")))
+        return F.slice(F.array_sort(placed), 1, count)
+
+    # arrays of one element keep each step from being worked out twice
+    top = F.transform(F.array(tokens), lambda t: F.transform(rank(t), lambda s: F.replace(s["t"], F.lit("-"), F.lit(" "))))
+    return F.element_at(F.transform(top, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("keyword pending")))), 1)
 
 
 def keywords(blocks: DataFrame, keys: list[str], count: int = 3) -> DataFrame:

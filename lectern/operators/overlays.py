@@ -59,31 +59,29 @@ def best_layout(regions: DataFrame, keys: list[str]) -> DataFrame:
     """The best pair of a summary region and a keyword region of each block.
 
     regions: keys, idx, page_number, y, w, h, ord, need_s, need_k (heights that the summary and the keywords need there). A
-    keyword region may not lie before the summary's. The first maximum wins (summary region outer, keyword region inner): a fold over
-    the pairs of a block's regions in its row, which keeps only the best.
+    keyword region may not lie before the summary's. The first maximum wins (summary region outer, keyword region inner). What a region is worth
+    by itself is worked out once; the pairs of a block's regions are then compared in its row.
     """
-    fields = ("idx", "page_number", "y", "w", "h", "ord", "need_s", "need_k")
-    listed = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__r"))
 
-    def fit(height: Column, need: Column, area: Column, order: Column) -> Column:
+    def fit(need: Column) -> Column:
+        height = F.col("h")
         fits = F.when(need <= height, 10000.0).otherwise(0.0)
-        return fits + 100 * F.least(height / F.greatest(need, F.lit(1.0)), F.lit(4.0)) + area / 1000 - 40 * F.greatest(need - height, F.lit(0.0)) - order / 100
-
-    def total(s: Column, k: Column) -> Column:
-        together = fit(s["h"], s["need_s"] + 4 + k["need_k"], s["w"] * s["h"], s["ord"]) + 20
-        apart = fit(s["h"], s["need_s"], s["w"] * s["h"], s["ord"]) + fit(k["h"], k["need_k"], k["w"] * k["h"], k["ord"]) - 0.02 * F.abs(k["ord"] - s["ord"])
-        return F.when(s["idx"] == k["idx"], together).otherwise(apart)
-
-    def better(best: Column, s: Column, k: Column) -> Column:
-        allowed = (k["page_number"] > s["page_number"]) | ((k["page_number"] == s["page_number"]) & (k["y"] >= s["y"] - 0.001))
-        wins = allowed & (best["summary_at"].isNull() | (F.round(total(s, k), 6) > F.round(best["score"], 6)))
-        return F.when(wins, F.struct(s["idx"].alias("summary_at"), k["idx"].alias("keywords_at"), total(s, k).alias("score"))).otherwise(best)
-
-    kind = regions.schema["idx"].dataType.simpleString()
-    start = F.lit(None).cast(kind)
-    none = F.struct(start.alias("summary_at"), start.alias("keywords_at"), F.lit(None).cast("double").alias("score"))
-    best = F.aggregate("__r", none, lambda outer, s: F.aggregate("__r", outer, lambda inner, k: better(inner, s, k)))
-    return listed.withColumn("__best", best).where("__best.summary_at IS NOT NULL").select(*keys, "__best.*")
+        return fits + 100 * F.least(height / F.greatest(need, F.lit(1.0)), F.lit(4.0)) + F.col("w") * height / 1000 - 40 * F.greatest(need - height, F.lit(0.0)) - F.col("ord") / 100
+
+    worth = F.struct("idx", "page_number", "y", "ord", fit(F.col("need_s")).alias("s"), fit(F.col("need_k")).alias("k"), (fit(F.col("need_s") + 4 + F.col("need_k")) + 20).alias("both"))
+    listed = regions.groupBy(*keys).agg(F.collect_list(worth).alias("__r"))
+
+    def pair(s: Column, k: Column) -> Column:
+        score = F.when(s["idx"] == k["idx"], s["both"]).otherwise(s["s"] + k["k"] - 0.02 * F.abs(k["ord"] - s["ord"]))
+        return F.struct(score.alias("score"), k["idx"].alias("k"))
+
+    def best_of(s: Column) -> Column:
+        allowed = F.filter("__r", lambda k: (k["page_number"] > s["page_number"]) | ((k["page_number"] == s["page_number"]) & (k["y"] >= s["y"] - 0.001)))
+        ranked = F.transform(F.transform(allowed, lambda k: pair(s, k)), lambda p: F.struct((-F.round(p["score"], 6)).alias("rank"), s["idx"].alias("summary_at"), p["k"].alias("keywords_at"), p["score"].alias("score")))
+        return F.array_min(ranked)
+
+    best = listed.select(*keys, F.array_min(F.transform("__r", best_of)).alias("__best"))
+    return best.where("__best IS NOT NULL").select(*keys, "__best.summary_at", "__best.keywords_at", "__best.score")
 
 
 def keyword_fallback(blocks: DataFrame, chunks: DataFrame, enabled: Column) -> DataFrame:

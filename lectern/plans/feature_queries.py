@@ -152,7 +152,8 @@ OVER = views.BLOCKS + ", un AS (SELECT document_id, block_no, generate_subscript
 
 
 def overlay_table(spark, sf_dir):
-    chunks = views.written_chunks(spark, sf_dir)
+    """Both sides begin with the same exchange of the chunks by document, which Spark reuses."""
+    chunks = views.chunks(spark, sf_dir)
     return overlays.overlay_rows(blocks_of(chunks).withColumn("block_id", F.col("block_no").cast("string")), chunks)
 
 
