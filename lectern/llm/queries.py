@@ -153,6 +153,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(prepare(spark), sf_dir, "pages"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.exact import find
+
+    return find(table(prepare(spark), sf_dir, "documents"), keep="largest")
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+    doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
+FROM d
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
@@ -164,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lines": op9_lines,
     "op10_html": op10_html,
+    "op11_exact": op11_exact,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_imatch": OP3_SQL, "op9_lines": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_imatch": OP3_SQL, "op9_lines": OP9_SQL, "op11_exact": OP11_SQL}
