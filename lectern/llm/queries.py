@@ -167,6 +167,14 @@ FROM d
 """
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.periodic import find_runs, made_periodic
+
+    docs = table(prepare(spark), sf_dir, "documents")
+    found = find_runs(docs.select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text")))
+    return found.drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
@@ -179,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_html": op10_html,
     "op11_exact": op11_exact,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_imatch": OP3_SQL, "op9_lines": OP9_SQL, "op11_exact": OP11_SQL}
