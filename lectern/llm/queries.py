@@ -175,6 +175,13 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_words")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.whitening import whiten
+
+    found = whiten(table(prepare(spark), sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
@@ -188,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
     "op11_exact": op11_exact,
     "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_imatch": OP3_SQL, "op9_lines": OP9_SQL, "op11_exact": OP11_SQL}
