@@ -12,56 +12,64 @@ LONGEST, SHARE, ENOUGH, LEAST = 8, 0.45, 0.80, 0.45
 
 
 def near(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of a unit and a chunk that has SHARE of its tokens in it: document_id, unit_no, unit_tokens, at, token_at, reading_order, both.
+    """Pairs of a unit and a chunk that has SHARE of its tokens in it: document_id, unit_no, unit_tokens, at, token_at, reading_order, before, both.
 
     A chunk of m tokens that shares h = ceil(SHARE * m) of them shares one of any m - h + 1; its rarest in the document are
     looked up, so pairs that have only frequent words in common are never made. `at` counts the document's chunks, `token_at` those
-    with tokens.
+    with tokens; `before` has the reading orders of up to LONGEST chunks that end with this one.
     """
     order = Window.partitionBy("document_id").orderBy("reading_order")
     parts = chunks.select("document_id", "reading_order", tx.alignment_tokens(F.col("text")).alias("own"))
-    parts = parts.withColumn("at", F.row_number().over(order)).withColumn("token_at", F.count_if(F.size("own") > 0).over(order)).where(F.size("own") > 0)
+    parts = parts.withColumn("at", F.row_number().over(order)).withColumn("token_at", F.count_if(F.size("own") > 0).over(order))
+    parts = parts.withColumn("before", F.collect_list("reading_order").over(order.rowsBetween(1 - LONGEST, 0))).where(F.size("own") > 0)
     tokens = parts.select("*", F.explode("own").alias("token")).withColumn("frequent", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token")))
     rank = F.row_number().over(Window.partitionBy("document_id", "at").orderBy("frequent", "token"))
     probes = tokens.withColumn("rank", rank).where(F.col("rank") <= F.size("own") - F.ceil(F.size("own") * SHARE - 1e-9) + 1)
     words = units.select("document_id", "unit_no", tx.alignment_tokens(F.col("text")).alias("unit"))
     asked = words.select("document_id", "unit_no", "unit", F.explode("unit").alias("token"))
-    pairs = asked.join(probes.select("document_id", "token", "reading_order", "at", "token_at", "own").hint("merge"), ["document_id", "token"])
+    carried = ["reading_order", "at", "token_at", "before"]
+    pairs = asked.join(probes.select("document_id", "token", "own", *carried).hint("merge"), ["document_id", "token"])
     both = F.array_intersect("own", "unit")
-    found = pairs.where(F.size(both) >= F.size("own") * SHARE)
-    once = found.groupBy("document_id", "unit_no", "at").agg(*[F.first(c).alias(c) for c in ("reading_order", "token_at")], F.first(F.size("unit")).alias("unit_tokens"), F.first(both).alias("both"))
-    return once
+    found = pairs.where(F.size(both) / F.size("own") >= SHARE)
+    return found.groupBy("document_id", "unit_no", "at").agg(*[F.first(c).alias(c) for c in carried if c != "at"], F.first(F.size("unit")).alias("unit_tokens"), F.first(both).alias("both"))
 
 
 def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidate runs: document_id, unit_no, start, stop, size, coverage.
+    """Candidate runs from every start that has one: document_id, unit_no, start, chunks (their reading orders), coverage.
 
-    From each chunk near a unit, up to LONGEST consecutive chunks; those without tokens are passed over, the first that is not near ends
-    the run, and so does the one with which the unit's tokens are covered to ENOUGH.
+    A start looks at LONGEST consecutive chunks. Those without tokens are passed over, and so are those before the first near one; the first after it
+    that is not near ends the run, and so does the one with which the unit's tokens are covered to ENOUGH. A start before its first near
+    chunk sees less behind it, so every start is a candidate of its own: there are at most LONGEST for each near pair.
     """
     pairs = near(units, chunks)
-    isle = pairs.withColumn("isle", F.col("token_at") - F.row_number().over(Window.partitionBy("document_id", "unit_no").orderBy("at")))
+    unit = Window.partitionBy("document_id", "unit_no").orderBy("at")
+    isle = pairs.withColumn("isle", F.col("token_at") - F.row_number().over(unit)).withColumn("last", F.lag("at").over(unit))
     ahead = Window.partitionBy("document_id", "unit_no", "isle").orderBy("at").rangeBetween(0, LONGEST - 1)
-    seen = isle.withColumn("seen", F.collect_list(F.struct("reading_order", "both")).over(ahead))
-    start = F.struct(F.array().cast("array<string>").alias("covered"), F.lit(0).alias("size"), F.lit(0).alias("stop"))
+    seen = isle.withColumn("seen", F.collect_list(F.struct("at", "reading_order", "both")).over(ahead))
+    # starts whose first near chunk this is: how many chunks they lie before it
+    back = F.least(F.col("at") - F.coalesce("last", F.lit(0)), F.size("before")) - 1
+    starts = seen.withColumn("ahead", F.explode(F.sequence(F.lit(0), back)))
+    within = F.filter("seen", lambda c: c["at"] <= F.col("at") - F.col("ahead") + LONGEST - 1)
+    begin = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast("array<int>").alias("chunks"))
 
     def step(s: Column, c: Column) -> Column:
-        done = F.size(s["covered"]) >= F.col("unit_tokens") * ENOUGH
-        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), (s["size"] + 1).alias("size"), c["reading_order"].alias("stop")))
+        done = F.size(s["covered"]) / F.col("unit_tokens") >= ENOUGH
+        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), F.concat(s["chunks"], F.array(c["reading_order"].cast("int"))).alias("chunks")))
 
-    folded = seen.withColumn("f", F.aggregate("seen", start, step))
-    return folded.select("document_id", "unit_no", F.col("reading_order").alias("start"), F.col("f.stop").alias("stop"), F.col("f.size").alias("size"), (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
+    folded = starts.withColumn("f", F.aggregate(within, begin, step))
+    start = F.element_at("before", -1 - F.col("ahead").cast("int"))
+    return folded.select("document_id", "unit_no", start.cast("int").alias("start"), "f.chunks", (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
 
 
 def align(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The run chosen for each unit: document_id, unit_no, start, stop.
+    """The run chosen for each unit: document_id, unit_no, start, chunks.
 
-    Units go in order, and a match moves the cursor past its run: the first run after the cursor that covers ENOUGH, else the best
-    that covers LEAST. A fold over a document's candidates inside the JVM.
+    Units go in order, and a match moves the cursor past its last chunk: the first start after the cursor that covers ENOUGH, else the
+    first of those that cover most, if that is LEAST. A fold over a document's candidates inside the JVM.
     """
-    found = runs(units, chunks).groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "coverage"))).alias("runs"))
+    found = runs(units, chunks).groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list(F.struct("start", "coverage", "chunks"))).alias("runs"))
     listed = found.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "runs"))).alias("units"))
-    nothing = "array<struct<unit_no:int,start:int,stop:int>>"
+    nothing = "array<struct<unit_no:int,start:int,chunks:array<int>>>"
     begin = F.struct(F.lit(-1).alias("cursor"), F.array().cast(nothing).alias("out"))
 
     def choose(s: Column, u: Column) -> Column:
@@ -72,9 +80,14 @@ def align(units: DataFrame, chunks: DataFrame) -> DataFrame:
         return F.slice(F.when(F.size(good) > 0, good).otherwise(best), 1, 1)
 
     def take(s: Column, u: Column) -> Column:
-        picked = F.transform(choose(s, u), lambda r: F.struct(u["unit_no"].cast("int").alias("unit_no"), r["start"].cast("int").alias("start"), r["stop"].cast("int").alias("stop")))
-        moved = F.coalesce(F.array_max(F.transform(picked, lambda p: p["stop"])), s["cursor"])
+        picked = F.transform(choose(s, u), lambda r: F.struct(u["unit_no"].cast("int").alias("unit_no"), r["start"].alias("start"), r["chunks"].alias("chunks")))
+        moved = F.coalesce(F.array_max(F.transform(picked, lambda p: F.array_max(p["chunks"]))), s["cursor"])
         return F.struct(moved.alias("cursor"), F.concat(s["out"], picked).alias("out"))
 
     chosen = listed.select("document_id", F.explode(F.aggregate("units", begin, take)["out"]).alias("m"))
-    return chosen.select("document_id", "m.unit_no", "m.start", "m.stop")
+    return chosen.select("document_id", "m.unit_no", "m.start", "m.chunks")
+
+
+def selected_chunks(aligned: DataFrame) -> DataFrame:
+    """The chunks of all chosen runs: document_id, reading_order. A chunk is in one run at most."""
+    return aligned.select("document_id", F.explode("chunks").alias("reading_order"))

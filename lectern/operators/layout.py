@@ -254,10 +254,13 @@ def selection_summaries(selections: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def body_only(chunks: DataFrame, selected: DataFrame) -> DataFrame:
-    """The selected chunks (document_id, chunk_id) page by page; a page without any stays with an empty list."""
-    marked = chunks.join(selected.select("document_id", "chunk_id").distinct().withColumn("__in", F.lit(True)).hint("merge"), ["document_id", "chunk_id"], "left")
+    """The selected chunks (document_id, reading_order) page by page: document_id, page_number, chunk_ids, error. A page without any stays with an empty
+    list; the pages of a document of which nothing is selected say so in error."""
+    marked = chunks.join(selected.select("document_id", "reading_order").distinct().withColumn("__in", F.lit(True)).hint("merge"), ["document_id", "reading_order"], "left")
     kept = F.collect_list(F.when(F.col("__in"), F.struct("reading_order", "chunk_id")))
-    return marked.groupBy("document_id", "page_number").agg(F.transform(F.array_sort(kept), lambda s: s["chunk_id"]).alias("chunk_ids"))
+    paged = marked.groupBy("document_id", "page_number").agg(F.transform(F.array_sort(kept), lambda s: s["chunk_id"]).alias("chunk_ids"))
+    most = F.max(F.size("chunk_ids")).over(Window.partitionBy("document_id"))
+    return paged.withColumn("error", F.when(most == 0, "nothing of the body was found"))
 
 
 def path_nodes(rows: DataFrame, order_col: str) -> DataFrame:

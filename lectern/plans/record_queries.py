@@ -408,36 +408,58 @@ def d18(spark, sf_dir):
 
 
 def units(blocks):
-    """Body units: the blocks' texts without their longest words, so that coverage varies."""
+    """Body units: the blocks' texts without their longest words, so that coverage varies; every ninth document's are written backwards and found nowhere."""
     text = F.array_join(F.filter(F.split("text", " "), lambda w: F.length(w) < 14), " ")
+    text = F.when(F.col("document_id") % 9 == 8, F.reverse(text)).otherwise(text)
     return blocks.select("document_id", F.col("block_no").alias("unit_no"), text.alias("text"))
 
 
-NEAR = f"""tk AS (SELECT document_id, reading_order, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own, row_number() OVER w AS nth, count(*) FILTER (len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0) OVER w AS tno FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY reading_order)),
- un AS (SELECT document_id, block_no AS unit_no, list_distinct(regexp_extract_all(lower(array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) < 14), ' ')), '[a-z0-9]+')) AS unit FROM blocks),
- nr AS (SELECT * FROM (SELECT un.document_id, un.unit_no, len(unit) AS m, nth, tno, reading_order, own, list_intersect(own, unit) AS hit FROM un JOIN tk USING (document_id) WHERE len(own) > 0) WHERE len(hit) >= len(own) * 0.45 AND len(hit) > 0),
- il AS (SELECT *, tno - row_number() OVER (PARTITION BY document_id, unit_no ORDER BY nth) AS isle FROM nr),
- cv AS (SELECT s.document_id, s.unit_no, s.reading_order AS start, s.m, e.nth, e.reading_order AS stop, len(list_distinct(flatten(list(r.hit)))) AS c, count(*) AS size FROM il s JOIN il e ON e.document_id = s.document_id AND e.unit_no = s.unit_no AND e.isle = s.isle AND e.nth BETWEEN s.nth AND s.nth + 7 JOIN il r ON r.document_id = s.document_id AND r.unit_no = s.unit_no AND r.isle = s.isle AND r.nth BETWEEN s.nth AND e.nth GROUP BY ALL),
- rk AS (SELECT *, row_number() OVER (PARTITION BY document_id, unit_no, start ORDER BY c >= m * 0.8 DESC, CASE WHEN c >= m * 0.8 THEN nth ELSE -nth END) AS rank FROM cv)"""
+#: All starts of all units: the eight chunks from each, near or not, and the run among them.
+NEAR = f"""tk AS (SELECT document_id, reading_order, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own FROM chunks),
+ un AS (SELECT document_id, block_no AS unit_no, list_distinct(regexp_extract_all(lower(CASE WHEN document_id % 9 = 8 THEN reverse(kept) ELSE kept END), '[a-z0-9]+')) AS unit FROM (SELECT *, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) < 14), ' ') AS kept FROM blocks)),
+ hits AS (SELECT un.document_id, un.unit_no, len(unit) AS m, reading_order AS k, list_intersect(own, unit) AS hit FROM un JOIN tk USING (document_id) WHERE len(unit) > 0 AND len(own) > 0 AND len(list_intersect(own, unit)) / len(own) >= 0.45),
+ st AS (SELECT DISTINCT h.document_id, h.unit_no, h.m, t.reading_order AS start FROM hits h JOIN tk t ON t.document_id = h.document_id AND h.k BETWEEN t.reading_order AND t.reading_order + 7),
+ wn AS (SELECT st.*, t.reading_order AS k, h.hit FROM st JOIN tk t ON t.document_id = st.document_id AND t.reading_order BETWEEN st.start AND st.start + 7 LEFT JOIN hits h ON h.document_id = st.document_id AND h.unit_no = st.unit_no AND h.k = t.reading_order WHERE len(t.own) > 0),
+ fh AS (SELECT *, min(k) FILTER (hit IS NOT NULL) OVER (PARTITION BY document_id, unit_no, start) AS first FROM wn),
+ mi AS (SELECT *, min(k) FILTER (hit IS NULL AND k > first) OVER (PARTITION BY document_id, unit_no, start) AS miss FROM fh),
+ rn AS (SELECT *, len(list_distinct(flatten(list(hit) OVER (PARTITION BY document_id, unit_no, start ORDER BY k)))) / m AS c FROM mi WHERE hit IS NOT NULL AND k < coalesce(miss, 1000000000)),
+ en AS (SELECT *, min(k) FILTER (c >= 0.8) OVER (PARTITION BY document_id, unit_no, start) AS enough FROM rn),
+ cand AS (SELECT document_id, unit_no, start, string_agg(k, ',' ORDER BY k) AS chunks, max(k) AS stop, max(c) AS coverage FROM en WHERE k <= coalesce(enough, 1000000000) GROUP BY ALL)"""
 
 
-@query("d20_alignment_runs", f"WITH {views.BLOCKS}, {NEAR} SELECT document_id, unit_no, start, stop, size, CAST(c AS DOUBLE) / m AS coverage FROM rk WHERE rank = 1")
+@query("d20_alignment_runs", f"WITH {views.BLOCKS}, {NEAR} SELECT document_id, unit_no, start, chunks, coverage FROM cand")
 def d20(spark, sf_dir):
     chunks = views.written_chunks(spark, sf_dir)
-    return alignment.runs(units(blocks_of(chunks)), chunks)
+    return alignment.runs(units(blocks_of(chunks)), chunks).withColumn("chunks", F.array_join("chunks", ","))
 
 
-@query("d21_aligned_chunks")
+#: The greedy choice, one unit of every document a round; candidates of a unit that has none end no document.
+ALIGNED = f"""WITH RECURSIVE {views.BLOCKS.strip()}, {NEAR},
+ us AS (SELECT document_id, unit_no, row_number() OVER (PARTITION BY document_id ORDER BY unit_no) AS n, list({{'start': start, 'stop': stop, 'coverage': coverage, 'chunks': chunks}} ORDER BY start) AS runs FROM cand GROUP BY 1, 2),
+ al AS (SELECT document_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS unit_no, CAST(-1 AS INT) AS cursor, CAST(NULL AS INT) AS start, CAST(NULL AS VARCHAR) AS chunks FROM us GROUP BY 1
+  UNION ALL SELECT document_id, n, unit_no, coalesce(p.stop, cursor), p.start, p.chunks FROM (
+   SELECT u.document_id, u.n, u.unit_no, al.cursor, coalesce(list_filter(own, lambda r: r.coverage >= 0.8)[1], list_filter(own, lambda r: r.coverage >= 0.45 AND r.coverage = list_max(list_transform(own, lambda x: x.coverage)))[1]) AS p
+   FROM al JOIN (SELECT * FROM us) u ON u.document_id = al.document_id AND u.n = al.n + 1, LATERAL (SELECT list_filter(u.runs, lambda r: r.start > al.cursor) AS own)))"""
+
+
+@query("d21_aligned_chunks", f"{ALIGNED} SELECT document_id, unit_no, start, chunks FROM al WHERE chunks IS NOT NULL")
 def d21(spark, sf_dir):
     chunks = views.written_chunks(spark, sf_dir)
-    return alignment.align(units(blocks_of(chunks)), chunks)
+    return alignment.align(units(blocks_of(chunks)), chunks).withColumn("chunks", F.array_join("chunks", ","))
 
 
-@query("d22_body_filter", f"WITH {views.BLOCKS} SELECT c3.document_id, c3.page_number, coalesce(string_agg(chunk_id, ',' ORDER BY reading_order) FILTER ({WORDS.replace('text', 'blocks.text')} > 20), '') AS chunk_ids FROM c3 JOIN blocks ON blocks.document_id = c3.document_id AND blocks.block_no = c3.block_no GROUP BY 1, 2")
+@query(
+    "d22_body_filter",
+    f"""{ALIGNED}, sel AS (SELECT document_id, CAST(unnest(string_split(chunks, ',')) AS INT) AS reading_order FROM al WHERE chunks IS NOT NULL),
+    ok AS (SELECT document_id, count(*) > 0 AS found FROM sel GROUP BY 1)
+    SELECT c.document_id, c.page_number, coalesce(string_agg(c.chunk_id, ',' ORDER BY c.reading_order) FILTER (sel.reading_order IS NOT NULL), '') AS chunk_ids, CASE WHEN ok.found IS NULL THEN 'nothing of the body was found' END AS error
+    FROM chunks c LEFT JOIN sel ON sel.document_id = c.document_id AND sel.reading_order = c.reading_order LEFT JOIN ok ON ok.document_id = c.document_id GROUP BY ALL""",
+)
 def d22(spark, sf_dir):
-    """The chunks of blocks long enough for a job, page by page."""
+    """The chunks that body units align with, page by page; every ninth document has none."""
     chunks = views.written_chunks(spark, sf_dir)
-    selected = blocks_of(chunks).where(tx.word_count(F.col("text")) > 20).select("document_id", F.explode("chunk_ids").alias("chunk_id"))
+    wanted = units(blocks_of(chunks))
+    selected = alignment.selected_chunks(alignment.align(wanted, chunks))
     return layout.body_only(chunks, selected).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
