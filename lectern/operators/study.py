@@ -18,6 +18,47 @@ def validation_error(required: list[str]) -> Column:
     return F.coalesce(*missing)
 
 
+#: What a submission must have, in the order in which it is looked at.
+SUBMISSION_FIELDS = ["study_id", "participant_id", "session_id", "assignment.question_set_id"]
+
+
+def submission_error() -> Column:
+    """The message for the first thing that a submission lacks, null if it has all. Columns: study_id, participant_id, session_id,
+    assignment (a struct with question_set_id) and answers (an array, which may be empty)."""
+    missing = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"Missing {c.rsplit('.', 1)[-1]}.")) for c in SUBMISSION_FIELDS]
+    return F.coalesce(*missing, F.when(F.col("answers").isNull(), "Missing answers."))
+
+
+def split_valid(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions that have all they must, and the others with their error."""
+    checked = submissions.withColumn("error", submission_error())
+    return checked.where("error IS NULL").drop("error"), checked.where("error IS NOT NULL")
+
+
+def folded_keys(keys: DataFrame) -> DataFrame:
+    """question_set_id and its questions (ordinal, question_id, answer_index) in order. keys: question_set_id, question_id, ordinal, answer_index;
+    a question that stands there again keeps its first place and takes the last answer."""
+    once = keys.groupBy("question_set_id", "question_id").agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct("answer_index"), "ordinal")["answer_index"].alias("answer_index"))
+    return once.groupBy("question_set_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "question_id", "answer_index"))).alias("questions"))
+
+
+def score_submissions(submissions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whole submissions with correct, total and details over the questions of their key, and an error if there is no such key.
+
+    The answers (array of question_id, selected_index) stand in their order; the last one to a question counts, a negative choice is none, and
+    answers to other questions are ignored. Keys may be a table of any size; they are joined by their question_set_id.
+    """
+    joined = submissions.withColumn("question_set_id", F.col("assignment.question_set_id")).join(folded_keys(keys), "question_set_id", "left")
+
+    def mark(q: Column) -> Column:
+        choice = F.try_element_at(F.filter("answers", lambda a: a["question_id"] == q["question_id"]), F.lit(-1))["selected_index"]
+        return F.struct(q["question_id"].alias("question_id"), F.when(choice >= 0, choice).cast("int").alias("selected_index"), F.coalesce(choice == q["answer_index"], F.lit(False)).alias("correct"))
+
+    marked = joined.withColumn("details", F.transform("questions", mark)).withColumn("total", F.size("details"))
+    right = F.size(F.filter("details", lambda d: d["correct"])).cast("int")
+    return marked.withColumn("correct", right).withColumn("error", F.when(F.col("questions").isNull(), "Answer key not found.")).drop("questions")
+
+
 def draw(*keys: str) -> Column:
     """A reproducible number in [0, 1) of the keys (the first 32 bits of their MD5)."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -73,12 +114,15 @@ def answer_sheet(answers: DataFrame, key: DataFrame) -> DataFrame:
     """One row for each session and question of the key, selected_index null when unanswered.
 
     The key (question_id, ordinal, answer_index) is a table of settings (see features.fixed_rows); each session gets its questions in its
-    row, and its answers are collected there, so nothing is joined.
+    row, and its answers are collected there, so nothing is joined. A question that the key has twice keeps its first place and takes the last answer.
     """
-    rows = fixed_rows(key.select("question_id", "ordinal", "answer_index"))
+    rows: dict = {}
+    for r in sorted(fixed_rows(key.select("question_id", "ordinal", "answer_index")), key=lambda r: r["ordinal"]):
+        first = rows.get(r["question_id"], r)
+        rows[r["question_id"]] = {**r.asDict(), "ordinal": first["ordinal"]}
     given = last_answers(answers).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", "selected_index"))).alias("__given"))
     kinds = {f.name: f.dataType for f in key.schema}
-    questions = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("question_id", "ordinal", "answer_index")]) for r in rows])
+    questions = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("question_id", "ordinal", "answer_index")]) for r in rows.values()])
     sheet = given.select("session_id", "__given", F.explode(questions).alias("q")).select("session_id", "__given", "q.*")
     return sheet.select("session_id", "question_id", "ordinal", "answer_index", F.try_element_at("__given", F.col("question_id")).alias("selected_index"))
 

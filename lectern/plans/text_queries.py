@@ -60,16 +60,6 @@ def blocks_of(chunks):
     return parts.select("document_id", "block_no", "page_number", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
-@query(
-    "a14_result_keys",
-    "SELECT DISTINCT event_type AS study_id, strftime(ts, '%Y-%m-%d') AS received_date, concat('study-results/', event_type, '/', strftime(ts, '%Y-%m-%d'), '/s-', user_id, '.json') AS key FROM events",
-)
-def a14(spark, sf_dir):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    key = F.concat(F.lit("study-results/"), F.col("event_type"), F.lit("/"), day, F.lit("/"), tx.path_segment(F.concat(F.lit("s-"), F.col("user_id").cast("string"))), F.lit(".json"))
-    return events(spark, sf_dir).select(F.col("event_type").alias("study_id"), day.alias("received_date"), key.alias("key")).distinct()
-
-
 @query("b1_collapse", r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\p{Z}]+', ' ', 'g')) AS text FROM documents")
 def b1(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tx.collapse(F.col("text")).alias("text"))
@@ -188,15 +178,20 @@ def c3(spark, sf_dir):
 
 @query(
     "c6_validation",
-    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'study_id is required.' WHEN user_id % 11 = 0 THEN 'participant_id is required.' WHEN event_id % 13 = 0 THEN 'session_id is required.' END AS error FROM events",
+    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'Missing study_id.' WHEN user_id % 11 = 0 THEN 'Missing participant_id.' WHEN event_id % 13 = 0 THEN 'Missing session_id.' WHEN event_id % 17 = 0 THEN 'Missing question_set_id.' WHEN event_id % 19 = 0 THEN 'Missing answers.' END AS error FROM events",
 )
 def c6(spark, sf_dir):
-    from lectern.operators.study import validation_error
+    """Both halves of the split, put together again."""
+    from lectern.operators.study import split_valid
 
-    row = events(spark, sf_dir).select(
+    n = F.col("event_id")
+    rows = events(spark, sf_dir).select(
         "event_id",
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("study_id"),
         F.when(F.col("user_id") % 11 != 0, F.col("user_id").cast("string")).alias("participant_id"),
-        F.when(F.col("event_id") % 13 != 0, F.lit("s")).alias("session_id"),
+        F.when(n % 13 != 0, F.lit("s")).otherwise("").alias("session_id"),
+        F.when(n % 34 != 0, F.struct(F.when(n % 17 != 0, "set").alias("question_set_id"))).alias("assignment"),
+        F.when(n % 19 != 0, F.array().cast("array<struct<question_id:string,selected_index:int>>")).alias("answers"),
     )
-    return row.select("event_id", validation_error(["study_id", "participant_id", "session_id"]).alias("error"))
+    valid, invalid = split_valid(rows)
+    return valid.unionByName(invalid, allowMissingColumns=True).select("event_id", "error")

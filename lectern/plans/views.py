@@ -114,6 +114,7 @@ def job_events(events: DataFrame) -> DataFrame:
         status.alias("status"),
         F.col("event_id").alias("pos"),
         F.col("ts").alias("updated_at"),
+        F.when(status == "complete", F.concat(F.lit("v"), F.col("event_id").cast("string"))).alias("value"),
     )
 
 
