@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
 from lectern.operators.settings import profile_matches
+from lectern.sources.responses import is_keywords, payload, response_text
 
 # Words that are no keywords.
 STOP_WORDS = "about after also been from into page that their there these they this were with".split()
@@ -64,6 +65,53 @@ def representations(blocks: DataFrame, defs: DataFrame, keys: list[str]) -> Data
     return words.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("r")).select(*keys, "r.kind", "r.value")
 
 
+def from_responses(blocks: DataFrame, defs: DataFrame, responses: DataFrame, keys: list[str], ratio: float = 0.15, most: int = 5) -> DataFrame:
+    """What responses to a block's tasks give: keys, kind, label, value, items, text, color, opacity and error, one row for each task that has a response.
+
+    A task is an enabled definition whose word threshold the block exceeds (see plan_jobs); keywords are tidied and cut to `most`, texts to the block's
+    target length; a response that gives nothing leaves no row, one that is wrong a row with its error. defs: kind, enabled, least_words, color,
+    opacity, at most MOST_FIXED rows; responses: keys, kind, response (JSON text), joined by block.
+    """
+    rows = fixed_rows(defs.where("enabled"))
+    if not rows:
+        return blocks.select(*keys, *(F.lit("").alias(c) for c in ("kind", "label", "value"))).limit(0)
+    words = tx.word_count(F.col("text"))
+    style = lambda r: F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["color"]).alias("color"), F.lit(r["opacity"]).cast("double").alias("opacity"))
+    tasks = blocks.select(*keys, words.alias("__words"))
+    tasks = tasks.select(*keys, tx.target_words(F.col("__words"), ratio).alias("__target"), F.explode(F.array_compact(F.array(*[F.when(F.col("__words") > max(r["least_words"], 20), style(r)) for r in rows]))).alias("d")).select(*keys, "__target", "d.*")
+    joined = tasks.join(responses.select(*keys, "kind", "response").hint("merge"), [*keys, "kind"])
+    found = joined.withColumn("__said", response_text(F.col("response"))).withColumn("__p", payload(F.col("__said.text"), F.col("kind")))
+    items = F.when(is_keywords(F.col("kind")), tx.clean_keywords(F.col("__p.items"), most))
+    text = F.when(~is_keywords(F.col("kind")), tx.cap_summary(F.col("__p.value"), F.col("__target")))
+    done = found.select(*keys, "kind", tx.kind_label(F.col("kind")).alias("label"), items.alias("items"), text.alias("text"), "color", "opacity", F.coalesce("__said.error", "__p.error").alias("error"))
+    value = F.coalesce(F.array_join("items", ", "), "text")
+    blank = F.coalesce(value, F.lit("")) == ""
+    done = done.withColumn("value", F.when(F.col("error").isNull(), value)).withColumn("items", F.when(F.col("error").isNull(), F.col("items"))).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+    return done.where(F.col("error").isNotNull() | ~blank)
+
+
+def token_budget(kind: Column, target: Column) -> Column:
+    """Output tokens of a single request: 2048 for keywords, else by the target words, between 2048 and 4096."""
+    return F.when(kind == "keywords", 2048).otherwise(F.greatest(F.lit(2048), F.least(F.lit(4096), (target + 32) * 10)))
+
+
+def retry_budgets(budget: Column, most: int = 8192) -> Column:
+    """The budgets that a request is tried with, one after the other."""
+    return F.when(budget >= most, F.array(budget)).otherwise(F.array(budget, F.lit(most)))
+
+
+def batch_budgets(tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """Output tokens of each batch: tasks has keys, target (words) and most (keywords)."""
+    wanted = (F.sum("target") + F.sum(F.col("most") * 4) + F.count(F.lit(1)) * 16) * 4
+    return tasks.groupBy(*keys).agg(F.greatest(F.lit(2048), F.least(F.lit(8192), wanted)).cast("int").alias("budget"))
+
+
+def batches(rows: DataFrame, keys: list[str], order: str, size: int = 12) -> DataFrame:
+    """batch_no: consecutive rows in groups of a size (1 at least)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return rows.withColumn("batch_no", F.floor(place / max(size, 1)).cast("bigint"))
+
+
 def fixed_rows(table: DataFrame) -> list:
     """The rows of a table of settings; more than MOST_FIXED are an error, so nothing that grows is collected or broadcast."""
     rows = table.limit(MOST_FIXED + 1).collect()

@@ -55,8 +55,7 @@ def f5(spark, sf_dir):
 
 @query("f6_batches", f"WITH {views.BLOCKS} SELECT document_id, block_no, (row_number() OVER (PARTITION BY document_id ORDER BY block_no) - 1) // 12 AS batch_no FROM blocks")
 def f6(spark, sf_dir):
-    order = Window.partitionBy("document_id").orderBy("block_no")
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.floor((F.row_number().over(order) - 1) / 12).cast("long").alias("batch_no"))
+    return features.batches(block_rows(spark, sf_dir).select("document_id", "block_no"), ["document_id"], "block_no")
 
 
 @query(

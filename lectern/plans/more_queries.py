@@ -38,14 +38,6 @@ def b13(spark, sf_dir):
     return rows.select("event_id", color.alias("color"), F.coalesce("set_opacity", F.when(own, F.col("value") / 1000), F.lit(1.0)).alias("opacity"))
 
 
-RESPONSE = "CASE event_id % 5 WHEN 0 THEN concat('{\"output_text\":\"', event_type, '\"}') WHEN 1 THEN concat('{\"output\":[{\"content\":[{\"text\":\"c', user_id, '\"}]}]}') WHEN 2 THEN concat('{\"choices\":[{\"message\":{\"content\":\"m', user_id, '\"}}]}') WHEN 3 THEN '{\"error\":\"x\",\"output_text\":\"no\"}' ELSE 'broken{' END"
-
-
-@query("b17_response_text", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN 'c' || user_id WHEN 2 THEN 'm' || user_id END AS text FROM events")
-def b17(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", elements.response_text(F.expr(RESPONSE)).alias("text"))
-
-
 @query("d15_parser_label", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraph_count, CASE WHEN document_id % 2 = 0 AND document_id % 3 = 0 THEN 'presegmented-grouped' WHEN document_id % 2 = 0 THEN 'grouped' WHEN document_id % 3 = 0 THEN 'presegmented' ELSE 'layout' END AS label FROM blocks GROUP BY 1")
 def d15(spark, sf_dir):
     from lectern.operators.layout import parser_label

@@ -233,12 +233,6 @@ def b15(spark, sf_dir):
     return block_rows(spark, sf_dir).select("document_id", "block_no", features.request_text(kind, F.col("text"), target, 5, instruction).alias("request"))
 
 
-@query("b18_payload", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'keywords' WHEN event_id % 5 IN (1, 2) THEN 'summary' ELSE 'error' END AS kind, CASE event_id % 5 WHEN 0 THEN event_type || ',' || user_id WHEN 1 THEN 's' || user_id WHEN 2 THEN 'v' || user_id END AS value FROM events")
-def b18(spark, sf_dir):
-    text = "CASE event_id % 5 WHEN 0 THEN concat('{\"k\":[\"', event_type, '\",\"', user_id, '\"]}') WHEN 1 THEN concat('{\"s\":\"s', user_id, '\"}') WHEN 2 THEN concat('{\"s\":\"x\",\"v\":\"v', user_id, '\"}') WHEN 3 THEN '{}' ELSE 'oops' END"
-    return events(spark, sf_dir).select("event_id", elements.payload(F.expr(text)).alias("p")).select("event_id", "p.kind", "p.value")
-
-
 @query(
     "b22_selection_summary",
     f"""WITH {views.BLOCKS}, s AS (SELECT document_id, block_no // 3 AS sel, chunk_id, reading_order, page_number FROM c3), g AS (SELECT document_id, sel, list(chunk_id ORDER BY reading_order DESC) AS ids, list(page_number ORDER BY reading_order) AS ps FROM s GROUP BY 1, 2),

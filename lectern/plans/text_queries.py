@@ -128,15 +128,9 @@ def b10(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", tx.kind_label(kind).alias("label"))
 
 
-@query("b16_token_budget", f"WITH {views.BLOCKS}, n AS (SELECT document_id, block_no, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS w FROM blocks) SELECT document_id, block_no, least(greatest((greatest(8, CAST(ceil(w * CAST(0.15 AS DOUBLE)) AS INT)) + 32) * 10, 2048), 4096) AS budget FROM n")
-def b16(spark, sf_dir):
-    words = tx.target_words(tx.word_count(F.col("text")), 0.15)
-    return block_rows(spark, sf_dir).select("document_id", "block_no", F.least(F.greatest((words + 32) * 10, F.lit(2048)), F.lit(4096)).cast("long").alias("budget"))
-
-
-@query("b19_keywords", r"WITH k AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS pos, trim(trim(regexp_replace(unnest(string_split(text, ' ')), '\s+', ' ', 'g')), ' .,:;') AS k FROM documents), f AS (SELECT doc_id, lower(k) AS l, arg_min(k, pos) AS k, min(pos) AS pos FROM k WHERE k <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f) SELECT doc_id, string_agg(k, '|' ORDER BY n) AS keywords FROM r WHERE n <= 5 GROUP BY 1")
+@query("b19_keywords", r"WITH k AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS pos, trim(trim(regexp_replace(unnest(string_split(text, ' ')), '\s+', ' ', 'g')), ' .,:;') AS k FROM documents), f AS (SELECT doc_id, lower(k) AS l, arg_min(k, pos) AS k, min(pos) AS pos FROM k WHERE k <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f) SELECT doc_id, string_agg(k, '|' ORDER BY n) AS keywords FROM r WHERE n <= 5 GROUP BY 1 UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)")
 def b19(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(tx.clean_keywords(F.split("text", " "), 5), "|").alias("keywords")).where("keywords <> ''")
+    return documents(spark, sf_dir).select("doc_id", F.array_join(tx.clean_keywords(F.split("text", " "), 5), "|").alias("keywords"))
 
 
 @query("b20_summary_cap", f"WITH s AS (SELECT doc_id, {C} AS t, string_split({C}, ' ') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 41 THEN rtrim(array_to_string(w[1:41], ' '), ' ,;:') || '...' ELSE t END AS summary FROM s")

@@ -43,22 +43,6 @@ def walk(trees: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return shown.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("path")).alias("unit_no"), "type", "content")
 
 
-def response_text(json: Column) -> Column:
-    """The text of a model response: output_text, else the first output's or choice's text; null for errors and refusals."""
-    value = F.try_parse_json(json)
-    get = lambda at: F.nullif(F.trim(F.try_variant_get(value, at, "string")), F.lit(""))
-    bad = F.try_variant_get(value, "$.error", "string").isNotNull() | (F.try_variant_get(value, "$.status", "string") == "incomplete")
-    texts = F.coalesce(get("$.output_text"), get("$.output[0].text"), get("$.output[0].content[0].text"), get("$.choices[0].message.content"), get("$.choices[0].text"))
-    return F.when(~F.coalesce(bad, F.lit(False)), texts)
-
-
-def payload(json: Column) -> Column:
-    """struct(kind, value) of a response: keywords `k` (a list), a value `v` or a summary `s`; kind `error` for anything else."""
-    parsed = F.from_json(json, "k array<string>, s string, v string")
-    kind = F.when(parsed["k"].isNotNull(), "keywords").when(F.coalesce(parsed["v"], parsed["s"]).isNotNull(), "summary").otherwise("error")
-    return F.struct(kind.alias("kind"), F.coalesce(F.array_join(parsed["k"], ","), parsed["v"], parsed["s"]).alias("value"))
-
-
 def answer_rows(private: DataFrame, exams: DataFrame, wanted: DataFrame) -> DataFrame:
     """question_set_id, question_id, answer_index, and error: the private key of each wanted set, else the first exam's (by file) that
     has the set, with ids `<set>-q<n>` where it names none, else one row that says so.

@@ -78,3 +78,23 @@ def test_assignment_shares(spark):
     assert sum(counts.values()) == 4000 and "c" not in counts and abs(counts["b"] / 4000 - 0.75) < 0.03
 
 
+
+
+def test_response_forms(spark):
+    """Walks every element in order; what comes first, a text or a refusal, counts."""
+    from lectern.sources import responses
+
+    cases = {
+        '{"output":[{"content":[{"text":"a"},{"type":"refusal"}]}]}': ("a", None),
+        '{"output":[{"content":[{"type":"refusal","text":"why"},{"text":"a"}]}]}': (None, "refused: why"),
+        '{"output":[{"content":[{"json":null},{"json":[1]}]}]}': ("[1]", None),
+        '{"output":"x","choices":[{"text":" b "}]}': (" b ", None),
+        '{"output":[{"type":"output_text","text":7}]}': (None, "no text"),
+        '{"output_text":" ","status":"incomplete"}': (None, "incomplete: {}"),
+        '{"error":"","choices":[null,{"message":{"content":[{"type":"refusal","refusal":"no"}]}}]}': (None, "refused: no"),
+        "[]": (None, "no text"),
+        "": (None, "not JSON"),
+    }
+    rows = spark.createDataFrame([(k, j) for k, j in enumerate([*cases, None])], "k int, j string")
+    found = {r["k"]: tuple(r["r"]) for r in rows.select("k", responses.response_text(F.col("j")).alias("r")).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases.values()) and found[len(cases)] == (None, "not JSON")
