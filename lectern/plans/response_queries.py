@@ -13,6 +13,7 @@ from lectern.plans import views
 from lectern.plans.feature_queries import WORDS
 from lectern.plans.registry import query
 from lectern.plans.text_queries import C, block_rows, events
+from lectern.session import materialize
 from lectern.sources import responses
 
 #: Each form with the text or the error that it gives; E and U stand for the event's type and user.
@@ -142,7 +143,7 @@ er AS (SELECT document_id, block_no, kind, CASE block_no % 7 WHEN 4 THEN 'error:
 )
 def f7_from_responses(spark, sf_dir):
     """Blocks, their tasks and the responses to them: keywords and summaries with the style of their definition."""
-    blocks = block_rows(spark, sf_dir)
+    blocks = materialize(block_rows(spark, sf_dir), "blocks")
     style = features.definitions(spark).withColumn("color", F.when(F.col("kind") == "keywords", "#e8f5e9").otherwise("#e3f2fd")).withColumn("opacity", F.when(F.col("kind") == "keywords", 1.0).otherwise(0.8))
     found = features.from_responses(blocks, style, answered(blocks), ["document_id", "block_no"])
     return found.select("document_id", "block_no", "kind", "label", "value", "color", "opacity", "error")

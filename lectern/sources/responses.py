@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OUTCOME = "struct<text:string,error:string>"
+#: On the way a text is marked by a plus and an error by a minus, null is neither, so that the first outcome is a coalesce and nothing is worked out twice.
+TEXT, ERROR = "+", "-"
 
 
 def _at(value: Column, path: str) -> Column:
@@ -18,65 +19,66 @@ def _text(value: Column) -> Column:
     return F.when((F.schema_of_variant(value) == "STRING") & F.rlike(text, F.lit(r"(?U)\S")), text)
 
 
+def _json(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) != "VOID", F.to_json(value))
+
+
 def _list(value: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.try_variant_get(value, path, "array<variant>")
 
 
-def _outcome(text: Column | None = None, error: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct((none if text is None else text).alias("text"), (none if error is None else error).alias("error"))
+def _said(text: Column) -> Column:
+    return F.concat(F.lit(TEXT), text)
 
 
-def _first(outcomes: Column) -> Column:
-    """The first outcome of an array that is a text or an error."""
-    return F.get(F.filter(outcomes, lambda o: o["text"].isNotNull() | o["error"].isNotNull()), 0)
+def _failed(kind: str, what: Column) -> Column:
+    return F.concat(F.lit(f"{ERROR}{kind}: "), what)
 
 
-def _refusal(item: Column) -> Column:
-    return F.concat(F.lit("refused: "), F.coalesce(_text(_at(item, "$.refusal")), _text(_at(item, "$.text")), F.lit("refusal")))
+def _first(outcomes: Column) -> Column:
+    return F.get(F.array_compact(outcomes), 0)
 
 
 def _is(item: Column, kind: str) -> Column:
-    return F.coalesce(F.try_variant_get(item, "$.type", "string") == kind, F.lit(False))
+    return F.try_variant_get(item, "$.type", "string") == kind
+
+
+def _refusal(item: Column) -> Column:
+    return F.when(_is(item, "refusal"), _failed("refused", F.coalesce(_text(_at(item, "$.refusal")), _text(_at(item, "$.text")), F.lit("refusal"))))
 
 
 def _content(item: Column) -> Column:
     """What one entry of a content list says: its text, or itself if it is one, or its JSON value; a refusal is an error."""
-    json = _at(item, "$.json")
-    own = F.coalesce(_text(item), _text(_at(item, "$.text")), F.when(F.schema_of_variant(json) != "VOID", F.to_json(json)))
-    return F.when(_is(item, "refusal"), _outcome(error=_refusal(item))).otherwise(_outcome(own))
+    return F.coalesce(_refusal(item), _said(F.coalesce(_text(item), _text(_at(item, "$.text")), _json(_at(item, "$.json")))))
 
 
 def _item(item: Column) -> Column:
     """What one entry of an output list says; its content goes before its own text."""
-    own = _text(_at(item, "$.text"))
-    inside = _first(F.transform(_list(item, "$.content"), _content))
-    return F.when(_is(item, "output_text") & own.isNotNull(), _outcome(own)).when(_is(item, "refusal"), _outcome(error=_refusal(item))).when(inside.isNotNull(), inside).otherwise(_outcome(own))
+    own = _said(_text(_at(item, "$.text")))
+    return F.coalesce(F.when(_is(item, "output_text"), own), _refusal(item), _first(F.transform(_list(item, "$.content"), _content)), own)
 
 
 def _choice(choice: Column) -> Column:
-    content = _text(_at(choice, "$.message.content"))
-    inside = _first(F.transform(_list(choice, "$.message.content"), _item))
-    return F.when(content.isNotNull(), _outcome(content)).when(inside.isNotNull(), inside).otherwise(_outcome(_text(_at(choice, "$.text"))))
+    message = _said(_text(_at(choice, "$.message.content")))
+    return F.coalesce(message, _first(F.transform(_list(choice, "$.message.content"), _item)), _said(_text(_at(choice, "$.text"))))
 
 
 def response_text(json: Column) -> Column:
     """struct(text, error) of a response: a non-blank output_text, before all else; then an error or an incomplete status is an error; then the first text in the
     order of all outputs and their contents, then of all choices; a refusal on that way is an error, and so is a response without any text."""
-    value = F.try_parse_json(json)
-    error, details = _at(value, "$.error"), _at(value, "$.incomplete_details")
-    told = F.when(F.schema_of_variant(error) != "VOID", F.to_json(error))
-    empty = F.coalesce(told.isin("", '""', "{}", "[]", "0", "false", "null"), F.lit(True))
-    incomplete = F.coalesce(F.try_variant_get(value, "$.status", "string") == "incomplete", F.lit(False))
-    whole = _text(_at(value, "$.output_text"))
-    found = F.coalesce(_first(F.transform(_list(value, "$.output"), _item)), _first(F.transform(_list(value, "$.choices"), _choice)))
-    return (
-        F.when(whole.isNotNull(), _outcome(whole))
-        .when(~empty, _outcome(error=F.concat(F.lit("error: "), told)))
-        .when(incomplete, _outcome(error=F.concat(F.lit("incomplete: "), F.coalesce(F.when(F.schema_of_variant(details) != "VOID", F.to_json(details)), F.lit("{}")))))
-        .when(found.isNotNull(), found)
-        .otherwise(_outcome(error=F.when(value.isNull(), "not JSON").otherwise("no text")))
-    )
+
+    def walk(value: Column) -> Column:
+        error = F.transform(F.array(_json(_at(value, "$.error"))), lambda e: F.when(~e.isin("", '""', "{}", "[]", "0", "false", "null"), _failed("error", e)))
+        incomplete = F.when(F.try_variant_get(value, "$.status", "string") == "incomplete", _failed("incomplete", F.coalesce(_json(_at(value, "$.incomplete_details")), F.lit("{}"))))
+        outputs, choices = _first(F.transform(_list(value, "$.output"), _item)), _first(F.transform(_list(value, "$.choices"), _choice))
+        return F.coalesce(_said(_text(_at(value, "$.output_text"))), F.get(error, 0), incomplete, outputs, choices, F.when(value.isNull(), f"{ERROR}not JSON"), F.lit(f"{ERROR}no text"))
+
+    def told(outcome: Column) -> Column:
+        rest = F.substring(outcome, 2, 2**31 - 1)
+        return F.struct(F.when(F.startswith(outcome, F.lit(TEXT)), rest).alias("text"), F.when(F.startswith(outcome, F.lit(ERROR)), rest).alias("error"))
+
+    # arrays of one element keep each step from being worked out twice
+    return F.get(F.transform(F.transform(F.array(F.try_parse_json(json)), walk), told), 0)
 
 
 def is_keywords(kind: Column) -> Column:
