@@ -38,14 +38,29 @@ def a3(spark, sf_dir):
     return updates.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
-@query("a5_body_units", f"WITH {views.ELEMENTS} SELECT *, CASE WHEN tag = 'p' THEN 'paragraph' ELSE 'heading' END AS role FROM elements WHERE text <> ''")
+def edited_pages(spark, sf_dir):
+    """Pages with what markup can hold: character references, comments with tags in them, CDATA, quoted `>`, prefixes, capitals, a note with a paragraph of its own
+    inside a paragraph, and a blank title before the real one. Every fourth page stays as it is."""
+    n, html = F.col("page_id") % 4, F.col("html")
+    rich = F.replace(F.replace(html, F.lit("<p>"), F.lit('<P class="a>b">&#233;&#xE9; &amp;#65;<!-- <p>no</p> --> <![CDATA[<p> & ]]>')), F.lit("<title>"), F.lit("<title> </title><TITLE lang='en'>"))
+    noted = F.replace(html, F.lit("<article>"), F.lit("<article><p>before <note>n<p>inner</p></note> after</p>"))
+    prefixed = F.replace(F.replace(F.replace(html, F.lit("<p>"), F.lit("<t:p>")), F.lit("</p>"), F.lit("</t:p>")), F.lit("<title>"), F.lit("<title><!-- none --></title><title>&lt;"))
+    return pages(spark, sf_dir).select("page_id", F.when(n == 1, rich).when(n == 2, noted).when(n == 3, prefixed).otherwise(html).alias("html"))
+
+
+EDITED = """, ed AS (SELECT document_id, CASE WHEN document_id % 4 = 2 THEN unit_no + 2 ELSE unit_no END AS unit_no, tag, CASE WHEN document_id % 4 = 1 AND tag = 'p' THEN trim('éé &#65; <p> & ' || text) ELSE text END AS text FROM elements
+ UNION ALL SELECT page_id, 0, 'p', 'before n inner after' FROM pages WHERE page_id % 4 = 2 AND contains(html, '<article>') UNION ALL SELECT page_id, 1, 'p', 'inner' FROM pages WHERE page_id % 4 = 2 AND contains(html, '<article>'))"""
+
+
+@query("a5_body_units", f"WITH {views.ELEMENTS} {EDITED} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY unit_no) AS unit_no, tag, text, CASE WHEN tag = 'p' THEN 'paragraph' ELSE 'heading' END AS role FROM ed WHERE text <> ''")
 def a5(spark, sf_dir):
-    return markup.roles(views.elements(spark, sf_dir))
+    found = markup.roles(markup.body_units(edited_pages(spark, sf_dir), "page_id", "html").withColumnRenamed("page_id", "document_id"))
+    return found.withColumn("unit_no", F.row_number().over(Window.partitionBy("document_id").orderBy("unit_no")).cast("long"))
 
 
-@query("a6_title", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[ \t\n\r]+', ' ', 'g')), '') AS title FROM pages")
+@query("a6_title", r"SELECT page_id, nullif(trim(CASE WHEN page_id % 4 = 3 THEN '<' ELSE '' END || trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), '') AS title FROM pages")
 def a6(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", markup.title(F.col("html")).alias("title"))
+    return edited_pages(spark, sf_dir).select("page_id", markup.title(F.col("html")).alias("title"))
 
 
 def block_rows(spark, sf_dir):

@@ -66,7 +66,7 @@ ELEMENTS = r"""
 x0 AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)^.*?<body(\s[^>]*)?>', ''), '(?is)</body\s*>.*$', '') AS body FROM pages),
 x1 AS (SELECT page_id, string_split(regexp_replace(body, '<((?:h[1-6]|head|p)[\s>])', chr(1) || '<\1', 'gi'), chr(1)) AS a FROM x0),
 y1 AS (SELECT page_id, generate_subscripts(a, 1) - 2 AS pos, unnest(a) AS m FROM x1),
-y2 AS (SELECT page_id, pos, lower(regexp_extract(m, '^<(h[1-6]|head|p)[\s>]', 1, 'i')) AS tag, regexp_replace(regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '(?is)</(h[1-6]|head|p)\s*>.*$', ''), '<[^>]*>', ' ', 'g') AS t FROM y1 WHERE pos >= 0),
+y2 AS (SELECT page_id, pos, lower(regexp_extract(m, '^<(h[1-6]|head|p)[\s>]', 1, 'i')) AS tag, regexp_replace(regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '(?is)</(h[1-6]|head|p|article|main|section|div|aside|li|ul|td|footer|header|blockquote)\s*>.*$', ''), '<[^>]*>', ' ', 'g') AS t FROM y1 WHERE pos >= 0),
 elements AS (SELECT page_id AS document_id, CAST(pos AS INT) AS unit_no, tag, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM y2)
 """
 

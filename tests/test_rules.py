@@ -98,3 +98,26 @@ def test_response_forms(spark):
     rows = spark.createDataFrame([(k, j) for k, j in enumerate([*cases, None])], "k int, j string")
     found = {r["k"]: tuple(r["r"]) for r in rows.select("k", responses.response_text(F.col("j")).alias("r")).collect()}
     assert [found[k] for k in range(len(cases))] == list(cases.values()) and found[len(cases)] == (None, "not JSON")
+
+
+def test_markup_units(spark):
+    """Nested units, references, comments, CDATA, quoted tags, left-out end tags, stray ones, and text without any markup."""
+    from lectern.sources import markup
+
+    cases = {
+        "<TEI><text><body><div><head>One</head><p>a <hi>b</hi>c <note>n <p>inner</p></note> d</p></div></body></text></TEI>": [("head", "One"), ("p", "a b c n inner d"), ("p", "inner")],
+        "<body><p>caf&#233; &#x41;&amp;#66; &nbsp; &#0;</p></body>": [("p", "café A&#66; &nbsp; &#0;")],
+        "<body><p>x<!-- </p><p>no -->y<![CDATA[ <p>&lt; ]]></p></body>": [("p", "xy <p>&lt;")],
+        '<BODY CLASS="a"><P title="a > b">one<P>two<b>three<p>four</BODY><p>after': [("p", "one"), ("p", "two three"), ("p", "four")],
+        "<p>a</div>b</p> c <h2>d<br/>e</h2>": [("p", "a b"), ("h2", "d e")],
+        "<body><div><p>in</div>out<p>next < 3</p></body>": [("p", "in"), ("p", "next < 3")],
+        "<script>'<p>'</script><style><p></style>none": [],
+        "<t:p>pre</t:p><p/>": [("p", "pre")],
+        "": [],
+    }
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate([*cases, None])], "k int, html string")
+    found = {r["k"]: [tuple(u) for u in r["u"]] for r in rows.select("k", markup.elements(F.col("html"), markup.UNITS, "body").alias("u")).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases.values()) and found[len(cases)] == []
+    titles = {"<title> </title><TITLE lang='x'>A &amp; <i>b</i></TITLE>": "A & b", "<title></title>": None, "<m:title>t</m:title>": "t", "none": None}
+    rows = spark.createDataFrame(list(enumerate(titles)), "k int, html string")
+    assert [r["t"] for r in rows.select("k", markup.title(F.col("html")).alias("t")).orderBy("k").collect()] == list(titles.values())
