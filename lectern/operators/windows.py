@@ -71,37 +71,12 @@ def artefacts(parts: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("document_id", F.row_number().over(order).alias("artefact_no"), "window_no", "part", F.transform("s", lambda x: x["chunk_id"]).alias("chunk_ids"), "chars", "failed")
 
 
-def clean_groups(groups: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Groups with their ids trimmed, known, distinct and in reading order; empty groups dropped; role lower-cased, `body` if blank."""
-    ids = groups.select("document_id", "group_no", "role", F.explode("chunk_ids").alias("chunk_id")).withColumn("chunk_id", F.trim("chunk_id")).distinct()
-    known = ids.join(chunks.select("document_id", "chunk_id", "reading_order").hint("merge"), ["document_id", "chunk_id"])
-    merged = known.groupBy("document_id", "group_no", "role").agg(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id"))).alias("s"))
-    return merged.select(
-        "document_id",
-        "group_no",
-        F.coalesce(F.nullif(F.lower(F.trim("role")), F.lit("")), F.lit("body")).alias("role"),
-        F.transform("s", lambda x: x["chunk_id"]).alias("chunk_ids"),
-        F.element_at("s", 1)["reading_order"].alias("first"),
-    )
-
-
-def unknown_ids(groups: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ids named by a group that its document does not have."""
-    ids = groups.select("document_id", "group_no", F.explode("chunk_ids").alias("chunk_id")).withColumn("chunk_id", F.trim("chunk_id")).distinct()
-    return ids.join(chunks.select("document_id", "chunk_id").hint("merge"), ["document_id", "chunk_id"], "left_anti")
-
-
 def fill_paths(groups: DataFrame, order_col: str) -> DataFrame:
     """An empty path takes the last non-empty one of its document."""
     order = Window.partitionBy("document_id").orderBy(order_col)
     return groups.withColumn("path", F.last(F.nullif("path", F.lit("")), ignorenulls=True).over(order))
 
 
-def renumber(groups: DataFrame, order_col: str) -> DataFrame:
-    order = Window.partitionBy("document_id").orderBy(order_col)
-    return groups.withColumn("paragraph_id", F.format_string("paragraph-%04d", F.row_number().over(order)))
-
-
 def merge_continuations(groups: DataFrame, order_col: str) -> DataFrame:
     """merged_no of each group: neighbours of one path and role are merged while the sentence goes on (groups are disjoint)."""
     order = Window.partitionBy("document_id").orderBy(order_col)

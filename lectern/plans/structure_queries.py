@@ -136,30 +136,6 @@ def e2(spark, sf_dir):
     return windows.pack_windows(views.chunks(spark, sf_dir))
 
 
-@query("e3_envelope", f"WITH {PACKED} SELECT document_id, window_no, count(*) AS size, CAST(sum(n_chars) AS BIGINT) AS chars, min(reading_order) AS first, count(*) OVER (PARTITION BY document_id) AS windows FROM win GROUP BY 1, 2")
-def e3(spark, sf_dir):
-    return windows.envelope(windows.pack_windows(views.chunks(spark, sf_dir)))
-
-
-def groups_and_chunks(spark, sf_dir):
-    """Grouping output as a model might give it: ids out of order, padded, repeated, some unknown; and the chunks."""
-    chunks = views.written_chunks(spark, sf_dir)
-    blocks = blocks_of(chunks)
-    ids = F.concat(F.reverse("chunk_ids"), F.slice(F.transform("chunk_ids", lambda c: F.concat(F.lit(" "), c, F.lit(" "))), 1, 1), F.when(F.col("block_no") % 5 == 0, F.array(F.lit("zz"))).otherwise(F.array().cast("array<string>")))
-    return blocks.select("document_id", F.col("block_no").alias("group_no"), F.when(F.col("block_no") % 3 == 0, " ").otherwise("Body-Text").alias("role"), ids.alias("chunk_ids")), chunks
-
-
-@query("e5_clean_groups", f"WITH {views.BLOCKS} SELECT document_id, block_no AS group_no, CASE WHEN block_no % 3 = 0 THEN 'body' ELSE 'body-text' END AS role, array_to_string(chunk_ids, ',') AS chunk_ids, CAST(substr(chunk_ids[1], 2) AS INT) AS first FROM blocks")
-def e5(spark, sf_dir):
-    found = windows.clean_groups(*groups_and_chunks(spark, sf_dir))
-    return found.withColumn("chunk_ids", F.array_join("chunk_ids", ","))
-
-
-@query("c7_unknown_ids", f"WITH {views.BLOCKS} SELECT document_id, block_no AS group_no, 'zz' AS chunk_id FROM blocks WHERE block_no % 5 = 0")
-def c7(spark, sf_dir):
-    return windows.unknown_ids(*groups_and_chunks(spark, sf_dir)).select("document_id", "group_no", "chunk_id")
-
-
 def path_groups(spark, sf_dir):
     path = F.when(F.col("block_no") % 4 == 1, F.concat(F.lit("S"), (F.col("block_no") % 7).cast("string"))).otherwise("")
     return block_rows(spark, sf_dir).withColumn("path", path)
@@ -173,11 +149,6 @@ def e6(spark, sf_dir):
     return windows.fill_paths(path_groups(spark, sf_dir), "block_no").select("document_id", "block_no", "path")
 
 
-@query("e7_renumber", f"WITH {views.BLOCKS} SELECT document_id, block_no, format('paragraph-{{:04d}}', row_number() OVER (PARTITION BY document_id ORDER BY block_no)) AS paragraph_id FROM blocks")
-def e7(spark, sf_dir):
-    return windows.renumber(block_rows(spark, sf_dir), "block_no").select("document_id", "block_no", "paragraph_id")
-
-
 @query(
     "e8_merge_continuations",
     f"WITH {views.CHUNKS}, mg AS (SELECT document_id, reading_order, lag(text) OVER o AS a, text AS b, lag(page_number) OVER o AS pp, page_number FROM chunks WINDOW o AS (PARTITION BY document_id ORDER BY reading_order)), op AS (SELECT *, CASE WHEN pp = page_number AND ({views.CONTINUES}) THEN 0 ELSE 1 END AS opens FROM mg)"
@@ -186,8 +157,3 @@ def e7(spark, sf_dir):
 def e8(spark, sf_dir):
     groups = views.chunks(spark, sf_dir).select("document_id", "reading_order", "text", F.col("page_number").alias("path"), F.lit("body").alias("role"))
     return windows.merge_continuations(groups, "reading_order").select("document_id", "reading_order", "merged_no")
-
-
-@query("e9_metrics", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraphs, CAST(sum(len(chunk_ids)) AS BIGINT) AS chunks FROM blocks GROUP BY 1")
-def e9(spark, sf_dir):
-    return block_rows(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.size("chunk_ids")).alias("chunks"))
