@@ -3,12 +3,13 @@
 A page is read into a small DOM. Parts that are never article text (scripts, styles, menus, forms, site headers and footers,
 sidebars, and elements whose class, id or role names them adverts, notices, comments and the like) count nothing. A class or id
 names a part if one of its words does so and only words like `box` or `list` follow (`left-sidebar`, `comment-list`, but not
-`notice-board`); inside an article it must also begin with that word. An article counts even if a box around it, other than one of comments,
+`notice-board`); inside an article it must also begin with that word, and words that an article's own parts may be called (`alert`, `search`,
+`share` and the like, but not `share-buttons`) leave out only what is mostly short links. An article counts even if a box around it, other than one of comments,
 has such a name. Every other
 node has its characters, tags, link characters and link tags, from which its density: characters per tag, damped where much of
 it is links. A node's density sum adds its children's densities; the node with the largest sum holds the main text. The
 selection then climbs towards the body while the parent is at least as dense as the sparsest node on the way from the body
-to the chosen node, and to an enclosing article, or down to the only one within. Where there is no article, lists and boxes that are mostly links are left out.
+to the chosen node, and to an enclosing article, or down to the only one within. Where there is no article, lists and boxes that are mostly short links are left out.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line breaks.
 
@@ -49,11 +50,15 @@ NAMES = COMMENTS | frozenset(
     " rail share sharing sidebar skip social sponsor sponsored sponsors subscribe subscription teaser toolbar tracking widget widgets"
     " login signup search alert disclaimer".split()
 )
+#: Of these, words that an article's own parts may be called; alone (not as in `share-buttons`) they leave out only what is a menu there, mostly links.
+BESIDE = frozenset(
+    "alert disclaimer login modal overlay pager pagination rail recommend recommended recommendations related search share sharing signup skip social teaser toolbar tracking widget widgets".split()
+)
 #: Words that may follow such a word, and those that make it one about the page's layout.
 AFTER = frozenset("area articles bar block box buttons container form icons inner item items links list message notice panel posts row section slot thread top bottom left right unit widget wrap wrapper".split())
 LAYOUT = frozenset("has with no is without".split())
-#: A list or box whose characters are links to this share is a menu.
-MOSTLY_LINKS = 0.6
+#: A list or box whose characters are links to this share, of fewer characters than this on average, is a menu; entries of a list of references are longer.
+MOSTLY_LINKS, SHORT_LINK = 0.6, 25
 _CLOSES = {  # an opening tag closes an open one of these, up to the given boundary
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
     "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
@@ -76,16 +81,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "never", "named", "comments", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "never", "named", "comments", "beside", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, never: bool = False, named: bool = False, comments: bool = False):
         """never: left out; named: only for a class or id; comments: those name it comments."""
-        self.tag, self.parent, self.never, self.named, self.comments, self.parts = tag, parent, never, named, comments, []
+        self.tag, self.parent, self.never, self.named, self.comments, self.beside, self.parts = tag, parent, never, named, comments, False, []
 
 
 def _unwanted(tag: str, rest: str, inside_article: bool) -> str:
-    """Why an element is left out: it is a `part` of its own, is `named` one, or holds `comments`; empty if it is not."""
-    if tag in NEVER:
+    """Why an element is left out: it is a `part` of its own, is `named` one, or holds `comments`; `beside` if it is one only where it is a menu; empty if it is not."""
+    if tag in NEVER and not (inside_article and tag == "label"):
         return "part"
     if tag == "header":
         return "" if inside_article else "part"
@@ -100,8 +105,9 @@ def _unwanted(tag: str, rest: str, inside_article: bool) -> str:
         if name in ("class", "id"):
             if any(_names_a_part(token, COMMENTS, inside_article) for token in value.split()):
                 return "comments"
-            if tag != "article" and any(_names_a_part(token, NAMES, inside_article) for token in value.split()):
-                return "named"
+            parts = [token.lower() for token in value.split() if tag != "article" and _names_a_part(token, NAMES, inside_article)]
+            if parts:
+                return "beside" if inside_article and BESIDE.issuperset(parts) else "named"
     return ""
 
 
@@ -159,7 +165,9 @@ def parse(html: str) -> Node:
             here = _close(here, *_CLOSES[tag])
         rest = match["rest"]
         why = _unwanted(tag, rest, articles > 0)
+        beside, why = why == "beside", "" if why == "beside" else why
         node = Node(tag, here, here.never or bool(why), here.named if here.never else why in ("named", "comments"), why == "comments")
+        node.beside = beside
         if tag in ("article", "main") and here.never and here.named and not why and not _of_comments(here):
             up = node  # an article within a box that only has a misleading name
             while up is not None and up.never:
@@ -256,6 +264,13 @@ def _within(node: Node | None, top: Node) -> bool:
     return node is top
 
 
+def _is_menu(node: Node, in_article: bool) -> bool:
+    """Is a list or box (in an article: one whose name says that it may be) a menu, mostly short links?"""
+    if not (node.beside if in_article else node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags > 1):
+        return False
+    return node.link_chars > MOSTLY_LINKS * node.chars and node.link_chars < SHORT_LINK * node.link_tags
+
+
 def blocks(top: Node) -> list[str]:
     """Texts of the blocks below a node, in page order; outside an article without what is mostly links."""
     whole = top.tag == "article"
@@ -275,7 +290,7 @@ def blocks(top: Node) -> list[str]:
             end()
         elif isinstance(part, str):
             run.append(part)
-        elif part.never or not whole and part.tag in ("ul", "ol", "div", "section", "table") and part is not top and part.link_tags > 1 and part.link_chars > MOSTLY_LINKS * part.chars:
+        elif part.never or part is not top and _is_menu(part, whole):
             end()
         else:
             inner = reversed(part.parts)

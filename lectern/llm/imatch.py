@@ -2,7 +2,8 @@
 
 A term is a lower-cased run of letters and digits. The lexicon has the terms whose document frequency, counted over all documents,
 lies in a band: at least `rare` and at most `common` of the documents. It has at most (mean number of distinct terms of a
-document) / `rare` terms however many documents there are, so it is sent along with the plan; it is looked up by hash slot.
+document) / `rare` terms however many documents there are, so it is sent along with the plan; it is looked up by hash slot. Its size
+is checked: above `MOST_TERMS` it is an error that asks for a larger `rare`.
 
 Beside the whole lexicon there are `families` * `depth` random subsets of it, which leave out more and more: subset l of a family has
 a term with probability 2**-l, drawn from the term's digest, and each is part of the one before. A text's distinct terms in a
@@ -32,8 +33,10 @@ RARE, COMMON = 0.0005, 0.2
 FAMILIES, DEPTH = 6, 12
 SLOTS = 1 << 16
 EMPTY = "." * 8
-#: Rows of a range of ids in which documents find their successors.
-RANGE_ROWS = 2000
+#: Terms that a lexicon may have; documents of 1,000 distinct terms on average have half as many at most.
+MOST_TERMS = 4_000_000
+#: Rows of a range of ids in which documents find their successors, and how many ranges there may be; ranges of more rows are sorted with spilling.
+RANGE_ROWS, MOST_RANGES = 2000, 4096
 _EDGE, _SEP = "\u0002", "\u0001"
 
 
@@ -47,6 +50,8 @@ def lexicon(docs: DataFrame, text_col: str, rare: float = RARE, common: float =
     counts = materialize(docs.select(F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "terms")
     total = docs.count()
     inside = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total)))
+    if inside.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"the lexicon has more than {MOST_TERMS} terms; choose a larger share for rare")
     marked = F.concat(F.lit(_EDGE), "term", F.lit(_EDGE))
     slots = inside.groupBy(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("id")).agg(F.array_join(F.array_sort(F.collect_list(marked)), "").alias("terms"))
     # one row of SLOTS short strings; bounded: see the module's text
@@ -98,12 +103,13 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], out: str, range_
     """Adds a struct of the carried columns of the next row by descending id (ties: by __th); the last row's next is the first.
 
     Rows are dealt out by ranges of ids with about as many rows each (Spark's range partitioner samples their ends); the last row
-    of each range in ascending order is also given to the range after it, whose first row it follows.
+    of each range in ascending order is also given to the range after it, whose first row it follows. The ends are part of the plan; there are at
+    most MOST_RANGES of them however many rows there are.
     """
     place = F.struct(F.col(id_col).alias("id"), F.col("__th").alias("th"))
-    count = max(1, rows.count() // range_rows)
+    count = max(1, min(MOST_RANGES, rows.count() // range_rows))
     ranged = rows.select(place.alias("p")).repartitionByRange(count, "p")
-    # one row for each range
+    # one row for each range, MOST_RANGES at most
     ends = sorted(((r["k"], r["end"]) for r in ranged.groupBy(F.spark_partition_id().alias("k")).agg(F.max("p").alias("end")).collect()), key=lambda r: r[0])
     if not ends:
         return rows.withColumn(out, F.struct(*carried))

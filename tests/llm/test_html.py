@@ -72,6 +72,24 @@ def test_pages_without_an_article():
     assert html.main_text(f"<table><tr><td><ul>{links}</ul></td><td>{paragraphs(1, 6)}</td></tr></table>") == expected
 
 
+@pytest.mark.parametrize("part", ['div class="alert"', 'p class="social"', 'section id="search"', 'div class="tracking"', 'section id="login"', 'p class="share"', "label", 'div class="related"'])
+def test_article_parts_by_any_name(part):
+    """An article's own paragraphs stay whatever they are called; a menu of that name goes, and so do adverts and notices."""
+    inner = f"<{part}>{prose(5, 30)}</{part.split()[0]}>"
+    page = f"<body><article>{paragraphs(1, 2)}{inner}{paragraphs(2, 1)}</article></body>"
+    assert html.main_text(page).split("\n\n") == [prose(100, 40), prose(101, 40), prose(5, 30), prose(200, 40)]
+    for gone in ('<div class="share"><a href=1>One</a> <a href=2>Two</a></div>', '<div class="advert"><p>Buy this now</p></div>', '<p class="cookie-notice">We use them</p>', "<form><label>Name</label></form>"):
+        assert html.main_text(page.replace(inner, inner + gone)) == html.main_text(page)
+
+
+def test_references_without_an_article():
+    """A list of long links belongs to the text; a menu of short ones does not."""
+    entries = [f"{prose(300 + k, 9)}" for k in range(5)]
+    listed = "<ol>" + "".join(f"<li><a href=r{k}>{t}</a></li>" for k, t in enumerate(entries)) + "</ol>"
+    found = html.main_text(f"<body><div id=x>{paragraphs(1, 6)}{listed}</div></body>").split("\n\n")
+    assert found == [*(prose(100 + k, 40) for k in range(6)), *entries]
+
+
 def test_densities_against_recursion():
     """Counts and densities of a page's nodes against a plain recursion over another parser's tree."""
     draw = random.Random(5)
