@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
 from lectern.operators.features import fixed_rows
+from lectern.session import materialize
 
 # Choices of a question that has none.
 DEFAULT_CHOICES = ("Choice 1", "Choice 2")
@@ -64,31 +66,87 @@ def draw(*keys: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def weighted_assignment(participants: DataFrame, exams: DataFrame, key: list[str]) -> DataFrame:
-    """The first exam whose cumulative weight reaches the participant's draw; without usable weights all exams are as likely.
+#: Schedulers of more items are looked up by a join; buckets that draws are dealt to at least, so that a few exams don't make a few large tasks.
+FEW_ITEMS, LEAST_BUCKETS = 64, 4096
 
-    exams (exam_id, weight, ordinal) is the scheduler, a table of settings (see features.fixed_rows), so its ranges are an expression.
+
+def _bounds(manifest: DataFrame, items: DataFrame) -> tuple[DataFrame, bool]:
+    """exam_id, lo, hi, first of the scheduler's usable items in order, and whether they are weighted; without any, every exam has one part of the whole."""
+    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
+    usable = items.join(manifest.select("exam_id").distinct().hint("merge"), "exam_id", "left_semi").withColumn("__w", F.when(F.isnan(weight), 0.0).otherwise(weight)).where("__w > 0")
+    weighted = not usable.isEmpty()
+    rows = usable if weighted else manifest.select("exam_id", "ordinal").withColumn("__w", F.lit(1.0))
+    # one task sorts the items; a scheduler is small beside its participants
+    order = Window.orderBy("ordinal", "exam_id")
+    high = F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("hi", high).withColumn("lo", F.lag("hi", 1, 0.0).over(order))
+    return rows.select("exam_id", "lo", "hi", (F.col("lo") == 0).alias("first")), weighted
+
+
+def weighted_assignment(participants: DataFrame, items: DataFrame, key: list[str], manifest: DataFrame | None = None) -> DataFrame:
+    """The participants with exam_id: the first item of the scheduler whose cumulative weight reaches the participant's draw.
+
+    items (exam_id, weight, ordinal) is the scheduler, manifest (exam_id, ordinal) has the exams that there are (if left out, those of the
+    scheduler). Negative weights are none, and items of exams that are not there are passed over; without a usable item all exams are as
+    likely; no exam at all is an error. A few items are looked up in the row; more are dealt to buckets of equal parts of the whole that they
+    overlap, so that each draw meets the items of its bucket only.
     """
-    rows = sorted(fixed_rows(exams.select("exam_id", "weight", "ordinal")), key=lambda r: r["ordinal"])
-    weights = [max(r["weight"] or 0.0, 0.0) for r in rows]
-    if not sum(weights):
-        weights = [1.0] * len(rows)
-    at, chosen, low = F.col("__u") * F.lit(float(sum(weights))), F.lit(None).cast("string"), 0.0
-    for r, weight in zip(rows, weights):
-        if weight:
-            high = low + weight
-            chosen = F.when(chosen.isNull() & (at <= high), F.lit(r["exam_id"])).otherwise(chosen)
-            low = high
-    return participants.withColumn("__u", draw(*key)).select(*participants.columns, chosen.alias("exam_id")).where("exam_id IS NOT NULL")
-
-
-def sticky(stored: DataFrame, drawn: DataFrame, exams: DataFrame, key: str) -> DataFrame:
-    """A stored assignment of the same study whose exam still exists is kept; otherwise the drawn one. exams is a table of settings."""
-    valid = stored.where(F.col("exam_id").isin([r["exam_id"] for r in fixed_rows(exams.select("exam_id"))])).select(key, F.col("exam_id").alias("__kept"))
+    bounds, weighted = _bounds(items.select("exam_id", "ordinal") if manifest is None else manifest, items)
+    bounds = materialize(bounds, "bounds")
+    size = bounds.agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("total")).first()
+    if not size["n"]:
+        raise ValueError("there is no exam to assign")
+    drawn = participants.withColumn("__x", draw(*key) * F.lit(size["total"]))
+    # weights: the first whose end is reached; without weights whole parts of the range
+    hit = lambda x, lo, hi, first: ((x > lo) & (x <= hi)) | (first & (x == 0)) if weighted else (x >= lo) & (x < hi)
+    if size["n"] <= FEW_ITEMS:
+        chosen = F.lit(None).cast("string")
+        for r in bounds.collect():  # FEW_ITEMS at most
+            chosen = F.when(hit(F.col("__x"), F.lit(r["lo"]), F.lit(r["hi"]), F.lit(r["first"])), F.lit(r["exam_id"])).otherwise(chosen)
+        return drawn.select(*participants.columns, chosen.alias("exam_id"))
+    count = max(size["n"], LEAST_BUCKETS)
+    bucket = lambda v: F.least(F.floor(v / F.lit(size["total"]) * count), F.lit(count - 1))
+    dealt = bounds.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+    joined = drawn.withColumn("__bucket", bucket(F.col("__x"))).join(dealt.hint("merge"), "__bucket")
+    return joined.where(hit(F.col("__x"), F.col("lo"), F.col("hi"), F.col("first"))).select(*participants.columns, "exam_id")
+
+
+def sticky(stored: DataFrame, drawn: DataFrame, exams: DataFrame, documents: DataFrame, key: str, study_id: str) -> DataFrame:
+    """The drawn assignments, and a stored one of the same study in their place while its exam and its document are still there.
+
+    stored: key, study_id, exam_id, document_id; drawn: key, exam_id; exams: exam_id; documents: document_id.
+    """
+    valid = stored.where(F.col("study_id") == study_id).join(exams.select("exam_id").distinct().hint("merge"), "exam_id", "left_semi")
+    valid = valid.join(documents.select("document_id").distinct().hint("merge"), "document_id", "left_semi").select(key, F.col("exam_id").alias("__kept"))
     joined = drawn.join(valid.hint("merge"), key, "left")
     return joined.withColumn("reused", F.col("__kept").isNotNull()).withColumn("exam_id", F.coalesce("__kept", "exam_id")).drop("__kept")
 
 
+def assignment(exams: DataFrame) -> DataFrame:
+    """What a participant is given of an exam: exam_id, condition_id (`default` if none), document_id, question_set_id, question_url (its usual place if none),
+    visible (the kinds shown) and time_limit_seconds. exams: these columns, as they stand in a manifest."""
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    return exams.select(
+        "exam_id",
+        F.coalesce(blank("condition_id"), F.lit("default")).alias("condition_id"),
+        "document_id",
+        "question_set_id",
+        F.coalesce(blank("question_url"), question_url(F.col("question_set_id"))).alias("question_url"),
+        F.coalesce("visible", F.array().cast("array<string>")).alias("visible"),
+        F.coalesce("time_limit_seconds", F.lit(0)).alias("time_limit_seconds"),
+    )
+
+
+def question_url(question_set_id: Column) -> Column:
+    """Where the public questions of a set are."""
+    return F.concat(F.lit("/study-cache/questions/"), question_set_id, F.lit(".json"))
+
+
+def assigned_kind(key: list[str], chosen: Column) -> Column:
+    """The kind of representation that was chosen, if it is one of the two, else one of them by the draw."""
+    return F.when(chosen.isin("keywords", "summary"), chosen).when(draw(*key) < 0.5, "keywords").otherwise("summary")
+
+
 def last_answers(answers: DataFrame) -> DataFrame:
     """The last answer of each session to each question; a negative choice is none."""
     choice = F.when(F.col("selected_index") >= 0, F.col("selected_index"))
@@ -127,12 +185,24 @@ def answer_sheet(answers: DataFrame, key: DataFrame) -> DataFrame:
     return sheet.select("session_id", "question_id", "ordinal", "answer_index", F.try_element_at("__given", F.col("question_id")).alias("selected_index"))
 
 
+def answered(sheet: DataFrame, timed_out: Column) -> DataFrame:
+    """session_id, complete (every question has an answer) and accepted: an incomplete sheet is handed in only when time has run out. sheet: answer_sheet()."""
+    rows = sheet.groupBy("session_id").agg(F.bool_and(F.col("selected_index").isNotNull()).alias("complete"))
+    return rows.withColumn("accepted", F.col("complete") | timed_out)
+
+
+def positional_score(selected: Column, answers: Column) -> Column:
+    """How many of two arrays' entries at one place are equal."""
+    return F.size(F.filter(F.zip_with(selected, answers, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same))
+
+
 def timing(events: DataFrame, limit: Column) -> DataFrame:
-    """elapsed, remaining and expired of each session, from its first and last time."""
+    """elapsed (whole seconds that have passed), total_elapsed (rounded), remaining and expired of each session, from its first and last time."""
     spans = events.groupBy("session_id").agg(F.min("submitted_at").alias("began"), F.max("submitted_at").alias("ended"))
     seconds = F.floor(F.unix_micros("ended") / 1e6 - F.unix_micros("began") / 1e6).cast("long")
-    rows = spans.select("session_id", seconds.alias("elapsed"))
-    return rows.select("session_id", "elapsed", F.greatest(limit - F.col("elapsed"), F.lit(0)).alias("remaining"), ((limit > 0) & (F.col("elapsed") >= limit)).alias("expired"))
+    rounded = F.floor(F.unix_micros("ended") / 1e6 - F.unix_micros("began") / 1e6 + 0.5).cast("long")
+    rows = spans.select("session_id", seconds.alias("elapsed"), rounded.alias("total_elapsed"))
+    return rows.select("session_id", "elapsed", "total_elapsed", F.greatest(limit - F.col("elapsed"), F.lit(0)).alias("remaining"), ((limit > 0) & (F.col("elapsed") >= limit)).alias("expired"))
 
 
 def result_rows(scored: DataFrame, study: str) -> DataFrame:
@@ -153,15 +223,30 @@ def scale(low: Column, high: Column) -> Column:
 
 def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows replaced by the changes of the same key, others kept, new ones added."""
-    return rows.join(changes.select(key), key, "left_anti").unionByName(changes)
+    return rows.join(changes.select(key).distinct().hint("merge"), key, "left_anti").unionByName(changes)
+
+
+def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows without those of the given keys."""
+    return rows.join(gone.select(key).distinct().hint("merge"), key, "left_anti")
 
 
-def normalise_exams(exams: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in order of their key (a range sort), with their place from 1 on as `place`; places need one more pass over the keys."""
+    places = rows.select(key).distinct().repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+    counted = materialize(places.select(key, "__part"), "places")
+    before = counted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    numbered = counted.withColumn("__own", own).join(before.hint("merge"), "__part").select(key, (F.coalesce("__before", F.lit(0)) + F.col("__own")).alias("place"))
+    return rows.join(numbered.hint("merge"), key).orderBy(key)
+
+
+def normalise_exams(exams: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Exams with an id slug, a timing mode and limit, a condition, and questions with ids, choices and an answer among them.
 
     Only a question without any non-blank choice gets the two default ones. exams: id, fallback_id, document_id, title, question_set_id,
     enabled, timing_mode, time_limit_seconds (a string), condition_id, visible, questions (array of text, choices, answer_index; null
-    entries are left out but counted).
+    entries are left out but counted); `kept` columns come along.
     """
     slug = lambda c: F.lower(tx.artifact_name(tx.stem(c)))
     blank = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), default)
@@ -189,6 +274,7 @@ def normalise_exams(exams: DataFrame) -> DataFrame:
         F.when(mode == "stopwatch", 0).otherwise(limit).alias("time_limit_seconds"),
         blank(F.col("condition_id"), blank(F.array_join(shown, "-"), F.lit("none"))).alias("condition_id"),
         F.array_compact(F.transform("questions", question)).alias("questions"),
+        *kept,
     )
 
 
@@ -197,5 +283,18 @@ def public_questions(exams: DataFrame) -> DataFrame:
     return exams.select(F.explode("questions").alias("q")).select("q.question_id", "q.text", "q.choices")
 
 
+def public_exams(exams: DataFrame) -> DataFrame:
+    """Exams as participants see them: without questions, with the place of their public questions and their timing."""
+    return exams.drop("questions", "enabled").withColumn("question_url", question_url(F.col("question_set_id")))
+
+
+def enabled_exams(exams: DataFrame) -> DataFrame:
+    """Exams that are to be exported; none at all is an error."""
+    found = exams.where("enabled")
+    if found.isEmpty():
+        raise ValueError("no exam is enabled")
+    return found
+
+
 def private_keys(exams: DataFrame) -> DataFrame:
     return exams.select(F.explode("questions").alias("q")).select("q.question_id", "q.answer_index")

@@ -689,9 +689,19 @@ def a15_public(spark, sf_dir):
     return study.public_questions(study.normalise_exams(exams(spark, sf_dir))).withColumn("choices", F.array_join("choices", "|"))
 
 
-@query("h4_projection", f"WITH {EXAMS} SELECT exam_id, condition_id, lim AS limit_seconds, 3 AS questions FROM xm")
+@query("a15_public_exams", f"WITH {EXAMS}, q AS (SELECT *, CASE WHEN n % 9 > 0 THEN event_type ELSE exam_id || '-questions' END AS qs FROM xm) SELECT exam_id, CAST(user_id AS VARCHAR) AS document_id, CASE WHEN n % 8 > 0 THEN 'T' || n ELSE exam_id END AS title, qs AS question_set_id, timing_mode, lim AS time_limit_seconds, condition_id, '/study-cache/questions/' || qs || '.json' AS question_url FROM q WHERE n % 10 <> 0")
+def a15_exams(spark, sf_dir):
+    return study.public_exams(study.enabled_exams(study.normalise_exams(exams(spark, sf_dir))))
+
+
+@query("h4_projection", f"WITH {EXAMS}, q AS (SELECT *, CASE WHEN n % 9 > 0 THEN event_type ELSE exam_id || '-questions' END AS qs FROM xm) SELECT exam_id, CASE WHEN n % 14 = 0 THEN 'default' ELSE condition_id END AS condition_id, CAST(user_id AS VARCHAR) AS document_id, qs AS question_set_id, CASE WHEN n % 4 = 0 THEN 'own/' || n ELSE '/study-cache/questions/' || qs || '.json' END AS question_url, CASE WHEN n % 2 = 0 THEN 'keywords' ELSE '' END AS visible, CASE WHEN n % 12 = 0 THEN 0 ELSE lim END AS time_limit_seconds FROM q")
 def h4(spark, sf_dir):
-    return study.normalise_exams(exams(spark, sf_dir)).select("exam_id", "condition_id", F.col("time_limit_seconds").alias("limit_seconds"), F.size("questions").alias("questions"))
+    """Exams of a manifest, some without a condition, an address of their own, a list of kinds or a limit."""
+    n = F.regexp_extract("exam_id", "([0-9]+)$", 1).cast("long")
+    rows = study.normalise_exams(exams(spark, sf_dir))
+    rows = rows.withColumn("condition_id", F.when(n % 14 != 0, F.col("condition_id"))).withColumn("question_url", F.when(n % 4 == 0, F.concat(F.lit("own/"), n.cast("string"))).otherwise(" "))
+    rows = rows.withColumn("visible", F.when(n % 2 == 0, F.array(F.lit("keywords")))).withColumn("time_limit_seconds", F.when(n % 12 != 0, F.col("time_limit_seconds")))
+    return study.assignment(rows).withColumn("visible", F.array_join("visible", ","))
 
 
 @query("i6_results", f"WITH {SCORED}, rt AS (SELECT session_id, max(submitted_at) AS ended FROM submissions GROUP BY 1) SELECT session_id, correct, total, strftime(ended, '%Y-%m-%dT%H:%M:%SZ') AS received_at, 'pilot-1' AS study_id, 'study-results/pilot-1/' || strftime(ended, '%Y-%m-%d') || '/' || session_id || '.json' AS result_key FROM scored JOIN rt USING (session_id)")

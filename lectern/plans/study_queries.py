@@ -10,21 +10,29 @@ from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.plans.text_queries import events
 
-EXAMS = [("ex1", 2.0, 0), ("ex2", 0.0, 1), ("ex3", 1.0, 2), ("ex4", 5.0, 3)]
-EXAM_SQL = "ex(exam_id, weight, ordinal) AS (VALUES ('ex1', 2.0, 0), ('ex2', 0.0, 1), ('ex3', 1.0, 2), ('ex4', 5.0, 3))"
 DRAW = "CAST(('0x' || substr(md5('study:' || user_id), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-def scheduler(spark):
-    return spark.createDataFrame(EXAMS, "exam_id string, weight double, ordinal int")
+def scheduler(spark, sf_dir):
+    """An item for each participant there is, so that the scheduler grows with them: every fifth without weight, some negative, every 13th of an exam that is gone."""
+    n = F.col("user_id")
+    weight = F.when(n % 17 == 3, -1.0).otherwise((n % 5).cast("double"))
+    return participants(spark, sf_dir).select(F.concat(F.when(n % 13 == 1, "gone").otherwise("ex"), n.cast("string")).alias("exam_id"), weight.alias("weight"), n.alias("ordinal"))
+
+
+def manifest(spark, sf_dir):
+    """The exams that there are."""
+    n = F.col("user_id")
+    return participants(spark, sf_dir).select(F.concat(F.lit("ex"), n.cast("string")).alias("exam_id"), n.alias("ordinal"), (n % 50).alias("document_id"))
 
 
 def participants(spark, sf_dir):
     return events(spark, sf_dir).select("user_id").distinct().withColumn("study", F.lit("study"))
 
 
-ASSIGNED = f"""{EXAM_SQL}, us AS (SELECT *, sum(weight) OVER (ORDER BY ordinal) AS hi, sum(weight) OVER () AS total FROM ex WHERE weight > 0),
- pt AS (SELECT DISTINCT user_id FROM events), dr AS (SELECT user_id, {DRAW} AS u FROM pt),
+EXAM_SQL = "pt AS (SELECT DISTINCT user_id FROM events), ex AS (SELECT 'ex' || user_id AS exam_id, user_id AS ordinal, CAST(user_id % 5 AS DOUBLE) AS weight FROM pt WHERE user_id % 5 > 0 AND user_id % 17 <> 3 AND user_id % 13 <> 1)"
+ASSIGNED = f"""{EXAM_SQL}, us AS (SELECT *, sum(weight) OVER (ORDER BY ordinal) AS hi, sum(weight) OVER () AS total FROM ex),
+ dr AS (SELECT user_id, {DRAW} AS u FROM pt),
  assigned AS (SELECT user_id, exam_id FROM dr JOIN us ON u * total <= hi AND (u * total > hi - weight OR (hi = weight AND u = 0)))"""
 
 
@@ -34,25 +42,39 @@ def h1(spark, sf_dir):
 
 
 def assigned(spark, sf_dir):
-    return study.weighted_assignment(participants(spark, sf_dir), scheduler(spark), ["study", "user_id"]).select("user_id", "exam_id")
+    return study.weighted_assignment(participants(spark, sf_dir), scheduler(spark, sf_dir), ["study", "user_id"], manifest(spark, sf_dir)).select("user_id", "exam_id")
 
 
-@query("h2_uniform_assignment", f"WITH {EXAM_SQL}, pt AS (SELECT DISTINCT user_id FROM events), dr AS (SELECT user_id, {DRAW} * 4 AS u FROM pt) SELECT user_id, exam_id FROM dr JOIN ex ON u <= ordinal + 1 AND (u > ordinal OR (ordinal = 0 AND u = 0))")
+@query("h2_uniform_assignment", f"WITH {EXAM_SQL}, ev AS (SELECT user_id AS exam, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) OVER () AS n FROM pt), dr AS (SELECT user_id, {DRAW} AS u FROM pt) SELECT user_id, 'ex' || exam AS exam_id FROM dr JOIN ev ON floor(u * n) = k")
 def h2(spark, sf_dir):
-    even = scheduler(spark).withColumn("weight", F.lit(0.0))
-    return study.weighted_assignment(participants(spark, sf_dir), even, ["study", "user_id"]).select("user_id", "exam_id")
+    """A scheduler without any usable weight."""
+    even = scheduler(spark, sf_dir).withColumn("weight", F.lit(0.0))
+    return study.weighted_assignment(participants(spark, sf_dir), even, ["study", "user_id"], manifest(spark, sf_dir)).select("user_id", "exam_id")
 
 
-@query("h3_sticky", f"WITH {ASSIGNED}, st AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'ex1' ELSE 'gone' END AS exam_id FROM events WHERE user_id % 3 = 0) SELECT a.user_id, CASE WHEN st.exam_id = 'ex1' THEN 'ex1' ELSE a.exam_id END AS exam_id, coalesce(st.exam_id = 'ex1', false) AS reused FROM assigned a LEFT JOIN st USING (user_id)")
+@query(
+    "h3_sticky",
+    f"""WITH {ASSIGNED}, st AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'ex' || user_id ELSE 'old' || user_id END AS exam_id, user_id % 4 <> 0 AS same_study, user_id % 7 <> 0 AS there FROM pt WHERE user_id % 3 <> 0)
+    SELECT a.user_id, CASE WHEN v THEN st.exam_id ELSE a.exam_id END AS exam_id, v AS reused FROM (SELECT a.*, coalesce(st.exam_id LIKE 'ex%' AND same_study AND there, false) AS v FROM assigned a LEFT JOIN st USING (user_id)) a LEFT JOIN st USING (user_id)""",
+)
 def h3(spark, sf_dir):
-    stored = participants(spark, sf_dir).where("user_id % 3 = 0").select("user_id", F.when(F.col("user_id") % 2 == 0, "ex1").otherwise("gone").alias("exam_id"))
-    return study.sticky(stored, assigned(spark, sf_dir), scheduler(spark), "user_id").select("user_id", "exam_id", "reused")
+    """Stored assignments of this study and of others, of exams and of documents that are gone, and none for every third participant."""
+    n = F.col("user_id")
+    stored = participants(spark, sf_dir).where("user_id % 3 <> 0").select(
+        "user_id",
+        F.when(n % 4 == 0, "other").otherwise("study").alias("study_id"),
+        F.concat(F.when(n % 2 == 0, "ex").otherwise("old"), n.cast("string")).alias("exam_id"),
+        F.when(n % 7 == 0, F.lit(-1).cast("long")).otherwise(n % 50).alias("document_id"),
+    )
+    exams = manifest(spark, sf_dir)
+    return study.sticky(stored, assigned(spark, sf_dir), exams, exams, "user_id", "study").select("user_id", "exam_id", "reused")
 
 
 @query("h5_kind_draw", f"WITH pt AS (SELECT DISTINCT user_id FROM events) SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'summary' WHEN {DRAW} < 0.5 THEN 'keywords' ELSE 'summary' END AS kind FROM pt")
 def h5(spark, sf_dir):
     rows = participants(spark, sf_dir)
-    return rows.select("user_id", F.when(F.col("user_id") % 3 == 0, "summary").when(study.draw("study", "user_id") < 0.5, "keywords").otherwise("summary").alias("kind"))
+    chosen = F.when(F.col("user_id") % 3 == 0, "summary").when(F.col("user_id") % 3 == 1, "either")
+    return rows.select("user_id", study.assigned_kind(["study", "user_id"], chosen).alias("kind"))
 
 
 SCORED = f"""{views.SUBMISSIONS}, la AS (SELECT session_id, question_id, arg_max(coalesce(selected_index, -1), pos) AS c FROM submissions GROUP BY 1, 2), se AS (SELECT DISTINCT session_id FROM submissions),
@@ -70,16 +92,26 @@ def i4(spark, sf_dir):
     return study.answer_sheet(views.submissions(spark, sf_dir), views.answer_key(spark))
 
 
-@query("i5_timing", f"WITH {views.SUBMISSIONS}, sp AS (SELECT session_id, CAST(floor(epoch_us(max(submitted_at)) / 1e6 - epoch_us(min(submitted_at)) / 1e6) AS BIGINT) AS elapsed FROM submissions GROUP BY 1) SELECT session_id, elapsed, greatest(900 - elapsed, 0) AS remaining, elapsed >= 900 AS expired FROM sp")
+@query("i5_timing", f"WITH {views.SUBMISSIONS}, sp AS (SELECT session_id, CAST(floor(epoch_us(max(submitted_at)) / 1e6 - epoch_us(min(submitted_at)) / 1e6) AS BIGINT) AS elapsed, CAST(floor(epoch_us(max(submitted_at)) / 1e6 - epoch_us(min(submitted_at)) / 1e6 + 0.5) AS BIGINT) AS total_elapsed FROM submissions GROUP BY 1) SELECT session_id, elapsed, total_elapsed, greatest(900 - elapsed, 0) AS remaining, elapsed >= 900 AS expired FROM sp")
 def i5(spark, sf_dir):
     return study.timing(views.submissions(spark, sf_dir), F.lit(900))
 
 
+@query("i4_accepted", f"WITH {SCORED}, sp AS (SELECT session_id, floor(epoch_us(max(submitted_at)) / 1e6 - epoch_us(min(submitted_at)) / 1e6) >= 900 AS late FROM submissions GROUP BY 1) SELECT s.session_id, s.complete, s.complete OR late AS accepted FROM (SELECT session_id, count(selected_index) = 3 AS complete FROM sheet GROUP BY 1) s JOIN sp USING (session_id)")
+def i4_accepted(spark, sf_dir):
+    """Sheets that are complete, and incomplete ones that time has closed."""
+    answers, key = views.submissions(spark, sf_dir), views.answer_key(spark)
+    late = study.timing(answers, F.lit(900)).select(F.col("session_id").alias("__session"), "expired")
+    sheet = study.answer_sheet(answers, key)
+    complete = study.answered(sheet, F.lit(False)).drop("accepted")
+    joined = complete.join(late.hint("merge"), F.col("session_id") == F.col("__session"))
+    return joined.select("session_id", "complete", (F.col("complete") | F.col("expired")).alias("accepted"))
+
+
 @query("i3_positional_score", f"WITH {SCORED} SELECT session_id, CAST(count(*) FILTER (selected_index = answer_index) AS INT) AS n FROM sheet GROUP BY 1")
 def i3(spark, sf_dir):
     sheet = study.answer_sheet(views.submissions(spark, sf_dir), views.answer_key(spark)).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "selected_index", "answer_index"))).alias("s"))
-    same = F.zip_with(F.transform("s", lambda x: x["selected_index"]), F.transform("s", lambda x: x["answer_index"]), lambda a, b: a == b)
-    return sheet.select("session_id", F.size(F.filter(same, lambda x: x)).alias("n"))
+    return sheet.select("session_id", study.positional_score(F.transform("s", lambda x: x["selected_index"]), F.transform("s", lambda x: x["answer_index"])).alias("n"))
 
 
 @query("i7_scales", "SELECT event_id, array_to_string(range(1, CAST(3 + event_id % 5 AS INT) + 1), ',') AS points FROM events")
@@ -87,11 +119,13 @@ def i7(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.array_join(study.scale(F.lit(1), (F.col("event_id") % 5 + 3).cast("int")).cast("array<string>"), ",").alias("points"))
 
 
-@query("i8_upsert", "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'changed' ELSE event_type END AS value FROM events UNION ALL SELECT event_id + 10000000, 'changed' FROM events WHERE event_id % 5 = 0")
+@query("i8_upsert", "WITH u AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'changed' ELSE event_type END AS value FROM events WHERE event_id % 3 <> 1 UNION ALL SELECT event_id + 10000000, 'changed' FROM events WHERE event_id % 5 = 0) SELECT id, value, row_number() OVER (ORDER BY id) AS place FROM u")
 def i8(spark, sf_dir):
+    """Changed and new rows, then every third row deleted, in order."""
     rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_type").alias("value"))
     changed = rows.where("id % 5 = 0").withColumn("value", F.lit("changed"))
-    return study.upsert(rows, changed.unionByName(changed.withColumn("id", F.col("id") + 10_000_000)), "id")
+    merged = study.upsert(rows, changed.unionByName(changed.withColumn("id", F.col("id") + 10_000_000)), "id")
+    return study.in_order(study.delete(merged, rows.where("id % 3 = 1"), "id"), "id")
 
 
 @query("c9_questionnaire", f"WITH {SCORED} SELECT session_id, count(selected_index) = 3 AS complete FROM sheet GROUP BY 1")

@@ -121,3 +121,31 @@ def test_markup_units(spark):
     titles = {"<title> </title><TITLE lang='x'>A &amp; <i>b</i></TITLE>": "A & b", "<title></title>": None, "<m:title>t</m:title>": "t", "none": None}
     rows = spark.createDataFrame(list(enumerate(titles)), "k int, html string")
     assert [r["t"] for r in rows.select("k", markup.title(F.col("html")).alias("t")).orderBy("k").collect()] == list(titles.values())
+
+
+def test_a_large_scheduler_gives_the_same_answers(spark):
+    """100,000 items, looked up by buckets, against a search in the running sum; and a few items both ways."""
+    import bisect
+    import itertools
+
+    weights = [float(k * 7 % 11 - 2) for k in range(100_000)]
+    items = spark.createDataFrame([(f"e{k}", w, k) for k, w in enumerate(weights)], "exam_id string, weight double, ordinal int")
+    there = items.where("ordinal % 10 <> 4").select("exam_id", "ordinal")
+    people = spark.range(2000).withColumnRenamed("id", "p")
+    found = {r["p"]: r["exam_id"] for r in study.weighted_assignment(people, items, ["p"], there).collect()}
+    usable = [(k, w) for k, w in enumerate(weights) if w > 0 and k % 10 != 4]
+    sums = list(itertools.accumulate(w for _, w in usable))
+    draws = {r["p"]: r["u"] for r in people.withColumn("u", study.draw("p")).collect()}
+    assert found == {p: f"e{usable[bisect.bisect_left(sums, u * sums[-1])][0]}" for p, u in draws.items()}
+    few = items.where("ordinal < 40")
+    once = {r["p"]: r["exam_id"] for r in study.weighted_assignment(people, few, ["p"]).collect()}
+    least, study.FEW_ITEMS = study.FEW_ITEMS, 0
+    try:
+        assert {r["p"]: r["exam_id"] for r in study.weighted_assignment(people, few, ["p"]).collect()} == once and len(once) == 2000
+    finally:
+        study.FEW_ITEMS = least
+    try:
+        study.weighted_assignment(people, items.limit(0), ["p"])
+        raise AssertionError("no exam is an error")
+    except ValueError:
+        pass
