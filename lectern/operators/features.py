@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
-from lectern.operators.settings import profile_matches
+from lectern.operators.settings import STYLES, profile_matches
 from lectern.sources.responses import is_keywords, payload, response_text
 
 # Words that are no keywords.
@@ -51,6 +51,15 @@ def default_rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.select(*keys, F.explode(kinds).alias("r")).select(*keys, "r.kind", "r.value")
 
 
+def styled(rows: DataFrame) -> DataFrame:
+    """Default rows with the label and style of their kind."""
+    color, opacity = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for kind, (own_color, own_opacity) in STYLES.items():
+        color = F.when(F.col("kind") == kind, own_color).otherwise(color)
+        opacity = F.when(F.col("kind") == kind, F.lit(own_opacity)).otherwise(opacity)
+    return rows.withColumn("label", tx.kind_label(F.col("kind"))).withColumn("color", color).withColumn("opacity", opacity)
+
+
 def representations(blocks: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
     """The default rows of the blocks and enabled definitions whose word threshold a block exceeds, in one pass over the blocks.
 
@@ -135,17 +144,55 @@ def definitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, "keywords", True, 20), (1, "summary", True, 35)], "pos int, kind string, enabled boolean, least_words int")
 
 
+#: Word counts that thresholds above FEW definitions are looked up by share a bucket of so many words; the last bucket has all above.
+FEW, BUCKET_WORDS, BUCKETS = 64, 16, 256
+
+
 def plan_jobs(blocks: DataFrame, defs: DataFrame) -> DataFrame:
-    """A pending job for each block and enabled definition whose word threshold the block exceeds. defs has at most MOST_FIXED rows."""
-    least = [(r["kind"], max(r["least_words"], 20)) for r in fixed_rows(defs.where("enabled"))]
+    """A pending job for each block and enabled definition whose word threshold the block exceeds. defs: kind, enabled, least_words.
+
+    A few definitions are looked up in the row; more are dealt to the buckets of word counts that may exceed them, so that a block meets those of its
+    bucket only.
+    """
     rows = blocks.withColumn("words", tx.word_count(F.col("text")))
-    if not least:
+    known = defs.where("enabled").select("kind", F.greatest("least_words", F.lit(20)).alias("__least"))
+    few = known.limit(FEW + 1).collect()
+    if not few:
         rows = rows.withColumn("kind", F.lit("")).limit(0)
+    elif len(few) <= FEW:
+        rows = rows.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(F.col("words") > r["__least"], r["kind"]) for r in few]))))
     else:
-        rows = rows.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(F.col("words") > n, kind) for kind, n in least]))))
+        bucket = lambda n: F.least(F.floor(n / BUCKET_WORDS).cast("int"), F.lit(BUCKETS - 1))
+        dealt = known.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__least")), F.lit(BUCKETS - 1))))
+        rows = rows.withColumn("__bucket", bucket(F.col("words"))).join(dealt.hint("merge"), "__bucket").where("words > __least")
     return rows.select("document_id", "block_id", "kind", F.concat_ws(":", "block_id", "kind").alias("job_id"), F.lit("pending").alias("status"), "words")
 
 
+def job_headers(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The row that a document's job table begins with: document_id, status (`pending`, or `complete` where there is no job), total_jobs, completed_jobs, failed_jobs,
+    running_jobs and pending_jobs."""
+    counted = jobs.groupBy("document_id").agg(F.count(F.lit(1)).alias("__n"))
+    rows = documents.select("document_id").distinct().join(counted.hint("merge"), "document_id", "left").withColumn("total_jobs", F.coalesce("__n", F.lit(0)))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("completed_jobs", "failed_jobs", "running_jobs")]
+    return rows.select("document_id", F.when(F.col("total_jobs") > 0, "pending").otherwise("complete").alias("status"), "total_jobs", *none, F.col("total_jobs").alias("pending_jobs"))
+
+
+def quiz_text(documents: DataFrame, blocks: DataFrame, most: int = 6000) -> DataFrame:
+    """document_id, text and error: the texts of a document's blocks (document_id, block_no, text) in order, a blank line between them, cut at `most` characters; a
+    document without any text has an error."""
+    own = blocks.where(F.coalesce("text", F.lit("")) != "").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("__p"))
+    joined = documents.select("document_id").distinct().join(own.hint("merge"), "document_id", "left")
+    whole = F.array_join(F.transform("__p", lambda x: x["text"]), "\n\n")
+    rows = joined.withColumn("text", F.when(F.rlike(whole, F.lit(r"(?U)\S")), F.left(whole, F.lit(most))))
+    return rows.select("document_id", "text", F.when(F.col("text").isNull(), "the document has no text").alias("error"))
+
+
+def quiz_questions(json: Column, most: int = 3) -> Column:
+    """The first questions of a quiz (JSON text with a list `questions` of text, choices, answer_index), an empty array if there is none."""
+    parsed = F.from_json(json, "questions array<struct<text:string,choices:array<string>,answer_index:int>>")
+    return F.slice(F.coalesce(parsed["questions"], F.array().cast("array<struct<text:string,choices:array<string>,answer_index:int>>")), 1, most)
+
+
 def counters(blocks: DataFrame, results: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
     """eligible, generated and skipped blocks of each document: those with a job, those with any result, those without a job."""
     least = min((max(r["least_words"], 20) for r in fixed_rows(defs.where("enabled"))), default=None)
@@ -245,21 +292,30 @@ def rollup(state: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def progress(rolled: DataFrame) -> DataFrame:
-    """done, percent, waiting and a label of each rollup."""
+    """done, percent, waiting, label and variant of each rollup."""
     done = F.col("complete") + F.col("failed")
+    text = lambda form, *names: F.format_string(form, *names)
+    label = (
+        F.when(F.col("total") == 0, "No jobs")
+        .when(F.col("status") == "failed", text("Failed %d/%d", "failed", "total"))
+        .when(F.col("status") == "complete", text("Done %d/%d", "complete", "total"))
+        .when(F.col("running") > 0, text("%d/%d, %d running", "complete", "total", "running"))
+        .otherwise(text("%d/%d", "complete", "total"))
+    )
     return rolled.select(
         "*",
         done.alias("done"),
         tx.percent(done, F.col("total")).alias("percent"),
         F.greatest(F.col("total") - done - F.col("running"), F.lit(0)).alias("waiting"),
         F.when(F.col("status") == "failed", "danger").when(F.col("status") == "complete", "success").otherwise("info").alias("variant"),
+        label.alias("label"),
     )
 
 
 def first_errors(state: DataFrame, key: str, order: list[str], most: int = 10) -> DataFrame:
-    """At most ten failed jobs of each key, in job order."""
-    ranked = state.where("status = 'failed'").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("rank") <= most)
+    """At most ten failed jobs with an error text of each key, in job order. state has status and error."""
+    failed = state.where((F.col("status") == "failed") & (F.coalesce("error", F.lit("")) != ""))
+    return failed.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
 
 
 def reset_for_retry(status: Column) -> Column:

@@ -379,3 +379,9 @@ def runs_of(rows: DataFrame, items: str, begins: str, number: str) -> DataFrame:
 def parser_label(grouped: Column, presegmented: Column) -> Column:
     """How a document's paragraphs came about."""
     return F.when(grouped & presegmented, "presegmented-grouped").when(grouped, "grouped").when(presegmented, "presegmented").otherwise("layout")
+
+
+def representative_font(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, font_size (the median size of the spans, null without any) and font_name (the first that is not blank, trimmed, in span order)."""
+    named = F.when(F.trim("font_name") != "", F.col(order))
+    return spans.groupBy(*keys).agg(F.median("font_size").alias("font_size"), F.min_by(F.trim("font_name"), named).alias("font_name"))

@@ -18,6 +18,9 @@ BOUNDS = {
     "timeout_seconds": (10.0, 600.0, 300.0),
 }
 DEFAULT_BACKGROUND = "#263238"
+# What the two default kinds looked like before (colour, opacity), and look like now.
+FORMER = {"keywords": ("#f5c15f", 0.6), "summary": ("#fff8eb", 0.6)}
+STYLES = {"keywords": ("#7a4a12", 1.0), "summary": ("#263238", 1.0)}
 DEFAULT_PROMPT = "Summarise the text."
 DEFAULT_NAME = "representation"
 
@@ -102,6 +105,37 @@ def enabled_default(own: Column, name: Column, default_name: str) -> Column:
     return F.coalesce(own, F.lower(F.trim(name)) == default_name)
 
 
-def visible(kind: Column, shown: Column) -> Column:
-    """Whether a kind is shown under a condition's list of kinds; without a list all are."""
-    return F.when(shown.isNull(), True).otherwise(F.array_contains(shown, kind))
+def enabled_by(name: Column, kind: Column, shown: Column) -> Column:
+    """Whether a condition's list of kinds shows a representation, by its name or its kind; without a list nothing is shown."""
+    return F.coalesce(F.array_contains(shown, name), F.lit(False)) | F.coalesce(F.array_contains(shown, kind), F.lit(False))
+
+
+def reader_shows(kind: Column, flags: Column) -> Column:
+    """Whether a reader shows a kind: all but those that its map of kinds to flags sets to false."""
+    return F.coalesce(F.try_element_at(flags, kind), F.lit(True))
+
+
+def migrated(rows: DataFrame) -> DataFrame:
+    """Saved settings (id, name, is_default, color, opacity) in which a former default colour or opacity of the two default kinds gives way to the present
+    one; other values stay, and a missing opacity of a default setting is 1. The kind is the id, or else the name, in lower case."""
+    kind = F.lower(F.coalesce(F.nullif("id", F.lit("")), F.nullif("name", F.lit("")), F.lit("")))
+    color, opacity = F.col("color"), F.col("opacity")
+    for own, (old_color, old_opacity) in FORMER.items():
+        color = F.when((kind == own) & (F.lower("color") == old_color), STYLES[own][0]).otherwise(color)
+        opacity = F.when((kind == own) & (F.col("opacity") == old_opacity), F.lit(STYLES[own][1])).otherwise(opacity)
+    filled = F.when(kind.isin(*FORMER) | F.coalesce("is_default", F.lit(False)), F.coalesce(opacity, F.lit(1.0))).otherwise(opacity)
+    return rows.withColumn("color", color).withColumn("opacity", filled)
+
+
+def style(kind: Column, color: Column, opacity: Column, reader: list) -> Column:
+    """struct(color, opacity) of a shown representation: the reader's setting of its kind, else its own, else the defaults; the opacity between 0 and 1.
+
+    reader: the rows (name, id, color, opacity) of a reader's settings in order, a bounded list; a kind may be a setting's name or id, and the later setting
+    counts.
+    """
+    known = {}
+    for r in reader:
+        known |= {key: r for key in (r["name"], r["id"]) if key}
+    own = lambda field, kind_: F.try_element_at(F.create_map(*[x for k, r in known.items() for x in (F.lit(k), F.lit(r[field]).cast(kind_))]), kind) if known else F.lit(None).cast(kind_)
+    seen = F.least(F.greatest(F.coalesce(own("opacity", "double"), opacity, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return F.struct(F.coalesce(own("color", "string"), color, F.lit(DEFAULT_BACKGROUND)).alias("color"), seen.alias("opacity"))

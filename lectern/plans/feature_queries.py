@@ -37,9 +37,9 @@ def f2(spark, sf_dir):
     return block_rows(spark, sf_dir).select("document_id", "block_no", tx.lead_sentence(F.col("text")).alias("summary"))
 
 
-@query("f3_default_rows", f"WITH {views.BLOCKS}, {KEYWORDS} SELECT document_id, block_no, 'keywords' AS kind, keywords AS value FROM kw UNION ALL SELECT document_id, block_no, 'summary', {LEAD} FROM blocks")
+@query("f3_default_rows", f"WITH {views.BLOCKS}, {KEYWORDS}, d AS (SELECT document_id, block_no, 'keywords' AS kind, keywords AS value FROM kw UNION ALL SELECT document_id, block_no, 'summary', {LEAD} FROM blocks) SELECT *, CASE kind WHEN 'keywords' THEN 'Keywords' ELSE 'Summary' END AS label, CASE kind WHEN 'keywords' THEN '#7a4a12' ELSE '#263238' END AS color, CAST(1 AS DOUBLE) AS opacity FROM d")
 def f3(spark, sf_dir):
-    return features.default_rows(block_rows(spark, sf_dir), ["document_id", "block_no"])
+    return features.styled(features.default_rows(block_rows(spark, sf_dir), ["document_id", "block_no"]))
 
 
 @query("f4_jobs", f"WITH {views.BLOCKS}, d(kind, least) AS (VALUES ('keywords', 20), ('summary', 35)), n AS (SELECT *, {WORDS} AS words FROM blocks) SELECT document_id, CAST(block_no AS VARCHAR) AS block_id, kind, block_no || ':' || kind AS job_id, 'pending' AS status, words FROM n JOIN d ON words > least")
@@ -47,6 +47,13 @@ def f4(spark, sf_dir):
     return features.plan_jobs(keyed(spark, sf_dir), features.definitions(spark))
 
 
+@query("f4_headers", f"WITH {views.BLOCKS}, d(kind, least) AS (VALUES ('keywords', 20), ('summary', 35)), n AS (SELECT *, {WORDS} AS words FROM blocks), j AS (SELECT document_id, count(*) AS c FROM n JOIN d ON words > least GROUP BY 1) SELECT doc_id AS document_id, CASE WHEN c IS NULL THEN 'complete' ELSE 'pending' END AS status, coalesce(c, 0) AS total_jobs, CAST(0 AS BIGINT) AS completed_jobs, CAST(0 AS BIGINT) AS failed_jobs, CAST(0 AS BIGINT) AS running_jobs, coalesce(c, 0) AS pending_jobs FROM documents LEFT JOIN j ON document_id = doc_id")
+def f4_headers(spark, sf_dir):
+    """The first row of each document's job table."""
+    jobs = features.plan_jobs(keyed(spark, sf_dir), features.definitions(spark))
+    return features.job_headers(documents(spark, sf_dir).select(F.col("doc_id").alias("document_id")), jobs)
+
+
 @query("f5_words", f"WITH {views.BLOCKS}, n AS (SELECT *, {WORDS} AS words FROM blocks) SELECT document_id, block_no, words, greatest(8, CAST(ceil(CAST(words AS DOUBLE) * CAST(0.25 AS DOUBLE)) AS INT)) AS target FROM n")
 def f5(spark, sf_dir):
     words = tx.word_count(F.col("text"))
@@ -86,12 +93,16 @@ def f9(spark, sf_dir):
     return features.rollup(state(spark, sf_dir), ["document_id"])
 
 
-@query("f10_first_errors", f"WITH {views.JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY block_no, kind) AS rank FROM state WHERE status = 'failed') SELECT * FROM r WHERE rank <= 10")
+@query("f10_first_errors", f"WITH {views.JOBS}, l AS (SELECT document_id, block_no, kind, arg_max(status, pos) AS status, max(pos) AS pos FROM jobs GROUP BY 1, 2, 3), e AS (SELECT document_id, block_no, kind, status, CASE WHEN pos % 3 = 0 THEN 'no answer' WHEN pos % 3 = 1 THEN 'cut off' END AS error FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY block_no, kind) AS rank FROM e WHERE status = 'failed' AND error IS NOT NULL) SELECT * FROM r WHERE rank <= 10")
 def f10(spark, sf_dir):
-    return features.first_errors(state(spark, sf_dir), "document_id", ["block_no", "kind"])
+    """Two thirds of the failed jobs have an error text, the others a blank one or none."""
+    n = F.col("pos")
+    told = F.struct("status", F.when(n % 3 == 0, "no answer").when(n % 3 == 1, "cut off").when(n % 2 == 0, "").alias("error"))
+    last = features.latest(views.jobs(spark, sf_dir).withColumn("s", told), KEYS, "pos", "s")
+    return features.first_errors(last.select(*KEYS, "s.*"), "document_id", ["block_no", "kind"])
 
 
-@query("f11_progress", f"WITH {ROLLED} SELECT *, complete + failed AS done, CASE WHEN total > 0 THEN CAST(round(100.0 * (complete + failed) / total) AS INT) ELSE 0 END AS percent, greatest(total - complete - failed - running, 0) AS waiting, CASE status WHEN 'failed' THEN 'danger' WHEN 'complete' THEN 'success' ELSE 'info' END AS variant FROM rs")
+@query("f11_progress", f"WITH {ROLLED} SELECT *, complete + failed AS done, CASE WHEN total > 0 THEN CAST(round(100.0 * (complete + failed) / total) AS INT) ELSE 0 END AS percent, greatest(total - complete - failed - running, 0) AS waiting, CASE status WHEN 'failed' THEN 'danger' WHEN 'complete' THEN 'success' ELSE 'info' END AS variant, CASE WHEN status = 'failed' THEN 'Failed ' || failed || '/' || total WHEN status = 'complete' THEN 'Done ' || complete || '/' || total WHEN running > 0 THEN complete || '/' || total || ', ' || running || ' running' ELSE complete || '/' || total END AS label FROM rs")
 def f11(spark, sf_dir):
     return features.progress(features.rollup(state(spark, sf_dir), ["document_id"]))
 
@@ -140,11 +151,21 @@ def f20(spark, sf_dir):
     return rows.select("event_id", features.fingerprint(rows, ["user_id", "event_type"], F.col("event_id") % 4 != 0).alias("fingerprint"))
 
 
-@query("f24_quiz_text", f"WITH {views.BLOCKS} SELECT document_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY block_no), 1, 6000) AS text FROM blocks WHERE trim(text) <> '' GROUP BY 1")
+@query("f24_quiz_text", f"WITH {views.BLOCKS}, t AS (SELECT document_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY block_no), 1, 6000) AS text FROM blocks WHERE trim(text) <> '' AND document_id % 10 <> 3 GROUP BY 1) SELECT doc_id AS document_id, t.text, CASE WHEN t.text IS NULL THEN 'the document has no text' END AS error FROM documents LEFT JOIN t ON document_id = doc_id")
 def f24(spark, sf_dir):
-    parts = F.array_sort(F.collect_list(F.struct("block_no", "text")))
-    rows = block_rows(spark, sf_dir).where("trim(text) <> ''").groupBy("document_id").agg(parts.alias("p"))
-    return rows.select("document_id", F.substring(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 1, 6000).alias("text"))
+    """Every tenth document's blocks are blank."""
+    blocks = block_rows(spark, sf_dir).withColumn("text", F.when(F.col("document_id") % 10 != 3, F.col("text")).otherwise(" "))
+    return features.quiz_text(documents(spark, sf_dir).select(F.col("doc_id").alias("document_id")), blocks)
+
+
+@query("f24_quiz_questions", "SELECT event_id, CASE WHEN event_id % 6 = 5 THEN '' ELSE array_to_string(list_transform(range(1, least(event_id % 6, 3) + 1), lambda k: 'Q' || k || '?' || (k - 1)), ';') END AS questions FROM events")
+def f24_questions(spark, sf_dir):
+    """Answers with none to four questions, and some that are no JSON."""
+    n = F.col("event_id") % 6
+    asked = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(F.concat(F.lit("Q"), k.cast("string"), F.lit("?")).alias("text"), F.array(F.lit("a"), F.lit("b")).alias("choices"), (k - 1).alias("answer_index")))
+    json = F.when(n == 5, "none").when(n == 0, '{"questions": null}').otherwise(F.to_json(F.struct(asked.alias("questions"))))
+    shown = F.transform(features.quiz_questions(json), lambda q: F.concat(q["text"], q["answer_index"].cast("string")))
+    return events(spark, sf_dir).select("event_id", F.array_join(shown, ";").alias("questions"))
 
 
 OVER = views.BLOCKS + ", un AS (SELECT document_id, block_no, generate_subscripts(chunk_ids, 1) - 1 AS pos, unnest(chunk_ids) AS chunk_id FROM blocks), ov AS (SELECT un.document_id, CAST(un.block_no AS VARCHAR) AS block_id, un.pos, chunk_id, c.page_number, c.x, c.y, c.width, c.height, c.reading_order FROM un JOIN chunks c USING (document_id, chunk_id))"

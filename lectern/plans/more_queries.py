@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import study
 from lectern.plans import views
 from lectern.plans.registry import query
+from lectern.plans.stream_queries import scratch
 from lectern.plans.text_queries import block_rows, events
-from lectern.sources import elements
+from lectern.sources import elements, files
 
 
 def trees(spark, sf_dir):
@@ -26,16 +28,15 @@ def a4(spark, sf_dir):
     return elements.walk(trees(spark, sf_dir), "document_id", "json")
 
 
-STYLE = "CASE WHEN event_type = 'view' THEN '#fff8e1' WHEN event_id % 3 = 0 THEN '#a' || (event_id % 10) ELSE '#263238' END"
-
-
-@query("b13_style_precedence", f"SELECT event_id, {STYLE} AS color, coalesce(CASE WHEN event_type = 'view' THEN 0.5 END, CASE WHEN event_id % 3 = 0 THEN value / 1000 END, 1) AS opacity FROM events")
+@query("b13_style_precedence", "SELECT event_id, coalesce(CASE event_type WHEN 'view' THEN '#222222' WHEN 'click' THEN '#fff8e1' END, CASE WHEN event_id % 3 = 0 THEN '#a' || (event_id % 10) END, '#263238') AS color, least(coalesce(CASE event_type WHEN 'view' THEN 0.5 WHEN 'signup' THEN 1.0 END, CASE WHEN event_id % 3 = 0 THEN value / 40 END, 1.0), 1.0) AS opacity FROM events")
 def b13(spark, sf_dir):
-    settings = spark.createDataFrame([("view", "#fff8e1", 0.5)], "event_type string, set_color string, set_opacity double")  # a reader's settings: one row for each kind
-    rows = events(spark, sf_dir).join(F.broadcast(settings), "event_type", "left")
+    """A reader's settings by name and by id, one of them overwritten by a later one, some without a colour or an opacity."""
+    from lectern.operators.settings import style
+
+    reader = [{"name": "view", "id": "first", "color": "#111111", "opacity": 0.1}, {"name": "other", "id": "click", "color": "#fff8e1", "opacity": None}, {"name": "signup", "id": None, "color": None, "opacity": 3.0}, {"name": "last", "id": "view", "color": "#222222", "opacity": 0.5}]
     own = F.col("event_id") % 3 == 0
-    color = F.coalesce("set_color", F.when(own, F.concat(F.lit("#a"), (F.col("event_id") % 10).cast("string"))), F.lit("#263238"))
-    return rows.select("event_id", color.alias("color"), F.coalesce("set_opacity", F.when(own, F.col("value") / 1000), F.lit(1.0)).alias("opacity"))
+    color = F.when(own, F.concat(F.lit("#a"), (F.col("event_id") % 10).cast("string")))
+    return events(spark, sf_dir).select("event_id", style(F.col("event_type"), color, F.when(own, F.col("value") / 40), reader).alias("s")).select("event_id", "s.color", "s.opacity")
 
 
 @query("d15_parser_label", f"WITH {views.BLOCKS} SELECT document_id, count(*) AS paragraph_count, CASE WHEN document_id % 2 = 0 AND document_id % 3 = 0 THEN 'presegmented-grouped' WHEN document_id % 2 = 0 THEN 'grouped' WHEN document_id % 3 = 0 THEN 'presegmented' ELSE 'layout' END AS label FROM blocks GROUP BY 1")
@@ -46,28 +47,80 @@ def d15(spark, sf_dir):
     return counts.withColumn("label", parser_label(F.col("document_id") % 2 == 0, F.col("document_id") % 3 == 0))
 
 
-@query("a9_exam_catalogue", "SELECT event_id AS id, coalesce(TRY_CAST(CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS BOOLEAN), true) AS enabled FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 1")
-def a9(spark, sf_dir):
-    """Exam files read tolerantly: unreadable ones skipped, enabled by default, disabled ones left out."""
-    flag = "CASE event_id % 3 WHEN 0 THEN ',\"enabled\":true' WHEN 1 THEN ',\"enabled\":false' ELSE '' END"
-    json = F.expr(f"CASE WHEN event_id % 7 = 0 THEN 'broken{{' ELSE concat('{{\"id\":', event_id, {flag}, '}}') END")
-    exams = events(spark, sf_dir).select(F.from_json(json, "id long, enabled boolean").alias("e")).where("e.id IS NOT NULL")
-    return exams.select("e.id", F.coalesce("e.enabled", F.lit(True)).alias("enabled")).where("enabled")
+def write_files(rows, name):
+    """One text file for each row (folder, text), in a folder of that name below a new one; returns the new one."""
+    root = scratch(rows.sparkSession, name)
+    rows.repartition("folder").write.partitionBy("folder").text(root)
+    return root
 
 
-@query("a11_representation_files", "SELECT user_id, count(*) AS representations, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+@query(
+    "a9_exam_catalogue",
+    """WITH u AS (SELECT user_id AS n, count(*) AS c, min(event_type) AS kind FROM events GROUP BY 1 HAVING user_id % 7 <> 0 AND user_id % 3 <> 1)
+    SELECT CASE WHEN n % 2 = 0 THEN 'exam-' || n ELSE 'file-' || n END AS exam_id, 'd' || n AS document_id, CASE WHEN c % 600 > 0 THEN 'countdown' ELSE 'stopwatch' END AS timing_mode, CAST(c % 600 AS INT) AS time_limit_seconds, CASE WHEN n % 4 = 0 THEN 'own' ELSE 'keywords-' || kind END AS condition_id,
+    CASE WHEN n % 2 = 0 THEN 'exam-' || n ELSE 'file-' || n END || '-q1:First?:a|b:1' AS questions, row_number() OVER (ORDER BY 'folder=file ' || n) AS place FROM u""",
+)
+def a9(spark, sf_dir):
+    """Exam files of several lines, one for each participant: some broken, some without an id, some disabled; read in order of their names."""
+    n, kind = F.col("user_id"), F.col("kind")
+    lines = F.concat(
+        F.lit('{\n  "id": '),
+        F.when(n % 2 == 0, F.concat(F.lit('"Exam '), n.cast("string"), F.lit('.json"'))).otherwise("null"),
+        F.lit(',\n  "document_id": "D'),
+        n.cast("string"),
+        F.lit('",\n  "time_limit_seconds": '),
+        (F.col("c") % 600).cast("string"),
+        F.when(n % 3 == 1, ',\n  "enabled": false').when(n % 3 == 2, ',\n  "enabled": true').otherwise(""),
+        F.lit(',\n  "representation_condition": {"id": '),
+        F.when(n % 4 == 0, '"own"').otherwise("null"),
+        F.lit(', "visible_representations": ["keywords", " ", "'),
+        kind,
+        F.lit('"]},\n  "questions": [\n    {"text": "First?", "choices": ["a", "b"], "answer_index": 7}\n  ]\n}\n'),
+    )
+    written = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("c"), F.min("event_type").alias("kind"))
+    root = write_files(written.select(F.concat(F.lit("file "), n.cast("string")).alias("folder"), F.when(n % 7 == 0, '{\n  "id": 1,\n').otherwise(lines).alias("value")), "exams")
+    found = study.enabled_exams(files.exams(spark, f"{root}/*/*", files.folder(F.col("file"))))
+    shown = F.transform("questions", lambda q: F.concat_ws(":", q["question_id"], q["text"], F.array_join(q["choices"], "|"), q["answer_index"].cast("string")))
+    named = found.withColumn("file", F.regexp_extract("file", "([^/]+)/[^/]*$", 1)).withColumn("questions", F.array_join(shown, ";"))
+    return study.in_order(named, "file").select("exam_id", "document_id", "timing_mode", "time_limit_seconds", "condition_id", "questions", "place")
+
+
+@query(
+    "a11_representation_files",
+    """WITH r AS (SELECT user_id AS n, event_type AS kind, count(*) AS c FROM events GROUP BY 1, 2)
+    SELECT CASE WHEN n % 2 = 0 THEN 'p' || n ELSE 'block ' || n END AS block_id, count(*) AS size, string_agg(kind || '=' || c || '|' || kind || ',' || c, ';' ORDER BY kind) AS representations FROM r WHERE n % 9 <> 4 AND kind <> 'error' GROUP BY 1""",
+)
 def a11(spark, sf_dir):
-    """Payloads of files by block: the id from the payload, else from the file's folder."""
-    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").alias("block_id"), F.col("event_type").alias("kind")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"))))
-    folder = F.concat(F.lit("representations/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".json"))
-    files = events(spark, sf_dir).select(F.from_json(payload, "block_id long, kind string").alias("p"), folder.alias("path"))
-    named = files.select(F.coalesce("p.block_id", F.regexp_extract("path", "([0-9]+)/[^/]*$", 1).cast("long")).alias("user_id"), "p.kind")
-    return named.groupBy("user_id").agg(F.count(F.lit(1)).alias("representations"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-
-
-@query("b12_legacy_style", "SELECT event_id, CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN '#00695c' ELSE '#c' || (event_id % 4) END AS color FROM events")
+    """Files of representations by block: every second has its block's id in it, the others in the folder's name; some lists hold an entry without a
+    representation, some files are broken."""
+    n = F.col("user_id")
+    own = F.struct(F.col("event_type").alias("kind"), F.col("c").cast("string").alias("value"), F.array("event_type", F.col("c").cast("string")).alias("items"))
+    entry = F.to_json(F.struct(F.when(n % 2 == 0, F.concat(F.lit("p"), n.cast("string"))).alias("block_id"), F.when(F.col("event_type") != "error", own).alias("representation")))
+    counted = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("c"))
+    listed = counted.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",\n  ").alias("j"))
+    text = F.when(n % 9 == 4, F.concat(F.lit("[\n  "), F.col("j"))).otherwise(F.concat(F.lit("[\n  "), F.col("j"), F.lit("\n]\n")))
+    root = write_files(listed.select(F.concat(F.lit("block "), n.cast("string")).alias("folder"), text.alias("value")), "representations")
+    found = files.representations(spark, f"{root}/*/*")
+    shown = F.array_join(F.transform("representations", lambda r: F.concat(r["kind"], F.lit("="), r["value"], F.lit("|"), F.array_join(r["items"], ","))), ";")
+    return found.select("block_id", F.size("representations").cast("long").alias("size"), shown.alias("representations"))
+
+
+@query(
+    "b12_legacy_style",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 AND event_id % 4 = 0 THEN '#7a4a12' WHEN event_id % 5 = 1 AND event_id % 4 = 1 THEN '#263238' WHEN event_id % 4 = 0 THEN '#F5C15F' WHEN event_id % 4 = 1 THEN '#fff8eb' WHEN event_id % 4 = 2 THEN '#123456' END AS color,
+    CAST(CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 5 < 2 THEN 1.0 ELSE 0.6 END WHEN event_id % 3 = 1 THEN 0.4 WHEN event_id % 5 < 3 THEN 1.0 END AS DOUBLE) AS opacity FROM events""",
+)
 def b12(spark, sf_dir):
-    """Known old default colours of a kind give way to the new default; a reader's own stay."""
-    old = spark.createDataFrame([("view", "#c0", "#00695c")], "event_type string, color string, new_color string")  # old and new defaults: one row for each kind
-    rows = events(spark, sf_dir).select("event_id", "event_type", F.concat(F.lit("#c"), (F.col("event_id") % 4).cast("string")).alias("color"))
-    return rows.join(F.broadcast(old), ["event_type", "color"], "left").select("event_id", F.coalesce("new_color", "color").alias("color"))
+    """Settings of both default kinds, by id or by name, a default one of another kind and a reader's own, with former and other colours and opacities."""
+    from lectern.operators.settings import migrated
+
+    n = F.col("event_id")
+    rows = events(spark, sf_dir).select(
+        "event_id",
+        F.when(n % 5 == 0, "Keywords").otherwise("").alias("id"),
+        F.when(n % 5 == 1, "summary").otherwise("mine").alias("name"),
+        (n % 5 == 2).alias("is_default"),
+        F.when(n % 4 == 0, "#F5C15F").when(n % 4 == 1, "#fff8eb").when(n % 4 == 2, "#123456").alias("color"),
+        F.when(n % 3 == 0, 0.6).when(n % 3 == 1, 0.4).alias("opacity"),
+    )
+    return migrated(rows).select("event_id", "color", "opacity")

@@ -254,10 +254,14 @@ def c4(spark, sf_dir):
     return rows.select("document_id", "reading_order", tx.heading_chunk(F.col("text"), typed, F.col("is_bold"), F.col("font_size"), F.col("body_font")).alias("heading"))
 
 
-@query("c8_visibility", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN event_type = 'view' OR event_type = 'click' ELSE false END AS visible FROM events")
+@query("c8_visibility", "SELECT event_id, CASE event_id % 3 WHEN 1 THEN event_type IN ('view', 'click') OR user_id % 4 = 0 ELSE false END AS enabled, NOT (event_id % 4 > 0 AND event_type = 'view') AS shown FROM events")
 def c8(spark, sf_dir):
-    shown = F.when(F.col("event_id") % 3 == 1, F.array(F.lit("view"), F.lit("click"))).when(F.col("event_id") % 3 == 2, none())
-    return events(spark, sf_dir).select("event_id", settings.visible(F.col("event_type"), shown).alias("visible"))
+    """By the condition's list (names and kinds; empty, or none), and by the reader's flags (false for one kind, true for another, or none)."""
+    n = F.col("event_id")
+    listed = F.when(n % 3 == 1, F.array(F.lit("view"), F.lit("click"), F.lit("name 0"))).when(n % 3 == 2, none())
+    name = F.concat(F.lit("name "), (F.col("user_id") % 4).cast("string"))
+    flags = F.when(n % 4 > 0, F.create_map(F.lit("view"), F.lit(False), F.lit("click"), F.lit(True)))
+    return events(spark, sf_dir).select("event_id", settings.enabled_by(name, F.col("event_type"), listed).alias("enabled"), settings.reader_shows(F.col("event_type"), flags).alias("shown"))
 
 
 # ---- layout

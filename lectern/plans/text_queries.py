@@ -158,10 +158,14 @@ def b21(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", tx.elapsed(F.col("event_id")).alias("elapsed"), tx.percent(F.col("event_id") % 5, F.col("event_id") % 7).alias("percent"))
 
 
-@query("b23_page_font", f"WITH {views.CHUNKS} SELECT document_id, page_number, median(font_size) AS font_size, arg_min(text, reading_order) FILTER (text LIKE '%a%') AS first FROM chunks GROUP BY 1, 2")
+@query("b23_page_font", f"WITH {views.CHUNKS}, f AS (SELECT *, CASE reading_order % 4 WHEN 0 THEN ' ' WHEN 2 THEN ' Font' || (document_id + reading_order) % 3 WHEN 3 THEN 'Bold' END AS font_name FROM chunks) SELECT document_id, page_number, median(font_size) AS font_size, arg_min(trim(font_name), reading_order) FILTER (trim(font_name) <> '') AS font_name FROM f GROUP BY 1, 2")
 def b23(spark, sf_dir):
-    named = F.when(F.col("text").contains("a"), F.col("reading_order"))
-    return views.chunks(spark, sf_dir).groupBy("document_id", "page_number").agg(F.median("font_size").alias("font_size"), F.min_by("text", named).alias("first"))
+    """Spans with blank names, without any, and of several fonts."""
+    from lectern.operators.layout import representative_font
+
+    n = F.col("reading_order")
+    name = F.when(n % 4 == 0, " ").when(n % 4 == 2, F.concat(F.lit(" Font"), ((F.col("document_id") + n) % 3).cast("string"))).when(n % 4 == 3, "Bold")
+    return representative_font(views.chunks(spark, sf_dir).withColumn("font_name", name), ["document_id", "page_number"], "reading_order")
 
 
 @query("c1_continuation", f"WITH {views.CHUNKS}, pr AS (SELECT document_id, reading_order, lag(text) OVER (PARTITION BY document_id ORDER BY reading_order) AS a, text AS b FROM chunks) SELECT document_id, reading_order, {views.CONTINUES} AS goes_on FROM pr")
