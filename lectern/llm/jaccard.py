@@ -238,10 +238,10 @@ def linked(docs: DataFrame, threshold: float, id_col: str, text_col: str, trees:
     crowd = nodes.groupBy("__tree", "__node").agg(F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("__key")).alias("__x"), F.bit_xor(F.xxhash64("__key", F.lit(1))).alias("__y"))
     crowd = crowd.where("__n > 1").groupBy("__n", "__x", "__y").agg(F.min(F.struct("__tree", "__node")).alias("__at")).select("__at.__tree", "__at.__node", "__n")
     crowd = materialize(crowd, "nodes")
-    places = nodes.join(crowd.hint("shuffle_hash"), ["__tree", "__node"]).groupBy("__key").agg(F.collect_list(F.struct("__tree", "__node", "__n")).alias("__in"))
+    places = nodes.join(crowd.hint("merge"), ["__tree", "__node"]).groupBy("__key").agg(F.collect_list(F.struct("__tree", "__node", "__n")).alias("__in"))
     wanted = places.join(classes.hint("merge"), "__key").select("__key", "__weight", "__nodes", "__in", "__rep.__id", "__rep.__th")
     texts = docs.select(F.col(id_col).alias("__doc"), F.xxhash64(text_col).alias("__dth"), F.col(text_col).cast("string").alias("__text"))
-    with_text = texts.join(wanted.hint("shuffle_hash"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__dth") == F.col("__th")))
+    with_text = texts.join(wanted.hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__dth") == F.col("__th")))
     blocks = F.ceil(F.col("__p.__n") / F.lit(block)).cast("int")
     units = (
         with_text.select("__key", "__weight", "__nodes", "__text", F.explode("__in").alias("__p"))
@@ -281,5 +281,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     place = [F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__name"), F.col("__id").isNull().alias("__none")]
     best = found.groupBy("label").agg(F.min(F.struct("__id", "__th")).alias("__best")).select("__best.__id", "__best.__th").select(*place, "__th")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th")).select("__row", *place, "__th")
-    kept = rows.join(best.hint("shuffle_hash"), ["__name", "__none", "__th"], "left_semi")
+    kept = rows.join(best.hint("merge"), ["__name", "__none", "__th"], "left_semi")
     return kept.dropDuplicates(["__name", "__none", "__th"]).select("__row.*")
