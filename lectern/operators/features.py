@@ -7,34 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
-from lectern.operators.settings import STYLES, profile_matches
+from lectern.operators.settings import STYLES, fixed_rows, profile_matches
 from lectern.sources.responses import is_keywords, payload, response_text
 
 # Words that are no keywords.
 STOP_WORDS = "about after also been from into page that their there these they this were with".split()
-#: Rows that a table of settings may have to be sent along with a plan.
-MOST_FIXED = 1000
-#: Equal words after each other; the possessive loop needs no stack.
-RUN = r"(?<!\S)(\S+)(?: \1(?!\S))*+"
 TOKEN = r"[A-Za-z][A-Za-z0-9'-]{2,}"
 
 
 def keywords_of(text: Column, count: int = 3) -> Column:
     """The most frequent tokens of a text, ties by first occurrence; `keyword pending` without one.
 
-    All in the row: the sorted tokens are joined, so that a pattern finds the runs of equal ones, and only these are ranked.
+    All in the row: tokens are sorted with their places, runs of equal ones are told by where they begin, and only the runs are ranked.
     """
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t))
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i")))
 
     def rank(tokens: Column) -> Column:
-        runs = F.regexp_extract_all(F.array_join(F.array_sort(tokens), " "), F.lit(RUN), 0)
-        counted = F.transform(F.filter(runs, lambda r: ~F.substring_index(r, " ", 1).isin(STOP_WORDS)), lambda r: F.struct(F.substring_index(r, " ", 1).alias("t"), F.length(r).alias("n")))
-        placed = F.transform(counted, lambda c: F.struct((-(c["n"] + 1) / (F.length(c["t"]) + 1)).alias("n"), F.array_position(tokens, c["t"]).alias("i"), c["t"].alias("t")))
-        return F.slice(F.array_sort(placed), 1, count)
+        begins = F.array_compact(F.transform(tokens, lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1)["t"] != x["t"]), i)))
+
+        def top(begins: Column) -> Column:
+            runs = F.transform(begins, lambda at, k: F.struct((at - F.coalesce(F.get(begins, k + 1), F.size(tokens))).alias("n"), F.get(tokens, at)["i"].alias("i"), F.get(tokens, at)["t"].alias("t")))
+            return F.slice(F.array_sort(F.filter(runs, lambda r: ~r["t"].isin(STOP_WORDS))), 1, count)
+
+        return F.get(F.transform(F.array(begins), top), 0)
 
     # arrays of one element keep each step from being worked out twice
-    top = F.transform(F.array(tokens), lambda t: F.transform(rank(t), lambda s: F.replace(s["t"], F.lit("-"), F.lit(" "))))
-    return F.element_at(F.transform(top, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("keyword pending")))), 1)
+    best = F.transform(F.array(F.array_sort(tokens)), lambda t: F.transform(rank(t), lambda r: F.replace(r["t"], F.lit("-"), F.lit(" "))))
+    return F.get(F.transform(best, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("keyword pending")))), 0)
 
 
 def keywords(blocks: DataFrame, keys: list[str], count: int = 3) -> DataFrame:
@@ -121,19 +120,16 @@ def batches(rows: DataFrame, keys: list[str], order: str, size: int = 12) -> Dat
     return rows.withColumn("batch_no", F.floor(place / max(size, 1)).cast("bigint"))
 
 
-def fixed_rows(table: DataFrame) -> list:
-    """The rows of a table of settings; more than MOST_FIXED are an error, so nothing that grows is collected or broadcast."""
-    rows = table.limit(MOST_FIXED + 1).collect()
-    if len(rows) > MOST_FIXED:
-        raise ValueError(f"a table of settings has more than {MOST_FIXED} rows")
-    return rows
-
-
 def restored(blocks: DataFrame, enabled: Column, keys: list[str]) -> DataFrame:
     """Default rows of the blocks for which models are off; the others are cleared, so they have none."""
     return default_rows(blocks.where(~enabled), keys)
 
 
+def completed(state: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs that are complete and have a result: those of `state` joined with `results` by keys."""
+    return state.where("status = 'complete'").join(results.hint("merge"), keys)
+
+
 def provider_of(rows: DataFrame, key: str, name: str, preferred: str) -> DataFrame:
     """The preferred provider of each key where it is there, else the first by name."""
     return rows.groupBy(key).agg(F.coalesce(F.min(F.when(F.col(name) == preferred, F.col(name))), F.min(name)).alias("provider"))
@@ -318,6 +314,16 @@ def first_errors(state: DataFrame, key: str, order: list[str], most: int = 10) -
     return failed.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def failure_signature() -> Column:
+    """What tells failures apart: the document and the kind."""
+    return F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), "kind"), 256)
+
+
+def first_failures(events: DataFrame) -> DataFrame:
+    """signature and first_pos of every failure that events tell of, once each."""
+    return events.where("status = 'failed'").groupBy(failure_signature().alias("signature")).agg(F.min("pos").alias("first_pos"))
+
+
 def reset_for_retry(status: Column) -> Column:
     return F.when(status.isin("failed", "running"), "pending").otherwise(status)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import boxes
 from lectern.functions import text as tx
 
 DEFAULT_FONT = 12.0
@@ -385,3 +386,16 @@ def representative_font(spans: DataFrame, keys: list[str], order: str) -> DataFr
     """keys, font_size (the median size of the spans, null without any) and font_name (the first that is not blank, trimmed, in span order)."""
     named = F.when(F.trim("font_name") != "", F.col(order))
     return spans.groupBy(*keys).agg(F.median("font_size").alias("font_size"), F.min_by(F.trim("font_name"), named).alias("font_name"))
+
+
+def overlaps(chunks: DataFrame) -> DataFrame:
+    """Each chunk (but a document's first) with the horizontal overlap ratio to the one before it."""
+    order = Window.partitionBy("document_id").orderBy("reading_order")
+    rows = chunks.withColumn("__x", F.lag("x").over(order)).withColumn("__w", F.lag("width").over(order)).where("__x IS NOT NULL")
+    return rows.select("document_id", "reading_order", F.round(boxes.overlap_ratio(F.col("__x"), F.col("__w"), F.col("x"), F.col("width")), 6).alias("overlap"))
+
+
+def in_reading_order(chunks: DataFrame) -> DataFrame:
+    """n of each chunk, from 0: by page number, then the provider's order in the page; never by geometry."""
+    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
+    return chunks.withColumn("n", (F.row_number().over(order) - 1).cast("bigint"))

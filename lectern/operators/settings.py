@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import materialize
 
 # Bounds and defaults of the settings (minimum, maximum, default).
 BOUNDS = {
@@ -25,22 +26,37 @@ DEFAULT_PROMPT = "Summarise the text."
 DEFAULT_NAME = "representation"
 
 
+#: Rows of a table of settings that may become part of a plan.
+MOST_FIXED = 1000
+
+
+def fixed_rows(table: DataFrame) -> list:
+    """The rows of a table of settings; more than MOST_FIXED are an error, so nothing that grows is collected or broadcast."""
+    rows = table.limit(MOST_FIXED + 1).collect()
+    if len(rows) > MOST_FIXED:
+        raise ValueError(f"a table of settings has more than {MOST_FIXED} rows")
+    return rows
+
+
 def layered(documents: DataFrame, settings: DataFrame) -> DataFrame:
     """document_id, path, value of every document: leaves of all layers merged, the highest layer wins.
 
-    settings: document_id (null: all documents), layer, path (dotted), value. A leaf hides what lower layers have above or below its path.
+    settings: document_id (null: all documents, MOST_FIXED rows at most), layer, path (dotted), value. A leaf hides what lower layers have above or below its
+    path: of each path the highest layer counts, and the paths above and below are met by joins on them.
     """
-    common = settings.where("document_id IS NULL").drop("document_id")
-    # the defaults are the same for all documents, so they are sent along as one array
-    shared = common.agg(F.collect_list(F.struct("layer", "path", "value")).alias("own"))
-    own = settings.where("document_id IS NOT NULL").groupBy("document_id").agg(F.collect_list(F.struct("layer", "path", "value")).alias("own"))
-    defaults = shared.first()["own"]
-    fixed = F.array(*[F.struct(F.lit(r["layer"]).cast(common.schema["layer"].dataType).alias("layer"), F.lit(r["path"]).alias("path"), F.lit(r["value"]).cast("string").alias("value")) for r in defaults]) if defaults else None
-    joined = documents.select("document_id").join(own.hint("shuffle_hash"), "document_id", "left").withColumn("own", F.coalesce("own", F.array().cast(own.schema["own"].dataType)))
-    every = F.concat(fixed, F.col("own")) if fixed is not None else F.col("own")
-    hides = lambda a, b: (a["layer"] > b["layer"]) & ((a["path"] == b["path"]) | F.startswith(a["path"], F.concat(b["path"], F.lit("."))) | F.startswith(b["path"], F.concat(a["path"], F.lit("."))))
-    left = F.filter(every, lambda b: ~F.exists(every, lambda a: hides(a, b)))
-    return joined.select("document_id", F.explode(left).alias("s")).select("document_id", "s.path", "s.value")
+    common, kinds = settings.where("document_id IS NULL").select("layer", "path", "value"), {f.name: f.dataType for f in settings.schema}
+    fixed = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("layer", "path", "value")]) for r in fixed_rows(common)]
+    every = settings.where("document_id IS NOT NULL").join(documents.select("document_id").distinct().hint("merge"), "document_id", "left_semi").select("document_id", "layer", "path", "value")
+    if fixed:
+        every = every.unionByName(documents.select("document_id", F.explode(F.array(*fixed)).alias("s")).select("document_id", "s.*"))
+    best = materialize(every.groupBy("document_id", "path").agg(F.max("layer").alias("layer"), F.max_by("value", "layer").alias("value")), "leaves")
+    parts = F.split("path", r"\.")
+    above = best.select("document_id", "path", "layer", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), ".")))).alias("above"))
+    below = above.groupBy("document_id", F.col("above").alias("path")).agg(F.max("layer").alias("__below"))
+    over = above.join(best.select("document_id", F.col("path").alias("above"), F.col("layer").alias("__over")).hint("merge"), ["document_id", "above"])
+    hidden = over.where(F.col("__over") > F.col("layer")).select("document_id", "path").distinct()
+    left = best.join(below.hint("merge"), ["document_id", "path"], "left").where(F.coalesce(F.col("__below") <= F.col("layer"), F.lit(True)))
+    return left.join(hidden.hint("merge"), ["document_id", "path"], "left_anti").select("document_id", "path", "value")
 
 
 def bounded(name: str, value: Column) -> Column:

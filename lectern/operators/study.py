@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as tx
-from lectern.operators.features import fixed_rows
+from lectern.operators.settings import fixed_rows
 from lectern.session import materialize
 
 # Choices of a question that has none.
@@ -171,7 +171,7 @@ def score(answers: DataFrame, key: DataFrame) -> DataFrame:
 def answer_sheet(answers: DataFrame, key: DataFrame) -> DataFrame:
     """One row for each session and question of the key, selected_index null when unanswered.
 
-    The key (question_id, ordinal, answer_index) is a table of settings (see features.fixed_rows); each session gets its questions in its
+    The key (question_id, ordinal, answer_index) is a table of settings (see settings.fixed_rows); each session gets its questions in its
     row, and its answers are collected there, so nothing is joined. A question that the key has twice keeps its first place and takes the last answer.
     """
     rows: dict = {}
@@ -196,6 +196,12 @@ def positional_score(selected: Column, answers: Column) -> Column:
     return F.size(F.filter(F.zip_with(selected, answers, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same))
 
 
+def in_time(answers: DataFrame, limit: Column) -> DataFrame:
+    """session_id, answers_in_time and late: answers up to `limit` (an interval) after a session's first one, and those after it."""
+    rows = answers.withColumn("__until", F.min("submitted_at").over(Window.partitionBy("session_id")) + limit)
+    return rows.groupBy("session_id").agg(F.count_if(F.col("submitted_at") <= F.col("__until")).alias("answers_in_time"), F.count_if(F.col("submitted_at") > F.col("__until")).alias("late"))
+
+
 def timing(events: DataFrame, limit: Column) -> DataFrame:
     """elapsed (whole seconds that have passed), total_elapsed (rounded), remaining and expired of each session, from its first and last time."""
     spans = events.groupBy("session_id").agg(F.min("submitted_at").alias("began"), F.max("submitted_at").alias("ended"))

@@ -131,18 +131,18 @@ def f15(spark, sf_dir):
 @query("f16_completed", f"WITH {views.JOBS} SELECT document_id, block_no, kind, d.source AS result FROM state JOIN documents d ON d.doc_id = document_id WHERE status = 'complete'")
 def f16(spark, sf_dir):
     results = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("result"))
-    return state(spark, sf_dir).where("status = 'complete'").join(results, "document_id").select(*KEYS, "result")
+    return features.completed(state(spark, sf_dir), results, ["document_id"]).select(*KEYS, "result")
 
 
 @query(
     "f18_merge_by_kind",
-    "WITH o AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"
+    "WITH o AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type AS kind, min(event_id) AS pos, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)"
     " SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.kind, n.kind) AS kind, coalesce(o.pos, n.pos + 1000000) AS pos, coalesce(n.value, o.value) AS value, n.value IS NOT NULL AND n.value IS DISTINCT FROM o.value AS changed FROM o FULL JOIN n ON o.user_id = n.user_id AND o.kind = n.kind",
 )
 def f18(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", F.col("event_type").alias("kind"), F.col("event_id").alias("pos"), "value")
-    part = lambda k: rows.where(F.col("pos") % k == 0).groupBy("user_id", "kind").agg(F.min("pos").alias("pos"), F.min_by("value", "pos").alias("value"))
-    return features.merge_by_kind(part(2), part(3), ["user_id"])
+    part = lambda odd: rows.where(F.col("pos") % 2 == odd).groupBy("user_id", "kind").agg(F.min("pos").alias("pos"), F.min_by("value", "pos").alias("value"))
+    return features.merge_by_kind(part(0), part(1), ["user_id"])
 
 
 @query("f20_fingerprint", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'placeholder' ELSE substr(sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')), 1, 16) END AS fingerprint FROM events""")

@@ -57,10 +57,8 @@ def a7(spark, sf_dir):
 )
 def a8(spark, sf_dir):
     """Documents (with even ids) and files side by side; either may lack the other."""
-    docs = documents(spark, sf_dir).select((F.col("doc_id") * 2).alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("title"), F.lit(True).alias("d"))
-    files = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("url").alias("source_name"), F.lit(True).alias("p"))
-    joined = docs.join(files, "id", "full_outer")
-    return joined.select("id", F.col("d").isNotNull().alias("has_document"), F.col("p").isNotNull().alias("has_pdf"), F.coalesce("title", "source_name", F.col("id").cast("string")).alias("title"))
+    docs = documents(spark, sf_dir).select((F.col("doc_id") * 2).alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("title"))
+    return records.catalogue(docs, pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("url").alias("source_name")))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import features, study
+from lectern.operators.settings import fixed_rows
 from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.plans.study_queries import SCORED
@@ -119,5 +120,5 @@ def k2(spark, sf_dir):
 @query("c5_eligibility", f"WITH {views.BLOCKS}, n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS words FROM blocks) SELECT document_id, block_no, words > 20 AS keywords, words > 35 AS summary FROM n")
 def c5(spark, sf_dir):
     words = tx.word_count(F.col("text"))
-    least = {r["kind"]: max(r["least_words"], 20) for r in features.definitions(spark).collect()}
+    least = {r["kind"]: max(r["least_words"], 20) for r in fixed_rows(features.definitions(spark))}
     return block_rows(spark, sf_dir).select("document_id", "block_no", *((words > n).alias(kind) for kind, n in least.items()))

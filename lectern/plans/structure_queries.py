@@ -51,11 +51,7 @@ def d2(spark, sf_dir):
     " SELECT document_id, reading_order, round(greatest(0, least(px + pw, x + width) - greatest(px, x)) / greatest(least(pw, width), 1e-6), 6) AS overlap FROM q WHERE px IS NOT NULL",
 )
 def d3(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("document_id").orderBy("reading_order")
-    rows = views.chunks(spark, sf_dir).withColumn("px", F.lag("x").over(order)).withColumn("pw", F.lag("width").over(order)).where("px IS NOT NULL")
-    return rows.select("document_id", "reading_order", F.round(boxes.overlap_ratio(F.col("px"), F.col("pw"), F.col("x"), F.col("width")), 6).alias("overlap"))
+    return layout.overlaps(views.chunks(spark, sf_dir))
 
 
 @query("d6_assembly", f"WITH {ASSEMBLED} SELECT document_id, block_no, page_number, text, font_size, is_bold, x, y, round(width, 6) AS width, round(height, 6) AS height FROM asm")
@@ -111,10 +107,7 @@ def d19(spark, sf_dir):
 
 @query("e1_reading_order", f"WITH {views.CHUNKS} SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, reading_order) - 1 AS n FROM chunks")
 def e1(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("document_id").orderBy("page_number", "reading_order")
-    return views.chunks(spark, sf_dir).select("document_id", "chunk_id", (F.row_number().over(order) - 1).cast("long").alias("n"))
+    return layout.in_reading_order(views.chunks(spark, sf_dir)).select("document_id", "chunk_id", "n")
 
 
 PACKED = (

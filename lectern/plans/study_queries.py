@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.operators import study
+from lectern.operators import features, study
 from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.plans.text_queries import events
@@ -136,11 +135,9 @@ def c9(spark, sf_dir):
 
 @query("k3_deadline", f"WITH {views.SUBMISSIONS}, sp AS (SELECT session_id, min(submitted_at) AS began FROM submissions GROUP BY 1) SELECT s.session_id, count(*) FILTER (submitted_at <= began + INTERVAL 6 HOUR) AS answers_in_time, count(*) FILTER (submitted_at > began + INTERVAL 6 HOUR) AS late FROM submissions s JOIN sp USING (session_id) GROUP BY 1")
 def k3(spark, sf_dir):
-    rows = views.submissions(spark, sf_dir).withColumn("limit", F.min("submitted_at").over(Window.partitionBy("session_id")) + F.expr("INTERVAL 6 HOURS"))
-    return rows.groupBy("session_id").agg(F.count_if(F.col("submitted_at") <= F.col("limit")).alias("answers_in_time"), F.count_if(F.col("submitted_at") > F.col("limit")).alias("late"))
+    return study.in_time(views.submissions(spark, sf_dir), F.expr("INTERVAL 6 HOURS"))
 
 
 @query("k4_notices", f"WITH {views.JOBS} SELECT sha256(document_id || ':' || kind) AS signature, min(pos) AS first_pos FROM jobs WHERE status = 'failed' GROUP BY 1")
 def k4(spark, sf_dir):
-    failed = views.jobs(spark, sf_dir).where("status = 'failed'")
-    return failed.groupBy(F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), "kind"), 256).alias("signature")).agg(F.min("pos").alias("first_pos"))
+    return features.first_failures(views.jobs(spark, sf_dir))

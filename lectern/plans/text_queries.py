@@ -10,7 +10,7 @@ from lectern.functions import text as tx
 from lectern.plans import views
 from lectern.plans.registry import query
 from lectern.session import prepare, table
-from lectern.sources import markup
+from lectern.sources import markup, records
 
 
 def documents(spark, sf_dir):
@@ -27,15 +27,12 @@ def events(spark, sf_dir):
 
 @query("a2_content_dedup", "SELECT sha256(text) AS document_id, min(doc_id) AS created_at, arg_max(source, doc_id) AS source_name FROM documents GROUP BY 1")
 def a2(spark, sf_dir):
-    rows = documents(spark, sf_dir).select(F.sha2("text", 256).alias("document_id"), "doc_id", "source")
-    return rows.groupBy("document_id").agg(F.min("doc_id").alias("created_at"), F.max_by("source", "doc_id").alias("source_name"))
+    return records.latest_documents(documents(spark, sf_dir).select(F.sha2("text", 256).alias("document_id"), F.col("doc_id").alias("uploaded_at"), F.col("source").alias("source_name")))
 
 
 @query("a3_manifest_upsert", f"WITH {views.JOBS} SELECT document_id, kind AS provider, arg_max(status, pos) AS status, max(pos) AS pos FROM jobs GROUP BY 1, 2")
 def a3(spark, sf_dir):
-    updates = views.jobs(spark, sf_dir).select("document_id", F.col("kind").alias("provider"), "status", "pos")
-    order = Window.partitionBy("document_id", "provider").orderBy(F.col("pos").desc())
-    return updates.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    return records.latest_of_provider(views.jobs(spark, sf_dir).select("document_id", F.col("kind").alias("provider"), "status", "pos"))
 
 
 def edited_pages(spark, sf_dir):

@@ -56,7 +56,7 @@ def page_items(items: DataFrame, sizes: DataFrame) -> DataFrame:
     parts = items.select("document_id", "item_no", tx.collapse(F.col("text")).alias("text"), F.explode("prov").alias("p")).where("text <> ''")
     ends = {"x0": F.min("p.x0"), "y0": F.min("p.y0"), "x1": F.max("p.x1"), "y1": F.max("p.y1")}
     merged = parts.groupBy("document_id", F.col("p.page_number").alias("page_number"), "item_no").agg(F.first("text").alias("text"), *(c.alias(n) for n, c in ends.items()))
-    joined = merged.join(sizes.hint("shuffle_hash"), ["document_id", "page_number"])
+    joined = merged.join(sizes.hint("merge"), ["document_id", "page_number"])
     order = Window.partitionBy("document_id", "page_number").orderBy("item_no")
     return joined.select(
         "document_id",
@@ -92,17 +92,17 @@ def edited_blocks(base: DataFrame, edits: DataFrame, keys: list[str], fields: li
     """Blocks of documents with saved edits: the edit's rows, in its order, a field it lacks taken from the block of the same id; no
     representations means an empty list. Documents without any edit keep their blocks."""
     changed = edits.select(keys[0]).distinct()
-    joined = edits.join(base.select(*keys, *(F.col(f).alias(f"__{f}") for f in fields)).hint("shuffle_hash"), keys, "left")
+    joined = edits.join(base.select(*keys, *(F.col(f).alias(f"__{f}") for f in fields)).hint("merge"), keys, "left")
     merged = joined.select(*keys, "pos", *(F.coalesce(f, f"__{f}").alias(f) for f in fields))
     if "representations" in fields:
         merged = merged.withColumn("representations", F.coalesce("representations", F.array().cast(base.schema["representations"].dataType)))
-    kept = base.join(changed.hint("shuffle_hash"), keys[0], "left_anti").select(*keys, "pos", *fields)
+    kept = base.join(changed.hint("merge"), keys[0], "left_anti").select(*keys, "pos", *fields)
     return merged.unionByName(kept)
 
 
 def replaced_pages(base: DataFrame, saved: DataFrame, key: str) -> DataFrame:
     """Saved pages take the place of all of a document's pages."""
-    return saved.unionByName(base.join(saved.select(key).distinct().hint("shuffle_hash"), key, "left_anti"))
+    return saved.unionByName(base.join(saved.select(key).distinct().hint("merge"), key, "left_anti"))
 
 
 def exportable(exams: DataFrame, documents: DataFrame, files: DataFrame, most: int = 25 * 1024 * 1024) -> DataFrame:
@@ -110,6 +110,24 @@ def exportable(exams: DataFrame, documents: DataFrame, files: DataFrame, most: i
     wanted = exams.where(F.coalesce("enabled", F.lit(True)) & (F.coalesce("document_id", F.lit("")) != "")).select("document_id").distinct()
     there = documents.select("document_id").distinct().withColumn("__doc", F.lit(True))
     sized = files.groupBy("document_id").agg(F.max("length").alias("__length"))
-    joined = wanted.join(there.hint("shuffle_hash"), "document_id", "left").join(sized.hint("shuffle_hash"), "document_id", "left")
+    joined = wanted.join(there.hint("merge"), "document_id", "left").join(sized.hint("shuffle_hash"), "document_id", "left")
     missing = F.col("__doc").isNull() | F.col("__length").isNull()
     return joined.select("document_id", F.when(missing, "missing").when(F.col("__length") > most, "too large").alias("error"))
+
+
+def latest_documents(uploads: DataFrame) -> DataFrame:
+    """One row for each content: document_id, created_at (the first) and source_name (the latest). uploads: document_id, source_name, uploaded_at."""
+    return uploads.groupBy("document_id").agg(F.min("uploaded_at").alias("created_at"), F.max_by("source_name", "uploaded_at").alias("source_name"))
+
+
+def latest_of_provider(updates: DataFrame) -> DataFrame:
+    """The last update of each document and provider; other providers' stay. updates: document_id, provider, pos and whatever an update says."""
+    others = [c for c in updates.columns if c not in ("document_id", "provider")]
+    return updates.groupBy("document_id", "provider").agg(F.max_by(F.struct(*others), "pos").alias("u")).select("document_id", "provider", "u.*")
+
+
+def catalogue(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """Ids of documents and files side by side: id, has_document, has_pdf, title (the document's, else the file's name, else the id). documents: id, title; files: id,
+    source_name."""
+    joined = documents.select("id", "title", F.lit(True).alias("__d")).join(files.select("id", "source_name", F.lit(True).alias("__p")).hint("merge"), "id", "full_outer")
+    return joined.select("id", F.col("__d").isNotNull().alias("has_document"), F.col("__p").isNotNull().alias("has_pdf"), F.coalesce("title", "source_name", F.col("id").cast("string")).alias("title"))

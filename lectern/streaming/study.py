@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators import study
+from lectern.operators import features, study
 from lectern.sources import results
 
 JOB = ["document_id", "block_no", "kind"]
@@ -80,6 +80,6 @@ def progress(events: DataFrame, out: str, checkpoint: str, late: str = "1 day",
 
 def notices(events: DataFrame, out: str, checkpoint: str, late: str = "60 days") -> StreamingQuery:
     """Each failure signature once."""
-    failed = events.where("status = 'failed'").withColumn("signature", F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), "kind"), 256))
+    failed = events.where("status = 'failed'").withColumn("signature", features.failure_signature())
     once = failed.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["signature"]).select("signature", "updated_at")
     return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -149,3 +149,44 @@ def test_a_large_scheduler_gives_the_same_answers(spark):
         raise AssertionError("no exam is an error")
     except ValueError:
         pass
+
+
+def test_many_definitions_give_the_jobs_of_a_few(spark):
+    """Thresholds of a hundred definitions, looked up by buckets of word counts, against a plain comparison."""
+    least = {f"k{n}": n * 53 % 5000 for n in range(100)}
+    defs = spark.createDataFrame([(k, k != "k7", v) for k, v in least.items()], "kind string, enabled boolean, least_words int")
+    sizes = [0, 1, 20, 21, 37, 160, 161, 999, 4095, 4096, 4100, 6000]
+    blocks = spark.createDataFrame([(1, f"b{n}", "w " * n) for n in sizes], "document_id long, block_id string, text string")
+    found = {(r["block_id"], r["kind"]) for r in features.plan_jobs(blocks, defs).collect()}
+    assert found == {(f"b{n}", k) for n in sizes for k, v in least.items() if k != "k7" and n > max(v, 20)}
+    few = defs.where("kind IN ('k1', 'k2')")
+    assert {(r["block_id"], r["kind"]) for r in features.plan_jobs(blocks, few).collect()} == {x for x in found if x[1] in ("k1", "k2")}
+    assert features.plan_jobs(blocks, defs.limit(0)).count() == 0
+    headers = {r["document_id"]: (r["status"], r["total_jobs"]) for r in features.job_headers(spark.range(3).withColumnRenamed("id", "document_id"), features.plan_jobs(blocks, few)).collect()}
+    assert headers == {0: ("complete", 0), 1: ("pending", len({x for x in found if x[1] in ("k1", "k2")})), 2: ("complete", 0)}
+
+
+def test_files_of_a_study(spark, tmp_path):
+    """Broken exam files are told apart, files are read in order, and no enabled exam is an error."""
+    from lectern.sources import files
+
+    texts = {"b two.json": '{\n "id": "B.json",\n "time_limit_seconds": 30\n}', "a+1.json": '{"enabled": false}', "c.json": "{\n 'no", "d.json": '[{"id": "D"}]'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = study.in_order(files.exams(spark, f"{tmp_path}/*.json"), "file").orderBy("place").collect()
+    assert [(r["exam_id"], r["enabled"], r["timing_mode"]) for r in found] == [("a-1", False, "stopwatch"), ("b", True, "countdown"), ("d", True, "stopwatch")]
+    assert [r["file"].rsplit("/", 1)[1] for r in files.unreadable(spark, f"{tmp_path}/*.json").collect()] == ["c.json"]
+    assert study.enabled_exams(files.exams(spark, f"{tmp_path}/*.json")).count() == 2
+    try:
+        study.enabled_exams(files.exams(spark, f"{tmp_path}/a*.json"))
+        raise AssertionError("none is enabled")
+    except ValueError:
+        pass
+    (tmp_path / "r" / "block 1").mkdir(parents=True)
+    (tmp_path / "r" / "block 2").mkdir()
+    (tmp_path / "r" / "block 1" / "keywords.json").write_text('{"representation": {"kind": "keywords", "value": "a, b", "items": ["a", "b"]}}')
+    (tmp_path / "r" / "block 1" / "summary.json").write_text('{"block_id": "",\n "representation": {"kind": "summary", "text": "s"}}')
+    (tmp_path / "r" / "block 2" / "summary.json").write_text('{"block_id": "own", "representation": {"kind": "summary"}}')
+    (tmp_path / "r" / "block 2" / "tone.json").write_text('{"block_id": "own", "representation": null}')
+    rows = {r["block_id"]: [x["kind"] for x in r["representations"]] for r in files.representations(spark, f"{tmp_path}/r/*/*.json").collect()}
+    assert rows == {"block 1": ["keywords", "summary"], "own": ["summary"]}
