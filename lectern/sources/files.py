@@ -15,12 +15,16 @@ EXAM = (
 REPRESENTATION = "block_id string, representation struct<kind:string,label:string,value:string,text:string,items:array<string>,background_color:string,background_opacity:double>"
 
 
+def _file() -> Column:
+    """The decoded path of the file that a row is from."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files of one JSON object (or a list of them) over several lines: the schema's columns, `file` (the decoded path), and _corrupt, the whole text of a file that
     is no JSON. The path may have wildcards."""
     reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return reader.json(path).withColumn("file", file)
+    return reader.json(path).withColumn("file", _file())
 
 
 def stem(file: Column) -> Column:
@@ -43,9 +47,10 @@ def exams(spark: SparkSession, path: str, name: Column | None = None) -> DataFra
     return normalise_exams(rows, ("file",))
 
 
-def unreadable(spark: SparkSession, path: str, schema: str = EXAM) -> DataFrame:
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """file and text of the files that are no JSON."""
-    return json_files(spark, path, schema).where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.col("value").alias("text"))
+    return texts.where(F.try_parse_json("text").isNull())
 
 
 def representations(spark: SparkSession, path: str) -> DataFrame:
