@@ -27,6 +27,12 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.json(path).withColumn("file", _file())
 
 
+def _readable(schema: str) -> Column:
+    """Whether a file is JSON. Spark refuses plans that need the corrupt text of files and nothing else of them, so a field is looked at as well."""
+    field = F.col(schema.split()[0])
+    return F.col(CORRUPT).isNull() & (F.length(F.coalesce(field, F.lit(""))) >= 0)
+
+
 def stem(file: Column) -> Column:
     """A file's name without folders and its ending."""
     return F.regexp_extract(file, r"([^/]+?)(?:\.[^./]*)?$", 1)
@@ -41,23 +47,22 @@ def exams(spark: SparkSession, path: str, name: Column | None = None) -> DataFra
     """Exams of a folder, normalised, with their file; files that are no JSON objects are passed over. An exam without an id is called as its file,
     or as `name` says (a column over file). In order of `file` where that matters."""
     read = json_files(spark, path, EXAM)
-    rows = read.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = read.where(_readable(EXAM)).drop(CORRUPT)
     rows = rows.withColumn("fallback_id", stem(F.col("file")) if name is None else name)
     rows = rows.withColumn("condition_id", F.col("representation_condition.id")).withColumn("visible", F.col("representation_condition.visible_representations"))
     return normalise_exams(rows, ("file",))
 
 
-def unreadable(spark: SparkSession, path: str) -> DataFrame:
+def unreadable(spark: SparkSession, path: str, schema: str = EXAM) -> DataFrame:
     """file and text of the files that are no JSON."""
-    texts = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.col("value").alias("text"))
-    return texts.where(F.try_parse_json("text").isNull())
+    return json_files(spark, path, schema).where(~_readable(schema)).select("file", F.col(CORRUPT).alias("text"))
 
 
 def representations(spark: SparkSession, path: str) -> DataFrame:
     """block_id and its representations, in order of their files: the id from the file, else from the folder's name. Files without a representation, or that are no
     JSON, are passed over; whether a job has ended is not asked."""
     read = json_files(spark, path, REPRESENTATION)
-    rows = read.where(F.col(CORRUPT).isNull() & F.col("representation").isNotNull())
+    rows = read.where(_readable(REPRESENTATION) & F.col("representation").isNotNull())
     block = F.coalesce(F.nullif(F.col("block_id"), F.lit("")), folder(F.col("file")))
     listed = rows.groupBy(block.alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("file", F.col("representation.kind").alias("kind"), "representation"))).alias("s"))
     return listed.select("block_id", F.transform("s", lambda x: x["representation"]).alias("representations"))
