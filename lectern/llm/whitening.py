@@ -8,7 +8,7 @@ them exactly; the largest are isolated to 160 bits after the point or more. Comp
 iteration in decimal arithmetic of more digits than the root has.
 
 Defined cases: a row with a null vector, or with a null, NaN or infinite entry, is dropped; a shorter vector counts as filled up with
-zeros; an empty table, vectors without dimensions, or fit vectors that are all equal, give an empty result; only components with a positive
+zeros; vectors of more than `MOST_DIMENSIONS` are an error; an empty table, vectors without dimensions, or fit vectors that are all equal, give an empty result; only components with a positive
 eigenvalue are given, so there are fewer if the fit vectors span less; components of equal eigenvalues are some orthonormal basis;
 an entry beyond a long's range takes the nearest long; a null id is an id like any other; repeated rows are each whitened; vectors may be
 arrays of any numbers; other columns are ignored, whatever their names.
@@ -29,6 +29,8 @@ from lectern.llm import polynomial
 from lectern.session import materialize
 
 STEP, COMPONENTS = 256, 4
+#: The matrix has this number's square of entries at most, on the driver and in each task.
+MOST_DIMENSIONS = 4096
 LIMB, LIMBS = 32, 6
 #: Rows of a block of exact products; with parts of 21 bits their sums are exact in doubles.
 BLOCK, PART = 1024, 21
@@ -136,6 +138,8 @@ def learn(fit: DataFrame, components: int = COMPONENTS) -> Model | None:
     d = fit.agg(F.max(F.size(fit.columns[0]))).first()[0]
     if not d:
         return None
+    if d > MOST_DIMENSIONS:
+        raise ValueError(f"vectors have {d} dimensions, more than {MOST_DIMENSIONS}")
     n, sums, square = moments(fit, d)
     matrix = [[n * square[i][j] - sums[i] * sums[j] for j in range(d)] for i in range(d)]
     trace = sum(matrix[i][i] for i in range(d))
