@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,9 +28,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry(out)
 
 
+#: Chunks that a session has written, by application and folder of tables.
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks as a table of the shared folder, for queries that use them more than once: derived once, and joins know its size."""
-    return materialize(chunks(spark, sf_dir), "chunks")
+    """The chunks as a table of the shared folder, for queries that use them more than once: derived once, and joins know its size.
+
+    A session writes them once for each folder of tables, which it takes as unchanged, and again if what it wrote is gone.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _WRITTEN:
+        try:
+            return spark.read.schema(_WRITTEN[key].schema).parquet(os.path.dirname(_WRITTEN[key].inputFiles()[0]))
+        except (AnalysisException, IndexError):
+            del _WRITTEN[key]
+    _WRITTEN[key] = materialize(chunks(spark, sf_dir), "chunks")
+    return _WRITTEN[key]
 
 
 def geometry(rows: DataFrame) -> DataFrame:
