@@ -101,8 +101,9 @@ def block_id(value: Column, fallback: Column) -> Column:
 
 
 def path_segment(value: Column, limit: int = 96) -> Column:
-    safe = F.substring(F.regexp_replace(F.trim(value), r"[^A-Za-z0-9_-]", "-"), 1, limit)
-    return F.coalesce(F.nullif(safe, F.lit("")), F.lit("unknown"))
+    """A value as one part of a path: runs of other characters than letters, digits, `_`, `.` and `-` become one `-`; `unknown` if it is empty."""
+    safe = F.regexp_replace(F.coalesce(F.nullif(value, F.lit("")), F.lit("unknown")), r"[^A-Za-z0-9_.-]+", "-")
+    return F.left(safe, F.lit(limit))
 
 
 def kind_label(kind: Column) -> Column:

@@ -14,12 +14,6 @@ from lectern.session import materialize
 DEFAULT_CHOICES = ("Choice 1", "Choice 2")
 
 
-def validation_error(required: list[str]) -> Column:
-    """The message for the first required field that is missing or blank, null if none is."""
-    missing = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"{c} is required.")) for c in required]
-    return F.coalesce(*missing)
-
-
 #: What a submission must have, in the order in which it is looked at.
 SUBMISSION_FIELDS = ["study_id", "participant_id", "session_id", "assignment.question_set_id"]
 

@@ -119,11 +119,11 @@ def b7(spark, sf_dir):
 
 @query(
     "b8_identifiers",
-    r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), ''), 'default') AS artifact, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'none') AS block, coalesce(nullif(substr(regexp_replace(trim(url), '[^A-Za-z0-9_-]', '-', 'g'), 1, 96), ''), 'unknown') AS segment FROM pages",
+    r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), ''), 'default') AS artifact, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'none') AS block, substr(regexp_replace(coalesce(nullif(' ' || url, ' '), 'unknown'), '[^A-Za-z0-9_.-]+', '-', 'g'), 1, 96) AS segment FROM pages",
 )
 def b8(spark, sf_dir):
     url = F.col("url")
-    return pages(spark, sf_dir).select("page_id", tx.artifact_name(url).alias("artifact"), tx.block_id(url, F.lit("none")).alias("block"), tx.path_segment(url).alias("segment"))
+    return pages(spark, sf_dir).select("page_id", tx.artifact_name(url).alias("artifact"), tx.block_id(url, F.lit("none")).alias("block"), tx.path_segment(F.concat(F.lit(" "), url)).alias("segment"))
 
 
 C = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
