@@ -99,7 +99,7 @@ def elements(markup: Column, names: tuple, inside: str | None = None) -> Column:
             if inside is None:
                 return _spans(tags, names, F.size(tokens))
             start = F.get(F.filter(tags, lambda t: (t["name"] == inside) & ~t["closes"]), 0)["at"]
-            end = F.coalesce(F.array_max(F.transform(F.filter(tags, lambda t: (t["name"] == inside) & t["closes"]), lambda t: t["at"])), F.size(tokens))
+            end = F.coalesce(F.array_min(F.transform(F.filter(tags, lambda t: (t["name"] == inside) & t["closes"] & (t["at"] > start)), lambda t: t["at"])), F.size(tokens))
             bounds = F.struct(F.coalesce(start, F.lit(-1)).alias("a"), F.when(start.isNull(), F.size(tokens)).otherwise(end).alias("b"))
             return _once(bounds, lambda x: _spans(F.filter(tags, lambda t: (t["at"] > x["a"]) & (t["at"] < x["b"])), names, x["b"]))
 

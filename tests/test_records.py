@@ -52,7 +52,7 @@ def test_failed_windows_are_halved_to_the_end(spark):
 
 def test_tables_of_settings_are_bounded(spark):
     with pytest.raises(ValueError):
-        features.fixed_rows(spark.range(features.MOST_FIXED + 1))
+        settings.fixed_rows(spark.range(settings.MOST_FIXED + 1))
 
 
 def test_tables_written_again_replace_only_their_documents(spark, tmp_path):
