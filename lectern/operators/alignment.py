@@ -12,26 +12,30 @@ LONGEST, SHARE, ENOUGH, LEAST = 8, 0.45, 0.80, 0.45
 
 
 def near(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of a unit and a chunk that has SHARE of its tokens in it: document_id, unit_no, unit_tokens, at, token_at, reading_order, before, both.
+    """Units with the chunks that have SHARE of their tokens in them: document_id, unit_no, unit_tokens, orders, near.
 
-    A chunk of m tokens that shares h = ceil(SHARE * m) of them shares one of any m - h + 1; its rarest in the document are
-    looked up, so pairs that have only frequent words in common are never made. `at` counts the document's chunks, `token_at` those
-    with tokens; `before` has the reading orders of up to LONGEST chunks that end with this one.
+    near has struct(at, token_at, reading_order, both) in reading order; `at` counts the document's chunks, `token_at` those with tokens, and orders are
+    the reading orders by `at`. A chunk of m tokens that shares h = ceil(SHARE * m) of them shares one of any m - h + 1; its rarest in the document are
+    looked up, so pairs that have only frequent words in common are never made. Pairs are looked up by digests of tokens, which can only
+    add some, and are checked by the tokens themselves. All is keyed by document, so tables dealt by it are not dealt anew.
     """
     order = Window.partitionBy("document_id").orderBy("reading_order")
     parts = chunks.select("document_id", "reading_order", tx.alignment_tokens(F.col("text")).alias("own"))
     parts = parts.withColumn("at", F.row_number().over(order)).withColumn("token_at", F.count_if(F.size("own") > 0).over(order))
-    parts = parts.withColumn("before", F.collect_list("reading_order").over(order.rowsBetween(1 - LONGEST, 0))).where(F.size("own") > 0)
-    tokens = parts.select("*", F.explode("own").alias("token")).withColumn("frequent", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token")))
+    digests = lambda tokens: F.explode(F.transform(tokens, lambda t: F.xxhash64(t)))
+    tokens = parts.select("document_id", "at", F.size("own").alias("m"), digests("own").alias("token")).withColumn("frequent", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token")))
     rank = F.row_number().over(Window.partitionBy("document_id", "at").orderBy("frequent", "token"))
-    probes = tokens.withColumn("rank", rank).where(F.col("rank") <= F.size("own") - F.ceil(F.size("own") * SHARE - 1e-9) + 1)
+    probes = tokens.withColumn("rank", rank).where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * SHARE - 1e-9) + 1).select("document_id", "token", "at")
     words = units.select("document_id", "unit_no", tx.alignment_tokens(F.col("text")).alias("unit"))
-    asked = words.select("document_id", "unit_no", "unit", F.explode("unit").alias("token"))
-    carried = ["reading_order", "at", "token_at", "before"]
-    pairs = asked.join(probes.select("document_id", "token", "own", *carried).hint("merge"), ["document_id", "token"])
-    both = F.array_intersect("own", "unit")
-    found = pairs.where(F.size(both) / F.size("own") >= SHARE)
-    return found.groupBy("document_id", "unit_no", "at").agg(*[F.first(c).alias(c) for c in carried if c != "at"], F.first(F.size("unit")).alias("unit_tokens"), F.first(both).alias("both"))
+    asked = words.select("document_id", "unit_no", digests("unit").alias("token"))
+    pairs = asked.join(probes.hint("merge"), ["document_id", "token"]).select("document_id", "unit_no", "at").distinct()
+    maybe = pairs.groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    listed = parts.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "token_at", "reading_order", "own"))).alias("cs"))
+    rows = words.join(maybe.hint("merge"), ["document_id", "unit_no"]).join(listed.hint("merge"), "document_id")
+    chunk = lambda at: F.element_at("cs", at)
+    shared = F.transform("ats", lambda at: F.struct(at.alias("at"), chunk(at)["token_at"].alias("token_at"), chunk(at)["reading_order"].cast("int").alias("reading_order"), F.array_intersect(chunk(at)["own"], "unit").alias("both")))
+    found = F.filter(shared, lambda c: F.size(c["both"]) / F.size(chunk(c["at"])["own"]) >= SHARE)
+    return rows.select("document_id", "unit_no", F.size("unit").alias("unit_tokens"), F.transform("cs", lambda c: c["reading_order"].cast("int")).alias("orders"), found.alias("near"))
 
 
 def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,24 +45,22 @@ def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
     that is not near ends the run, and so does the one with which the unit's tokens are covered to ENOUGH. A start before its first near
     chunk sees less behind it, so every start is a candidate of its own: there are at most LONGEST for each near pair.
     """
-    pairs = near(units, chunks)
-    unit = Window.partitionBy("document_id", "unit_no").orderBy("at")
-    isle = pairs.withColumn("isle", F.col("token_at") - F.row_number().over(unit)).withColumn("last", F.lag("at").over(unit))
-    ahead = Window.partitionBy("document_id", "unit_no", "isle").orderBy("at").rangeBetween(0, LONGEST - 1)
-    seen = isle.withColumn("seen", F.collect_list(F.struct("at", "reading_order", "both")).over(ahead))
-    # starts whose first near chunk this is: how many chunks they lie before it
-    back = F.least(F.col("at") - F.coalesce("last", F.lit(0)), F.size("before")) - 1
-    starts = seen.withColumn("ahead", F.explode(F.sequence(F.lit(0), back)))
-    within = F.filter("seen", lambda c: c["at"] <= F.col("at") - F.col("ahead") + LONGEST - 1)
     begin = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast("array<int>").alias("chunks"))
 
     def step(s: Column, c: Column) -> Column:
         done = F.size(s["covered"]) / F.col("unit_tokens") >= ENOUGH
-        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), F.concat(s["chunks"], F.array(c["reading_order"].cast("int"))).alias("chunks")))
+        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), F.concat(s["chunks"], F.array(c["reading_order"])).alias("chunks")))
 
-    folded = starts.withColumn("f", F.aggregate(within, begin, step))
-    start = F.element_at("before", -1 - F.col("ahead").cast("int"))
-    return folded.select("document_id", "unit_no", start.cast("int").alias("start"), "f.chunks", (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
+    pairs = near(units, chunks).select("document_id", "unit_no", "unit_tokens", "orders", "near", F.posexplode("near").alias("k", "c"))
+    # starts whose first near chunk this is: how many chunks they lie before it
+    last = F.when(F.col("k") > 0, F.get("near", F.col("k") - 1)["at"]).otherwise(0)
+    back = F.least(F.col("c.at") - last, F.lit(LONGEST)) - 1
+    near_on = F.filter(F.slice("near", F.col("k") + 1, LONGEST), lambda n, i: n["token_at"] - F.col("c.token_at") == i)
+    starts = pairs.select("document_id", "unit_no", "unit_tokens", "orders", "c.at", near_on.alias("seen"), F.explode(F.sequence(F.lit(0), back)).alias("ahead"))
+    within = F.filter("seen", lambda n: n["at"] <= F.col("at") - F.col("ahead") + LONGEST - 1)
+    start = F.element_at("orders", F.col("at") - F.col("ahead"))
+    folded = starts.select("document_id", "unit_no", "unit_tokens", start.alias("start"), F.aggregate(within, begin, step).alias("f"))
+    return folded.select("document_id", "unit_no", "start", "f.chunks", (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
 
 
 def align(units: DataFrame, chunks: DataFrame) -> DataFrame:

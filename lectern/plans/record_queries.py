@@ -403,6 +403,10 @@ def d18(spark, sf_dir):
     return layout.rematched(blocks, chunks).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
+#: Characters of text that one task aligns: a chunk becomes dozens of rows of tokens and candidates.
+ALIGNED_CHARS = 4_000_000
+
+
 def units(blocks):
     """Body units: the blocks' texts without their longest words, so that coverage varies; every ninth document's are written backwards and found nowhere."""
     text = F.array_join(F.filter(F.split("text", " "), lambda w: F.length(w) < 14), " ")
@@ -425,7 +429,7 @@ NEAR = f"""tk AS (SELECT document_id, reading_order, list_distinct(regexp_extrac
 
 @query("d20_alignment_runs", f"WITH {views.BLOCKS}, {NEAR} SELECT document_id, unit_no, start, chunks, coverage FROM cand")
 def d20(spark, sf_dir):
-    chunks = views.written_chunks(spark, sf_dir)
+    chunks = views.chunks(spark, sf_dir, ALIGNED_CHARS)
     return alignment.runs(units(blocks_of(chunks)), chunks).withColumn("chunks", F.array_join("chunks", ","))
 
 

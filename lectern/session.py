@@ -33,6 +33,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # tables dealt by document are joined on a document and more without being dealt anew
+    if spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true":
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
