@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators import grouping
+from lectern.operators.layout import reading_blocks
 from lectern.plans import views
 from lectern.plans.registry import query
-from lectern.plans.text_queries import blocks_of
 from lectern.session import materialize
 
 
+def by_document(rows, label):
+    """A written table dealt by document: what is keyed by a document and more needs no exchange after that."""
+    return materialize(rows, label).repartition("document_id")
+
+
 def grouped(spark, sf_dir):
     """(outputs, windows, documents) of all documents."""
-    chunks = views.written_chunks(spark, sf_dir)
     n, w = F.col("block_no"), F.floor(F.col("block_no") / 4).cast("int")
-    blocks = materialize(blocks_of(chunks).withColumn("window_no", w), "blocks")
-    held = blocks.select("document_id", "window_no", F.explode("chunk_ids").alias("chunk_id")).join(chunks.select("document_id", "chunk_id", "reading_order", "text").hint("merge"), ["document_id", "chunk_id"])
+    chunks = reading_blocks(views.chunks(spark, sf_dir)).withColumn("window_no", w)
+    windows = by_document(chunks.select("document_id", "block_no", "window_no", "chunk_id", "reading_order", "text"), "windows")
+    listed = F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id")))
+    blocks = windows.groupBy("document_id", "block_no").agg(F.first("window_no").alias("window_no"), F.transform(listed, lambda x: x["chunk_id"]).alias("chunk_ids"))
     before = F.lag(F.element_at("chunk_ids", -1)).over(Window.partitionBy("document_id", "window_no").orderBy("block_no"))
     rows = blocks.withColumn("before", before)
     ids = F.col("chunk_ids")
@@ -38,15 +44,15 @@ def grouped(spark, sf_dir):
     outputs = rows.groupBy("document_id", "window_no").agg(listed.alias("s"))
     title = F.when(F.col("window_no") % 3 == 0, F.concat(F.lit(" T"), F.col("window_no").cast("string"))).otherwise(" ")
     outputs = outputs.select("document_id", "window_no", title.alias("title"), F.transform("s", lambda x: x["p"]).alias("paragraphs"), F.flatten(F.transform("s", lambda x: x["i"])).alias("ignored_chunk_ids"))
-    documents = chunks.select("document_id").distinct().withColumn("title", F.concat(F.lit("D"), F.col("document_id").cast("string")))
-    return materialize(outputs, "outputs"), materialize(held, "windows"), documents
+    documents = windows.select("document_id").distinct().withColumn("title", F.concat(F.lit("D"), F.col("document_id").cast("string")))
+    return by_document(outputs, "outputs"), windows, documents
 
 
 def repaired(spark, sf_dir):
     """(valid outputs, windows, documents, numbered groups)."""
     outputs, windows, documents = grouped(spark, sf_dir)
     valid = grouping.without_errors(outputs, grouping.unknown_ids(outputs, windows))
-    return valid, windows, documents, materialize(grouping.numbered(grouping.clean(valid, windows)), "groups")
+    return valid, windows, documents, by_document(grouping.numbered(grouping.clean(valid, windows)), "groups")
 
 
 GROUPS = f"""{views.BLOCKS.strip()},

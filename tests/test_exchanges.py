@@ -20,6 +20,12 @@ def test_aligned_tables_are_dealt_with_their_texts_only(spark, name):
     assert found and set(found) == {("document_id", "REPARTITION_BY_NUM")}
 
 
+@pytest.mark.parametrize("name", ["c7_unknown_ids", "e3_envelope", "e5_clean_groups", "e5_ignored", "e7_renumber", "e8_overlapping_groups", "e9_metrics"])
+def test_grouping_output_is_keyed_by_document(spark, name):
+    found = exchanges(plans.QUERIES[name](spark, SMALL))
+    assert found and {keys for keys, _ in found} == {"document_id"}
+
+
 def test_parts_are_as_many_as_the_characters_need(spark):
     from lectern.plans import views
 
