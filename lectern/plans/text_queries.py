@@ -55,7 +55,16 @@ def a5(spark, sf_dir):
     return found.withColumn("unit_no", F.row_number().over(Window.partitionBy("document_id").orderBy("unit_no")).cast("long"))
 
 
-@query("a6_title", r"SELECT page_id, nullif(trim(CASE WHEN page_id % 4 = 3 THEN '<' ELSE '' END || trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), '') AS title FROM pages")
+#: Character references of t: numeric ones and the five of markup, each once; others stay.
+DECODED = r"""array_to_string(list_prepend(string_split(t, '&')[1], list_transform(string_split(t, '&')[2:], lambda p: coalesce(
+ CASE WHEN starts_with(p, 'lt;') THEN '<' WHEN starts_with(p, 'gt;') THEN '>' WHEN starts_with(p, 'quot;') THEN '"' WHEN starts_with(p, 'apos;') THEN chr(39) WHEN starts_with(p, 'amp;') THEN '&'
+ ELSE list_transform(list_filter([coalesce(TRY_CAST(nullif(regexp_extract(p, '^#([0-9]{1,7});', 1), '') AS INT), TRY_CAST('0x' || nullif(regexp_extract(p, '^#[xX]([0-9A-Fa-f]{1,6});', 1), '') AS INT))], lambda c: c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343), lambda c: chr(c))[1] END
+ || regexp_replace(p, '^[^;]*;', ''), '&' || p))), '')"""
+
+
+@query("a6_title", rf"""WITH tt AS (SELECT page_id, generate_subscripts(a, 1) AS pos, unnest(a) AS t FROM (SELECT page_id, regexp_extract_all(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1) AS a FROM pages)),
+ dt AS (SELECT page_id, pos, trim(regexp_replace(CASE WHEN page_id % 4 = 3 THEN '<' ELSE '' END || {DECODED}, '[ \t\n\r]+', ' ', 'g')) AS t FROM tt)
+ SELECT page_id, (SELECT arg_min(t, pos) FROM dt WHERE dt.page_id = pages.page_id AND t <> '') AS title FROM pages""")
 def a6(spark, sf_dir):
     return edited_pages(spark, sf_dir).select("page_id", markup.title(F.col("html")).alias("title"))
 

@@ -190,3 +190,17 @@ def test_files_of_a_study(spark, tmp_path):
     (tmp_path / "r" / "block 2" / "tone.json").write_text('{"block_id": "own", "representation": null}')
     rows = {r["block_id"]: [x["kind"] for x in r["representations"]] for r in files.representations(spark, f"{tmp_path}/r/*/*.json").collect()}
     assert rows == {"block 1": ["keywords", "summary"], "own": ["summary"]}
+
+
+def test_title_sql_knows_all_references(spark, tmp_path):
+    """Quotes, apostrophes, numbers, unknown ones, references to references; blank, missing and second titles."""
+    from oracle import check
+
+    from lectern import plans
+
+    titles = ["<title>say &quot;a&apos;s&quot;</title>", "<title>&#233;&#xE9; &nbsp; &amp;quot; &lt;b&gt;</title>", "<title> </title><title>second</title>", "<p>none</p>", "<title>x &quot;y</title>", "<title>&#0; &#xD800; a &amp b; c</title>"]
+    rows = [(k, "u", f"<html><head>{t}</head><body><p>p</p></body></html>") for k, t in enumerate(titles * 4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    (part,) = (tmp_path / "made").glob("*.parquet")
+    part.rename(tmp_path / "pages.parquet")
+    check(plans.QUERIES["a6_title"](spark, str(tmp_path)), plans.ORACLES["a6_title"], str(tmp_path))
