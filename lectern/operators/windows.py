@@ -49,18 +49,22 @@ def split_overflow(windows: DataFrame, fails, size: int = SIZE) -> DataFrame:
 
     fails(parts) says, from a part's chars and size, whether its output overflowed. Failed parts of more than one chunk are cut in
     halves (the first at least one chunk), again and again until none is left; parts of one chunk keep their error. Halving
-    a window of `size` chunks ends after log2(size) rounds, so the rounds are laid out in one plan.
+    a window of `size` chunks ends after log2(size) rounds. A window is one row of at most `size` chunks meanwhile, so nothing is sorted between rounds.
     """
-    rows = windows.withColumn("part", F.lit(""))
+    item = F.struct(*windows.columns)
+    listed = windows.groupBy("document_id", "window_no").agg(F.array_sort(F.collect_list(F.struct("reading_order", item.alias("row")))).alias("items"))
+    overflows = lambda items: F.coalesce(fails(F.aggregate(items, F.lit(0).cast("bigint"), lambda n, c: n + c["row"]["n_chars"]), F.size(items)), F.lit(False))
+
+    def halves(p: Column) -> Column:
+        half = F.greatest(F.lit(1), F.floor(F.size(p["items"]) / 2).cast("int"))
+        cut = lambda end, begin, length: F.struct(F.concat(p["part"], F.lit(end)).alias("part"), F.slice(p["items"], begin, length).alias("items"))
+        return F.when((F.size(p["items"]) > 1) & overflows(p["items"]), F.array(cut("0", F.lit(1), half), cut("1", half + 1, F.size(p["items"])))).otherwise(F.array(p))
+
+    parts = F.array(F.struct(F.lit("").alias("part"), F.col("items").alias("items")))
     for _ in range(math.ceil(math.log2(max(size, 2)))):
-        own = Window.partitionBy("document_id", "window_no", "part")
-        rows = rows.withColumn("size", F.count(F.lit(1)).over(own)).withColumn("chars", F.sum("n_chars").over(own)).withColumn("place", F.row_number().over(own.orderBy("reading_order")))
-        half = F.when(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") / 2)), "0").otherwise("1")
-        cut = F.coalesce(fails(F.col("chars"), F.col("size")), F.lit(False)) & (F.col("size") > 1)
-        rows = rows.withColumn("part", F.when(cut, F.concat("part", half)).otherwise(F.col("part"))).drop("size", "chars", "place")
-    own = Window.partitionBy("document_id", "window_no", "part")
-    failed = F.coalesce(fails(F.sum("n_chars").over(own), F.count(F.lit(1)).over(own)), F.lit(False))
-    return rows.withColumn("failed", failed)
+        parts = F.flatten(F.transform(parts, halves))
+    cut = listed.select(F.explode(parts).alias("p")).select("p.part", overflows(F.col("p.items")).alias("failed"), F.explode("p.items").alias("i"))
+    return cut.select("i.row.*", "part", "failed")
 
 
 def artefacts(parts: DataFrame, chunks: DataFrame) -> DataFrame:

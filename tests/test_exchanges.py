@@ -26,7 +26,13 @@ def test_grouping_output_is_keyed_by_document(spark, name):
     assert found and {keys for keys, _ in found} == {"document_id"}
 
 
+@pytest.mark.parametrize("name", ["e4_halve"])
+def test_windows_are_halved_without_sorting(spark, name):
+    plan = plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort [" not in plan
+
+
 def test_parts_are_as_many_as_the_characters_need(spark):
     from lectern.plans import views
 
-    assert views.chunks(spark, SMALL, 50_000).rdd.getNumPartitions() > views.chunks(spark, SMALL, 10**9).rdd.getNumPartitions() == 2
+    assert views.chunks(spark, SMALL, 50_000).rdd.getNumPartitions() > views.chunks(spark, SMALL, 10**9).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
