@@ -14,7 +14,7 @@ def exchanges(frame):
     return [(re.sub(r"#\d+L?", "", keys), reason) for keys, reason in re.findall(r"Exchange hashpartitioning\((.*), \d+\), (\w+)", plan)]
 
 
-@pytest.mark.parametrize("name", ["d20_alignment_runs", "d21_aligned_chunks", "d22_body_filter"])
+@pytest.mark.parametrize("name", ["d20_alignment_runs", "d21_aligned_chunks", "d22_body_filter", "d18_rematch"])
 def test_aligned_tables_are_dealt_with_their_texts_only(spark, name):
     found = exchanges(plans.QUERIES[name](spark, SMALL))
     assert found and set(found) == {("document_id", "REPARTITION_BY_NUM")}
