@@ -12,28 +12,41 @@ from lectern.sources.responses import is_keywords, payload, response_text
 
 # Words that are no keywords.
 STOP_WORDS = "about after also been from into page that their there these they this were with".split()
-TOKEN = r"[A-Za-z][A-Za-z0-9'-]{2,}"
 
 
 def keywords_of(text: Column, count: int = 3) -> Column:
     """The most frequent tokens of a text, ties by first occurrence; `keyword pending` without one.
 
-    All in the row: tokens are sorted with their places, runs of equal ones are told by where they begin, and only the runs are ranked.
+    All in the row. Most tokens of a text occur once, so only those that occur again are counted: they are found in the sorted tokens by one pattern, their runs
+    are ranked, and the others follow in order of their first place.
     """
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i")))
+    # the two other characters whose small letters hold one of a to z belong to no token
+    small = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" ")))
+    # a stop word leaves the group empty
+    tokens = F.array_remove(F.regexp_extract_all(small, F.lit(rf"(?:{'|'.join(STOP_WORDS)})(?![a-z0-9'-])|([a-z][a-z0-9'-]{{2,}})"), 1), "")
 
-    def rank(tokens: Column) -> Column:
-        begins = F.array_compact(F.transform(tokens, lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1)["t"] != x["t"]), i)))
+    def once(value: Column, then) -> Column:  # arrays of one element keep each step from being worked out twice
+        return F.get(F.transform(F.array(value), then), 0)
 
-        def top(begins: Column) -> Column:
-            runs = F.transform(begins, lambda at, k: F.struct((at - F.coalesce(F.get(begins, k + 1), F.size(tokens))).alias("n"), F.get(tokens, at)["i"].alias("i"), F.get(tokens, at)["t"].alias("t")))
-            return F.slice(F.array_sort(F.filter(runs, lambda r: ~r["t"].isin(STOP_WORDS))), 1, count)
+    def ranked(more: Column, firsts: Column) -> Column:
+        """The tokens of `more` (sorted, each as often as it occurs again), by how often and by their place in firsts (each once)."""
+        begins = F.array_compact(F.transform(more, lambda x, k: F.when((k == 0) | (F.get(more, k - 1) != x), k)))
+        placed = F.sort_array(F.transform(firsts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
-        return F.get(F.transform(F.array(begins), top), 0)
+        def top(s: Column) -> Column:
+            runs = F.transform(s["b"], lambda at, k: F.struct((at - F.coalesce(F.get(s["b"], k + 1), F.size(more))).alias("n"), F.get(s["p"], k)["i"].alias("i"), F.get(s["p"], k)["t"].alias("t")))
+            return F.transform(F.slice(F.sort_array(runs), 1, count), lambda r: r["t"])
 
-    # arrays of one element keep each step from being worked out twice
-    best = F.transform(F.array(F.array_sort(tokens)), lambda t: F.transform(rank(t), lambda r: F.replace(r["t"], F.lit("-"), F.lit(" "))))
-    return F.get(F.transform(best, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("keyword pending")))), 0)
+        return once(F.struct(begins.alias("b"), placed.alias("p")), top)
+
+    def best(s: Column) -> Column:
+        frequent = F.when(F.size(s["again"]) > 0, ranked(s["again"], F.array_intersect(s["distinct"], s["again"]))).otherwise(F.slice(s["distinct"], 1, count))
+        others = lambda f: F.slice(F.array_except(F.slice(s["distinct"], 1, 2 * count), f), 1, count - F.size(f))
+        return once(frequent, lambda f: F.when(F.size(f) < count, F.concat(f, others(f))).otherwise(f))
+
+    again = lambda t: F.regexp_extract_all(F.array_join(F.sort_array(t), "\n"), F.lit(r"(?m)^(.++)\n(?=\1$)"), 1)
+    found = once(tokens, lambda t: once(F.struct(again(t).alias("again"), F.array_distinct(t).alias("distinct")), best))
+    return once(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda t: F.replace(t, F.lit("-"), F.lit(" ")))).otherwise(F.array(F.lit("keyword pending"))))
 
 
 def keywords(blocks: DataFrame, keys: list[str], count: int = 3) -> DataFrame:

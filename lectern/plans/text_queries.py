@@ -77,7 +77,7 @@ def blocks_of(chunks):
     """Paragraph blocks of chunks: document_id, block_no, page_number, text, chunk_ids."""
     from lectern.operators.layout import reading_blocks
 
-    parts = reading_blocks(chunks).groupBy("document_id", "block_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("reading_order", F.trim("text").alias("t"), "chunk_id"))).alias("p"))
+    parts = reading_blocks(chunks).groupBy("document_id", "block_no").agg(F.min("page_number").alias("page_number"), F.sort_array(F.collect_list(F.struct("reading_order", F.trim("text").alias("t"), "chunk_id"))).alias("p"))
     return parts.select("document_id", "block_no", "page_number", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 

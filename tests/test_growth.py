@@ -36,3 +36,27 @@ def test_packed_files_are_read_as_files_are(spark, tmp_path):
 
     found = read(files.packed_json(packed, files.EXAM))
     assert found == read(files.json_files(spark, f"{tmp_path}/*/*.json", files.EXAM)) and len(found) >= 4
+
+
+def test_keywords_are_those_of_a_plain_count(spark):
+    """Repeats, ties, stop words and words that begin like one, characters whose small letters are ASCII, and long texts; and no token is ranked that occurs once."""
+    import re
+    from collections import Counter
+
+    from lectern.operators import features
+
+    words = "About about abouts about-face 1about 'about from froma the The the- a-b a--b x1's İab KKelvin Kab these ab abc Abc".split()
+    texts = [" ".join(words[(k * j * j) % len(words)] for j in range(n)) for k in range(1, 24) for n in (1, 3, 9, 60)] + ["", "these with", "ba ba bab", None, "w é wé Éwww", " ".join(f"w{k % 700}" for k in range(5000))]
+
+    def plain(text):
+        tokens = [t.lower() for t in re.findall(r"[A-Za-z][A-Za-z0-9'-]{2,}", text or "")]
+        places = Counter(t for t in tokens if t not in features.STOP_WORDS)
+        best = sorted(places, key=lambda t: (-places[t], tokens.index(t)))
+        return lambda count: [t.replace("-", " ") for t in best[:count]] or ["keyword pending"]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for count in (1, 3, 5):
+        found = {r["id"]: r["k"] for r in rows.select("id", features.keywords_of(F.col("text"), count).alias("k")).collect()}
+        assert found == {k: plain(t)(count) for k, t in enumerate(texts)}
+    plan = rows.select(features.keywords_of(F.col("text")))._jdf.queryExecution().analyzed().toString()
+    assert "array_sort" not in plan and "arraysort" not in plan
