@@ -39,7 +39,7 @@ def reading_blocks(chunks: DataFrame) -> DataFrame:
 def assemble(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks of grouped chunks: page, text, median font, bold, chunk ids and box, in reading order; body_font where the rows have it."""
     kept = [F.first("body_font").alias("body_font")] if "body_font" in rows.columns else []
-    ordered = F.array_sort(F.collect_list(F.struct("reading_order", F.trim("text").alias("text"), "chunk_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("reading_order", F.trim("text").alias("text"), "chunk_id")))
     blocks = rows.groupBy(*keys).agg(
         F.min("page_number").alias("page_number"),
         ordered.alias("parts"),
@@ -288,7 +288,7 @@ def columns_of_page(chunks: DataFrame) -> DataFrame:
     The rule depends on what was joined before: a fold over a page's chunks from top to bottom, inside the JVM.
     """
     placed = F.struct("y", "x", "reading_order", (F.col("x") + F.col("width")).alias("right"), F.struct(*chunks.columns).alias("row"))
-    pages = chunks.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(placed)).alias("cs"))
+    pages = chunks.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(placed)).alias("cs"))
     start = F.struct(F.expr("cast(array() as array<struct<l:double,r:double>>)").alias("cols"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def joins(col: Column, c: Column) -> Column:
@@ -298,12 +298,16 @@ def columns_of_page(chunks: DataFrame) -> DataFrame:
         return (shared / narrow >= 0.35) | (centre <= 0.08) | (F.abs(col["l"] - c["x"]) <= 0.05)
 
     def step(s: Column, c: Column) -> Column:
+        def grow(at: Column) -> Column:
+            wider = lambda col: F.struct(F.least(col["l"], c["x"]).alias("l"), F.greatest(col["r"], c["right"]).alias("r"))
+            grown = F.transform(s["cols"], lambda col, i: F.when(i + 1 == at, wider(col)).otherwise(col))
+            opened = F.concat(s["cols"], F.array(F.struct(c["x"].alias("l"), c["right"].alias("r"))))
+            number = F.when(at > 0, at).otherwise(F.size(s["cols"]) + 1)
+            return F.struct(F.when(at > 0, grown).otherwise(opened).alias("cols"), F.concat(s["out"], F.array(number)).alias("out"))
+
+        # an array of one element keeps the place from being looked up for each column
         at = F.array_position(F.transform(s["cols"], lambda col: joins(col, c)), F.lit(True)).cast("int")
-        wider = lambda col: F.struct(F.least(col["l"], c["x"]).alias("l"), F.greatest(col["r"], c["right"]).alias("r"))
-        grown = F.transform(s["cols"], lambda col, i: F.when(i + 1 == at, wider(col)).otherwise(col))
-        opened = F.concat(s["cols"], F.array(F.struct(c["x"].alias("l"), c["right"].alias("r"))))
-        number = F.when(at > 0, at).otherwise(F.size(s["cols"]) + 1)
-        return F.struct(F.when(at > 0, grown).otherwise(opened).alias("cols"), F.concat(s["out"], F.array(number)).alias("out"))
+        return F.get(F.transform(F.array(at), grow), 0)
 
     folded = pages.select("cs", F.aggregate("cs", start, step).alias("f"))
     left = lambda k: F.element_at("f.cols", k)["l"]
@@ -332,7 +336,7 @@ def merge_paragraphs(chunks: DataFrame) -> DataFrame:
         F.col("font_size").alias("font"),
         F.struct(*chunks.columns).alias("row"),
     )
-    columns = chunks.groupBy("document_id", "page_number", "column_no").agg(F.array_sort(F.collect_list(placed)).alias("cs"))
+    columns = chunks.groupBy("document_id", "page_number", "column_no").agg(F.sort_array(F.collect_list(placed)).alias("cs"))
     nothing = {"l": 0.0, "t": 0.0, "r": 0.0, "b": 0.0}
     start = F.struct(
         F.lit(0).alias("at"),
@@ -353,17 +357,12 @@ def merge_paragraphs(chunks: DataFrame) -> DataFrame:
     def step(s: Column, c: Column) -> Column:
         on = ~s["heading"] & ~c["heading"] & tx.continues(s["tail"], c["t"]) & fits(s, c)
         at = s["at"] + 1
-        return F.struct(
-            at.alias("at"),
-            F.when(on, F.least(s["l"], c["x"])).otherwise(c["x"]).alias("l"),
-            F.when(on, F.least(s["t"], c["y"])).otherwise(c["y"]).alias("t"),
-            F.when(on, F.greatest(s["r"], c["right"])).otherwise(c["right"]).alias("r"),
-            F.when(on, F.greatest(s["b"], c["bottom"])).otherwise(c["bottom"]).alias("b"),
-            c["heading"].alias("heading"),
-            c["font"].alias("font"),
-            c["t"].alias("tail"),
-            F.when(on, s["out"]).otherwise(F.concat(s["out"], F.array(at))).alias("out"),
-        )
+        last = [c["heading"].alias("heading"), c["font"].alias("font"), c["t"].alias("tail")]
+        grown = [F.least(s["l"], c["x"]).alias("l"), F.least(s["t"], c["y"]).alias("t"), F.greatest(s["r"], c["right"]).alias("r"), F.greatest(s["b"], c["bottom"]).alias("b")]
+        own = [c["x"].alias("l"), c["y"].alias("t"), c["right"].alias("r"), c["bottom"].alias("b")]
+        # one choice for all fields: whether the chunk fits is worked out once
+        opened = F.struct(at.alias("at"), *own, *last, F.concat(s["out"], F.array(at)).alias("out"))
+        return F.when(on, F.struct(at.alias("at"), *grown, *last, s["out"].alias("out"))).otherwise(opened)
 
     folded = columns.select("cs", F.aggregate("cs", start, step)["out"].alias("begins"))
     return runs_of(folded, "cs", "begins", "paragraph_no")
