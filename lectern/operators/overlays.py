@@ -86,13 +86,13 @@ def best_layout(regions: DataFrame, keys: list[str]) -> DataFrame:
 
 def keyword_fallback(blocks: DataFrame, chunks: DataFrame, enabled: Column) -> DataFrame:
     """keywords of blocks without any representation: those of the block's first chunk that has some; null where models are on or
-    none has. blocks: document_id, block_id, chunk_ids, has_representations; chunks: document_id, chunk_id, keywords.
+    none has. blocks: document_id, block_id (once in a document), chunk_ids, has_representations; chunks: document_id, chunk_id, keywords.
     """
-    named = blocks.select("document_id", "block_id", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    some = chunks.where(F.size("keywords") > 0).select("document_id", "chunk_id", F.col("keywords").alias("__k"))
-    first = named.join(some.hint("merge"), ["document_id", "chunk_id"]).groupBy("document_id", "block_id").agg(F.min_by("__k", "pos").alias("__k"))
-    joined = blocks.join(first.hint("merge"), ["document_id", "block_id"], "left")
-    return joined.select("document_id", "block_id", F.when(~enabled & ~F.col("has_representations"), F.col("__k")).alias("keywords"))
+    wanted = blocks.withColumn("__open", F.coalesce(~enabled & ~F.col("has_representations"), F.lit(False)))
+    # the keywords are looked at once the join is done: a filter on them below it would work them out twice
+    named = wanted.select("document_id", "block_id", F.posexplode_outer(F.when(F.col("__open"), F.col("chunk_ids"))).alias("pos", "chunk_id"))
+    joined = named.join(chunks.select("document_id", "chunk_id", F.col("keywords").alias("__k")).hint("merge"), ["document_id", "chunk_id"], "left")
+    return joined.groupBy("document_id", "block_id").agg(F.min_by("__k", F.when(F.size("__k") > 0, F.col("pos"))).alias("keywords"))
 
 
 def place_others(representations: Column, summary_at: Column, keywords_at: Column, regions: Column) -> Column:
