@@ -144,7 +144,12 @@ def alignment_tokens(text: Column) -> Column:
 
 def lead_sentence(text: Column, limit: int = 120) -> Column:
     """The first sentence; a longer one is cut at the limit without its last partial word."""
-    compact = collapse(F.coalesce(text, F.lit("")))
-    first = F.coalesce(F.nullif(F.regexp_extract(compact, r"^(.*?[.!?])\s", 1), F.lit("")), compact)
-    cut = F.regexp_replace(F.substring(first, 1, limit), r"\s+\S*$", "")
-    return F.when(compact == "", "summary pending").when(F.length(first) <= limit, first).otherwise(F.concat(F.rtrim(cut, F.lit(" .,:;")), F.lit("...")))
+    def lead(compact: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(compact, r"^(.*?[.!?])\s", 1), F.lit("")), compact)
+
+    def shown(first: Column) -> Column:
+        cut = F.regexp_replace(F.substring(first, 1, limit), r"\s+\S*$", "")
+        return F.when(first == "", "summary pending").when(F.length(first) <= limit, first).otherwise(F.concat(F.rtrim(cut, F.lit(" .,:;")), F.lit("...")))
+
+    # arrays of one element keep each step from being worked out twice
+    return F.get(F.transform(F.transform(F.array(collapse(F.coalesce(text, F.lit("")))), lead), shown), 0)
