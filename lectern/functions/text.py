@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,14 @@ CONTINUATION_START = r"^[a-z,;:)\]\-]"
 WORD = r"[A-Za-z0-9][A-Za-z0-9'-]*"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it: an element of an array is not put in its place by the optimizer."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def collapse(text: Column) -> Column:
-    """Runs of Unicode white space become one space, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of Unicode white space become one space, trimmed. Single spaces are no match, so most texts are not built anew."""
+    return F.trim(F.regexp_replace(text, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def join_lines(lines: Column) -> Column:
@@ -34,6 +41,23 @@ def continues(previous: Column, following: Column) -> Column:
     )
 
 
+def sentence_end(text: Column) -> Column:
+    """What a text's end says of its sentence: 2 a hyphen, 1 open, 0 ended or blank."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(trimmed == "", 0).when(trimmed.rlike("-$"), 2).when(trimmed.rlike(SENTENCE_END), 0).otherwise(1)
+
+
+def sentence_start(text: Column) -> Column:
+    """What a text's start says of its sentence: 2 it goes on, 1 it may begin one, 0 blank."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(trimmed == "", 0).when(trimmed.rlike(CONTINUATION_START), 2).otherwise(1)
+
+
+def goes_on(end: Column, start: Column) -> Column:
+    """What continues() tells of two texts, from the end of one and the start of the other: over a hyphen to any text, else to one that goes on."""
+    return ((end == 2) & (start > 0)) | ((end == 1) & (start == 2))
+
+
 def numbered(text: Column) -> Column:
     """Whether a text begins like a numbered heading; a lone capital counts."""
     return F.trim(text).rlike(NUMBERED_HEADING)
@@ -41,14 +65,12 @@ def numbered(text: Column) -> Column:
 
 def numbered_depth(text: Column) -> Column:
     """Depth of the number, null if there is none."""
-    prefix = F.regexp_extract(F.trim(text), NUMBERED_HEADING, 1)
-    return F.when(prefix != "", F.length(prefix) - F.length(F.replace(prefix, F.lit("."), F.lit(""))) + 1)
+    return once(F.regexp_extract(F.trim(text), NUMBERED_HEADING, 1), lambda prefix: F.when(prefix != "", F.length(prefix) - F.length(F.replace(prefix, F.lit("."), F.lit(""))) + 1))
 
 
 def heading_like(text: Column) -> Column:
     """Not empty, at most 140 characters and 14 words, no final full stop, question or exclamation mark."""
-    compact = collapse(text)
-    return (compact != "") & (F.length(compact) <= 140) & (F.size(F.split(compact, " ")) <= 14) & ~compact.rlike(r"[.?!]$")
+    return once(collapse(text), lambda compact: (compact != "") & (F.length(compact) <= 140) & (F.size(F.split(compact, " ")) <= 14) & ~compact.rlike(r"[.?!]$"))
 
 
 def heading_chunk(text: Column, semantic_type: Column, is_bold: Column, font_size: Column, body: Column) -> Column:
@@ -67,8 +89,7 @@ def target_words(words: Column, ratio: float | Column) -> Column:
 
 
 def short_title(text: Column, limit: int = 56) -> Column:
-    compact = collapse(text)
-    return F.when(F.length(compact) <= limit, compact).otherwise(F.concat(F.rtrim(F.substring(compact, 1, limit - 3)), F.lit("...")))
+    return once(collapse(text), lambda compact: F.when(F.length(compact) <= limit, compact).otherwise(F.concat(F.rtrim(F.substring(compact, 1, limit - 3)), F.lit("..."))))
 
 
 def preview(text: Column, limit: int) -> Column:
@@ -133,9 +154,12 @@ def clean_keywords(items: Column, limit: int | Column) -> Column:
 def cap_summary(text: Column, target: Column) -> Column:
     """Cut at the larger of target + 8 and 1.35 x target words, with `...`."""
     limit = F.greatest(target + 8, F.ceil(target.cast("double") * 1.35).cast("int"))
-    words = F.split(collapse(text), " ")
-    cut = F.concat(F.rtrim(F.array_join(F.slice(words, 1, limit), " "), F.lit(" ,;:")), F.lit("..."))
-    return F.when(F.size(words) > limit, cut).otherwise(collapse(text))
+
+    def capped(s: Column) -> Column:
+        cut = F.concat(F.rtrim(F.array_join(F.slice(s["words"], 1, limit), " "), F.lit(" ,;:")), F.lit("..."))
+        return F.when(F.size(s["words"]) > limit, cut).otherwise(s["text"])
+
+    return once(collapse(text), lambda compact: once(F.struct(compact.alias("text"), F.split(compact, " ").alias("words")), capped))
 
 
 def alignment_tokens(text: Column) -> Column:

@@ -23,10 +23,7 @@ def keywords_of(text: Column, count: int = 3) -> Column:
     # the two other characters whose small letters hold one of a to z belong to no token
     small = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" ")))
     # a stop word leaves the group empty
-    tokens = F.array_remove(F.regexp_extract_all(small, F.lit(rf"(?:{'|'.join(STOP_WORDS)})(?![a-z0-9'-])|([a-z][a-z0-9'-]{{2,}})"), 1), "")
-
-    def once(value: Column, then) -> Column:  # arrays of one element keep each step from being worked out twice
-        return F.get(F.transform(F.array(value), then), 0)
+    tokens = F.array_remove(F.regexp_extract_all(small, F.lit(rf"(?:{'|'.join(STOP_WORDS)})(?![a-z0-9'-])|([a-z][a-z0-9'-]{{2,}}+)"), 1), "")
 
     def ranked(more: Column, firsts: Column) -> Column:
         """The tokens of `more` (sorted, each as often as it occurs again), by how often and by their place in firsts (each once)."""
@@ -37,16 +34,16 @@ def keywords_of(text: Column, count: int = 3) -> Column:
             runs = F.transform(s["b"], lambda at, k: F.struct((at - F.coalesce(F.get(s["b"], k + 1), F.size(more))).alias("n"), F.get(s["p"], k)["i"].alias("i"), F.get(s["p"], k)["t"].alias("t")))
             return F.transform(F.slice(F.sort_array(runs), 1, count), lambda r: r["t"])
 
-        return once(F.struct(begins.alias("b"), placed.alias("p")), top)
+        return tx.once(F.struct(begins.alias("b"), placed.alias("p")), top)
 
     def best(s: Column) -> Column:
         frequent = F.when(F.size(s["again"]) > 0, ranked(s["again"], F.array_intersect(s["distinct"], s["again"]))).otherwise(F.slice(s["distinct"], 1, count))
         others = lambda f: F.slice(F.array_except(F.slice(s["distinct"], 1, 2 * count), f), 1, count - F.size(f))
-        return once(frequent, lambda f: F.when(F.size(f) < count, F.concat(f, others(f))).otherwise(f))
+        return tx.once(frequent, lambda f: F.when(F.size(f) < count, F.concat(f, others(f))).otherwise(f))
 
     again = lambda t: F.regexp_extract_all(F.array_join(F.sort_array(t), "\n"), F.lit(r"(?m)^(.++)\n(?=\1$)"), 1)
-    found = once(tokens, lambda t: once(F.struct(again(t).alias("again"), F.array_distinct(t).alias("distinct")), best))
-    return once(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda t: F.replace(t, F.lit("-"), F.lit(" ")))).otherwise(F.array(F.lit("keyword pending"))))
+    found = tx.once(tokens, lambda t: tx.once(F.struct(again(t).alias("again"), F.array_distinct(t).alias("distinct")), best))
+    return tx.once(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda t: F.replace(t, F.lit("-"), F.lit(" ")))).otherwise(F.array(F.lit("keyword pending"))))
 
 
 def keywords(blocks: DataFrame, keys: list[str], count: int = 3) -> DataFrame:

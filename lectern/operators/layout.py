@@ -31,9 +31,11 @@ def group_box(rows: DataFrame, keys: list[str]) -> DataFrame:
 def reading_blocks(chunks: DataFrame) -> DataFrame:
     """block_no of each chunk: a block goes on over chunks of one page while the sentence does."""
     order = Window.partitionBy("document_id").orderBy("reading_order")
-    same = (F.lag("page_number").over(order) == F.col("page_number")) & tx.continues(F.lag("text").over(order), F.col("text"))
-    opened = chunks.withColumn("opens", F.when(same, 0).otherwise(1))
-    return opened.withColumn("block_no", F.sum("opens").over(order).cast("int")).drop("opens")
+    # a text is looked at once, in its own row; the next row needs no copy of it
+    told = chunks.withColumn("__end", tx.sentence_end(F.col("text"))).withColumn("__start", tx.sentence_start(F.col("text")))
+    same = (F.lag("page_number").over(order) == F.col("page_number")) & tx.goes_on(F.lag("__end").over(order), F.col("__start"))
+    opened = told.withColumn("opens", F.when(same, 0).otherwise(1))
+    return opened.withColumn("block_no", F.sum("opens").over(order).cast("int")).drop("opens", "__end", "__start")
 
 
 def assemble(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -501,16 +501,16 @@ def a20(spark, sf_dir):
     f"WITH {views.BLOCKS}, {KEYWORDS} SELECT 'document' AS name, count(*) AS n, count(DISTINCT document_id) AS documents FROM (SELECT DISTINCT document_id FROM chunks) UNION ALL SELECT 'chunks', count(*), count(DISTINCT document_id) FROM chunks UNION ALL SELECT 'paragraphs', count(*), count(DISTINCT document_id) FROM blocks UNION ALL SELECT 'prompts', 2 * count(DISTINCT document_id), count(DISTINCT document_id) FROM blocks UNION ALL SELECT 'representations', 2 * count(*), count(DISTINCT document_id) FROM kw",
 )
 def a13(spark, sf_dir):
-    """All five tables of a workspace, written by document and read back."""
+    """All five tables of a workspace, written by document and read back; those that follow from chunks and paragraphs are made of what was written of them."""
     from lectern.plans.stream_queries import scratch
 
-    folder, chunks = scratch(spark, "workspace"), views.written_chunks(spark, sf_dir)
-    blocks = blocks_of(chunks)
-    owners = chunks.select("document_id").distinct()
-    prompts = owners.select("document_id", F.explode(F.array(F.lit("keywords"), F.lit("summary"))).alias("name"))
-    tables = {"document": chunks.groupBy("document_id").agg(F.max("page_number").alias("page_count")), "chunks": chunks, "paragraphs": blocks, "prompts": prompts, "representations": features.default_rows(blocks, ["document_id", "block_no"])}
-    elements.write_tables(tables, folder)
-    counts = [elements.read_table(spark, folder, name).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents")).select(F.lit(name).alias("name"), "n", "documents") for name in tables]
+    folder, chunks = scratch(spark, "workspace"), views.chunks(spark, sf_dir)
+    elements.write_tables({"chunks": chunks, "paragraphs": blocks_of(chunks)}, folder)
+    pages = elements.read_table(spark, folder, "chunks").groupBy("document_id").agg(F.max("page_number").alias("page_count"))
+    elements.write_tables({"document": pages, "representations": features.default_rows(elements.read_table(spark, folder, "paragraphs"), ["document_id", "block_no"])}, folder)
+    owners = elements.read_table(spark, folder, "document").select("document_id")
+    elements.write_tables({"prompts": owners.select("document_id", F.explode(F.array(F.lit("keywords"), F.lit("summary"))).alias("name"))}, folder)
+    counts = [elements.read_table(spark, folder, name).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents")).select(F.lit(name).alias("name"), "n", "documents") for name in ("document", "chunks", "paragraphs", "prompts", "representations")]
     found = counts[0]
     for more in counts[1:]:
         found = found.unionByName(more)

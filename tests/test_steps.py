@@ -33,3 +33,30 @@ def test_keywords_of_chunks_are_worked_out_once_and_blocks_stay(spark):
     found = {r["block_id"]: r["keywords"] for r in overlays.keyword_fallback(blocks, chunks, F.col("document_id") == 2).collect()}
     assert found == {"k": ["b"], "none": None, "null": None, "unknown": None, "empty": None, "has": None}
     assert {r["keywords"] for r in overlays.keyword_fallback(blocks, chunks, F.col("document_id") == 1).select(F.col("keywords").cast("string")).collect()} == {None}
+
+
+def test_paragraphs_of_a_workspace_are_worked_out_once(spark, monkeypatch):
+    """Representations are made of the paragraphs that were written, and a chunk's text is not copied to its follower's row."""
+    from lectern.operators import features, layout
+    from lectern.plans import views
+
+    seen, rows = [], features.default_rows
+    monkeypatch.setattr(features, "default_rows", lambda blocks, keys: seen.append(plan_of(blocks)) or rows(blocks, keys))
+    assert plans.QUERIES["a13_workspace_sinks"](spark, SMALL).count() == 5
+    assert len(seen) == 1 and "Window" not in seen[0]
+    assert "lag(text" not in plan_of(layout.reading_blocks(views.chunks(spark, SMALL)))
+
+
+def test_white_space_is_collapsed_as_before(spark):
+    import itertools
+
+    texts = ["".join(t) for n in range(6) for t in itertools.product(" \n\u00a0a", repeat=n)] + ["a\u2003 b\u0085\tc", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    assert rows.where(~tx.collapse(F.col("text")).eqNullSafe(plain)).count() == 0
+
+
+def test_the_end_and_start_of_texts_tell_what_both_texts_do(spark):
+    texts = [None, "", " ", "a", "A", "so-", "so- ", "-", "done.", 'done."', "?)]", ", and", "1", "é", "b.\n", "x-\n"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    assert rows.where(~tx.goes_on(tx.sentence_end(F.col("a")), tx.sentence_start(F.col("b"))).eqNullSafe(tx.continues(F.col("a"), F.col("b")))).count() == 0
