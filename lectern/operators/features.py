@@ -98,14 +98,20 @@ def from_responses(blocks: DataFrame, defs: DataFrame, responses: DataFrame, key
     tasks = blocks.select(*keys, words.alias("__words"))
     tasks = tasks.select(*keys, tx.target_words(F.col("__words"), ratio).alias("__target"), F.explode(F.array_compact(F.array(*[F.when(F.col("__words") > max(r["least_words"], 20), style(r)) for r in rows]))).alias("d")).select(*keys, "__target", "d.*")
     joined = tasks.join(responses.select(*keys, "kind", "response").hint("merge"), [*keys, "kind"])
-    found = joined.withColumn("__said", response_text(F.col("response"))).withColumn("__p", payload(F.col("__said.text"), F.col("kind")))
-    items = F.when(is_keywords(F.col("kind")), tx.clean_keywords(F.col("__p.items"), most))
-    text = F.when(~is_keywords(F.col("kind")), tx.cap_summary(F.col("__p.value"), F.col("__target")))
-    done = found.select(*keys, "kind", tx.kind_label(F.col("kind")).alias("label"), items.alias("items"), text.alias("text"), "color", "opacity", F.coalesce("__said.error", "__p.error").alias("error"))
-    value = F.coalesce(F.array_join("items", ", "), "text")
-    blank = F.coalesce(value, F.lit("")) == ""
-    done = done.withColumn("value", F.when(F.col("error").isNull(), value)).withColumn("items", F.when(F.col("error").isNull(), F.col("items"))).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
-    return done.where(F.col("error").isNotNull() | ~blank)
+    kind = F.col("kind")
+
+    def tidied(error: Column, given: Column) -> Column:
+        items = F.when(error.isNull() & is_keywords(kind), tx.clean_keywords(given["items"], most))
+        return F.struct(items.alias("items"), F.when(error.isNull() & ~is_keywords(kind), tx.cap_summary(given["value"], F.col("__target"))).alias("text"), error.alias("error"))
+
+    def kept(r: Column) -> Column:
+        whole = lambda value: F.when(r["error"].isNotNull() | (value != ""), F.struct(r["items"].alias("items"), r["text"].alias("text"), r["error"].alias("error"), value.alias("value")))
+        return tx.once(F.coalesce(F.array_join(r["items"], ", "), r["text"]), whole)
+
+    # all of a response in one expression: a filter on what it gives would be moved below the join, and every step worked out again there
+    given = lambda said: tx.once(payload(said["text"], kind), lambda p: tx.once(tidied(F.coalesce(said["error"], p["error"]), p), kept))
+    found = joined.withColumn("__r", F.explode(F.array_compact(F.array(tx.once(response_text(F.col("response")), given)))))
+    return found.select(*keys, "kind", tx.kind_label(kind).alias("label"), "__r.items", "__r.text", "color", "opacity", "__r.error", "__r.value")
 
 
 def token_budget(kind: Column, target: Column) -> Column:

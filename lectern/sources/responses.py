@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.text import once
+
 #: On the way a text is marked by a plus and an error by a minus, null is neither, so that the first outcome is a coalesce and nothing is worked out twice.
 TEXT, ERROR = "+", "-"
 
@@ -15,12 +17,12 @@ def _at(value: Column, path: str) -> Column:
 
 def _text(value: Column) -> Column:
     """A variant's string if it is one that is not blank."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when((F.schema_of_variant(value) == "STRING") & F.rlike(text, F.lit(r"(?U)\S")), text)
+    string = lambda v: once(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), lambda text: F.when(F.rlike(text, F.lit(r"(?U)\S")), text))
+    return once(value, string)
 
 
 def _json(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) != "VOID", F.to_json(value))
+    return once(value, lambda v: F.when(F.schema_of_variant(v) != "VOID", F.to_json(v)))
 
 
 def _list(value: Column, path: str) -> Column:
@@ -77,8 +79,7 @@ def response_text(json: Column) -> Column:
         rest = F.substring(outcome, 2, 2**31 - 1)
         return F.struct(F.when(F.startswith(outcome, F.lit(TEXT)), rest).alias("text"), F.when(F.startswith(outcome, F.lit(ERROR)), rest).alias("error"))
 
-    # arrays of one element keep each step from being worked out twice
-    return F.get(F.transform(F.transform(F.array(F.try_parse_json(json)), walk), told), 0)
+    return once(F.try_parse_json(json), lambda value: once(walk(value), told))
 
 
 def is_keywords(kind: Column) -> Column:
@@ -88,15 +89,17 @@ def is_keywords(kind: Column) -> Column:
 def payload(text: Column, kind: Column) -> Column:
     """struct(items, value, error) of a response's text for a kind: keywords take the list k (none: an empty one; nulls in it are left out), a summary v or else s, any
     other kind v. A text that is no JSON object is an error."""
-    value = F.try_parse_json(text)
-    given = F.try_variant_get(value, "$.k", "array<variant>")
-    items = F.transform(F.filter(given, lambda v: F.schema_of_variant(v) != "VOID"), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
-    plain = F.try_variant_get(value, "$.v", "string")
-    string = F.when(kind == "summary", F.coalesce(plain, F.try_variant_get(value, "$.s", "string"))).otherwise(plain)
-    none = F.array().cast("array<string>")
-    object_ = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
-    return F.struct(
-        F.when(object_ & is_keywords(kind), F.coalesce(items, none)).alias("items"),
-        F.when(object_ & ~is_keywords(kind), F.coalesce(string, F.lit(""))).alias("value"),
-        F.when(text.isNotNull() & ~object_, "not a JSON object").alias("error"),
-    )
+
+    def read(value: Column, object_: Column) -> Column:
+        given = F.try_variant_get(value, "$.k", "array<variant>")
+        items = F.transform(F.filter(given, lambda v: F.schema_of_variant(v) != "VOID"), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+        plain, other = F.try_variant_get(value, "$.v", "string"), F.when(kind == "summary", F.try_variant_get(value, "$.s", "string"))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.when(object_ & is_keywords(kind), F.coalesce(items, none)).alias("items"),
+            F.when(object_ & ~is_keywords(kind), F.coalesce(plain, other, F.lit(""))).alias("value"),
+            F.when(text.isNotNull() & ~object_, "not a JSON object").alias("error"),
+        )
+
+    is_object = lambda value: F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+    return once(F.try_parse_json(text), lambda value: once(is_object(value), lambda object_: read(value, object_)))

@@ -60,3 +60,10 @@ def test_the_end_and_start_of_texts_tell_what_both_texts_do(spark):
     texts = [None, "", " ", "a", "A", "so-", "so- ", "-", "done.", 'done."', "?)]", ", and", "1", "é", "b.\n", "x-\n"]
     rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     assert rows.where(~tx.goes_on(tx.sentence_end(F.col("a")), tx.sentence_start(F.col("b"))).eqNullSafe(tx.continues(F.col("a"), F.col("b")))).count() == 0
+
+
+def test_a_response_is_parsed_once(spark):
+    """Its JSON and that of its text, and neither below or in the join."""
+    plan = plan_of(plans.QUERIES["f7_from_responses"](spark, SMALL))
+    assert plan.count("parseJson") == 2
+    assert not any("Join" in line and "parseJson" in line for line in plan.splitlines())
