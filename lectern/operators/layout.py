@@ -76,14 +76,10 @@ def role(text: Column, font: Column, bold: Column, body: Column, level: Column |
         chain = chain.when(level <= 1, "section").when(level.isNotNull(), "subsection")
     if typed is not None:
         chain = chain.when(typed == "heading", "section")
-    depth = tx.numbered_depth(text)
-    return (
-        chain.when(depth <= 1, "section")
-        .when(depth > 1, "subsection")
-        .when(tx.heading_like(text) & (font >= body * 1.30), "section")
-        .when(tx.heading_like(text) & ((font >= body * 1.12) | bold), "subsection")
-        .otherwise("paragraph")
-    )
+    by_number = tx.once(tx.numbered_depth(text), lambda depth: F.when(depth <= 1, "section").when(depth > 1, "subsection"))
+    loud = F.when(font >= body * 1.30, "section").when((font >= body * 1.12) | bold, "subsection")
+    # whether a text looks like a heading is asked of loud ones only
+    return F.coalesce(chain, by_number, F.when(loud.isNotNull() & tx.heading_like(text), loud), F.lit("paragraph"))
 
 
 def section_paths(rows: DataFrame, order_col: str) -> DataFrame:
@@ -113,15 +109,17 @@ def titled(blocks: DataFrame, order_col: str) -> DataFrame:
     near = F.coalesce((F.col("page_number") == 1) & (F.col("y") <= 0.30) & (F.length("text") <= 220) & ~tx.numbered(F.col("text")), F.lit(False))
     size = F.coalesce("font_size", F.lit(0.0))
     document = Window.partitionBy("document_id")
-    order = document.orderBy(near.desc(), size.desc(), "y", order_col)
-    ranked = blocks.withColumn("__near", near).withColumn("__rank", F.row_number().over(order)).withColumn("__next", F.lead(F.when(near, size)).over(order))
+    order = document.orderBy(F.col("__near").desc(), F.col("__size").desc(), "y", order_col)
+    ranked = blocks.withColumn("__near", near).withColumn("__size", size)
+    ranked = ranked.withColumn("__candidate", F.when(F.col("__near"), F.col("__size")))
+    ranked = ranked.withColumn("__rank", F.row_number().over(order)).withColumn("__next", F.lead("__candidate").over(order))
     best = F.col("__near") & (F.col("__rank") == 1) & (size >= F.greatest(F.col("body_font") * 1.2, F.coalesce("__next", F.lit(0.0)) + 1.5))
     named = F.nullif(F.trim(F.coalesce("metadata_title", F.lit(""))), F.lit(""))
     named = F.when(named != F.col("source_name"), named)
     ranked = ranked.withColumn("__named", named).withColumn("__best", best & named.isNull())
     inferred = F.max(F.when(F.col("__best"), F.col("text"))).over(document)
     rows = ranked.withColumn("title", F.coalesce("__named", inferred, "source_name"))
-    return rows.where(~F.col("__best")).drop("__near", "__rank", "__next", "__named", "__best")
+    return rows.where(~F.col("__best")).drop("__near", "__size", "__candidate", "__rank", "__next", "__named", "__best")
 
 
 def outline(rows: DataFrame, order_col: str) -> DataFrame:
@@ -134,6 +132,8 @@ def outline(rows: DataFrame, order_col: str) -> DataFrame:
     order = document.orderBy(order_col)
     is_section, is_sub = F.col("role") == "section", F.col("role") == "subsection"
     paragraph = ~is_section & ~is_sub
+    # only what is shown of a text goes through the windows
+    rows = rows.select("document_id", "title", "role", F.when(is_section | is_sub, F.col("text")).otherwise(tx.short_title(F.col("text"))).alias("__shown"), "page_number", order_col)
     numbered = F.row_number().over(Window.partitionBy("document_id", "page_number", "__paragraph").orderBy(order_col))
     rows = rows.withColumn("__paragraph", paragraph).withColumn("block_id", F.when(F.col("__paragraph"), F.format_string("block-%03d-%04d", F.col("page_number"), numbered)))
     rows = rows.withColumn("__no", F.count_if(is_section).over(order)).withColumn("__body", F.min(F.when(is_section, F.col(order_col))).over(document)).withColumn("__first", F.min(order_col).over(document))
@@ -152,7 +152,7 @@ def outline(rows: DataFrame, order_col: str) -> DataFrame:
         F.when(is_section, F.col("__section")).when(direct, F.col("__direct")).otherwise(F.col("__below")).cast("long").alias("ordinal"),
         F.when(is_section, 1).when(is_sub, 2).when(F.col("__sub_id").isNull(), 2).otherwise(3).alias("level"),
         F.when(is_section | is_sub, F.col("role")).otherwise("paragraph").alias("node_type"),
-        F.when(is_section | is_sub, F.col("text")).otherwise(tx.short_title(F.col("text"))).alias("title"),
+        F.col("__shown").alias("title"),
         F.col("page_number").alias("page_number"),
         F.col("block_id").alias("block_id"),
     )

@@ -14,7 +14,7 @@ R = "round({}, 6)"
 
 
 def assembled(spark, sf_dir):
-    return layout.assemble(layout.reading_blocks(layout.with_body_font(views.chunks(spark, sf_dir))), ["document_id", "block_no"])
+    return layout.assemble(layout.with_body_font(layout.reading_blocks(views.chunks(spark, sf_dir))), ["document_id", "block_no"])
 
 
 ASSEMBLED = (

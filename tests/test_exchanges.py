@@ -36,3 +36,10 @@ def test_parts_are_as_many_as_the_characters_need(spark):
     from lectern.plans import views
 
     assert views.chunks(spark, SMALL, 50_000).rdd.getNumPartitions() > views.chunks(spark, SMALL, 10**9).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_text_of_one_task_is_bounded(spark):
+    """An outline's task sorts the rows of its text several times, so its text is small, as that of alignment."""
+    from lectern.plans import record_queries, views
+
+    assert views.TASK_CHARS <= record_queries.ALIGNED_CHARS

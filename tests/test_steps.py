@@ -67,3 +67,11 @@ def test_a_response_is_parsed_once(spark):
     plan = plan_of(plans.QUERIES["f7_from_responses"](spark, SMALL))
     assert plan.count("parseJson") == 2
     assert not any("Join" in line and "parseJson" in line for line in plan.splitlines())
+
+
+def test_an_outline_sorts_its_candidates_and_chunks_once(spark):
+    """One sort of a document's title candidates, one of its chunks for its body font and paragraphs."""
+    plan = plan_of(plans.QUERIES["d11_outline"](spark, SMALL), "executedPlan")
+    first = [line.split("Sort [")[1] for line in plan.split("== Initial Plan ==")[0].splitlines() if "Sort [" in line]
+    assert sum("DESC" in keys for keys in first) == 1
+    assert not any(keys.startswith("document_id") and keys.count("ASC") == 1 for keys in first)
