@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.text import once
+
 # Width of a page in the reader, its height, and the sizes of chips and lines.
 PAGE_WIDTH, PAGE_HEIGHT = 760.0, 980.0
+#: More than rounding can change of a score.
+NEAR = 1e-5
 
 
 def overlay_rows(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -60,7 +64,8 @@ def best_layout(regions: DataFrame, keys: list[str]) -> DataFrame:
 
     regions: keys, idx, page_number, y, w, h, ord, need_s, need_k (heights that the summary and the keywords need there). A
     keyword region may not lie before the summary's. The first maximum wins (summary region outer, keyword region inner). What a region is worth
-    by itself is worked out once; the pairs of a block's regions are then compared in its row.
+    by itself is worked out once. The pairs of a block's regions are then compared in its row, those of summary regions only that could reach the best score of one
+    region for both: with the best keywords at no distance at least as much.
     """
 
     def fit(need: Column) -> Column:
@@ -80,8 +85,17 @@ def best_layout(regions: DataFrame, keys: list[str]) -> DataFrame:
         ranked = F.transform(F.transform(allowed, lambda k: pair(s, k)), lambda p: F.struct((-F.round(p["score"], 6)).alias("rank"), s["idx"].alias("summary_at"), p["k"].alias("keywords_at"), p["score"].alias("score")))
         return F.array_min(ranked)
 
-    best = listed.select(*keys, F.array_min(F.transform("__r", best_of)).alias("__best"))
-    return best.where("__best IS NOT NULL").select(*keys, "__best.summary_at", "__best.keywords_at", "__best.score")
+    def could_win(bar: Column) -> Column:
+        # a region without a place is not allowed with itself, and no score is told from one that is null
+        reaches = lambda s: F.greatest(s["s"] + bar["k"], s["both"]) >= bar["least"] - NEAR
+        return F.filter("__r", lambda s: bar["unknown"] | F.coalesce(reaches(s), F.lit(True)))
+
+    alone = F.transform("__r", lambda r: F.when(r["y"].isNotNull() & r["page_number"].isNotNull() & ~F.isnan(r["both"]), r["both"]))
+    unknown = F.exists("__r", lambda r: (r["s"] + r["k"] + r["both"]).isNull())
+    bar = F.struct(F.array_max(F.transform("__r", lambda r: r["k"])).alias("k"), F.array_max(alone).alias("least"), unknown.alias("unknown"))
+    # exploded, not filtered: a filter on the best would be worked out on its own
+    best = listed.select(*keys, F.explode(F.array_compact(F.array(F.array_min(F.transform(once(bar, could_win), best_of))))).alias("__best"))
+    return best.select(*keys, "__best.summary_at", "__best.keywords_at", "__best.score")
 
 
 def keyword_fallback(blocks: DataFrame, chunks: DataFrame, enabled: Column) -> DataFrame:

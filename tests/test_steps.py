@@ -75,3 +75,48 @@ def test_an_outline_sorts_its_candidates_and_chunks_once(spark):
     first = [line.split("Sort [")[1] for line in plan.split("== Initial Plan ==")[0].splitlines() if "Sort [" in line]
     assert sum("DESC" in keys for keys in first) == 1
     assert not any(keys.startswith("document_id") and keys.count("ASC") == 1 for keys in first)
+
+
+def test_pairs_of_regions_are_compared_once(spark):
+    assert plan_of(plans.QUERIES["g8_best_layout"](spark, SMALL)).count("array_min(") == 2
+
+
+def test_only_regions_that_could_win_are_paired(spark):
+    """4,000 regions of one block, 8 million allowed pairs, of which few are scored."""
+    columns = "b int, idx int, page_number int, y double, w double, h double, ord double, need_s double, need_k double"
+    many = [(0, i, 1 + i // 40, i % 40 / 50, 300.0, 30.0 + i % 7, (1 + i // 40) * 100000.0 + i % 40 * 20.0 + i * 0.0001, 28.0, 23.0) for i in range(4000)]
+    import time
+
+    began = time.time()
+    found = overlays.best_layout(spark.createDataFrame(many, columns), ["b"]).collect()
+    assert len(found) == 1 and time.time() - began < 20
+
+
+def test_the_best_layout_is_that_of_a_plain_loop(spark):
+    """Random regions with ties, pages, sizes and places that are near or unknown."""
+    import random
+
+    draw = random.Random(5)
+    columns = "b int, idx int, page_number int, y double, w double, h double, ord double, need_s double, need_k double"
+    rows = []
+    for b in range(300):
+        for i in range(draw.randint(1, 9)):
+            page, y = draw.randint(1, 3), draw.choice([0.1, 0.1005, 0.102, 0.5, 0.9])
+            rows.append((b, i, page, None if b % 10 == 9 and i % 2 else y, draw.choice([50.0, 300.0]), draw.choice([5.0, 24.0, 29.0, 60.0, 300.0]), draw.choice([0.0, page * 100.0, page * 100000.0]) + y * 1000 + i * 0.0001, draw.choice([10.0, 28.0]), 23.0))
+
+    def fit(r, need):
+        return (10000.0 if need <= r[5] else 0.0) + 100 * min(r[5] / max(need, 1.0), 4.0) + r[4] * r[5] / 1000 - 40 * max(need - r[5], 0.0) - r[6] / 100
+
+    def best(regions):
+        pairs = []
+        for s in regions:
+            for k in regions:
+                same = s[2] == k[2] and s[3] is not None and k[3] is not None and k[3] >= s[3] - 0.001
+                if k[2] > s[2] or same:
+                    score = fit(s, s[7] + 4 + s[8]) + 20 if s[1] == k[1] else fit(s, s[7]) + fit(k, k[8]) - 0.02 * abs(k[6] - s[6])
+                    pairs.append((-round(score, 6), s[1], k[1]))
+        return min(pairs)[1:] if pairs else None
+
+    wanted = {b: best([r for r in rows if r[0] == b]) for b in range(300)}
+    found = {r["b"]: (r["summary_at"], r["keywords_at"]) for r in overlays.best_layout(spark.createDataFrame(rows, columns), ["b"]).collect()}
+    assert found == {b: w for b, w in wanted.items() if w} and len({a == k for a, k in found.values()}) == 2
