@@ -1,41 +1,218 @@
-"""Alignment of body units with runs of chunks."""
+"""Alignment of body units with runs of chunks.
+
+A row holds the texts of a document's chunks and units. Their tokens, near pairs and runs are worked out for all rows of an Arrow batch at once, on numbers
+and in blocks of bounded size; only the greedy choice goes unit by unit.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from collections.abc import Callable, Iterator
 
-from lectern.functions import text as tx
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONGEST, SHARE, ENOUGH, LEAST = 8, 0.45, 0.80, 0.45
-
-
-def near(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Units with the chunks that have SHARE of their tokens in them: document_id, unit_no, unit_tokens, orders, near.
-
-    near has struct(at, token_at, reading_order, both) in reading order; `at` counts the document's chunks, `token_at` those with tokens, and orders are
-    the reading orders by `at`. A chunk of m tokens that shares h = ceil(SHARE * m) of them shares one of any m - h + 1; its rarest in the document are
-    looked up, so pairs that have only frequent words in common are never made. Pairs are looked up by digests of tokens, which can only
-    add some, and are checked by the tokens themselves. All is keyed by document, so tables dealt by it are not dealt anew.
+#: Chunks and units that are worked out at once, unless one document has more, and rows of one block of looked-up or compared tokens, unless one unit or chunk
+#: has more: what fits a core's cache.
+STRETCH, BLOCK = 4_000, 100_000
+#: The bytes of tokens.
+LETTERS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def _ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _blocks(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the items whose weights come to `most` at most, or of one item."""
+    ends, low = np.cumsum(weights), 0
+    while low < len(weights):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in order, each once. Most occur once, where sorting is several times as fast as the hashing of np.unique."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=-1) != 0]
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The text and the letters of each token of texts in lower case: what text.alignment_tokens finds, repetitions included."""
+    texts = texts.cast(pa.string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = LETTERS[data]
+    opens, bounds = letter.copy(), ends[ends < len(data)]
+    opens[1:] &= ~letter[:-1]
+    opens[bounds] = letter[bounds]
+    begins = np.flatnonzero(opens)
+    places = np.append(np.cumsum(letter)[begins] - 1, letter.sum()).astype(np.int32)
+    return np.searchsorted(ends, begins, side="right") - 1, pa.StringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(data[letter]))
+
+
+class _Tokens:
+    """The chunks and units of a batch of documents, with a number for each distinct token of a document; in a chunk or unit a token counts once."""
+
+    def __init__(self, chunks: pa.Array, units: pa.Array):
+        document = [np.repeat(np.arange(len(lists)), _sizes(lists)) for lists in (chunks, units)]
+        self.at = _ramp(_sizes(chunks))
+        (holder, words), (asker, asked) = _words(chunks.flatten()), _words(units.flatten())
+        named = pa.concat_arrays([words, asked]).dictionary_encode()
+        of = np.concatenate([document[0][holder], document[1][asker]])
+        kinds, numbers = np.unique(of * max(len(named.dictionary), 1) + named.indices.to_numpy(), return_inverse=True)
+        self.kinds = max(len(kinds), 1)
+        self.chunk, self.token = np.divmod(_distinct(holder * self.kinds + numbers[: len(holder)]), self.kinds)
+        self.known = _distinct(asker * self.kinds + numbers[len(holder) :])
+        self.unit, self.word = np.divmod(self.known, self.kinds)
+        self.m, self.n = np.bincount(self.chunk, minlength=len(document[0])), np.bincount(self.unit, minlength=len(document[1]))
+        self.first = np.cumsum(self.m) - self.m
+        self.token_at = np.cumsum(self.m > 0)
+        self.order = np.argsort(self.token, kind="stable")
+
+
+def _pairs(t: _Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units and chunks, by unit and chunk, that share one of the chunk's rarest tokens: of m tokens of which h = ceil(SHARE * m) have to be shared any m - h + 1."""
+    frequent = np.bincount(t.token, minlength=t.kinds)[t.token]
+    rank = np.empty(len(t.token), np.int64)
+    rank[np.lexsort((frequent, t.chunk))] = np.arange(len(t.token)) - t.first[t.chunk]
+    asked = rank <= (t.m - np.ceil(t.m * SHARE - 1e-9))[t.chunk]
+    probes = t.order[asked[t.order]]
+    held = np.bincount(t.token[probes], minlength=t.kinds)
+    begin, hits = (np.cumsum(held) - held)[t.word], held[t.word]
+    ends = np.concatenate([[0], np.cumsum(t.n)])
+    for low, high in _blocks(np.diff(np.concatenate([[0], np.cumsum(hits)])[ends]), BLOCK):
+        own = slice(ends[low], ends[high])
+        found = t.chunk[probes[np.repeat(begin[own], hits[own]) + _ramp(hits[own])]]
+        yield np.divmod(_distinct(np.repeat(t.unit[own], hits[own]) * len(t.m) + found), max(len(t.m), 1))
+
+
+def _near(t: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units and the chunks that have SHARE of their tokens in them, and for each pair how many of the shared tokens none of the 0, 1, ... chunks before has.
+
+    Only chunks with tokens count. A token's last place before does not depend on the unit, so that the tokens a run covers are a sum over its chunks.
     """
-    order = Window.partitionBy("document_id").orderBy("reading_order")
-    parts = chunks.select("document_id", "reading_order", tx.alignment_tokens(F.col("text")).alias("own"))
-    parts = parts.withColumn("at", F.row_number().over(order)).withColumn("token_at", F.count_if(F.size("own") > 0).over(order))
-    digests = lambda tokens: F.explode(F.transform(tokens, lambda t: F.xxhash64(t)))
-    tokens = parts.select("document_id", "at", F.size("own").alias("m"), digests("own").alias("token")).withColumn("frequent", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token")))
-    rank = F.row_number().over(Window.partitionBy("document_id", "at").orderBy("frequent", "token"))
-    probes = tokens.withColumn("rank", rank).where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * SHARE - 1e-9) + 1).select("document_id", "token", "at")
-    words = units.select("document_id", "unit_no", tx.alignment_tokens(F.col("text")).alias("unit"))
-    asked = words.select("document_id", "unit_no", digests("unit").alias("token"))
-    pairs = asked.join(probes.hint("merge"), ["document_id", "token"]).select("document_id", "unit_no", "at").distinct()
-    maybe = pairs.groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    listed = parts.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "token_at", "reading_order", "own"))).alias("cs"))
-    rows = words.join(maybe.hint("merge"), ["document_id", "unit_no"]).join(listed.hint("merge"), "document_id")
-    chunk = lambda at: F.element_at("cs", at)
-    shared = F.transform("ats", lambda at: F.struct(at.alias("at"), chunk(at)["token_at"].alias("token_at"), chunk(at)["reading_order"].cast("int").alias("reading_order"), F.array_intersect(chunk(at)["own"], "unit").alias("both")))
-    found = F.filter(shared, lambda c: F.size(c["both"]) / F.size(chunk(c["at"])["own"]) >= SHARE)
-    return rows.select("document_id", "unit_no", F.size("unit").alias("unit_tokens"), F.transform("cs", lambda c: c["reading_order"].cast("int")).alias("orders"), found.alias("near"))
+    gap, again = np.full(len(t.token), LONGEST), np.diff(t.token[t.order]) == 0
+    gap[t.order[1:][again]] = np.minimum(np.diff(t.token_at[t.chunk[t.order]])[again], LONGEST)
+    out = [(np.empty(0, np.int64),) * 2 + (np.empty((0, LONGEST), np.int64),)]
+    for units, chunks in _pairs(t):
+        for low, high in _blocks(t.m[chunks], BLOCK):
+            u, c = units[low:high], chunks[low:high]
+            pair = np.repeat(np.arange(len(u)), t.m[c])
+            at = np.repeat(t.first[c], t.m[c]) + _ramp(t.m[c])
+            asked = u[pair] * t.kinds + t.token[at]
+            shared = t.known[np.minimum(np.searchsorted(t.known, asked), len(t.known) - 1)] == asked
+            counts = np.bincount(pair[shared] * LONGEST + gap[at[shared]] - 1, minlength=len(u) * LONGEST).reshape(-1, LONGEST)
+            fresh = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+            near = fresh[:, 0] / t.m[c] >= SHARE
+            out.append((u[near], c[near], fresh[near]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+class _Runs:
+    """The candidate runs of a batch of documents by unit and start, see runs(): unit, begin and last (chunks as counted in the document), start, coverage, size, values (reading orders)."""
+
+    def __init__(self, orders: pa.Array, chunks: pa.Array, units: pa.Array):
+        t, reading = _Tokens(chunks, units), orders.flatten().to_numpy(zero_copy_only=False)
+        unit, chunk, fresh = _near(t)
+        at, token_at = t.at[chunk], t.token_at[chunk]
+        # starts whose first near chunk this is: how many chunks they lie before it
+        before = np.full(len(at), -1)
+        before[1:] = np.where(np.diff(unit) == 0, at[:-1], -1)
+        starts = np.minimum(at - before, LONGEST)
+        first = np.repeat(np.arange(len(unit)), starts)
+        self.unit, self.begin = unit[first], at[first] - starts[first] + 1 + _ramp(starts)
+        self.size, covered, tokens, rows = np.ones(len(first), np.int64), fresh[first, 0], t.n[self.unit], np.arange(len(first))
+        for k in range(1, LONGEST):
+            rows = rows[(covered[rows] / tokens[rows] < ENOUGH) & (first[rows] + k < len(unit))]
+            now = first[rows] + k
+            on = (unit[now] == self.unit[rows]) & (token_at[now] - token_at[first[rows]] == k) & (at[now] < self.begin[rows] + LONGEST)
+            rows, now = rows[on], now[on]
+            self.size[rows] += 1
+            covered[rows] += fresh[now, k]
+        self.coverage, self.per_unit = covered / tokens, np.bincount(self.unit, minlength=len(t.n))
+        self.last = at[first + self.size - 1]
+        self.start = reading[chunk[first] - at[first] + self.begin]
+        self._taken, self._first = reading[chunk], first
+
+    def taken(self, rows: np.ndarray) -> pa.Array:
+        """The reading orders of the chunks of runs, as lists."""
+        values = self._taken[np.repeat(self._first[rows], self.size[rows]) + _ramp(self.size[rows])]
+        return _listed(self.size[rows], pa.array(values, pa.int32()))
+
+
+def _structs(kind: T.StructType, *fields: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(fields, kind.names)
+
+
+INTEGERS = T.ArrayType(T.IntegerType())
+RUN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("chunks", INTEGERS), T.StructField("coverage", T.DoubleType())])
+CHOICE = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("chunks", INTEGERS)])
+
+
+def _every(orders: pa.Array, chunks: pa.Array, units: pa.Array) -> pa.Array:
+    """The runs of each unit of each document."""
+    r = _Runs(orders, chunks, units)
+    every = _structs(RUN, pa.array(r.start, pa.int32()), r.taken(np.arange(len(r.start))), pa.array(r.coverage, pa.float64()))
+    return _listed(_sizes(units), _listed(r.per_unit, every))
+
+
+def _chosen(orders: pa.Array, chunks: pa.Array, units: pa.Array) -> pa.Array:
+    """The run of each unit of each document that has one, see align()."""
+    r, per_document = _Runs(orders, chunks, units), _sizes(units)
+    document, number = np.repeat(np.arange(len(units)), per_document), _ramp(per_document)
+    ends, rows, cursor, current = np.cumsum(r.per_unit), [], -1, -1
+    for unit in np.flatnonzero(r.per_unit).tolist():
+        if document[unit] != current:
+            cursor, current = -1, document[unit]
+        low, high = ends[unit] - r.per_unit[unit], ends[unit]
+        low += np.searchsorted(r.begin[low:high], cursor, side="right")
+        if low < high:
+            own = r.coverage[low:high]
+            best = (own >= ENOUGH).argmax()
+            best = best if own[best] >= ENOUGH else own.argmax()
+            if own[best] >= LEAST:
+                rows.append(low + best)
+                cursor = r.last[rows[-1]]
+    rows = np.array(rows, np.int64)
+    found = _structs(CHOICE, pa.array(number[r.unit[rows]], pa.int32()), pa.array(r.start[rows], pa.int32()), r.taken(rows))
+    return _listed(np.bincount(document[r.unit[rows]], minlength=len(units)), found)
+
+
+def _stretches(work: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """The work on lists of documents, done for some documents after the others."""
+
+    def run(orders: pa.Array, chunks: pa.Array, units: pa.Array) -> pa.Array:
+        parts = [work(*(lists[low:high] for lists in (orders, chunks, units))) for low, high in _blocks(_sizes(chunks) + _sizes(units), STRETCH)]
+        return pa.concat_arrays(parts or [work(orders, chunks, units)])
+
+    return run
+
+
+def _documents(units: DataFrame, chunks: DataFrame, found: Callable[..., pa.Array], kind: T.DataType) -> DataFrame:
+    """One row for each document: document_id, numbers (of its units) and found. All is keyed by document, so tables dealt by it are not dealt anew."""
+    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
+    listed = chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(F.col("reading_order").cast("int").alias("reading_order"), text))).alias("cs"))
+    asked = units.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", text))).alias("us"))
+    rows = asked.join(listed.hint("merge"), "document_id")
+    once = F.arrow_udf(_stretches(found), T.ArrayType(kind)).asNondeterministic()  # else filters that Spark adds before explode work it out again
+    return rows.select("document_id", F.col("us.unit_no").alias("numbers"), once("cs.reading_order", "cs.text", "us.text").alias("found"))
 
 
 def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -43,51 +220,21 @@ def runs(units: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A start looks at LONGEST consecutive chunks. Those without tokens are passed over, and so are those before the first near one; the first after it
     that is not near ends the run, and so does the one with which the unit's tokens are covered to ENOUGH. A start before its first near
-    chunk sees less behind it, so every start is a candidate of its own: there are at most LONGEST for each near pair.
+    chunk sees less behind it, so every start is a candidate of its own: there are at most LONGEST for each near pair. Tokens are compared as such,
+    not by digests.
     """
-    begin = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(s: Column, c: Column) -> Column:
-        done = F.size(s["covered"]) / F.col("unit_tokens") >= ENOUGH
-        return F.when(done, s).otherwise(F.struct(F.array_union(s["covered"], c["both"]).alias("covered"), F.concat(s["chunks"], F.array(c["reading_order"])).alias("chunks")))
-
-    pairs = near(units, chunks).select("document_id", "unit_no", "unit_tokens", "orders", "near", F.posexplode("near").alias("k", "c"))
-    # starts whose first near chunk this is: how many chunks they lie before it
-    last = F.when(F.col("k") > 0, F.get("near", F.col("k") - 1)["at"]).otherwise(0)
-    back = F.least(F.col("c.at") - last, F.lit(LONGEST)) - 1
-    near_on = F.filter(F.slice("near", F.col("k") + 1, LONGEST), lambda n, i: n["token_at"] - F.col("c.token_at") == i)
-    starts = pairs.select("document_id", "unit_no", "unit_tokens", "orders", "c.at", near_on.alias("seen"), F.explode(F.sequence(F.lit(0), back)).alias("ahead"))
-    within = F.filter("seen", lambda n: n["at"] <= F.col("at") - F.col("ahead") + LONGEST - 1)
-    start = F.element_at("orders", F.col("at") - F.col("ahead"))
-    folded = starts.select("document_id", "unit_no", "unit_tokens", start.alias("start"), F.aggregate(within, begin, step).alias("f"))
-    return folded.select("document_id", "unit_no", "start", "f.chunks", (F.size("f.covered") / F.col("unit_tokens")).alias("coverage"))
+    rows = _documents(units, chunks, _every, T.ArrayType(RUN)).select("document_id", F.explode(F.arrays_zip("numbers", "found")).alias("u"))
+    return rows.select("document_id", F.col("u.numbers").alias("unit_no"), F.inline("u.found"))
 
 
 def align(units: DataFrame, chunks: DataFrame) -> DataFrame:
     """The run chosen for each unit: document_id, unit_no, start, chunks.
 
     Units go in order, and a match moves the cursor past its last chunk: the first start after the cursor that covers ENOUGH, else the
-    first of those that cover most, if that is LEAST. A fold over a document's candidates inside the JVM.
+    first of those that cover most, if that is LEAST.
     """
-    found = runs(units, chunks).groupBy("document_id", "unit_no").agg(F.array_sort(F.collect_list(F.struct("start", "coverage", "chunks"))).alias("runs"))
-    listed = found.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "runs"))).alias("units"))
-    nothing = "array<struct<unit_no:int,start:int,chunks:array<int>>>"
-    begin = F.struct(F.lit(-1).alias("cursor"), F.array().cast(nothing).alias("out"))
-
-    def choose(s: Column, u: Column) -> Column:
-        own = F.filter(u["runs"], lambda r: r["start"] > s["cursor"])
-        good = F.filter(own, lambda r: r["coverage"] >= ENOUGH)
-        top = F.array_max(F.transform(own, lambda r: r["coverage"]))
-        best = F.filter(own, lambda r: (r["coverage"] == top) & (top >= LEAST))
-        return F.slice(F.when(F.size(good) > 0, good).otherwise(best), 1, 1)
-
-    def take(s: Column, u: Column) -> Column:
-        picked = F.transform(choose(s, u), lambda r: F.struct(u["unit_no"].cast("int").alias("unit_no"), r["start"].alias("start"), r["chunks"].alias("chunks")))
-        moved = F.coalesce(F.array_max(F.transform(picked, lambda p: F.array_max(p["chunks"]))), s["cursor"])
-        return F.struct(moved.alias("cursor"), F.concat(s["out"], picked).alias("out"))
-
-    chosen = listed.select("document_id", F.explode(F.aggregate("units", begin, take)["out"]).alias("m"))
-    return chosen.select("document_id", "m.unit_no", "m.start", "m.chunks")
+    rows = _documents(units, chunks, _chosen, CHOICE).select("document_id", "numbers", F.explode("found").alias("m"))
+    return rows.select("document_id", F.get("numbers", "m.unit").cast("int").alias("unit_no"), "m.start", "m.chunks")
 
 
 def selected_chunks(aligned: DataFrame) -> DataFrame:

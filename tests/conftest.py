@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import SparkSession
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HOME)
@@ -17,3 +18,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def no_tables_cached_by_other_modules():
+    """Plans read a table that another module has cached in place of the files, with exchanges of their own."""
+    yield
+    if session := SparkSession.getActiveSession():
+        session.catalog.clearCache()
