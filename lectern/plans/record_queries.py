@@ -403,7 +403,7 @@ def d18(spark, sf_dir):
     return layout.rematched(blocks, chunks).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
-#: Characters of text that one task aligns: a chunk becomes dozens of rows of tokens and candidates.
+#: Characters of text that one task aligns: a chunk becomes dozens of candidates.
 ALIGNED_CHARS = 4_000_000
 
 
@@ -459,7 +459,8 @@ def d22(spark, sf_dir):
     """The chunks that body units align with, page by page; every ninth document has none."""
     chunks = views.chunks(spark, sf_dir, ALIGNED_CHARS)
     wanted = units(blocks_of(chunks))
-    selected = alignment.selected_chunks(alignment.align(wanted, chunks))
+    # rows that come out of Python are no longer known to be dealt by document
+    selected = alignment.selected_chunks(alignment.align(wanted, chunks)).repartition(views.parts(spark, sf_dir, ALIGNED_CHARS), "document_id")
     return layout.body_only(chunks, selected).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 

@@ -13,6 +13,7 @@ from test_alignment import brute, run_from, tokens
 from lectern import plans
 from lectern.functions import text as tx
 from lectern.operators import alignment
+from lectern.plans import views
 
 ODD = ["", " ", "a", "a b a", "Éa1-b2_c", "ab", "cd", "İx y", "日本 x9", "…", "X\nx\tX", None, "A" * 300, "0 1 0", "😀a😀"]
 
@@ -82,3 +83,9 @@ def test_null_texts_and_lone_documents(spark):
     units = spark.createDataFrame([(1, 4, "a b"), (1, 5, None), (3, 0, "a"), (9, 0, "a b")], "document_id long, unit_no int, text string")
     assert [tuple(r) for r in alignment.align(units, chunks).collect()] == [(1, 4, 0, [1])]
     assert sorted(tuple(r) for r in alignment.runs(units, chunks).collect()) == [(1, 4, 0, [1], 1.0), (1, 4, 1, [1], 1.0)]
+
+
+def test_chosen_chunks_are_dealt_as_the_texts_are(spark):
+    """The body filter joins chosen chunks with all chunks where these are."""
+    found = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", plan_of(spark, "d22_body_filter"))
+    assert len(found) == 4 and {(re.sub(r"#\d+L?", "", keys), n) for keys, n in found} == {("document_id", str(views.parts(spark, SMALL)))}
